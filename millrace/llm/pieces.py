@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 #: Units of text whose ids a worker remembers, and the longest such unit.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 48
+NEVER = float("-inf")
 
 
 @dataclass
@@ -28,8 +30,10 @@ class Vocabulary:
     longest: int = field(init=False)
     unknown: float = field(init=False)
     splits: re.Pattern = field(init=False)
+    prefixes: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
+        self.prefixes = {piece[:n]: NEVER for piece in self.ids for n in range(1, len(piece))} | self.scores
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         alone = "".join(c for c in "\n\r\t" if not any(c in piece for piece in self.ids))
@@ -53,39 +57,59 @@ class Vocabulary:
 class Viterbi:
     """The best-scored division of a text into pieces, given out as it is settled.
 
-    feed() takes characters one after another. Best scores and backpointers are kept since the last settled boundary only; once as many
-    characters as the longest piece have come, the paths back from all positions where a further piece can start are followed, and what lies
-    before the boundary on which they all meet is settled. Of equal scores the longer last piece wins.
+    feed() takes text bit by bit. A position's best score is final once all positions before it have offered the pieces that start there, for
+    which as many characters as the longest piece has are awaited. Scores and backpointers are kept since the last settled boundary only:
+    the paths back from all positions where a further piece can start are followed, and what lies before the boundary on which they all meet
+    is settled. Of equal scores the longer last piece wins.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.text, self.best, self.back, self.checked = vocabulary, "", [0.0], [0], 0
+        self.vocabulary, self.text, self.best, self.back, self.at = vocabulary, "", [0.0], [0], 0
 
     def feed(self, text: str) -> Iterator[int]:
-        v = self.vocabulary
-        for c in text:
-            self.text += c
-            end = len(self.text)
-            best, back = None, end - 1
-            for start in range(max(0, end - v.longest), end):
-                score = v.scores.get(self.text[start:end])
-                if score is None:
-                    if start < end - 1:
-                        continue
-                    score = v.unknown
-                if best is None or self.best[start] + score > best:
-                    best, back = self.best[start] + score, start
-            self.best.append(best)
-            self.back.append(back)
-            if end - self.checked >= 2 * v.longest:
-                self.checked = end
-                yield from self.settle(self.meeting(range(end - v.longest + 1, end + 1)))
+        step = 4 * self.vocabulary.longest
+        for i in range(0, len(text), step):
+            self.text += text[i : i + step]
+            self.advance(len(self.text) - self.vocabulary.longest)
+            if self.at > 0:
+                yield from self.settle(self.meeting(range(self.at, min(self.at + self.vocabulary.longest, len(self.text) + 1))))
 
     def finish(self) -> Iterator[int]:
+        self.advance(len(self.text))
         yield from self.settle(len(self.text))
 
+    def whole(self, text: str) -> Iterator[int]:
+        """The ids of a text that fits into the window."""
+        self.text = text
+        return self.finish()
+
+    def advance(self, stop: int) -> None:
+        """Offers the pieces that start before stop."""
+        text, best, back, n, longest, unknown = self.text, self.best, self.back, len(self.text), self.vocabulary.longest, self.vocabulary.unknown
+        get = self.vocabulary.prefixes.get
+        best.extend([NEVER] * (n + 1 - len(best)))
+        back.extend([0] * (n + 1 - len(back)))
+        for start in range(self.at, stop):
+            base = best[start]
+            score = get(text[start])
+            if score is None or score == NEVER:
+                if base + unknown > best[start + 1]:
+                    best[start + 1], back[start + 1] = base + unknown, start
+                if score is None:
+                    continue
+            elif base + score > best[start + 1]:
+                best[start + 1], back[start + 1] = base + score, start
+            for end in range(start + 2, min(start + longest, n) + 1):
+                score = get(text[start:end])
+                if score is None:
+                    break
+                if base + score > best[end]:
+                    best[end], back[end] = base + score, start
+        self.at = max(self.at, stop)
+
     def meeting(self, alive) -> int:
-        paths = set(alive)
+        """Where the paths back from these positions meet; positions that no piece has reached yet have none."""
+        paths = {x for x in alive if self.best[x] != NEVER}
         while len(paths) > 1:
             last = max(paths)
             paths.remove(last)
@@ -99,7 +123,7 @@ class Viterbi:
         while cuts[-1]:
             cuts.append(self.back[cuts[-1]])
         v = self.vocabulary
-        for start, end in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
+        for start, end in zip(cuts[:0:-1], cuts[-2::-1]):
             piece = self.text[start:end]
             if piece in v.ids:
                 yield v.ids[piece]
@@ -107,7 +131,7 @@ class Viterbi:
                 yield from (v.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
         base = self.best[boundary]
         self.text, self.best, self.back = self.text[boundary:], [x - base for x in self.best[boundary:]], [max(0, x - boundary) for x in self.back[boundary:]]
-        self.checked -= boundary
+        self.at -= boundary
 
 
 class Encoder(dict):
@@ -117,9 +141,16 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
+    @staticmethod
+    def of_worker(kept: dict, *parts) -> Encoder:
+        """One encoder for all tasks of a Python worker. kept: a dictionary of a broadcast value, of which each worker has its own copy."""
+        if "encoder" not in kept:
+            kept["encoder"] = Encoder(Vocabulary(*parts))
+        return kept["encoder"]
+
     def __missing__(self, unit: str) -> bytes:
         viterbi = Viterbi(self.vocabulary)
-        ids = np.array([*viterbi.feed(unit), *viterbi.finish()], np.int32).tobytes()
+        ids = array("i", [*viterbi.feed(unit), *viterbi.finish()] if len(unit) > self.vocabulary.longest else viterbi.whole(unit)).tobytes()
         if len(unit) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -145,10 +176,10 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     sent to the executors once; its size is the model's, whatever the corpus.
     """
     loaded = Vocabulary.load(model_file)
-    parts = docs.sparkSession.sparkContext.broadcast((loaded.ids, loaded.scores, loaded.byte_ids, loaded.surface))
+    parts = docs.sparkSession.sparkContext.broadcast(({}, loaded.ids, loaded.scores, loaded.byte_ids, loaded.surface))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*parts.value))
+        encoder = Encoder.of_worker(*parts.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
