@@ -27,9 +27,9 @@ WINDOWS = 64
 LONGEST = SPAN + WINDOWS - 1
 WIDTH = -(-LONGEST // 8) * 8
 #: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one bucket, about.
-CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20, 12 << 20
+CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20, 6 << 20
 #: Segments sorted at a time.
-SORTED = 4096
+SORTED = 1024
 #: Texts with removed ranges plus these ranges that are broadcast at most, of 16 bytes each; beyond them the join is a shuffle.
 BROADCAST_ITEMS = 2_000_000
 
@@ -59,15 +59,19 @@ class Segments:
         return cls(*(np.concatenate(x) for x in zip(*(s.parts() for s in many), strict=True)))
 
 
+def pieces(data: np.ndarray) -> np.ndarray:
+    """A hash of the PIECE bytes from each place on."""
+    n = len(data) - PIECE + 1
+    data = np.ascontiguousarray(data)
+    a, b = np.ndarray((n,), "<u8", data, 0, (1,)), np.ndarray((n,), "<u8", data, PIECE - 8, (1,))
+    h = (a * np.uint64(0xA0761D6478BD642F)) ^ ((b ^ (b >> np.uint64(29))) * np.uint64(0xE7037ED1A0B428DB))
+    return (h ^ (h >> np.uint64(32))) * MIX
+
+
 def keys(data: np.ndarray) -> np.ndarray:
     """The key of the window at each place of data that has one."""
     n = len(data) - PIECE + 1
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    a = np.ndarray((n,), "<u8", padded.tobytes(), 0, (1,))
-    b = np.ndarray((n,), "<u8", padded.tobytes(), PIECE - 8, (1,))
-    h = (a * np.uint64(0xA0761D6478BD642F)) ^ ((b ^ (b >> np.uint64(29))) * np.uint64(0xE7037ED1A0B428DB))
-    h = (h ^ (h >> np.uint64(32))) * MIX
-    least, wide = h, 1
+    least, wide = pieces(data), 1
     while 2 * wide <= REACH:
         least = np.minimum(least[:-wide], least[wide:])
         wide *= 2
@@ -150,29 +154,33 @@ def window_classes(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """
     order = np.argsort(-sizes, kind="stable")
     rows, sizes = rows[order], sizes[order]
-    n, rank_bits = len(rows), 40
-    rank_mask = (1 << rank_bits) - 1
-    held, owner = np.arange(n, dtype=np.int64), np.arange(n) * (WIDTH + 1)
-    rank = np.arange(n, dtype=np.int64)
+    n, whole = len(rows), int(sizes.sum())
+    kind, rank_bits = (np.int32, 22) if whole + n < 1 << 22 else (np.int64, 40)
+    rank_mask = kind((1 << rank_bits) - 1)
+    held, owner, rank = np.arange(n, dtype=kind), np.arange(n, dtype=kind) * kind(WIDTH + 1), np.arange(n, dtype=kind)
+    every = np.arange(whole + n, dtype=kind)
     for r in range(1, int(sizes[0]) + 1):
         live = int(np.searchsorted(-sizes, -r, "right"))
-        fresh = ((rows[np.arange(live), sizes[:live] - r].astype(np.int64) + 1) << rank_bits) | rank[:live]
-        by = np.argsort(fresh)
+        fresh = ((rows[every[:live], sizes[:live] - r].astype(kind) + kind(1)) << kind(rank_bits)) | rank[:live]
+        by = np.argsort(fresh).astype(kind)
         fresh = fresh[by]
-        place = np.searchsorted(held, fresh)
-        moved = np.cumsum(np.bincount(place, minlength=len(held) + 1))
+        place = np.searchsorted(held, fresh).astype(kind)
+        moved = np.zeros(len(held) + 1, kind)
+        step = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        moved[place[step]] = np.diff(np.append(step, live))
+        np.cumsum(moved, out=moved)
         held += moved[held & rank_mask]
         fresh += moved[fresh & rank_mask]
-        there = np.arange(len(held)) + moved[: len(held)]
-        here = place + np.arange(live)
-        merged, owners = np.empty(len(held) + live, np.int64), np.empty(len(held) + live, np.int64)
+        there = every[: len(held)] + moved[:-1]
+        here = place + every[:live]
+        merged, owners = np.empty(len(held) + live, kind), np.empty(len(held) + live, kind)
         merged[there], merged[here] = held, fresh
-        owners[there], owners[here] = owner, by * (WIDTH + 1) + r
+        owners[there], owners[here] = owner, by * kind(WIDTH + 1) + kind(r)
         held, owner = merged, owners
         rank[by] = here
     segment, left = owner // (WIDTH + 1), owner % (WIDTH + 1)
-    whole = left >= SPAN
-    segment, at = segment[whole], sizes[segment[whole]] - left[whole]
+    long = left >= SPAN
+    segment, at = segment[long].astype(np.int64), sizes[segment[long]] - left[long]
     new = np.ones(len(segment), bool)
     flat = np.ascontiguousarray(rows).reshape(-1)
     windows = np.lib.stride_tricks.sliding_window_view(flat, SPAN)
@@ -185,6 +193,46 @@ def window_classes(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def portions(u: np.ndarray, group: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Parts of u with about size members each, groups whole."""
+    start = 0
+    while start < len(u):
+        stop = start + int(np.searchsorted(group[u[start:]], group[u[min(start + size, len(u)) - 1]], "right"))
+        yield u[start:stop]
+        start = stop
+
+
+def likely(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which segments may have a window in common with another one of their group.
+
+    Windows of one group all hold the piece with the least hash. Equal windows agree on half of the rest of a window before it or after it.
+    Segments that agree with no other one in either half are let go; where the piece is in a segment twice, the whole group stays.
+    """
+    n, half = len(rows), (SPAN - PIECE) // 2
+    padded = np.concatenate([np.ascontiguousarray(rows).reshape(-1), np.zeros(8, np.uint8)])
+    hashes = pieces(padded)[: n * WIDTH]
+    hashes = np.concatenate([hashes, np.zeros(n * WIDTH - len(hashes), np.uint64)]).reshape(n, WIDTH)
+    hashes[np.arange(WIDTH) > (sizes - PIECE)[:, None]] = ~np.uint64(0)
+    at = hashes.argmin(axis=1)
+    twice = (hashes == hashes[np.arange(n), at][:, None]).sum(axis=1) > 1
+    keep = np.zeros(group.max() + 1, bool)
+    keep[group[twice]] = True
+    keep = keep[group]
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([padded, np.zeros(WIDTH, np.uint8)]), half)
+    for start in (at - half, at + PIECE):
+        there = np.flatnonzero((start >= 0) & (start + half <= sizes))
+        if not len(there):
+            continue
+        row = np.zeros((len(there), -(-half // 8) * 8), np.uint8)
+        row[:, :half] = windows[there * WIDTH + start[there]]
+        key = mixed(digests(row) + group[there].astype(np.uint64) * MIX)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        keep[there[order[shared]]] = True
+    return keep
+
+
 def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     """Indices of segments that share their key with another doc_id's, and for each of their windows the least doc_id that has it."""
     order = np.argsort(s.key, kind="stable")
@@ -206,20 +254,17 @@ def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     own = np.minimum.reduceat(s.doc[active], heads)
     least = np.repeat(own[:, None], WINDOWS, axis=1)
     head_key = key[heads]
-    group = np.flatnonzero(np.append(True, head_key[1:] != head_key[:-1]))
-    several = np.diff(np.append(group, len(heads))) > 1
-    a, b = group[several], np.append(group[1:], len(heads))[several]
-    i = 0
-    while i < len(a):
-        j = max(i + 1, int(np.searchsorted(np.cumsum(b[i:] - a[i:]), SORTED, "right")) + i)
-        u = np.concatenate([np.arange(x, y) for x, y in zip(a[i:j], b[i:j], strict=True)])
-        chosen = active[heads[u]]
-        classes = window_classes(s.bytes[chosen], s.n[chosen].astype(np.int64) + SPAN - 1)
+    group = np.cumsum(np.append(True, head_key[1:] != head_key[:-1])) - 1
+    u = np.flatnonzero(np.bincount(group)[group] > 1)
+    chosen = [likely(s.bytes[active[heads[v]]], s.n[active[heads[v]]].astype(np.int64) + SPAN - 1, group[v]) for v in portions(u, group, 1 << 15)]
+    u = u[np.concatenate(chosen)] if chosen else u
+    for v in portions(u, group, SORTED):
+        rows = active[heads[v]]
+        classes = window_classes(s.bytes[rows], s.n[rows].astype(np.int64) + SPAN - 1)
         used = classes >= 0
         best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, classes[used], np.broadcast_to(own[u][:, None], classes.shape)[used])
-        least[u] = np.where(used, best[classes], least[u])
-        i = j
+        np.minimum.at(best, classes[used], np.broadcast_to(own[v][:, None], classes.shape)[used])
+        least[v] = np.where(used, best[classes], least[v])
     return active, least[np.cumsum(distinct) - 1]
 
 
