@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, text_buffers
 
@@ -18,6 +19,8 @@ OVERLAP = max(WIDTHS) - 1
 LANGUAGES, PER_LANGUAGE, PER_DOCUMENT, WINDOWS = 200, 500, 3, 20_000
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 UNKNOWN = "und"
+#: The score under which a text's language counts as not told.
+LEAST = 0.3
 BLOCK_BYTES = 1 << 20
 #: Windows that go through the network at a time.
 AT_A_TIME = 96
@@ -157,6 +160,23 @@ def learned(docs: DataFrame) -> Network | None:
     return net
 
 
+def told(net: Network, column: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a column the number of its language, or one beyond the last where it isn't known to have letters; and its score."""
+    data, offsets = text_buffers(column)
+    starts, ends, text = cut(offsets)
+    total = np.zeros((len(column), len(net.languages)))
+    for i in range(0, len(text), AT_A_TIME):
+        at = slice(i, i + AT_A_TIME)
+        logs = net.log_probabilities(windows(data, starts[at], ends[at])) * (ends[at] - starts[at])[:, None]
+        np.add.at(total, text[at], logs)
+    p = np.exp(log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None]))
+    return np.where(known, p.argmax(axis=1), len(net.languages)), np.where(known, p.max(axis=1), 0.0)
+
+
+def letters():
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language of every whole text.
 
@@ -172,20 +192,32 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             for first, rows in blocks(batch.column(3), BLOCK_BYTES):
                 part = batch.slice(first, rows)
-                data, offsets = text_buffers(part.column(3))
-                starts, ends, text = cut(offsets)
-                total = np.zeros((rows, len(net.languages)))
-                for i in range(0, len(text), AT_A_TIME):
-                    at = slice(i, i + AT_A_TIME)
-                    logs = net.log_probabilities(windows(data, starts[at], ends[at])) * (ends[at] - starts[at])[:, None]
-                    np.add.at(total, text[at], logs)
-                p = np.exp(log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None]))
-                known = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                best = np.where(known, p.argmax(axis=1), len(net.languages))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names.take(pa.array(best)), pa.array(np.where(known, p.max(axis=1), 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
-
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held_out(), letters, F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+                best, score = told(net, part.column(3), part.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names.take(pa.array(best)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), held_out(), letters(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs without the rows whose language can't be told: those that predicted() calls `und`, or scores under least.
+
+    The columns stay as they are, whatever their names. Where nothing can be learned, all texts with a letter stay.
+    """
+    net = learned(docs)
+    if net is None:
+        return docs.where(letters())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows in blocks(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(first, rows)
+                known = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                _, score = told(net, part.column(1), known)
+                kept = part.filter(pa.array(known & (score >= least)))
+                yield pa.RecordBatch.from_arrays(kept.columns[2:], schema=pa.schema(list(part.schema)[2:]))
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    return docs.select(letters().alias("__letters"), F.col("text").cast("string").alias("__text"), *docs.columns).mapInArrow(run, schema)
 
 
 def held_out():
