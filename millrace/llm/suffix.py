@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, row_key, text_buffers, written
+from .common import blocks, text_buffers, written
 from .spans import MIX, mixed
 
 SPAN, PIECE = 50, 16
@@ -27,7 +27,9 @@ WINDOWS = 64
 LONGEST = SPAN + WINDOWS - 1
 WIDTH = -(-LONGEST // 8) * 8
 #: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one bucket, about.
-CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20, 6 << 20
+CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 12 << 20
+#: How blocks of segments are compressed.
+CODEC = ("zstd", 3)
 #: Segments sorted at a time.
 SORTED = 1024
 #: Texts with removed ranges plus these ranges that are broadcast at most, of 16 bytes each; beyond them the join is a shuffle.
@@ -36,27 +38,47 @@ BROADCAST_ITEMS = 2_000_000
 
 @dataclass
 class Segments:
-    """Segments: key, doc_id, number of the row's text, place of the first window, windows, and the bytes, zeros behind."""
+    """Segments: key, doc_id, number of the text, place of the first window in it, number of windows, and where they start in pool.
+
+    pool: bytes of text, with WIDTH zeros behind.
+    """
 
     key: np.ndarray
     doc: np.ndarray
     row: np.ndarray
     at: np.ndarray
     n: np.ndarray
-    bytes: np.ndarray
+    start: np.ndarray
+    pool: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
-        return [self.key, self.doc, self.row, self.at, self.n, self.bytes]
+        return [self.key, self.doc, self.row, self.at, self.n, self.start]
 
     def __len__(self) -> int:
         return len(self.key)
 
     def __getitem__(self, i) -> Segments:
-        return Segments(*(x[i] for x in self.parts()))
+        return Segments(*(x[i] for x in self.parts()), self.pool)
+
+    def sizes(self) -> np.ndarray:
+        return self.n.astype(np.int64) + SPAN - 1
+
+    def bytes(self) -> np.ndarray:
+        """The bytes of each segment as a row of WIDTH, zeros behind."""
+        got = np.lib.stride_tricks.sliding_window_view(self.pool, WIDTH)[self.start]
+        got[np.arange(WIDTH) >= self.sizes()[:, None]] = 0
+        return got
 
     @classmethod
     def joined(cls, many: list[Segments]) -> Segments:
-        return cls(*(np.concatenate(x) for x in zip(*(s.parts() for s in many), strict=True)))
+        shift = np.cumsum([0, *(len(s.pool) - WIDTH for s in many)])
+        key, doc, row, at, n = (np.concatenate(x) for x in list(zip(*(s.parts() for s in many), strict=True))[:5])
+        start = np.concatenate([s.start + x for s, x in zip(many, shift, strict=False)])
+        return cls(key, doc, row, at, n, start, padded(*(s.pool[:-WIDTH] for s in many)))
+
+
+def padded(*parts: np.ndarray) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(WIDTH, np.uint8)])
 
 
 def pieces(data: np.ndarray) -> np.ndarray:
@@ -78,14 +100,6 @@ def keys(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[: n - REACH + 1], least[REACH - wide :]) if wide < REACH else least
 
 
-def rows_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bytes from each start on, as rows of WIDTH with zeros behind."""
-    padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-    got = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[starts]
-    got[np.arange(WIDTH) >= sizes[:, None]] = 0
-    return got
-
-
 def cut(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, base: np.ndarray) -> Segments | None:
     """The segments of pieces of text; base: where a piece begins in its text."""
     if len(data) < SPAN:
@@ -112,7 +126,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray,
     at = np.repeat(first, parts) + nth * WINDOWS
     count = np.minimum(WINDOWS, np.repeat(size, parts) - nth * WINDOWS)
     text = np.searchsorted(offsets, at, "right") - 1
-    return Segments(key[at], doc[text], row[text], at - offsets[text] + base[text], count.astype(np.uint8), rows_of(data, at, count + SPAN - 1))
+    return Segments(key[at], doc[text], row[text], at - offsets[text] + base[text], count.astype(np.uint8), at, padded(data))
 
 
 def segments(docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[Segments]:
@@ -202,23 +216,22 @@ def portions(u: np.ndarray, group: np.ndarray, size: int) -> Iterator[np.ndarray
         start = stop
 
 
-def likely(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+def likely(s: Segments, group: np.ndarray) -> np.ndarray:
     """Which segments may have a window in common with another one of their group.
 
     Windows of one group all hold the piece with the least hash. Equal windows agree on half of the rest of a window before it or after it.
     Segments that agree with no other one in either half are let go; where the piece is in a segment twice, the whole group stays.
     """
-    n, half = len(rows), (SPAN - PIECE) // 2
-    padded = np.concatenate([np.ascontiguousarray(rows).reshape(-1), np.zeros(8, np.uint8)])
-    hashes = pieces(padded)[: n * WIDTH]
-    hashes = np.concatenate([hashes, np.zeros(n * WIDTH - len(hashes), np.uint64)]).reshape(n, WIDTH)
+    n, half, sizes = len(s), (SPAN - PIECE) // 2, s.sizes()
+    flat = padded(s.bytes().reshape(-1))
+    hashes = pieces(flat)[: n * WIDTH].reshape(n, WIDTH)
     hashes[np.arange(WIDTH) > (sizes - PIECE)[:, None]] = ~np.uint64(0)
     at = hashes.argmin(axis=1)
     twice = (hashes == hashes[np.arange(n), at][:, None]).sum(axis=1) > 1
     keep = np.zeros(group.max() + 1, bool)
     keep[group[twice]] = True
     keep = keep[group]
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([padded, np.zeros(WIDTH, np.uint8)]), half)
+    windows = np.lib.stride_tricks.sliding_window_view(flat, half)
     for start in (at - half, at + PIECE):
         there = np.flatnonzero((start >= 0) & (start + half <= sizes))
         if not len(there):
@@ -245,7 +258,7 @@ def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     if not len(active):
         return active, np.zeros((0, WINDOWS), np.int64)
     # Equal segments enter the collection once, with their least doc_id.
-    digest = np.concatenate([digests(s.bytes[active[i : i + (1 << 15)]]) for i in range(0, len(active), 1 << 15)]) + s.n[active]
+    digest = np.concatenate([digests(s[active[i : i + (1 << 15)]].bytes()) for i in range(0, len(active), 1 << 15)]) + s.n[active]
     by = np.lexsort((digest, s.key[active]))
     active, digest = active[by], digest[by]
     key = s.key[active]
@@ -256,11 +269,11 @@ def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     head_key = key[heads]
     group = np.cumsum(np.append(True, head_key[1:] != head_key[:-1])) - 1
     u = np.flatnonzero(np.bincount(group)[group] > 1)
-    chosen = [likely(s.bytes[active[heads[v]]], s.n[active[heads[v]]].astype(np.int64) + SPAN - 1, group[v]) for v in portions(u, group, 1 << 15)]
+    chosen = [likely(s[active[heads[v]]], group[v]) for v in portions(u, group, 1 << 15)]
     u = u[np.concatenate(chosen)] if chosen else u
     for v in portions(u, group, SORTED):
-        rows = active[heads[v]]
-        classes = window_classes(s.bytes[rows], s.n[rows].astype(np.int64) + SPAN - 1)
+        chosen = s[active[heads[v]]]
+        classes = window_classes(chosen.bytes(), chosen.sizes())
         used = classes >= 0
         best = np.full(classes.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(best, classes[used], np.broadcast_to(own[v][:, None], classes.shape)[used])
@@ -294,32 +307,32 @@ def settled(s: Segments, forward: bool) -> tuple[tuple[np.ndarray, np.ndarray, n
     alone[active] = False
     i, a, b = runs(used & ~gone)
     rest = s[active[i]]
-    flat = np.ascontiguousarray(rest.bytes).reshape(-1)
-    count = b - a
-    rest = Segments(rest.key, rest.doc, rest.row, rest.at + a, count.astype(np.uint8), rows_of(flat, np.arange(len(rest)) * WIDTH + a, count + SPAN - 1))
-    return ranges, Segments.joined([s[alone], rest])
+    rest = Segments(rest.key, rest.doc, rest.row, rest.at + a, (b - a).astype(np.uint8), rest.start + a, s.pool)
+    both = [np.concatenate([x[alone], y]) for x, y in zip(s.parts(), rest.parts(), strict=True)]
+    return ranges, Segments(*both, s.pool)
 
 
-def packed(s: Segments, k1: np.ndarray, k2: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block): the segments of each bucket, their columns end to end, compressed."""
+def packed(s: Segments, version: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block): the segments of each bucket, their columns end to end, compressed. version: of each text, tells texts of one doc_id apart."""
+    codec = pa.Codec(CODEC[0], compression_level=CODEC[1])
     bucket = (s.key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((s.at, s.row, bucket))
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)):
         own = s[order[ends[b] : ends[b + 1]]]
         rows, number = np.unique(own.row, return_inverse=True)
-        head = np.array([len(own), len(rows)], np.int64)
         docs = np.zeros(len(rows), np.int64)
         docs[number] = own.doc
-        inside = np.arange(WIDTH) < (own.n.astype(np.int64) + SPAN - 1)[:, None]
-        step = np.diff(own.at, prepend=0)
-        columns = [head, docs, k1[rows], k2[rows], number.astype(np.int32), (own.key // np.uint64(buckets)).astype(np.uint32), step, own.n, own.bytes[inside]]
+        inside = np.arange(WIDTH) < own.sizes()[:, None]
+        head = np.array([len(own), len(rows)], np.int64)
+        columns = [head, np.diff(docs, prepend=0), version[rows], np.diff(number, prepend=0).astype(np.int32), (own.key // np.uint64(buckets)).astype(np.uint32), np.diff(own.at, prepend=0), own.n, own.bytes()[inside]]
         raw = b"".join(x.tobytes() for x in columns)
-        yield int(b), pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+        yield int(b), codec.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def unpacked(block: bytes) -> tuple[Segments, np.ndarray, np.ndarray]:
-    raw = pa.decompress(block[:-8], decompressed_size=int.from_bytes(block[-8:], "little"), codec="zstd", asbytes=True)
+    """A block's segments, and doc_id and version of its texts."""
+    raw = pa.decompress(block[:-8], decompressed_size=int.from_bytes(block[-8:], "little"), codec=CODEC[0], asbytes=True)
     n, rows = np.frombuffer(raw, np.int64, 2)
     at = 16
 
@@ -329,88 +342,91 @@ def unpacked(block: bytes) -> tuple[Segments, np.ndarray, np.ndarray]:
         at += got.nbytes
         return got
 
-    docs, k1, k2, number, key, step, count = take(np.int64, rows), take(np.int64, rows), take(np.int64, rows), take(np.int32, n), take(np.uint32, n), take(np.int64, n), take(np.uint8, n)
-    flat = take(np.uint8, len(raw) - at)
+    docs, version, number, key, step, count = take(np.int64, rows), take(np.int32, rows), take(np.int32, n), take(np.uint32, n), take(np.int64, n), take(np.uint8, n)
+    pool = padded(take(np.uint8, len(raw) - at))
+    docs, number = np.cumsum(docs), np.cumsum(number)
     sizes = count.astype(np.int64) + SPAN - 1
-    matrix = rows_of(flat, np.cumsum(sizes) - sizes, sizes)
-    return Segments(key, docs[number], number, np.cumsum(step), count, matrix), k1, k2
+    return Segments(key, docs[number], number, np.cumsum(step), count, np.cumsum(sizes) - sizes, pool), docs, version
 
 
-BLOCK = "bucket int, block binary, k1 long, k2 long, a array<long>, b array<long>"
-NAMES = ["bucket", "block", "k1", "k2", "a", "b"]
+BLOCK = "bucket int, block binary, doc_id long, version int, a array<long>, b array<long>"
+NAMES = ["bucket", "block", "doc_id", "version", "a", "b"]
 
 
-def ranges_by_row(row: np.ndarray, a: np.ndarray, b: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
+def ranges_by_row(row: np.ndarray, a: np.ndarray, b: np.ndarray, docs: np.ndarray, version: np.ndarray) -> pa.RecordBatch:
     """One row for each text with removed ranges, those that touch each other united."""
     order = np.lexsort((a, row))
     row, a, b = row[order], a[order], b[order]
-    if len(row):
-        # Ranges of a text end in SPAN bytes or more each, and those of one text don't reach into the next one's by this shift.
-        shift = row * (int(b.max()) + 1)
-        reach = np.maximum.accumulate(b + shift)
-        new = np.append(True, (a + shift)[1:] > reach[:-1])
-        heads = np.flatnonzero(new)
-        row, a, b = row[heads], a[heads], np.maximum.reduceat(b, heads)
+    # Shifted by their text's number, ranges of different texts don't meet.
+    shift = row * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + shift)
+    heads = np.flatnonzero(np.append(True, (a + shift)[1:] > reach[:-1]))
+    row, a, b = row[heads], a[heads], np.maximum.reduceat(b, heads)
     rows, first = np.unique(row, return_index=True)
     offsets = pa.array(np.append(first, len(row)), pa.int32())
-    blank = len(rows)
-    return pa.RecordBatch.from_arrays([pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary()), pa.array(k1[rows]), pa.array(k2[rows]), pa.ListArray.from_arrays(offsets, pa.array(a, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(b, pa.int64()))], NAMES)
+    n = len(rows)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs[rows], pa.int64()), pa.array(version[rows], pa.int32()), *lists], NAMES)
 
 
 def ranges(docs: DataFrame, buckets: int) -> DataFrame:
-    """(k1, k2, a, b): for texts by their row key, starts and ends of bytes to remove; a text may have several rows."""
+    """(doc_id, version, a, b): starts and ends of bytes to remove from texts; a text may have several rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Segments] = []
-        keyed: list[tuple[np.ndarray, np.ndarray]] = []
+        texts: list[tuple[np.ndarray, np.ndarray]] = []
         rows = size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            k1, k2 = (np.concatenate(x) for x in zip(*keyed, strict=True))
+            ids, version = (np.concatenate(x) for x in zip(*texts, strict=True))
             (row, a, b), rest = settled(Segments.joined(held), True)
+            held.clear()
             if len(row):
-                yield ranges_by_row(row, a, b, k1, k2)
-            for bucket, block in packed(rest, k1, k2, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], NAMES)
+                yield ranges_by_row(row, a, b, ids, version)
+            for bucket, block in packed(rest, version, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.list_(pa.int64())) for _ in range(2))], NAMES)
 
         for batch in batches:
-            for start, n in blocks(batch.column(3), CUT_BYTES):
+            for start, n in blocks(batch.column(2), CUT_BYTES):
                 part = batch.slice(start, n)
-                data, offsets = text_buffers(part.column(3))
+                data, offsets = text_buffers(part.column(2))
                 held += segments([(data, offsets, part.column(0).to_numpy(), np.arange(rows, rows + n))])
-                keyed.append((part.column(1).to_numpy(), part.column(2).to_numpy().astype(np.int64)))
+                texts.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
                 rows, size = rows + n, size + len(data)
                 if size >= COMBINED_BYTES:
                     if held:
                         yield from out()
-                    held, keyed, rows, size = [], [], 0, 0
+                    held, texts, rows, size = [], [], 0, 0
         if held:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
         for batch in batches:
-            mine = batch.column(1).is_valid()
-            ready = batch.filter(pa.compute.invert(mine))
+            sent = batch.column(1).is_valid()
+            ready = batch.filter(pa.compute.invert(sent))
             if ready.num_rows:
-                yield ready.select(["k1", "k2", "a", "b"])
-            for bucket, block in zip(*(batch.filter(mine).column(i).to_pylist() for i in (0, 1)), strict=True):
+                yield ready.select(NAMES[2:])
+            for bucket, block in zip(*(batch.filter(sent).column(i).to_pylist() for i in (0, 1)), strict=True):
                 by.setdefault(bucket, []).append(block)
         for bucket in list(by):
-            got, k1, k2, rows = [], [], [], 0
+            got, ids, version, rows = [], [], [], 0
             for block in by.pop(bucket):
                 s, x, y = unpacked(block)
-                got.append(Segments(s.key, s.doc, s.row + rows, s.at, s.n, s.bytes))
-                k1.append(x)
-                k2.append(y)
+                s.row += rows
+                got.append(s)
+                ids.append(x)
+                version.append(y)
                 rows += len(x)
-            (row, a, b), _ = settled(Segments.joined(got), False)
+            s = Segments.joined(got)
+            got.clear()
+            (row, a, b), _ = settled(s, False)
             if len(row):
-                yield ranges_by_row(row, a, b, np.concatenate(k1), np.concatenate(k2)).select(["k1", "k2", "a", "b"])
+                yield ranges_by_row(row, a, b, np.concatenate(ids), np.concatenate(version)).select(NAMES[2:])
 
-    own = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)).select("doc_id", *row_key("doc_id", "text"), "text")
+    own = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)).select("doc_id", F.hash("text").alias("version"), "text")
     sent = own.mapInArrow(send, BLOCK)
-    return sent.repartition(buckets, F.coalesce("bucket", F.pmod("k1", F.lit(buckets)).cast("int"))).mapInArrow(meet, "k1 long, k2 long, a array<long>, b array<long>")
+    return sent.repartition(buckets, F.coalesce("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))).mapInArrow(meet, "doc_id long, version int, a array<long>, b array<long>")
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -429,12 +445,12 @@ def found(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     got = ranges(own, max(1, -(-total // BUCKET_BYTES)))
-    lists = got.groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("spans"))
+    lists = got.groupBy("doc_id", "version").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("spans"))
     per_text = written(lists)
     items = per_text.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
     if items <= BROADCAST_ITEMS:
         per_text = F.broadcast(per_text)
-    return own.select("doc_id", "text", *row_key("doc_id", "text")).join(per_text, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    return own.select("doc_id", "text", F.hash("text").alias("version")).join(per_text, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
