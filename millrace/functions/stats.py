@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -24,7 +25,7 @@ def noise(n: Column, p: float = 0.05) -> Column:
     return F.when(n >= 1000, 0.0).otherwise(2 * F.sqrt(F.lit(p * (1 - p)) / n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_p(a: pd.Series, b: pd.Series) -> pd.Series:
     """Two-sided exact test that a and b moves are equally likely. McNemar's exact test is the same."""
 

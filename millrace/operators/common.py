@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a table that is broadcast at most.
 BROADCAST_ROWS = 500_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder that spark.checkpoint.dir names; where it is unset, in a temporary folder of this machine."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, in a temporary folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
