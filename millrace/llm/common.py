@@ -45,6 +45,11 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.hash(*reversed(columns)).alias("k2")]
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with each row as one struct, row, so that no name of its columns meets one of the given columns; `select("row.*")` undoes it."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and offsets (one more than rows). A null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

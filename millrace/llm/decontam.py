@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import boxed, written
 
 #: Words of a shingle, and the least similarity of a window to an item, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
@@ -114,9 +114,9 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that found() finds. Rows with a null doc_id are told by their text. Columns stay as they are."""
-    bad = written(matches(docs, benchmark).select(F.col("doc").alias("__doc"), F.col("doc_id").alias("__doc_id")).distinct())
-    same = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("__doc")
-    return docs.join(bad, same & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")), "left_anti")
+    bad = written(matches(docs, benchmark).select(F.col("doc").alias("bad"), F.col("doc_id").alias("bad_id")).distinct())
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), doc=F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return rows.join(bad, (F.col("doc") == F.col("bad")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 ORACLE = f"""

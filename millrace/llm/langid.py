@@ -135,7 +135,8 @@ def learned(docs: DataFrame) -> Network | None:
     drawn = eligible.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(shares[F.col("lang")], F.lit(0.0)) * (1 << 30))
     best = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, id)")
     chosen = drawn.distinct().withColumn("n", best).where(F.col("n") <= PER_LANGUAGE).select("id", F.col("lang").alias("is_lang"))
-    texts = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("is_lang"))).where(F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string"), "is_lang", "id")
+    own = docs.select("doc_id", "lang", "text")
+    texts = own.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("is_lang"))).where(F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string"), "is_lang", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

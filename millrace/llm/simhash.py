@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import boxed, components, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -86,12 +86,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay. Other columns come through as they are, whatever their names.
     """
-    firsts = written(groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count(F.lit(1)).alias("__n")))
+    firsts = written(groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("first")).agg(F.count(F.lit(1)).alias("n")))
+    rows = boxed(docs, id=F.col("doc_id").cast("long"))
 
     def having(n: str) -> DataFrame:
-        return docs.join(firsts.where(n), F.col("doc_id") == F.col("__first"), "left_semi")
+        return rows.join(firsts.where(n), F.col("id") == F.col("first"), "left_semi")
 
-    kept = having("__n = 1").unionByName(docs.where("doc_id is null"))
-    if firsts.where("__n > 1").isEmpty():
-        return kept
-    return kept.unionByName(having("__n > 1").dropDuplicates(["doc_id"]))
+    kept = having("n = 1").unionByName(rows.where("id is null"))
+    if not firsts.where("n > 1").isEmpty():
+        kept = kept.unionByName(having("n > 1").dropDuplicates(["id"]))
+    return kept.select("row.*")
