@@ -101,10 +101,10 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.spans_by_loss(items, ["l_orderkey"], "l_linenumber", "loss", F.col("l_returnflag") == "N")
 
 
-@query(CHOICE + "SELECT l_orderkey, chosen, margin, margin < 0.25 AS tie, current_rank, candidates FROM s")
+@query(CHOICE + "SELECT l_orderkey, chosen, round(margin, 6) AS margin, margin < 0.25 AS tie, current_rank, candidates FROM s")
 def chosen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate with the least loss, its margin and rank of the current one."""
-    return choices(spark, sf_dir)
+    return choices(spark, sf_dir).withColumn("margin", F.round("margin", 6))
 
 
 @query(CHOICE + "SELECT CASE WHEN margin < 2 OR margin < 0.25 THEN 'unconfirmed' WHEN coalesce(current_rank, 0) <> 1 THEN 'relabel' ELSE 'keep' END AS action, count(*) AS n FROM s GROUP BY action")
