@@ -208,17 +208,19 @@ def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if net is None:
         return docs.where(letters())
 
+    at = docs.columns.index("text") + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows in blocks(batch.column(1), BLOCK_BYTES):
+            for first, rows in blocks(batch.column(at), BLOCK_BYTES):
                 part = batch.slice(first, rows)
                 known = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
-                _, score = told(net, part.column(1), known)
+                _, score = told(net, part.column(at), known)
                 kept = part.filter(pa.array(known & (score >= least)))
-                yield pa.RecordBatch.from_arrays(kept.columns[2:], schema=pa.schema(list(part.schema)[2:]))
+                yield pa.RecordBatch.from_arrays(kept.columns[1:], schema=pa.schema(list(part.schema)[1:]))
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.select(letters().alias("__letters"), F.col("text").cast("string").alias("__text"), *docs.columns).mapInArrow(run, schema)
+    return docs.select(letters().alias("letters"), *docs.columns).mapInArrow(run, schema)
 
 
 def held_out():
