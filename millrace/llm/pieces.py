@@ -187,5 +187,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 decoded = pa.array([encoder.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))), decoded], ["doc_id", "ids", "decoded"])
+        # What is remembered pays within a task; between tasks it would only take the worker's memory.
+        encoder.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
