@@ -77,8 +77,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     final = placed.where("pos >= last").groupBy("doc", "doc_id", "item", "m", F.col("last").alias("start")).agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
     windows = written(begun.union(final.where("hits >= need").select("doc", "doc_id", "item", "m", "start")).distinct())
 
-    # All shingles of these windows, from the documents that have any.
-    mine = doc.join(windows.select("doc").distinct(), "doc", "left_semi").distinct()
+    # All shingles of these windows, from the documents that have any. These grow with the table: a shuffle at every size.
+    mine = written(doc.join(windows.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi").distinct())
     shingles = shingled(mine, "doc").select("doc", "pos", "sh")
     places = windows.select("doc", "doc_id", "item", "m", "start", F.explode(F.sequence("start", F.col("start") + F.col("m") - SHINGLE)).alias("pos"))
     window = ["doc", "doc_id", "item", "m", "start"]
@@ -116,7 +116,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that found() finds. Rows with a null doc_id are told by their text. Columns stay as they are."""
     bad = written(matches(docs, benchmark).select(F.col("doc").alias("bad"), F.col("doc_id").alias("bad_id")).distinct())
     rows = boxed(docs, id=F.col("doc_id").cast("long"), doc=F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.join(bad, (F.col("doc") == F.col("bad")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    return rows.join(bad.hint("shuffle_hash"), (F.col("doc") == F.col("bad")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 ORACLE = f"""
