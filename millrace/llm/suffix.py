@@ -30,8 +30,8 @@ WIDTH = -(-LONGEST // 8) * 8
 CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 12 << 20
 #: How blocks of segments are compressed.
 CODEC = ("zstd", 3)
-#: Segments sorted at a time.
-SORTED = 1024
+#: Segments sorted at a time; compared at a time.
+SORTED, AT_A_TIME = 1024, 1 << 14
 #: Texts with removed ranges plus these ranges that are broadcast at most, of 16 bytes each; beyond them the join is a shuffle.
 BROADCAST_ITEMS = 2_000_000
 
@@ -208,7 +208,7 @@ def window_classes(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def portions(u: np.ndarray, group: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Parts of u with about size members each, groups whole."""
+    """Parts of u, which is in order of group, with about size members each, groups whole."""
     start = 0
     while start < len(u):
         stop = start + int(np.searchsorted(group[u[start:]], group[u[min(start + size, len(u)) - 1]], "right"))
@@ -246,19 +246,21 @@ def likely(s: Segments, group: np.ndarray) -> np.ndarray:
     return keep
 
 
-def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of segments that share their key with another doc_id's, and for each of their windows the least doc_id that has it."""
+def resolved(s: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of segments that share their key with another doc_id's, and for each of their windows the least doc_id that has it; in portions."""
     order = np.argsort(s.key, kind="stable")
-    key = s.key[order]
+    key, doc = s.key[order], s.doc[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(first, len(key)))
-    doc = s.doc[order]
-    shared = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), sizes)
-    active = order[shared]
-    if not len(active):
-        return active, np.zeros((0, WINDOWS), np.int64)
+    shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+    active = order[np.repeat(shared, np.diff(np.append(first, len(key))))]
+    for part in portions(active, s.key, AT_A_TIME):
+        yield owned(s, part)
+
+
+def owned(s: Segments, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These segments, in some order, and the owners of their windows."""
     # Equal segments enter the collection once, with their least doc_id.
-    digest = np.concatenate([digests(s[active[i : i + (1 << 15)]].bytes()) for i in range(0, len(active), 1 << 15)]) + s.n[active]
+    digest = np.concatenate([digests(s[active[i : i + AT_A_TIME]].bytes()) for i in range(0, len(active), AT_A_TIME)]) + s.n[active]
     by = np.lexsort((digest, s.key[active]))
     active, digest = active[by], digest[by]
     key = s.key[active]
@@ -269,8 +271,8 @@ def resolved(s: Segments) -> tuple[np.ndarray, np.ndarray]:
     head_key = key[heads]
     group = np.cumsum(np.append(True, head_key[1:] != head_key[:-1])) - 1
     u = np.flatnonzero(np.bincount(group)[group] > 1)
-    chosen = [likely(s[active[heads[v]]], group[v]) for v in portions(u, group, 1 << 15)]
-    u = u[np.concatenate(chosen)] if chosen else u
+    if len(u):
+        u = u[likely(s[active[heads[u]]], group[u])]
     for v in portions(u, group, SORTED):
         chosen = s[active[heads[v]]]
         classes = window_classes(chosen.bytes(), chosen.sizes())
@@ -293,23 +295,22 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def settled(s: Segments, forward: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Segments | None]:
     """(row, start, end) of bytes that another, smaller doc_id among these segments has too; with forward, the segments of all other windows."""
-    active, least = resolved(s)
-    used = np.arange(WINDOWS) < s.n[active][:, None]
-    gone = used & (least < s.doc[active][:, None])
-    i, a, b = runs(gone)
-    at = s.at[active]
-    ranges = s.row[active][i], at[i] + a, at[i] + b - 1 + SPAN
+    found, rest, alone = [], [], np.ones(len(s), bool)
+    for active, least in resolved(s):
+        used = np.arange(WINDOWS) < s.n[active][:, None]
+        gone = used & (least < s.doc[active][:, None])
+        i, a, b = runs(gone)
+        at = s.at[active[i]]
+        found.append((s.row[active[i]], at + a, at + b - 1 + SPAN))
+        if forward and len(i):
+            alone[active] = False
+            i, a, b = runs(used & ~gone)
+            x = s[active[i]]
+            rest.append([x.key, x.doc, x.row, x.at + a, (b - a).astype(np.uint8), x.start + a])
+    ranges = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     if not forward:
         return ranges, None
-    if not len(i):
-        return ranges, s
-    alone = np.ones(len(s), bool)
-    alone[active] = False
-    i, a, b = runs(used & ~gone)
-    rest = s[active[i]]
-    rest = Segments(rest.key, rest.doc, rest.row, rest.at + a, (b - a).astype(np.uint8), rest.start + a, s.pool)
-    both = [np.concatenate([x[alone], y]) for x, y in zip(s.parts(), rest.parts(), strict=True)]
-    return ranges, Segments(*both, s.pool)
+    return ranges, Segments(*(np.concatenate(x) for x in zip([x[alone] for x in s.parts()], *rest, strict=True)), s.pool)
 
 
 def packed(s: Segments, version: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -346,7 +347,7 @@ def unpacked(block: bytes) -> tuple[Segments, np.ndarray, np.ndarray]:
     pool = padded(take(np.uint8, len(raw) - at))
     docs, number = np.cumsum(docs), np.cumsum(number)
     sizes = count.astype(np.int64) + SPAN - 1
-    return Segments(key, docs[number], number, np.cumsum(step), count, np.cumsum(sizes) - sizes, pool), docs, version
+    return Segments(key.copy(), docs[number], number, np.cumsum(step), count.copy(), np.cumsum(sizes) - sizes, pool), docs, version.copy()
 
 
 BLOCK = "bucket int, block binary, doc_id long, version int, a array<long>, b array<long>"
