@@ -161,3 +161,33 @@ def carve_groups(df: DataFrame, group: str, classes: str, targets: dict[str, int
         new = written(fits.select(group).distinct())
         took = new if took is None else written(took.unionByName(new).distinct())
     return took if took is not None else df.select(group).limit(0)
+
+
+def mixed(parts: list[tuple[DataFrame, int | None, str, int]], size: str, key: str) -> DataFrame:
+    """Parts (rows, budget or None, tag, times) as one table with part and copy: each up to its budget in hash order, its rows so many times."""
+    out = None
+    for rows, budget, tag, times in parts:
+        took = rows if budget is None else budget_take(rows, F.lit(budget), F.col(size), key)
+        each = took.withColumn("part", F.lit(tag)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def filled_to_floor(rows: DataFrame, pool: DataFrame, values: str, key: str, floor: int) -> DataFrame:
+    """rows and those of the pool that hold a value (of an array column) with under floor rows so far.
+
+    Each round gives every short value as many rows of the pool, in hash order, as it lacks; a row that several values ask for comes once.
+    Rounds go on until nothing is short that the pool can fill. Values met by other values' rows within one round may go over the floor.
+    """
+    out, left = rows, written(pool)
+    counts = written(rows.select(F.explode(F.array_distinct(values)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    while True:
+        each = left.select(F.col(key).alias("k"), F.explode(F.array_distinct(values)).alias("v")).join(counts, "v", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < floor)
+        asked = each.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy(stable("k"), "k"))).where(F.col("nth") <= floor - F.col("n"))
+        took = written(left.join(asked.select(F.col("k").alias("__took")).distinct(), F.col(key) == F.col("__took"), "left_semi"))
+        if took.isEmpty():
+            return out
+        out = out.unionByName(took)
+        left = written(left.join(took.select(F.col(key).alias("__took")), F.col(key) == F.col("__took"), "left_anti"))
+        more = took.select(F.explode(F.array_distinct(values)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        counts = written(counts.unionByName(more).groupBy("v").agg(F.sum("n").alias("n")))
