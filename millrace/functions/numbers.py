@@ -181,3 +181,22 @@ def outcomes(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 
     rows = [one(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(ref, hyp, strict=True)]
     return pd.DataFrame(rows, columns=["kept", "changed", "lost", "invented"])
+
+
+def clock_readings(token: Column) -> Column:
+    """Ways to say a time of day as written, `7:30`: each once, the plain one first. None for other tokens."""
+    hour, minute = F.regexp_extract(token, "^([01]?[0-9]|2[0-3]):([0-5][0-9])$", 1).try_cast("int"), F.regexp_extract(token, "^([01]?[0-9]|2[0-3]):([0-5][0-9])$", 2).try_cast("int")
+    of = lambda h: under_thousand(F.when(h % 12 == 0, 12).otherwise(h % 12))
+    plain = F.when(minute == 0, F.concat(under_thousand(hour), F.lit(" o'clock"))).when(minute < 10, F.concat(under_thousand(hour), F.lit(" oh "), under_thousand(minute))).otherwise(F.concat_ws(" ", under_thousand(hour), under_thousand(minute)))
+    near = F.when(minute == 15, F.concat(F.lit("quarter past "), of(hour))).when(minute == 30, F.concat(F.lit("half past "), of(hour))).when(minute == 45, F.concat(F.lit("quarter to "), of(hour + 1)))
+    return F.when(hour.isNotNull() & minute.isNotNull(), F.array_distinct(F.array_compact(F.array(plain, near)))).otherwise(F.array().cast("array<string>"))
+
+
+def money_reading(token: Column) -> Column:
+    """An amount as written, `$12.50`, in words; null for other tokens."""
+    pattern = r"^([$€£])([0-9]{1,12})(?:\.([0-9]{2}))?$"
+    names = lookup({"$": "dollar", "€": "euro", "£": "pound"})
+    mark, whole, cents = F.regexp_extract(token, pattern, 1), F.regexp_extract(token, pattern, 2).try_cast("bigint"), F.regexp_extract(token, pattern, 3).try_cast("int")
+    unit = F.concat(F.element_at(names, mark), F.when(whole == 1, "").otherwise("s"))
+    rest = F.when(cents > 0, F.concat(F.lit("and "), under_thousand(cents), F.when(mark == "£", " pence").when(cents == 1, " cent").otherwise(" cents")))
+    return F.when(whole.isNotNull(), F.concat_ws(" ", cardinal(whole), unit, rest))

@@ -95,3 +95,29 @@ def binned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a language in files of about 20,000 characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return generate.binned(docs, F.col("n_chars"), "doc_id", ["lang"], 20_000).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT h, m, 1 + (m IN (15, 30, 45))::INT AS ways FROM (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events)")
+def clock_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ways there are to say the times of events."""
+    times = table(spark, sf_dir, "events").select(F.hour("ts").alias("h"), F.minute("ts").alias("m")).distinct()
+    return times.select("h", "m", F.size(numbers.clock_readings(F.format_string("%d:%02d", "h", "m"))).alias("ways"))
+
+
+@query("SELECT o_orderkey, floor(o_totalprice)::BIGINT::DOUBLE AS whole FROM orders WHERE o_orderkey % 10 = 0")
+def spoken_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, put into words and read again: the whole part."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    said = numbers.money_reading(F.format_string("$%d.%02d", F.floor(cents / 100), cents % 100))
+    return orders.select("o_orderkey", F.get(numbers.read(F.split(said, " ")), F.lit(0))["value"].cast("double").alias("whole"))
+
+
+@query()
+def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each conversation's first turn that its second lacks, and their edits."""
+    from ..functions import align
+
+    t = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", text.words("text").alias("w"))
+    both = t.where("turn = 0").select("conv_id", F.col("w").alias("a")).join(t.where("turn = 1").select("conv_id", F.col("w").alias("b")), "conv_id").withColumn("p", align.align("a", "b"))
+    return both.select("conv_id", align.edits(F.col("p"), F.col("a"), F.col("b")).alias("edits"), F.size(align.lost_words(F.col("p"), F.col("a"))).alias("lost"), F.size(align.added_words(F.col("p"), F.col("b"))).alias("added"))
