@@ -81,4 +81,4 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

@@ -1,6 +1,6 @@
 """Removal of byte strings that repeat across documents, found in the sorted suffixes of collections that grow column by column.
 
-Every window of SPAN bytes has a key, the least hash of its pieces of PIECE bytes, so equal windows have equal keys. Neighbouring windows with
+Every window of SPAN bytes has a key, the least rank of its pieces of PIECE bytes, which is a hash with frequent pieces last, so equal windows have equal keys. Neighbouring windows with
 one key make a segment. Segments are dealt out by key; of those that share a key, the suffixes are sorted column-wise: each round puts one
 symbol of every segment, from its end on, before the suffix that the round before placed. Windows that stand together in the order and have
 SPAN bytes in common are equal; the least doc_id of a run of equal windows owns it.
@@ -28,12 +28,13 @@ LONGEST = SPAN + WINDOWS - 1
 WIDTH = -(-LONGEST // 8) * 8
 #: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one bucket, about.
 CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 12 << 20
+#: Pieces in a share of FREQUENT of the documents in a sample rank last: HOT_PIECES at most. The sample has about SAMPLE documents or
+#: SAMPLE_BYTES, whichever is less, and is counted in SAMPLE_PARTS tasks.
+SAMPLE, SAMPLE_BYTES, SAMPLE_PARTS, FREQUENT, HOT_PIECES = 2_000, 8 << 20, 4, 0.02, 200_000
 #: How blocks of segments are compressed.
 CODEC = ("zstd", 3)
 #: Segments sorted at a time; compared at a time.
 SORTED, AT_A_TIME = 1024, 1 << 14
-#: Texts with removed ranges plus these ranges that are broadcast at most, of 16 bytes each; beyond them the join is a shuffle.
-BROADCAST_ITEMS = 2_000_000
 
 
 @dataclass
@@ -81,6 +82,26 @@ def padded(*parts: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, np.zeros(WIDTH, np.uint8)])
 
 
+class Hot:
+    """Pieces of bytes that very many documents have. They rank behind all others, so that a window takes its key from one only if it has no other."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.sort(values.astype(np.uint64))
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.values >> np.uint64(43)).astype(np.int64)] = True
+
+    def marked(self, h: np.ndarray) -> np.ndarray:
+        h = h >> np.uint64(1)
+        if len(self.values):
+            at = np.flatnonzero(self.table[(h >> np.uint64(43)).view(np.int64)])
+            there = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
+            h[at[self.values[there] == h[at]]] |= np.uint64(1 << 63)
+        return h
+
+
+NONE = Hot(np.zeros(0, np.uint64))
+
+
 def pieces(data: np.ndarray) -> np.ndarray:
     """A hash of the PIECE bytes from each place on."""
     n = len(data) - PIECE + 1
@@ -90,21 +111,21 @@ def pieces(data: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * MIX
 
 
-def keys(data: np.ndarray) -> np.ndarray:
-    """The key of the window at each place of data that has one."""
+def keys(data: np.ndarray, hot: Hot) -> np.ndarray:
+    """The key of the window at each place of data that has one: the rank of its first piece in order of rank."""
     n = len(data) - PIECE + 1
-    least, wide = pieces(data), 1
+    least, wide = hot.marked(pieces(data)), 1
     while 2 * wide <= REACH:
         least = np.minimum(least[:-wide], least[wide:])
         wide *= 2
     return np.minimum(least[: n - REACH + 1], least[REACH - wide :]) if wide < REACH else least
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, base: np.ndarray) -> Segments | None:
+def cut(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, base: np.ndarray, hot: Hot) -> Segments | None:
     """The segments of pieces of text; base: where a piece begins in its text."""
     if len(data) < SPAN:
         return None
-    key = keys(data)
+    key = keys(data, hot)
     n = len(key)
     valid = np.zeros(n + 1, np.int32)
     long = np.diff(offsets) >= SPAN
@@ -129,7 +150,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray,
     return Segments(key[at], doc[text], row[text], at - offsets[text] + base[text], count.astype(np.uint8), at, padded(data))
 
 
-def segments(docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[Segments]:
+def segments(docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], hot: Hot = NONE) -> Iterator[Segments]:
     """Segments of (data, offsets, doc, row) texts; a text longer than CUT_BYTES is cut with SPAN - 1 bytes in common."""
     for data, offsets, doc, row in docs:
         size = np.diff(offsets)
@@ -145,7 +166,7 @@ def segments(docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
                 j = i + 1
             elif (split := np.flatnonzero(pieces[text[i:j]] > 1)).size:
                 j = i + int(split[0])
-            part = cut(data[start[i] : end[j - 1]], np.append(start[i:j], end[j - 1]) - start[i], doc[text[i:j]], row[text[i:j]], base[i:j])
+            part = cut(data[start[i] : end[j - 1]], np.append(start[i:j], end[j - 1]) - start[i], doc[text[i:j]], row[text[i:j]], base[i:j], hot)
             if part is not None:
                 yield part
             i = j
@@ -216,7 +237,7 @@ def portions(u: np.ndarray, group: np.ndarray, size: int) -> Iterator[np.ndarray
         start = stop
 
 
-def likely(s: Segments, group: np.ndarray) -> np.ndarray:
+def likely(s: Segments, group: np.ndarray, hot: Hot) -> np.ndarray:
     """Which segments may have a window in common with another one of their group.
 
     Windows of one group all hold the piece with the least hash. Equal windows agree on half of the rest of a window before it or after it.
@@ -224,7 +245,7 @@ def likely(s: Segments, group: np.ndarray) -> np.ndarray:
     """
     n, half, sizes = len(s), (SPAN - PIECE) // 2, s.sizes()
     flat = padded(s.bytes().reshape(-1))
-    hashes = pieces(flat)[: n * WIDTH].reshape(n, WIDTH)
+    hashes = hot.marked(pieces(flat)[: n * WIDTH]).reshape(n, WIDTH)
     hashes[np.arange(WIDTH) > (sizes - PIECE)[:, None]] = ~np.uint64(0)
     at = hashes.argmin(axis=1)
     twice = (hashes == hashes[np.arange(n), at][:, None]).sum(axis=1) > 1
@@ -246,7 +267,7 @@ def likely(s: Segments, group: np.ndarray) -> np.ndarray:
     return keep
 
 
-def resolved(s: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def resolved(s: Segments, hot: Hot = NONE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of segments that share their key with another doc_id's, and for each of their windows the least doc_id that has it; in portions."""
     order = np.argsort(s.key, kind="stable")
     key, doc = s.key[order], s.doc[order]
@@ -254,10 +275,10 @@ def resolved(s: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
     active = order[np.repeat(shared, np.diff(np.append(first, len(key))))]
     for part in portions(active, s.key, AT_A_TIME):
-        yield owned(s, part)
+        yield owned(s, part, hot)
 
 
-def owned(s: Segments, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def owned(s: Segments, active: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     """These segments, in some order, and the owners of their windows."""
     # Equal segments enter the collection once, with their least doc_id.
     digest = np.concatenate([digests(s[active[i : i + AT_A_TIME]].bytes()) for i in range(0, len(active), AT_A_TIME)]) + s.n[active]
@@ -272,7 +293,7 @@ def owned(s: Segments, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = np.cumsum(np.append(True, head_key[1:] != head_key[:-1])) - 1
     u = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(u):
-        u = u[likely(s[active[heads[u]]], group[u])]
+        u = u[likely(s[active[heads[u]]], group[u], hot)]
     for v in portions(u, group, SORTED):
         chosen = s[active[heads[v]]]
         classes = window_classes(chosen.bytes(), chosen.sizes())
@@ -293,10 +314,10 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, a, b
 
 
-def settled(s: Segments, forward: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Segments | None]:
+def settled(s: Segments, forward: bool, hot: Hot = NONE) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Segments | None]:
     """(row, start, end) of bytes that another, smaller doc_id among these segments has too; with forward, the segments of all other windows."""
     found, rest, alone = [], [], np.ones(len(s), bool)
-    for active, least in resolved(s):
+    for active, least in resolved(s, hot):
         used = np.arange(WINDOWS) < s.n[active][:, None]
         gone = used & (least < s.doc[active][:, None])
         i, a, b = runs(gone)
@@ -326,13 +347,13 @@ def packed(s: Segments, version: np.ndarray, buckets: int) -> Iterator[tuple[int
         docs[number] = own.doc
         inside = np.arange(WIDTH) < own.sizes()[:, None]
         head = np.array([len(own), len(rows)], np.int64)
-        columns = [head, np.diff(docs, prepend=0), version[rows], np.diff(number, prepend=0).astype(np.int32), (own.key // np.uint64(buckets)).astype(np.uint32), np.diff(own.at, prepend=0), own.n, own.bytes()[inside]]
+        columns = [head, np.diff(docs, prepend=0), version[rows], np.diff(number, prepend=0).astype(np.int32), np.diff(own.at, prepend=0), own.n, own.bytes()[inside]]
         raw = b"".join(x.tobytes() for x in columns)
         yield int(b), codec.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
-def unpacked(block: bytes) -> tuple[Segments, np.ndarray, np.ndarray]:
-    """A block's segments, and doc_id and version of its texts."""
+def unpacked(block: bytes, hot: Hot) -> tuple[Segments, np.ndarray, np.ndarray]:
+    """A block's segments, and doc_id and version of its texts. Keys are not sent but taken from the bytes again."""
     raw = pa.decompress(block[:-8], decompressed_size=int.from_bytes(block[-8:], "little"), codec=CODEC[0], asbytes=True)
     n, rows = np.frombuffer(raw, np.int64, 2)
     at = 16
@@ -343,55 +364,107 @@ def unpacked(block: bytes) -> tuple[Segments, np.ndarray, np.ndarray]:
         at += got.nbytes
         return got
 
-    docs, version, number, key, step, count = take(np.int64, rows), take(np.int32, rows), take(np.int32, n), take(np.uint32, n), take(np.int64, n), take(np.uint8, n)
+    docs, version, number, step, count = take(np.int64, rows), take(np.int32, rows), take(np.int32, n), take(np.int64, n), take(np.uint8, n)
     pool = padded(take(np.uint8, len(raw) - at))
     docs, number = np.cumsum(docs), np.cumsum(number)
     sizes = count.astype(np.int64) + SPAN - 1
-    return Segments(key.copy(), docs[number], number, np.cumsum(step), count.copy(), np.cumsum(sizes) - sizes, pool), docs, version.copy()
-
-
-BLOCK = "bucket int, block binary, doc_id long, version int, a array<long>, b array<long>"
-NAMES = ["bucket", "block", "doc_id", "version", "a", "b"]
-
-
-def ranges_by_row(row: np.ndarray, a: np.ndarray, b: np.ndarray, docs: np.ndarray, version: np.ndarray) -> pa.RecordBatch:
-    """One row for each text with removed ranges, those that touch each other united."""
-    order = np.lexsort((a, row))
-    row, a, b = row[order], a[order], b[order]
+    ends = np.cumsum(sizes)
+    rank = hot.marked(pieces(pool)[: ends[-1]])
+    for i in range(PIECE - 1):
+        rank[ends - 1 - i] = ~np.uint64(0)
+    key = np.minimum.reduceat(rank, ends - sizes)
+    return Segments(key, docs[number], number, np.cumsum(step), count.copy(), np.cumsum(sizes) - sizes, pool), docs, version.copy()
+
+
+def by_place(row: np.ndarray, a: np.ndarray, b: np.ndarray, docs: np.ndarray, version: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
+    """(place, block): ranges of texts for each place that puts texts together again, compressed."""
+    place = version[row] % places
+    order = np.lexsort((a, row, place))
+    ends = np.searchsorted(place[order], np.arange(places + 1))
+    for p in np.flatnonzero(np.diff(ends)):
+        own = order[ends[p] : ends[p + 1]]
+        raw = b"".join(x.tobytes() for x in (docs[row[own]], a[own].astype(np.int64), b[own].astype(np.int64), version[row[own]]))
+        yield int(p), pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+
+
+def placed_ranges(blocks_: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """The ranges of each text, by doc_id and version, united and in order."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for block in blocks_:
+        raw = pa.decompress(block[:-8], decompressed_size=int.from_bytes(block[-8:], "little"), codec="zstd", asbytes=True)
+        n = len(raw) // 28
+        for k, x in enumerate((*np.frombuffer(raw, np.int64, 3 * n).reshape(3, n), np.frombuffer(raw, np.int32, n, 24 * n))):
+            columns[k].append(x)
+    if not columns[0]:
+        return {}
+    doc, a, b, version = (np.concatenate(c) for c in columns)
+    order = np.lexsort((a, version, doc))
+    doc, a, b, version = doc[order], a[order], b[order], version[order]
+    text = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))
     # Shifted by their text's number, ranges of different texts don't meet.
-    shift = row * (int(b.max()) + 1)
+    shift = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(doc)))) * (int(b.max()) + 1)
     reach = np.maximum.accumulate(b + shift)
     heads = np.flatnonzero(np.append(True, (a + shift)[1:] > reach[:-1]))
-    row, a, b = row[heads], a[heads], np.maximum.reduceat(b, heads)
-    rows, first = np.unique(row, return_index=True)
-    offsets = pa.array(np.append(first, len(row)), pa.int32())
-    n = len(rows)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs[rows], pa.int64()), pa.array(version[rows], pa.int32()), *lists], NAMES)
+    ends = np.maximum.reduceat(b, heads)
+    first = np.append(np.searchsorted(heads, text), len(heads))
+    spans = list(zip(a[heads].tolist(), ends.tolist(), strict=True))
+    return {(d, v): spans[x:y] for d, v, x, y in zip(doc[text].tolist(), version[text].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)}
+
 
+def hot_pieces(docs: DataFrame, n: int, total: int) -> np.ndarray:
+    """The pieces that FREQUENT of some documents have: of about SAMPLE of the n documents or SAMPLE_BYTES of the total, by a hash of the id.
 
-def ranges(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, version, a, b): starts and ends of bytes to remove from texts; a text may have several rows."""
+    Which pieces these are changes no result, only where segments meet: without them, the texts around a passage that a third of all
+    documents have would meet in one bucket.
+    """
+    share = min(1.0, SAMPLE / max(n, 1), SAMPLE_BYTES / max(total, 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            found += [np.unique(pieces(data[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            rows += batch.num_rows
+        if found:
+            value, times = np.unique(np.concatenate(found) >> np.uint64(1), return_counts=True)
+            often = times >= max(2, FREQUENT * rows)
+            yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(times[often])], ["piece", "n"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text")
+    # A piece that is frequent in the sample is so in one of its parts.
+    counts = drawn.repartition(SAMPLE_PARTS).mapInArrow(count, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "piece").limit(HOT_PIECES).select("piece").toPandas()
+    return rows["piece"].to_numpy(np.int64).view(np.uint64)
+
+
+def ranges(docs: DataFrame, buckets: int, n: int, total: int) -> DataFrame:
+    """(place, block): the bytes to remove from n texts (doc_id, version, text), in blocks for the place of each text's version modulo buckets."""
+    frequent = docs.sparkSession.sparkContext.broadcast(hot_pieces(docs, n, total))
+    sent_names, block_names = ["bucket", "place", "block"], ["place", "block"]
+
+    def found(row, a, b, ids, version) -> Iterator[pa.RecordBatch]:
+        for place, block in by_place(row, a, b, ids, version, buckets):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([place], pa.int32()), pa.array([block], pa.binary())], sent_names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot(frequent.value)
         held: list[Segments] = []
         texts: list[tuple[np.ndarray, np.ndarray]] = []
         rows = size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             ids, version = (np.concatenate(x) for x in zip(*texts, strict=True))
-            (row, a, b), rest = settled(Segments.joined(held), True)
+            gone, rest = settled(Segments.joined(held), True, hot)
             held.clear()
-            if len(row):
-                yield ranges_by_row(row, a, b, ids, version)
+            yield from found(*gone, ids, version)
             for bucket, block in packed(rest, version, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.list_(pa.int64())) for _ in range(2))], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int32()), pa.array([block], pa.binary())], sent_names)
 
         for batch in batches:
             for start, n in blocks(batch.column(2), CUT_BYTES):
                 part = batch.slice(start, n)
                 data, offsets = text_buffers(part.column(2))
-                held += segments([(data, offsets, part.column(0).to_numpy(), np.arange(rows, rows + n))])
+                held += segments([(data, offsets, part.column(0).to_numpy(), np.arange(rows, rows + n))], hot)
                 texts.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
                 rows, size = rows + n, size + len(data)
                 if size >= COMBINED_BYTES:
@@ -402,18 +475,19 @@ def ranges(docs: DataFrame, buckets: int) -> DataFrame:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot(frequent.value)
         by: dict[int, list[bytes]] = {}
         for batch in batches:
-            sent = batch.column(1).is_valid()
+            sent = batch.column(0).is_valid()
             ready = batch.filter(pa.compute.invert(sent))
             if ready.num_rows:
-                yield ready.select(NAMES[2:])
-            for bucket, block in zip(*(batch.filter(sent).column(i).to_pylist() for i in (0, 1)), strict=True):
+                yield ready.select(block_names)
+            for bucket, block in zip(*(batch.filter(sent).column(i).to_pylist() for i in (0, 2)), strict=True):
                 by.setdefault(bucket, []).append(block)
         for bucket in list(by):
             got, ids, version, rows = [], [], [], 0
             for block in by.pop(bucket):
-                s, x, y = unpacked(block)
+                s, x, y = unpacked(block, hot)
                 s.row += rows
                 got.append(s)
                 ids.append(x)
@@ -421,60 +495,57 @@ def ranges(docs: DataFrame, buckets: int) -> DataFrame:
                 rows += len(x)
             s = Segments.joined(got)
             got.clear()
-            (row, a, b), _ = settled(s, False)
-            if len(row):
-                yield ranges_by_row(row, a, b, np.concatenate(ids), np.concatenate(version)).select(NAMES[2:])
-
-    own = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)).select("doc_id", F.hash("text").alias("version"), "text")
-    sent = own.mapInArrow(send, BLOCK)
-    return sent.repartition(buckets, F.coalesce("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))).mapInArrow(meet, "doc_id long, version int, a array<long>, b array<long>")
-
-
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
-
+            gone, _ = settled(s, False, hot)
+            for batch in found(*gone, np.concatenate(ids), np.concatenate(version)):
+                yield batch.select(block_names)
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans array<struct<a, b>>): the bytes [a, b) of each text that a 50-byte string covers which also starts in a document
-    with a smaller doc_id. Spans are in order and don't touch; null where there is none."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    got = ranges(own, max(1, -(-total // BUCKET_BYTES)))
-    lists = got.groupBy("doc_id", "version").agg(F.flatten(F.collect_list(F.arrays_zip("a", "b"))).alias("spans"))
-    per_text = written(lists)
-    items = per_text.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
-    if items <= BROADCAST_ITEMS:
-        per_text = F.broadcast(per_text)
-    return own.select("doc_id", "text", F.hash("text").alias("version")).join(per_text, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    sent = docs.mapInArrow(send, "bucket int, place int, block binary")
+    return sent.repartition(buckets, F.coalesce("bucket", "place")).mapInArrow(meet, "place int, block binary")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every document: its text without the spans of found().
+def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every document: its text without the bytes that a string of SPAN bytes
+    covers which also starts in a document with a smaller doc_id. kept is null without with_text.
 
     A null text counts as empty. A null doc_id is smaller than none, and its text keeps all and costs no other text anything. Rows with one
     doc_id cost each other nothing, so repeated rows come back repeated. An empty table gives no rows. Bytes, not characters, are removed,
     so kept may be no whole UTF-8. Further columns are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The version tells texts of one doc_id apart.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.hash("text", "doc_id").alias("version"), "text")
+    total = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("text").alias("n")).first()
+    places = max(1, -(-(total.bytes or 0) // BUCKET_BYTES))
+    gone = written(ranges(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)), places, total.n, total.bytes or 0))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[bytes] = []
+        ranges_of: dict | None = None
         for batch in batches:
-            sizes, removed, counts, digest, kept = [], [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = united([(x["a"], x["b"]) for x in spans or ()])
-                sizes.append(len(raw))
-                removed.append(sum(b - a for a, b in gone))
-                counts.append(len(gone))
-                edges = [0, *(x for span in gone for x in span), len(raw)]
-                rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                kept.append(rest)
-                digest.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return found(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            texts = batch.column(0).is_null()
+            waiting += batch.filter(pa.compute.invert(texts)).column(0).to_pylist()
+            batch = batch.filter(texts)
+            if not batch.num_rows:
+                continue
+            # Ranges come before texts.
+            if ranges_of is None:
+                ranges_of = placed_ranges(waiting)
+                waiting.clear()
+            for start, n in blocks(batch.column(3), CUT_BYTES):
+                part = batch.slice(start, n)
+                sizes, removed, counts, digest, kept = [], [], [], [], []
+                for doc, version, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    spans = ranges_of.get((doc, version), ())
+                    edges = [0, *(x for span in spans for x in span), len(raw)]
+                    rest = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if spans else raw
+                    sizes.append(len(raw))
+                    removed.append(len(raw) - len(rest))
+                    counts.append(len(spans))
+                    digest.append(hashlib.sha256(rest).hexdigest())
+                    kept.append(rest if with_text else None)
+                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    texts = own.select(F.pmod("version", F.lit(places)).cast("int").alias("place"), F.lit(None).cast("binary").alias("block"), "doc_id", "version", "text")
+    both = gone.select("place", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("text")).unionByName(texts)
+    together = both.repartition(places, "place").sortWithinPartitions(F.col("block").isNull())
+    return together.select("block", "doc_id", "version", "text").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

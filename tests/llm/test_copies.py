@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -110,7 +111,6 @@ def test_suffix_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(suffix, "COMBINED_BYTES", 900)
     monkeypatch.setattr(suffix, "CUT_BYTES", 256)
     monkeypatch.setattr(suffix, "SORTED", 16)
-    monkeypatch.setattr(suffix, "BROADCAST_ITEMS", -1)
     r = random.Random(4)
     pool = [prose(i, 30) for i in range(6)]
     texts = ["".join(r.choice(pool)[r.randrange(40) :] for _ in range(r.randrange(4))) for _ in range(40)]
@@ -120,6 +120,19 @@ def test_suffix_over_many_tasks(spark, monkeypatch):
     assert got == plain_removed(rows)
 
 
+def test_suffix_with_frequent_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 2000)
+    shared = prose(8, 30)
+    texts = [prose(200 + i, 10) + shared + prose(300 + i, 10) for i in range(60)]
+    d = docs(spark, texts)
+    own = d.select("doc_id", "doc_id", "text")
+    hot = suffix.hot_pieces(own.toDF("doc_id", "version", "text"), 60, 1)
+    ranks = suffix.pieces(np.frombuffer(shared.encode(), np.uint8)) >> np.uint64(1)
+    assert set(ranks.tolist()) <= set(hot.tolist())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicated(d).collect())
+    assert got == plain_removed([(i, t.encode()) for i, t in enumerate(texts)])
+
+
 def test_suffix_null_ids(spark):
     t = prose(7, 40)
     d = spark.createDataFrame([(None, t), (1, t), (0, "short")], "doc_id long, text string")
