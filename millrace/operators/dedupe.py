@@ -24,6 +24,18 @@ def shingle_sets(df: DataFrame, id_: str, shingles: Column) -> DataFrame:
     return written(each.join(often, "sh").select("id", "sh", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("often", "sh")).alias("nth")))
 
 
+def set_classes(df: DataFrame, id_: str, shingles: Column) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of each row with shingles, where first is the least id with the same set; and (id, shingles), hashed, of these first rows.
+
+    Pairs are then looked for among the first rows only, so that a group of copies costs no pairs; a row is like all that its first is like.
+    """
+    hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
+    own = df.select(F.col(id_).alias("id"), hashed.alias("shingles")).where(F.size("shingles") > 0)
+    own = written(own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256)))
+    firsts = own.groupBy("key").agg(F.min("id").alias("first"))
+    return own.select("id", "key").join(firsts, "key").select("id", "first"), own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+
+
 def similar_pairs(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(a, b, common, similarity): all pairs a < b whose shingle sets have a Jaccard similarity of least, a fraction, or more.
 

@@ -174,25 +174,43 @@ def shingled(spark: SparkSession, sf_dir: str, name: str, id_: str) -> DataFrame
 SETS = "SELECT DISTINCT {0} AS id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS sh FROM (SELECT {0}, " + WORDS + " AS w FROM {1}) WHERE len(w) >= 3"
 
 
+CLASSES = f"c AS (SELECT id, min(id) OVER (PARTITION BY l) AS first FROM (SELECT id, list_sort(list(sh)) AS l FROM ({SETS.format('doc_id', 'documents')}) GROUP BY id))"
+
+
+def shingled_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tokens = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w"))
+    return dedupe.set_classes(tokens, "doc_id", text.grams("w", 3))
+
+
+@query(f"WITH {CLASSES} SELECT id AS doc_id, first FROM c")
+def copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with three words or more, and the first one with the same set of three-word shingles."""
+    return shingled_classes(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
 @query(
     f"""
-    WITH s AS ({SETS.format('doc_id', 'documents')}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    WITH {CLASSES}, s AS (SELECT * FROM ({SETS.format('doc_id', 'documents')}) WHERE id IN (SELECT first FROM c)), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
     p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY ALL)
     SELECT a, b, common, round(common / (x.n + y.n - common), 9) AS similarity FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * common >= 4 * (x.n + y.n - common)
     """
 )
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose sets of three-word shingles are 0.8 alike or more."""
-    return dedupe.similar_pairs(shingled(spark, sf_dir, "documents", "doc_id"), (4, 5)).withColumn("similarity", F.round("similarity", 9))
+    """Pairs of documents whose sets of three-word shingles are 0.8 alike or more, among the first of each class of equal sets (copy_classes)."""
+    _, firsts = shingled_classes(spark, sf_dir)
+    return dedupe.similar_pairs(dedupe.shingle_sets(firsts, "id", F.col("shingles")), (4, 5)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query()
 def greedy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that stay when each drops later ones that are 0.6 like it by the shingles of their number-masked frames."""
+    """Documents that stay when each drops later ones that are 0.6 like it by the shingles of their number-masked frames.
+
+    Of equal sets the first alone can stay: what drops it drops the others, and if it stays it drops them.
+    """
     tokens = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w")).select("doc_id", text.frame("w").alias("f"))
-    sets = dedupe.shingle_sets(tokens, "doc_id", text.frame_shingles("f"))
-    pairs = dedupe.similar_pairs(sets, (3, 5))
-    return dedupe.greedy_kept(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), pairs).select(F.col("id").alias("doc_id"))
+    _, firsts = dedupe.set_classes(tokens, "doc_id", text.frame_shingles("f"))
+    pairs = dedupe.similar_pairs(dedupe.shingle_sets(firsts, "id", F.col("shingles")), (3, 5))
+    return dedupe.greedy_kept(firsts.select("id"), pairs).select(F.col("id").alias("doc_id"))
 
 
 @query(
