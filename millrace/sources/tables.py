@@ -11,7 +11,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # Work on texts is heavy for the bytes that are read.
+    """A table; documents over all cores, since work on texts is heavy for the bytes that are read."""
+    df = stored(spark, sf_dir, name)
     return spread(df) if name == "documents" else df
