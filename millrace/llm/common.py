@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table  # noqa: F401  (for the queries of this subpackage)
+from ..sources.tables import stored, table  # noqa: F401  (for the queries of this subpackage)
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -43,6 +45,12 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.hash(*reversed(columns)).alias("k2")]
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose batches for Python have BATCH_BYTES at most from now on: 10,000 long texts at a time would take a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with each row as one struct, row, so that no name of its columns meets one of the given columns; `select("row.*")` undoes it."""
     return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in columns.items()))

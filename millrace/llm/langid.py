@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, text_buffers
+from .common import batched, blocks, text_buffers
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 6
 OVERLAP = max(WIDTHS) - 1
@@ -152,7 +152,7 @@ def learned(docs: DataFrame) -> Network | None:
                 got = windows(data, starts[taken], ends[taken])
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(text[taken])), pa.array([x.tobytes() for x in got], pa.binary()), part.column(2).take(pa.array(text[taken]))], ["lang", "bytes", "id"])
 
-    rows = texts.mapInArrow(run, "lang string, bytes binary, id long").orderBy(F.xxhash64("id"), "bytes").limit(WINDOWS).collect()
+    rows = batched(texts).mapInArrow(run, "lang string, bytes binary, id long").orderBy(F.xxhash64("id"), "bytes").limit(WINDOWS).collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
@@ -196,7 +196,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
                 best, score = told(net, part.column(3), part.column(2).to_numpy(zero_copy_only=False).astype(bool))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names.take(pa.array(best)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(), letters(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return batched(docs.select(F.col("doc_id").cast("long"), held_out(), letters(), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -220,7 +220,7 @@ def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(kept.columns[1:], schema=pa.schema(list(part.schema)[1:]))
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return docs.select(letters().alias("letters"), *docs.columns).mapInArrow(run, schema)
+    return batched(docs.select(letters().alias("letters"), *docs.columns)).mapInArrow(run, schema)
 
 
 def held_out():

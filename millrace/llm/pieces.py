@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10
 #: Units of text whose ids a worker remembers, and the longest such unit.
@@ -190,4 +192,4 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         # What is remembered pays within a task; between tasks it would only take the worker's memory.
         encoder.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return batched(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

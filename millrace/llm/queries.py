@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, pieces, quality, secrets, sharding, simhash, suffix, urlfilter
-from .common import table
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,12 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(table(spark, sf_dir, "documents"))
+    return sharding.sharded(stored(spark, sf_dir, "documents"))
 
 
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.found(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "benchmark"))
 
 
 ORACLES["op3_benchmark_decontamination"] = decontam.ORACLE

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, text_buffers
+from .common import batched, blocks, text_buffers
 from .spans import Hasher, first_bytes, per_text
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -269,7 +269,7 @@ def learned(docs: DataFrame) -> Field:
                 packed = [b"".join(x[i].tobytes() for x in rows_) for i in range(len(centres))]
                 yield pa.RecordBatch.from_arrays([pa.array((rows_[5] > 0).any(axis=1) if len(centres) else np.zeros(0, bool)), pa.array(packed, pa.binary())], ["secret", "window"])
 
-    windows = drawn.mapInArrow(run, "secret boolean, window binary")
+    windows = batched(drawn).mapInArrow(run, "secret boolean, window binary")
     field = Field.blank()
     got = [r.window for secret in (True, False) for r in windows.where(F.col("secret") == secret).orderBy(F.xxhash64("window"), "window").limit(WINDOWS).collect()]
     if not got:
@@ -329,7 +329,7 @@ def scanned(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 spans[row] = [{"kind": k, "start": a, "end": b} for k, a, b in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<kind string, start int, end int>>")
+    return batched(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, spans array<struct<kind string, start int, end int>>")
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None) -> DataFrame:
@@ -367,7 +367,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None
 
     kept = docs.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.schema])
-    return kept.mapInArrow(run, schema)
+    return batched(kept).mapInArrow(run, schema)
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers, written
+from .common import batched, blocks, text_buffers, written
 from .spans import MIX, mixed
 
 SPAN, PIECE = 50, 16
@@ -499,7 +499,7 @@ def ranges(docs: DataFrame, buckets: int, n: int, total: int) -> DataFrame:
             for batch in found(*gone, np.concatenate(ids), np.concatenate(version)):
                 yield batch.select(block_names)
 
-    sent = docs.mapInArrow(send, "bucket int, place int, block binary")
+    sent = batched(docs).mapInArrow(send, "bucket int, place int, block binary")
     return sent.repartition(buckets, F.coalesce("bucket", "place")).mapInArrow(meet, "place int, block binary")
 
 
