@@ -30,8 +30,9 @@ def set_classes(df: DataFrame, id_: str, shingles: Column) -> tuple[DataFrame, D
     Pairs are then looked for among the first rows only, so that a group of copies costs no pairs; a row is like all that its first is like.
     """
     hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
-    own = df.select(F.col(id_).alias("id"), hashed.alias("shingles")).where(F.size("shingles") > 0)
-    own = written(own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256)))
+    # Written before anything filters it: a filter would be pushed down to the tokens and have them computed again for each shingle.
+    own = written(df.select(F.col(id_).alias("id"), hashed.alias("shingles"))).where(F.size("shingles") > 0)
+    own = own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256))
     firsts = own.groupBy("key").agg(F.min("id").alias("first"))
     return own.select("id", "key").join(firsts, "key").select("id", "first"), own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
 
