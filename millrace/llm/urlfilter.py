@@ -11,7 +11,7 @@ from .common import written
 
 #: Path segments that the tree looks at; what follows is one more wildcard.
 DEPTH = 6
-#: A segment is variable among more than FANOUT siblings if it has under SHARE of their pages.
+#: For the SQL alone, which takes a segment among more than FANOUT siblings as a wildcard if it has under SHARE of their pages, whatever its labels.
 FANOUT, SHARE = 12, 0.05
 #: A branch stays apart if its labelled share differs from its siblings' with this chi-square or more (one degree of freedom, 5 %).
 APART = 3.84
@@ -57,8 +57,8 @@ def tokens(path: Column) -> Column:
 def templates(addresses: DataFrame) -> DataFrame:
     """(host, path, template) for addresses (host, path, n pages, lab labelled, bad of these), one row each.
 
-    The tree grows level by level. Children of a node become one wildcard branch if they are variable, or if their labelled shares don't
-    part them from their siblings; a single child keeps its name.
+    The tree grows level by level. Children of a node become one wildcard branch if their labelled shares don't part them from their
+    siblings, however many they are; a single child keeps its name.
     """
     now = written(addresses.select("host", "path", "n", "lab", "bad", tokens(F.col("path")).alias("tokens"), F.lit("").alias("template")))
     deepest = now.agg(F.max(F.size("tokens"))).first()[0] or 0
@@ -69,8 +69,7 @@ def templates(addresses: DataFrame) -> DataFrame:
         c, r = (F.col("lab").cast("double"), F.col("bad").cast("double")), (F.col("all_lab").cast("double") - F.col("lab"), F.col("all_bad").cast("double") - F.col("bad"))
         gap = r[0] * c[1] - c[0] * r[1]
         apart = (c[0] > 0) & (r[0] > 0) & (gap * gap * F.col("all_lab") >= APART * c[0] * r[0] * F.col("all_bad") * (F.col("all_lab") - F.col("all_bad"))) & (gap != 0)
-        variable = (F.col("k") > FANOUT) & (F.col("n") < SHARE * F.col("all_n"))
-        named = child.join(node, ["host", "template"]).select("host", "template", "token", F.when((F.col("k") == 1) | (~variable & apart), F.col("token")).otherwise("*").alias("name"))
+        named = child.join(node, ["host", "template"]).select("host", "template", "token", F.when((F.col("k") == 1) | apart, F.col("token")).otherwise("*").alias("name"))
         longer = now.withColumn("token", F.get("tokens", F.lit(level))).join(named, ["host", "template", "token"], "left")
         now = written(longer.select("host", "path", "n", "lab", "bad", "tokens", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")).alias("template")))
     return now.select("host", "path", "n", "lab", "bad", "template")

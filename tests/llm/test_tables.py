@@ -86,6 +86,16 @@ def test_url_templates_learn_from_labels(spark):
     assert len({r.template for r in got.values()}) == 2
 
 
+def test_url_branches_stay_apart_among_many_siblings(spark):
+    sections = [f"{a}{b}" for a in "abcde" for b in "vwxyz"]
+    rows = [(i, f"http://h.com/{sections[i % 25]}/{i}", "") for i in range(1000)]
+    marks = [(i, int(i % 25 != 7), int(i % 25 == 7)) for i in range(1000)]
+    p, labels = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlfilter.judged(p, labels).collect()}
+    assert {i for i in got if got[i].verdict == "block"} == set(range(7, 1000, 25))
+    assert {r.template for r in got.values()} == {f"/{sections[7]}/#", "/*/#"}
+
+
 def plain_chats(rows):
     conv = {}
     for c, t, role, text in set(rows):
