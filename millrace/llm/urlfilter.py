@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Path segments that the tree looks at; what follows is one more wildcard.
+#: For the SQL alone, which is written out to this depth and takes what follows as one more wildcard.
 DEPTH = 6
 #: For the SQL alone, which takes a segment among more than FANOUT siblings as a wildcard if it has under SHARE of their pages, whatever its labels.
 FANOUT, SHARE = 12, 0.05
@@ -49,29 +49,36 @@ def numbered_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tokens(path: Column) -> Column:
-    """A path's segments with runs of digits generalised; those beyond DEPTH are one wildcard."""
-    all_ = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(all_) > DEPTH, F.concat(F.slice(all_, 1, DEPTH), F.array(F.lit("**")))).otherwise(all_)
+    """A path's segments with runs of digits generalised."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
 
 
 def templates(addresses: DataFrame) -> DataFrame:
     """(host, path, template) for addresses (host, path, n pages, lab labelled, bad of these), one row each.
 
     The tree grows level by level. Children of a node become one wildcard branch if their labelled shares don't part them from their
-    siblings, however many they are; a single child keeps its name.
+    siblings, however many they are; a single child keeps its name. Where all that goes on from a node goes on alike, the rest is named at
+    once, so there are as many rounds as levels at which addresses still differ.
     """
     now = written(addresses.select("host", "path", "n", "lab", "bad", tokens(F.col("path")).alias("tokens"), F.lit("").alias("template")))
-    deepest = now.agg(F.max(F.size("tokens"))).first()[0] or 0
-    for level in range(deepest):
-        here = now.where(F.size("tokens") > level).withColumn("token", F.col("tokens")[level])
-        child = written(here.groupBy("host", "template", "token").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "bad"))))
+    level = 0
+    while not (here := now.where(F.size("tokens") > level)).isEmpty():
+        here = here.withColumn("token", F.col("tokens")[level]).withColumn("left", F.slice("tokens", level + 1, F.size("tokens")))
+        child = written(here.groupBy("host", "template", "token").agg(*(F.sum(c).alias(c) for c in ("n", "lab", "bad")), F.min("left").alias("least"), F.max("left").alias("most")))
         node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")))
         c, r = (F.col("lab").cast("double"), F.col("bad").cast("double")), (F.col("all_lab").cast("double") - F.col("lab"), F.col("all_bad").cast("double") - F.col("bad"))
         gap = r[0] * c[1] - c[0] * r[1]
         apart = (c[0] > 0) & (r[0] > 0) & (gap * gap * F.col("all_lab") >= APART * c[0] * r[0] * F.col("all_bad") * (F.col("all_lab") - F.col("all_bad"))) & (gap != 0)
-        named = child.join(node, ["host", "template"]).select("host", "template", "token", F.when((F.col("k") == 1) | apart, F.col("token")).otherwise("*").alias("name"))
+        # A token's name, and whether its rest goes on alike: then the rest is named with it. What follows a wildcard may meet its siblings'.
+        name = F.when((F.col("k") == 1) | apart, F.col("token")).otherwise("*")
+        alike = (F.col("name") != "*") & (F.col("least") == F.col("most"))
+        named = child.join(node, ["host", "template"]).withColumn("name", name).select("host", "template", "token", "name", alike.alias("alike"))
         longer = now.withColumn("token", F.get("tokens", F.lit(level))).join(named, ["host", "template", "token"], "left")
-        now = written(longer.select("host", "path", "n", "lab", "bad", "tokens", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")).alias("template")))
+        rest = F.when(F.col("alike"), F.array_join(F.slice("tokens", level + 2, F.size("tokens")), "/")).otherwise("")
+        template = F.concat("template", F.lit("/"), "name", F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(""))
+        left = F.when(F.col("alike"), F.slice("tokens", 1, level + 1)).otherwise(F.col("tokens"))
+        now = written(longer.select("host", "path", "n", "lab", "bad", left.alias("tokens"), F.when(F.col("name").isNotNull(), template).otherwise(F.col("template")).alias("template")))
+        level += 1
     return now.select("host", "path", "n", "lab", "bad", "template")
 
 

@@ -96,6 +96,16 @@ def test_url_branches_stay_apart_among_many_siblings(spark):
     assert {r.template for r in got.values()} == {f"/{sections[7]}/#", "/*/#"}
 
 
+def test_url_branches_at_any_depth(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rows = [(i, f"http://h.com{deep}/{'spam' if i % 2 else 'docs'}/x/y/{i}", "") for i in range(100)] + [(200 + i, f"http://h.com{deep}", "") for i in range(2)]
+    marks = [(i, 1 - i % 2, i % 2) for i in range(60)]
+    p, labels = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlfilter.judged(p, labels).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(100))
+    assert {r.template for r in got.values()} == {deep, f"{deep}/spam/x/y/#", f"{deep}/docs/x/y/#"}
+
+
 def plain_chats(rows):
     conv = {}
     for c, t, role, text in set(rows):
