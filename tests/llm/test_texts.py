@@ -117,6 +117,15 @@ def test_quality_tells_target_from_raw(spark):
     assert sum(got[i] for i in range(20, 40)) >= 19 and not any(got[i] for i in range(60, 80))
 
 
+def test_quality_takes_toxic_documents_as_rejected(spark):
+    good, bad = [prose(i, 80) for i in range(40)], [" ".join(f"spam{random.Random(i * 100 + k).randrange(900)}" for k in range(80)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 if i != 41 else None, int(i >= 40)) for i in [*range(20), *range(40, 60)]] + [(42, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in quality.judged(docs(spark, good + bad), labels).collect()}
+    assert sum(got[i] for i in range(20, 40)) >= 19 and not any(got[i] for i in range(40, 80))
+    ids = lambda q: {x.label_id for x in quality.labelled(labels, q, 100).collect()}
+    assert ids(1) == set(range(20)) and ids(0) == set(range(40, 60))
+
+
 KINDS = [
     ("assign", re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII), lambda m: len(m[2]) >= 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
