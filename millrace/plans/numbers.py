@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes, numbers, text
@@ -50,19 +50,20 @@ def reading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("v", F.posexplode(numbers.candidates(F.col("v"))).alias("ord", "reading"))
 
 
+def turn_pairs(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    """(conv_id, turn, a, b): a value of each turn, and of the next of its conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", value.alias("a"))
+    return turns.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).where("b is not null").drop("text")
+
+
 @query()
 def turn_number_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the numbers of a conversation's first turn fare in its second."""
-    tokens = text.words("text")
-    turns = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", F.transform(numbers.read(tokens), lambda n: n["value"].cast("double")).alias("v"))
-    both = turns.where("turn = 0").select("conv_id", F.col("v").alias("a")).join(turns.where("turn = 1").select("conv_id", F.col("v").alias("b")), "conv_id")
+    """How the numbers of each turn of a conversation fare in the next."""
+    both = turn_pairs(spark, sf_dir, F.transform(numbers.read(text.words("text")), lambda n: n["value"].cast("double")))
     o = both.select(numbers.outcomes("a", "b").alias("o"))
     return o.agg(*(F.sum(f"o.{k}").alias(k) for k in ("kept", "changed", "lost", "invented")))
 
 
-
-
-
 @query("SELECT p_size, p_size AS value FROM (SELECT DISTINCT p_size FROM part)")
 def roman_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, put into Roman numbers and read again."""
@@ -115,9 +116,8 @@ def spoken_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each conversation's first turn that its second lacks, and their edits."""
+    """Words of each turn of a conversation that the next lacks, and their edits."""
     from ..functions import align
 
-    t = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", text.words("text").alias("w"))
-    both = t.where("turn = 0").select("conv_id", F.col("w").alias("a")).join(t.where("turn = 1").select("conv_id", F.col("w").alias("b")), "conv_id").withColumn("p", align.align("a", "b"))
-    return both.select("conv_id", align.edits(F.col("p"), F.col("a"), F.col("b")).alias("edits"), F.size(align.lost_words(F.col("p"), F.col("a"))).alias("lost"), F.size(align.added_words(F.col("p"), F.col("b"))).alias("added"))
+    both = turn_pairs(spark, sf_dir, text.words("text")).withColumn("p", align.align("a", "b"))
+    return both.select("conv_id", "turn", align.edits(F.col("p"), F.col("a"), F.col("b")).alias("edits"), F.size(align.lost_words(F.col("p"), F.col("a"))).alias("lost"), F.size(align.added_words(F.col("p"), F.col("b"))).alias("added"))
