@@ -35,6 +35,12 @@ def test_alignment_agrees_with_word_distance(spark):
     assert all(x.e == x.d and len(x.a) - len(x.l) == len(x.b) - len(x.n) for x in got)
 
 
+def test_word_distance_of_many_distinct_words(spark):
+    a = [f"w{k}" for k in range(8300)]
+    b = [*a[:8250], *a[:8249:-1]]
+    assert one(spark, text.word_distance("a", "b"), a=a, b=b) == plain_distance(a[8250:], b[8250:]) == 50
+
+
 def test_folding(spark):
     assert [one(spark, align.folded("t"), t=t) for t in ("Straße, Éa 21!", "Ёлка", "", None)] == ["strasseea21", "елка", "", None]
 
