@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a table that is broadcast at most.
-BROADCAST_ROWS = 500_000
-
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, in a temporary folder of this machine."""
+    """A new path in the shared folder that spark.checkpoint.dir names. Where it is unset, one machine has a temporary folder; a cluster has none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
