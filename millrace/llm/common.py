@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored, table  # noqa: F401  (for the queries of this subpackage)
+from ..operators.common import scratch, written  # noqa: F401  (for the operators of this subpackage)
+from ..sources.tables import stored, table  # noqa: F401  (for its queries)
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of rows that go to a Python worker at a time.
 BATCH_BYTES = 16 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, in a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """df, marked for broadcast if it has max_rows at most; and whether it has. df should be cheap to count (a written table)."""
     if df.limit(max_rows + 1).count() <= max_rows:
