@@ -15,13 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 16 << 20
 
 
-def small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """df, marked for broadcast if it has max_rows at most; and whether it has. df should be cheap to count (a written table)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def row_key(*columns: str) -> list[Column]:
     """k1 and k2, 96 bits that stand for a row's values: joins on them treat nulls and repeated rows as equal values."""
     return [F.xxhash64(*columns).alias("k1"), F.hash(*reversed(columns)).alias("k2")]
@@ -38,6 +31,11 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in columns.items()))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: then Python gets and gives back columns of any name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and offsets (one more than rows). A null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

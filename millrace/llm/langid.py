@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batched, blocks, text_buffers
+from .common import batched, blocks, numbered, text_buffers
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 6
 OVERLAP = max(WIDTHS) - 1
-#: What is learned from, at most: so many languages, documents of each, windows of each document and windows in all.
-LANGUAGES, PER_LANGUAGE, PER_DOCUMENT, WINDOWS = 200, 500, 3, 20_000
+#: What is learned from, at most: so many documents of a language, windows of each document, and windows in all, where that leaves each
+#: language LEAST_DOCUMENTS.
+PER_LANGUAGE, PER_DOCUMENT, WINDOWS, LEAST_DOCUMENTS = 500, 3, 20_000, 20
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 UNKNOWN = "und"
 #: The score under which a text's language counts as not told.
@@ -124,17 +125,20 @@ def fold(doc_id: str = "doc_id"):
 def learned(docs: DataFrame) -> Network | None:
     """A network for the languages of docs (doc_id, text, lang), held-out documents aside; None if there is nothing to learn from.
 
-    Of each of the LANGUAGES commonest languages it takes the PER_LANGUAGE documents that a hash of the id puts first, and of each
-    PER_DOCUMENT windows spread over it.
+    Of each language it takes the PER_LANGUAGE documents that a hash of the id puts first, fewer where there are so many languages that
+    these would be more than WINDOWS windows, and of each document PER_DOCUMENT windows spread over it. There may be any number of languages.
     """
     eligible = docs.where((fold() != 0) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
-    sizes = eligible.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    n = sizes.count()
+    if not n:
         return None
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, 2.0 * PER_LANGUAGE / n))])
-    drawn = eligible.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(shares[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    each = min(PER_LANGUAGE, max(LEAST_DOCUMENTS, WINDOWS // (PER_DOCUMENT * n)))
+    # Twice as many are drawn as are taken, that no task has all of a language.
+    share = F.least(F.lit(1.0), 2.0 * each / F.col("rows"))
+    drawn = eligible.join(sizes, "lang").withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("id", "lang", "h")
     best = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, id)")
-    chosen = drawn.distinct().withColumn("n", best).where(F.col("n") <= PER_LANGUAGE).select("id", F.col("lang").alias("is_lang"))
+    chosen = drawn.distinct().withColumn("n", best).where(F.col("n") <= each).select("id", F.col("lang").alias("is_lang"))
     own = docs.select("doc_id", "lang", "text")
     texts = own.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("is_lang"))).where(F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string"), "is_lang", "id")
 
@@ -152,7 +156,7 @@ def learned(docs: DataFrame) -> Network | None:
                 got = windows(data, starts[taken], ends[taken])
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(text[taken])), pa.array([x.tobytes() for x in got], pa.binary()), part.column(2).take(pa.array(text[taken]))], ["lang", "bytes", "id"])
 
-    rows = batched(texts).mapInArrow(run, "lang string, bytes binary, id long").orderBy(F.xxhash64("id"), "bytes").limit(WINDOWS).collect()
+    rows = batched(texts).mapInArrow(run, "lang string, bytes binary, id long").orderBy(F.xxhash64("id"), "bytes").collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
@@ -174,8 +178,8 @@ def told(net: Network, column: pa.Array, known: np.ndarray) -> tuple[np.ndarray,
     return np.where(known, p.argmax(axis=1), len(net.languages)), np.where(known, p.max(axis=1), 0.0)
 
 
-def letters():
-    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+def letters(text: str = "text"):
+    return F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -183,7 +187,8 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
 
     All windows of a text are read; their log-probabilities are averaged by their bytes and normalised, and score is the greatest. A text
     that is null or has no letter, and any text where nothing was learned, is `und` with score 0. Repeated rows come back repeated. held_out
-    is false where doc_id is null. Only the text goes into a prediction.
+    is false where doc_id is null. Only the text goes into a prediction. Of languages with equal scores the first by name is predicted. Very
+    long texts are read window by window in one task each. An empty table gives no rows. Further columns are not looked at.
     """
     if net is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -207,20 +212,20 @@ def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     net = learned(docs)
     if net is None:
         return docs.where(letters())
-
-    at = docs.columns.index("text") + 1
+    at = docs.columns.index("text")
+    plain = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in blocks(batch.column(at), BLOCK_BYTES):
                 part = batch.slice(first, rows)
-                known = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                known = part.column(-1).to_numpy(zero_copy_only=False).astype(bool)
                 _, score = told(net, part.column(at), known)
                 kept = part.filter(pa.array(known & (score >= least)))
-                yield pa.RecordBatch.from_arrays(kept.columns[1:], schema=pa.schema(list(part.schema)[1:]))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(part.schema)[:-1]))
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return batched(docs.select(letters().alias("letters"), *docs.columns)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema])
+    return batched(plain.select("*", letters(f"c{at}").alias("known"))).mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def held_out():
@@ -228,4 +233,5 @@ def held_out():
 
 
 def identified(docs: DataFrame) -> DataFrame:
+    """predicted() of docs by a network that learns from them, those of fold 0 aside."""
     return predicted(docs, learned(docs))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batched, blocks, text_buffers
+from .common import batched, blocks, numbered, text_buffers
 from .spans import Hasher, first_bytes, per_text
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -338,7 +338,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None
     Rows and other columns stay as they are. The mark is none of the patterns' matches, so a second run finds nothing more by them.
     """
     field = field or learned(docs)
-    columns, counted = docs.columns, "n_chars" in docs.columns
+    columns, counted, plain = docs.columns, "n_chars" in docs.columns, numbered(docs)
+    name = f"c{columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,9 +366,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", field: Field | None = None
                     batch = batch.set_column(j, batch.schema.field(j), pa.array(sizes, batch.column(j).type))
             yield batch
 
-    kept = docs.withColumn("text", F.col("text").cast("string"))
+    kept = plain.withColumn(name, F.col(name).cast("string"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept.schema])
-    return batched(kept).mapInArrow(run, schema)
+    return batched(kept).mapInArrow(run, schema).toDF(*columns)
 
 
 def digest(spans: DataFrame) -> DataFrame:

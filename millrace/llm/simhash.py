@@ -8,10 +8,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, boxed, components, written
+from .common import batched, blocks, boxed, components, text_buffers, written
+from .spans import BASE, K1, K2, K3, MIX, Hasher, mixed, words
 
 SHINGLE = 3
 RADIUS = 3
@@ -81,19 +82,162 @@ def hexed(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+#: What near copies are: sets of shingles of so many words, as alike as this fraction or more.
+WORDS, LEAST = 5, (4, 5)
+#: Tables of least hashes, and least hashes that a key of a table is made of. Two sets as alike as LEAST share a key but for 2 in 10,000.
+TABLES, MINIMA = 16, 4
+#: Nodes of a list that each node is held against at once, those that come next in an order of the list's own; lists are cut into parts.
+AHEAD, PART = 10, 1000
+BLOCK_BYTES = 1 << 20
+UPPER = np.zeros(256, bool)
+UPPER[[*range(ord("A"), ord("Z") + 1)]] = True
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, as longs, of the distinct shingles of each text in order, and how many a text has. A-Z count as lower case.
+
+    A text with fewer words than a shingle has is one shingle; one without a word has none.
+    """
+    data = np.where(UPPER[data], data + 32, data).astype(np.uint8)
+    starts, ends, text = words(data, offsets)
+    h, n = Hasher(data)(starts, ends), np.bincount(text, minlength=len(offsets) - 1)
+    first = np.cumsum(n) - n
+    hashes, texts = [], []
+    for k in range(1, WORDS + 1):
+        at = first[n == k] if k < WORDS else np.flatnonzero(text[k - 1 :] == text[: max(0, len(text) - k + 1)])
+        hashes.append(mixed(sum((h[at + i] * m for i, m in zip(range(k), (K1, K2, K3, BASE, MIX))), np.full(len(at), k, np.uint64))))
+        texts.append(text[at])
+    value, owner = np.concatenate(hashes).view(np.int64), np.concatenate(texts)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], np.bincount(owner[new], minlength=len(n))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(id, version, node, fp, n, keys) of each row: node stands for its set of n shingles, fp is the set's fingerprint, version a hash of the
+    text. keys: one a table, of MINIMA least hashes; none without a word."""
+    draw = np.random.default_rng(5).integers(1 << 63, size=(2, TABLES * MINIMA), dtype=np.uint64)
+    flip, factor = draw[0], draw[1] * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows in blocks(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(start, rows)
+                sh, n = shingle_sets(*text_buffers(part.column(2)))
+                there, h = np.flatnonzero(n), sh.view(np.uint64)
+                first = (np.cumsum(n) - n)[there]
+                fp, node = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+                keys = np.zeros((len(there), TABLES), np.uint64)
+                if len(there):
+                    bits = np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+                    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                    fp[there] = np.packbits(2 * ones > n[there, None], axis=1).view(">i8").ravel()
+                    node[there] = mixed(np.add.reduceat(mixed(h), first) + mixed(n[there].astype(np.uint64))).view(np.int64)
+                    for t in range(TABLES):
+                        for i in range(t * MINIMA, (t + 1) * MINIMA):
+                            keys[:, t] = mixed(keys[:, t] * K1 + np.minimum.reduceat((h ^ flip[i]) * factor[i], first))
+                        keys[:, t] = mixed(keys[:, t] + np.uint64(t))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(TABLES * (n > 0))), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(fp), pa.array(n, pa.int32()), lists], ["id", "version", "node", "fp", "n", "keys"])
+
+    return batched(keyed(docs)).mapInArrow(run, "id long, version long, node long, fp long, n int, keys array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+def sets(docs: DataFrame) -> DataFrame:
+    """(id, version, sh) of each row: 32 bits of each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows in blocks(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(start, rows)
+                sh, n = shingle_sets(*text_buffers(part.column(2)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array((sh >> 32).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "version", "sh"])
+
+    return batched(keyed(docs)).mapInArrow(run, "id long, version long, sh array<int>")
+
+
+def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets, held as (node, sh), are as alike as LEAST."""
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+    sized = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return sized.where((LEAST[0] + LEAST[1]) * F.col("common") >= LEAST[0] * F.col("n")).select("a", "b")
+
+
+def near(docs: DataFrame) -> DataFrame:
+    """(id, version, label) of each row: rows have one label whose sets of shingles of WORDS words are as alike as LEAST, directly or through
+    others. Rows with equal sets are one node.
+
+    Candidates come from the tables of fingerprints, and from tables of least hashes, as fingerprints of sets that are 0.8 alike differ in
+    about 10 of 64 bits, which no small ball reaches; whole sets decide. A node is held against AHEAD others of each list that it is in, then
+    lists of which two parts are still apart are compared in full, part against part, so that a large group of near copies makes few pairs.
+    """
+    rows = written(sketches(docs))
+    nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("id", "version")).alias("at")))
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    linked = links(prints.select("fp"))
+    for side in ("a", "b"):
+        linked = linked.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+    pairs = linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = pairs.union(nodes.join(prints, "fp").where("node <> first").select("first", "node"))
+
+    listed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    listed = written(listed.join(shared, "key"))
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / PART))
+    ahead = Window.partitionBy("key", part).orderBy(F.xxhash64("key", "node"), "node").rowsBetween(1, AHEAD)
+    sized = lambda x, y: LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
+    met = listed.select("node", "n", F.collect_list(F.struct("node", "n")).over(ahead).alias("others")).select("node", "n", F.explode("others").alias("other")).where(sized(F.col("n"), F.col("other.n")))
+    pairs = written(pairs.union(met.select("node", "other.node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    large = listed.where(F.col("c") > AHEAD + 1)
+    wanted = wanted.union(large.select("node")).distinct().join(nodes, "node").select("node", "at.*")
+    # Texts are read again: their sets would take more room than they do.
+    own = sets(docs).join(wanted.hint("shuffle_hash"), ["id", "version"]) if not wanted.isEmpty() else None
+    if own is None:
+        return rows.select("id", "version", F.col("node").alias("label"))
+    held = written(own.groupBy("node").agg(F.first("sh").alias("sh")))
+    edges = written(alike(pairs, held))
+    labels = written(components(nodes.select("node"), edges))
+
+    open_ = large.join(labels, "node").select("key", "node", "n", "label")
+    apart = open_.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    open_ = written(open_.join(apart, "key"))
+    if not open_.isEmpty():
+        other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
+        rest = open_.join(other, "key").where((F.col("label") < F.col("to")) & sized(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        more = written(alike(written(rest.join(pairs, ["a", "b"], "left_anti")), held))
+        if not more.isEmpty():
+            labels = written(components(nodes.select("node"), edges.union(more)))
+    return rows.select("id", "version", "node").join(labels, "node").select("id", "version", "label")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id; rows that repeat a doc_id are told apart by nothing, any one stays.
+    """docs with one row of each group of near copies (near()): that with the smallest doc_id and, of several texts with that one, the
+    smallest hash; of rows alike in both, the first by its columns as JSON.
 
-    Rows without a doc_id stay. Other columns come through as they are, whatever their names.
+    Rows without a doc_id stay, and are no group's row. Texts without a word are alike, null ones too. Of an empty table nothing stays. Very
+    long texts are read whole, in one task each. Other columns come through as they are, whatever their names.
     """
-    firsts = written(groups(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("first")).agg(F.count(F.lit(1)).alias("n")))
-    rows = boxed(docs, id=F.col("doc_id").cast("long"))
+    rows = written(near(docs).where("id is not null"))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "version")).alias("at")).select("at.*")
+    again = rows.groupBy("id", "version").agg(F.count(F.lit(1)).alias("n"))
+    first = written(again.join(first, ["id", "version"]))
+    row = boxed(docs, id=F.col("doc_id").cast("long"), version=F.xxhash64(F.col("text").cast("string")))
 
     def having(n: str) -> DataFrame:
         # A shuffle at every size: the list of firsts grows with the table.
-        return rows.join(firsts.where(n).hint("shuffle_hash"), F.col("id") == F.col("first"), "left_semi")
+        return row.join(first.where(n).hint("shuffle_hash"), ["id", "version"], "left_semi")
 
-    kept = having("n = 1").unionByName(rows.where("id is null"))
-    if not firsts.where("n > 1").isEmpty():
-        kept = kept.unionByName(having("n > 1").dropDuplicates(["id"]))
+    kept = having("n = 1").select("row").union(row.where("id is null").select("row"))
+    if not first.where("n > 1").isEmpty():
+        kept = kept.union(having("n > 1").groupBy("id", "version").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return kept.select("row.*")

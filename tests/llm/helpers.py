@@ -20,7 +20,7 @@ def with_extra(df, extra):
 
 
 #: Names that operators use inside, as columns of their input.
-CLASHES = {k: 1 for k in ("id", "doc", "row", "node", "label", "first", "n", "fp", "key", "item", "sh", "bucket", "version", "spans", "is_lang", "held_out", "score", "shard", "size", "kept", "bad", "pos")}
+CLASHES = {k: 1 for k in ("id", "doc", "row", "node", "label", "first", "n", "fp", "key", "item", "sh", "bucket", "version", "spans", "is_lang", "held_out", "score", "shard", "size", "kept", "bad", "pos", "letters", "known", "version", "row", "a.b", "c0", "c3")}
 
 WORDS = "amber basin cedar delta ember fable grove haven inlet jetty kiosk lemon maple noble ocean pearl quilt river stone tulip".split()
 

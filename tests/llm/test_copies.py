@@ -66,9 +66,30 @@ def test_simhash_links_within_radius(spark):
     assert got | {(b, a) for a, b in got} == want
 
 
-def test_simhash_dedup_keeps_first(spark):
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def plain_near(texts):
+    """The least index of each text's group, of texts whose sets of five-word shingles are 0.8 alike or more."""
+    sets, group = [plain_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) and group[i] != group[j]:
+                low = min(group[i], group[j])
+                group = [low if g in (group[i], group[j]) else g for g in group]
+    return group
+
+
+def varied(text, seed, share):
+    r = random.Random(seed)
+    return " ".join(f"new{r.randrange(999)}" if r.random() < share else w for w in text.split())
+
+
+def test_dedup_keeps_one_of_each_group(spark):
     texts = texts_with_copies()
-    _, group = plain_groups(texts)
+    group = plain_near(texts)
     d = docs(spark, texts, **CLASHES)
     kept = simhash.dedup(d.unionByName(d.where("doc_id = 0")))
     assert kept.columns == d.columns
@@ -78,6 +99,41 @@ def test_simhash_dedup_keeps_first(spark):
     assert simhash.dedup(nulls).count() == len(texts)
 
 
+def test_dedup_loses_no_text_of_a_repeated_id(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(7, a, "x"), (7, b, "x"), (8, b, "x"), (9, a, "x"), (7, a, "y"), (7, a, "x"), (None, a, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    assert sorted((r.doc_id, r.text, r.more) for r in simhash.dedup(d).collect() if r.doc_id) == sorted([(7, a, "x"), (7, b, "x")])
+    assert simhash.dedup(d).where("doc_id is null").count() == 1
+
+
+def test_near_copies_at_every_similarity(spark):
+    texts = []
+    for k in range(30):
+        base = prose(500 + k, 60 + 20 * (k % 5))
+        texts += [base, *(varied(base, k * 10 + i, share) for i, share in enumerate((0.005, 0.01, 0.02, 0.03, 0.04)))]
+    texts += [prose(900, 50) + " " + prose(901 + i, 60) for i in range(20)] + ["a b c d", "A b c d", "a b c e", "x " * 30, "x x x x x x"]
+    group = plain_near(texts)
+    got = {r.id: r.label for r in simhash.near(docs(spark, texts, **CLASHES)).collect()}
+    members = lambda label: sorted(sorted(i for i in range(len(texts)) if label[i] == x) for x in {label[i] for i in range(len(texts))})
+    assert members(got) == members(group)
+    assert 30 < len(set(group)) < len(texts) - 60
+
+
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 16)
+    monkeypatch.setattr(simhash, "AHEAD", 2)
+    base = prose(77, 120)
+    texts = [base, *(varied(base, i, 0.012) for i in range(150)), *(prose(3000 + i, 80) for i in range(20))]
+    pairs = []
+    alike = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda p, held: (pairs.append(p.count()), alike(p, held))[1])
+    got = {r.id: r.label for r in simhash.near(docs(spark, texts)).collect()}
+    group = plain_near(texts)
+    assert len(set(got.values())) == len(set(group)) and all((got[i] == got[0]) == (group[i] == 0) for i in got)
+    assert sum(pairs) < 151 * 150 / 2 * 0.6
+
+
 def plain_removed(rows):
     owner = {}
     for i, t in rows:

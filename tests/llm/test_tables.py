@@ -135,7 +135,9 @@ def test_chats_equal_plain(spark):
 
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
-    from millrace.llm import decontam, langid, simhash
+    from millrace.llm import decontam, langid
+
+    from .test_copies import plain_near
 
     docs_ = spark.read.parquet(f"{small}/documents.parquet")
     now, seen = docs_, {}
@@ -147,7 +149,8 @@ def test_pipeline_stages(spark, small):
             assert now.columns == docs_.columns
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     before, after = seen["near_duplicates"]
-    assert ids(after) == sorted({r.component_id for r in simhash.groups(before).collect()})
+    rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
+    assert ids(after) == sorted({rows[k][0] for k in plain_near([t for _, t in rows])})
     before, after = seen["benchmark"]
     hit = {r.doc_id for r in decontam.found(before, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
     assert ids(after) == sorted(set(ids(before)) - hit)
