@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -164,11 +165,12 @@ def test_viterbi_over_pieces_equals_whole_chains(spark):
     data, offsets = text_buffers(pa.array(texts))
     tok = secrets.tokens(data, offsets)
     rng = np.random.default_rng(0)
-    field = secrets.Field(*(rng.standard_normal(p.shape) for p in secrets.Field.blank().parts()))
+    *weights, steps = (rng.standard_normal(p.shape) for p in secrets.Field.blank().parts())
+    field = secrets.Field(weights, steps)
     for shift in (-2.0, 0.0, 3.0):
-        field.file[:, secrets.OUTSIDE] += shift
+        field.weights[3][:, secrets.OUTSIDE] += shift
         got = field.viterbi(tok)
-        em = field.scores([tok.shape, tok.context, tok.file, tok.before, tok.after])
+        em = field.scores(tok.features)
         for k in np.unique(tok.text):
             at = np.flatnonzero(tok.text == k)
             best, back = em[at[0]].copy(), []
@@ -184,6 +186,60 @@ def test_viterbi_over_pieces_equals_whole_chains(spark):
             assert np.isclose(score(np.array(path)), score(got[at].astype(int)))
 
 
+def test_gradients_equal_all_paths():
+    rng = np.random.default_rng(1)
+    *weights, steps = (rng.standard_normal(p.shape) for p in secrets.Field.blank().parts())
+    field = secrets.Field(weights, steps)
+    sizes = [4, 3, 3, 1]
+    there = np.arange(4) < np.array(sizes)[:, None]
+    features = [rng.integers(0, min(n, 3), (4, 4)) for n in secrets.SIZES]
+    tags = rng.integers(0, 3, (4, 4))
+
+    def loss():
+        total = 0.0
+        for row, n in enumerate(sizes):
+            em = field.scores([x[row, :n] for x in features])
+            score = lambda path, em=em: sum(em[i, t] for i, t in enumerate(path)) + sum(field.steps[a, b] for a, b in itertools.pairwise(path))
+            total += np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=n))) - score(tags[row, :n])
+        return total
+
+    got = field.gradients([x[there] for x in features], tags, there)
+    for part, g in zip(field.parts(), got, strict=True):
+        for i in range(3):
+            for k in range(3):
+                part[i, k] += 1e-5
+                high = loss()
+                part[i, k] -= 2e-5
+                low = loss()
+                part[i, k] += 1e-5
+                assert np.isclose(g[i, k], (high - low) / 2e-5, atol=1e-4)
+
+
+def test_the_chain_finds_what_patterns_miss(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    field = secrets.learned(d)
+    r = random.Random(11)
+    any_ = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    # Names and shapes that no example has, and none that the patterns match.
+    shapes = [lambda: f"the passcode is {any_('abcdefgh', 6)}{r.randrange(100, 9999)}{any_('xyz', 3)}", lambda: f"credentials -> {any_(alnum, 18)}", lambda: f"PAT_{any_(alnum, 30)}", lambda: f"auth header {any_(alnum, 40)}", lambda: f"fingerprint {any_('0123456789abcdef', 30)}", lambda: f"sk.live.{any_(alnum, 24)}"]
+    texts, places = [], []
+    clean = [t for (t,) in d.where("length(text) between 200 and 2000").select("text").limit(60).collect() if not plain_spans(t)]
+    for i, t in enumerate(clean * 3):
+        words, secret = t.split(" "), shapes[i % len(shapes)]()
+        at = r.randrange(len(words))
+        texts.append(" ".join([*words[:at], secret, *words[at:]]))
+        start = len(" ".join(words[:at])) + (at > 0) + max(secret.rfind(" "), -1) + 1
+        places.append((start, start + len(secret) - max(secret.rfind(" "), -1) - 1))
+    assert not any(plain_spans(t) for t in texts)
+    got = {x.doc_id: x.spans for x in secrets.scanned(docs(spark, texts + clean), field).collect()}
+    caught = sum(any(s.start < b and a < s.end for s in got[i]) for i, (a, b) in enumerate(places))
+    false = sum(not (s.start < b and a < s.end) for i, (a, b) in enumerate(places) for s in got[i]) + sum(len(got[i]) for i in range(len(texts), len(texts) + len(clean)))
+    assert caught >= 0.9 * len(places)
+    assert false <= 0.02 * caught
+    assert all(s.kind == "crf" for spans in got.values() for s in spans)
+
+
 def test_secrets_are_redacted(spark):
     texts = secret_texts()
     d = docs(spark, texts, **CLASHES)
