@@ -2,79 +2,96 @@
 
 from __future__ import annotations
 
+import re
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # English number words.
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+ONES = {w: i for i, w in enumerate(UNITS)}
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 SCALES = {"thousand": 1000, "million": 1_000_000, "billion": 1_000_000_000}
 ROMANS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 #: Marks between groups of three digits, and before decimals.
 SEPARATORS = {"en": (",", "."), "de": (".", ","), "fr": (" ", ","), "es": (".", ",")}
 
-_NUMBER = "struct<value: decimal(38,9), form: string, next_to: boolean>"
-_STATE = f"struct<total: bigint, now: bigint, last: string, begun: boolean, idle: boolean, out: array<{_NUMBER}>>"
+#: What reads a number as written.
+DIGITS = re.compile(r"[0-9][0-9,]*(\.[0-9]+)?")
+ARABIC = pa.decimal128(38, 9)
 
 
 def lookup(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def read(tokens: Column) -> Column:
+def written_value(token: str) -> str | None:
+    """The value of digits with commas and decimals, to nine places; None for other tokens and for what decimal(38,9) doesn't hold."""
+    if not DIGITS.fullmatch(token):
+        return None
+    whole, _, rest = token.replace(",", "").partition(".")
+    if len(whole.lstrip("0")) > 29:
+        return None
+    return whole if not rest else f"{whole}.{rest}" if len(rest) <= 9 else str(Decimal(f"{whole}.{rest}").quantize(Decimal(10) ** -9, ROUND_HALF_UP, Context(60)))
+
+
+def said(tokens: list[str | None]) -> list[tuple[int | str, str]]:
+    """The numbers of lower-case words, in order, as read() has them."""
+    out: list[list] = []
+    total = now = 0
+    last, begun, idle = "", False, True
+    for w in [*tokens, ""]:
+        one, ten, scale = ONES.get(w), TENS.get(w), SCALES.get(w)
+        if idle and one is None and ten is None:
+            if w and w[0] in "0123456789" and (value := written_value(w)) is not None:
+                out.append([value, "digits", False])
+            continue
+        after = last in ("hundred", "scale", "and")
+        kind = ""
+        if not idle:
+            if w == "and" and last in ("hundred", "scale"):
+                kind = "and"
+            elif w == "hundred" and last == "one" and 1 <= now <= 99:
+                kind, now = "hundred", now * 100
+            elif scale is not None and now > 0:
+                kind, total, now = "scale", total + now * scale, 0
+            elif (one and (after or (one <= 9 and last == "ten"))) or (ten and after):
+                kind, now = "ten" if ten else "one", now + (one or ten)
+            else:
+                out.append([total + now, "words", begun])
+        if not kind:
+            begun = not idle
+            total, now = 0, one if one is not None else ten or 0
+            kind = "ten" if ten else "one" if one is not None else ""
+            if not kind and w and w[0] in "0123456789" and (value := written_value(w)) is not None:
+                out.append([value, "digits", False])
+        last, idle = kind, not kind
+    # Two parts next to each other, 11 to 20 and 10 to 99, are a year.
+    joined: list[tuple[int | str, str]] = []
+    for value, form, next_to in out:
+        if next_to and joined and joined[-1][1] == "words" and 11 <= joined[-1][0] <= 20 and 10 <= value <= 99:
+            joined[-1] = (joined[-1][0] * 100 + value, "year")
+        else:
+            joined.append((value, form))
+    return joined
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("value", T.DecimalType(38, 9)), T.StructField("form", T.StringType())])))
+def read(tokens: pa.Array) -> pa.Array:
     """The numbers of an array of lower-case words, in order: array of (value, form). form: words, digits, or year for two parts.
 
     A number in words goes on while its parts fit each other: a unit after a ten, less after `hundred` and the scales, `and` between. Digits
-    may have commas and decimals. Two numbers in words next to each other, 11 to 20 and 10 to 99, are a year.
+    may have commas and decimals. Two numbers in words next to each other, 11 to 20 and 10 to 99, are a year. None for no words.
     """
-    ones, tens, scales = lookup({w: i for i, w in enumerate(UNITS)}), lookup(TENS), lookup(SCALES)
-
-    def step(acc: Column, w: Column) -> Column:
-        one, ten, scale = F.element_at(ones, w), F.element_at(tens, w), F.element_at(scales, w)
-        digits = F.when(w.rlike(r"^[0-9][0-9,]*(\.[0-9]+)?$"), F.regexp_replace(w, ",", "").try_cast("decimal(38,9)"))
-        open_, last, now, total = ~acc["idle"], acc["last"], acc["now"], acc["total"]
-        after = last.isin("hundred", "scale", "and")
-        adds = open_ & ((one.between(1, 9) & (last == "ten")) | ((one > 0) & after) | (ten.isNotNull() & after))
-        adds = F.coalesce(adds, F.lit(False))
-        hundred = F.coalesce(open_ & (w == "hundred") & last.isin("one") & now.between(1, 99), F.lit(False))
-        scaled = F.coalesce(open_ & scale.isNotNull() & (now > 0), F.lit(False))
-        joins = F.coalesce(open_ & (w == "and") & last.isin("hundred", "scale"), F.lit(False))
-        starts = one.isNotNull() | ten.isNotNull()
-        kind = F.when(joins, "and").when(hundred, "hundred").when(scaled, "scale").when(ten.isNotNull(), "ten").otherwise("one")
-        goes_on = adds | hundred | scaled | joins
-        done = F.when(open_ & ~goes_on, F.array(number(total + now, "words", acc["begun"]))).otherwise(F.array().cast(f"array<{_NUMBER}>"))
-        plain = F.when(digits.isNotNull(), F.array(number(digits, "digits", F.lit(False)))).otherwise(F.array().cast(f"array<{_NUMBER}>"))
-        value = F.coalesce(one, ten).cast("bigint")
-        return F.struct(
-            F.when(scaled, total + now * scale).when(goes_on, total).otherwise(F.lit(0).cast("bigint")).alias("total"),
-            F.when(joins, now).when(scaled, F.lit(0).cast("bigint")).when(hundred, now * 100).when(adds, now + value).when(starts, value).otherwise(F.lit(0).cast("bigint")).alias("now"),
-            F.when(goes_on | starts, kind).otherwise(F.lit("")).alias("last"),
-            F.when(goes_on, acc["begun"]).otherwise(starts & open_).alias("begun"),
-            (~(goes_on | starts)).alias("idle"),
-            F.concat(acc["out"], done, plain).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("now"), F.lit("").alias("last"), F.lit(False).alias("begun"), F.lit(True).alias("idle"), F.array().cast(f"array<{_NUMBER}>").alias("out")).cast(_STATE)
-    return years(F.aggregate(F.concat(tokens, F.array(F.lit(""))), zero, lambda a, w: step(a, w).cast(_STATE), lambda a: a["out"]))
-
-
-def number(value: Column, form: str, next_to: Column) -> Column:
-    return F.struct(value.cast("decimal(38,9)").alias("value"), F.lit(form).alias("form"), next_to.alias("next_to"))
-
-
-def years(found: Column) -> Column:
-    """Numbers with the two parts of a year as one."""
-    kind = "array<struct<value: decimal(38,9), form: string>>"
-
-    def step(out: Column, n: Column) -> Column:
-        before = F.try_element_at(out, F.lit(-1))
-        year = F.coalesce(n["next_to"] & (before["form"] == "words") & before["value"].between(11, 20) & n["value"].between(10, 99), F.lit(False))
-        own = F.struct(F.when(year, before["value"] * 100 + n["value"]).otherwise(n["value"]).cast("decimal(38,9)").alias("value"), F.when(year, "year").otherwise(n["form"]).alias("form"))
-        return F.concat(F.when(year, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out), F.array(own)).cast(kind)
-
-    return F.aggregate(found, F.array().cast(kind), step)
+    found = [said(x) if x else [] for x in tokens.to_pylist()]
+    values = pa.array([str(value) for row in found for value, _ in row], pa.string()).cast(ARABIC)
+    forms = pa.array([form for row in found for _, form in row], pa.string())
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.StructArray.from_arrays([values, forms], ["value", "form"]))
 
 
 def under_thousand(n: Column, use_and: bool = False) -> Column:

@@ -19,8 +19,7 @@ def stable(key: Column | str) -> Column:
 
 def words(text: str) -> Column:
     """Runs of a-z and 0-9 of the lower-case text; none for a text without them."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
 def frame(tokens: str) -> Column:

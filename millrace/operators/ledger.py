@@ -41,14 +41,16 @@ def exposure(draws: DataFrame, index: DataFrame, tolerance: int) -> DataFrame:
 
     A draw whose h several rows have goes to those with a d within the tolerance, if any, in equal shares. Equal (part, h, d) are one row
     for distinct, which counts one at most.
+    Draws with one (h, d) fare alike, and so do rows with one: both are counted first, so a hot h joins its distinct d alone.
     """
-    near = F.abs(F.col("d") - F.col("d2")) <= tolerance
-    found = draws.select("draw", "h", F.col("d").alias("d2")).join(index, "h").withColumn("near", near)
-    by = Window.partitionBy("draw")
-    told = found.withColumn("any", F.max("near").over(by)).where("near or not any").withColumn("share", 1 / F.count(F.lit(1)).over(by))
-    drawn = told.groupBy("i").agg(F.sum("share").alias("draws"))
-    rows = index.join(drawn, "i", "left").fillna(0.0, ["draws"])
-    own = rows.groupBy("part", "h", "d").agg(F.count(F.lit(1)).alias("listed"), F.sum("draws").alias("draws"))
+    asked = draws.groupBy("h", F.col("d").alias("d2")).agg(F.count(F.lit(1)).alias("asked"))
+    held = index.groupBy("h", "d").agg(F.count(F.lit(1)).alias("held"))
+    by = Window.partitionBy("h", "d2")
+    found = asked.join(held, "h").withColumn("near", F.abs(F.col("d") - F.col("d2")) <= tolerance)
+    told = found.withColumn("any", F.max("near").over(by)).where("near or not any").withColumn("share", F.col("asked") / F.sum("held").over(by))
+    drawn = told.groupBy("h", "d").agg(F.sum("share").alias("draws"))
+    parts = index.groupBy("part", "h", "d").agg(F.count(F.lit(1)).alias("listed"))
+    own = parts.join(drawn, ["h", "d"], "left").withColumn("draws", F.col("listed") * F.coalesce("draws", F.lit(0.0)))
     return own.groupBy("part").agg(F.sum("listed").alias("listed"), F.sum("draws").alias("draws"), F.sum(F.least("draws", F.lit(1.0))).alias("distinct"))
 
 

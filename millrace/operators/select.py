@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,17 @@ def capped(df: DataFrame, rare: Column, key: str, caps: list[tuple[str, int, Col
     """Caps (group column, most rows, whether it applies) one after another: what one cap removes, the next doesn't count.
 
     Rare rows come first and count, but are never removed. Other rows follow in hash order.
+    Only rows that a cap applies to go through its window, which lets a task send on most rows of a group at most, however many it has.
     """
     out = df.withColumn("__rare", F.coalesce(rare, F.lit(False)))
     for group, most, applies in caps:
-        order = Window.partitionBy(group).orderBy(F.desc("__rare"), stable(key), key)
-        out = out.withColumn("__n", F.row_number().over(order)).where(F.col("__rare") | ~F.coalesce(applies, F.lit(False)) | (F.col("__n") <= most)).drop("__n")
+        out = written(out.withColumn("__held", F.coalesce(applies, F.lit(False))))
+        held = out.where("__held")
+        before = held.where("__rare").groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__before"))
+        nth = F.row_number().over(Window.partitionBy(group).orderBy(stable(key), key))
+        first = held.where("not __rare").withColumn("__n", nth).where(F.col("__n") <= most)
+        first = first.join(before, F.col(group).eqNullSafe(F.col("__group")), "left").where(F.col("__n") + F.coalesce("__before", F.lit(0)) <= most)
+        out = out.where("__rare or not __held").unionByName(first.select(*out.columns)).drop("__held")
     return out.drop("__rare")
 
 
@@ -74,11 +82,13 @@ def per_group(df: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(stable(key), key))).where(F.col("__n") <= n).drop("__n")
 
 
-def value_limit(counts: list[int], share: float, rounds: int = 5) -> int:
-    """The most rows a value may have, so that none has more than a share of what is then left. counts: rows of each value."""
-    limit = max(counts, default=0)
+def value_limit(counts: list[int] | dict[int, int], share: float, rounds: int = 5) -> int:
+    """The most rows a value may have, so that none has more than a share of what is then left. counts: rows of each value, or how many
+    values have so many rows."""
+    values = counts if isinstance(counts, dict) else Counter(counts)
+    limit = max(values, default=0)
     for _ in range(rounds):
-        total = sum(min(c, limit) for c in counts)
+        total = sum(min(c, limit) * n for c, n in values.items())
         lower = max(1, int(share * total))
         if lower >= limit:
             break
@@ -86,16 +96,13 @@ def value_limit(counts: list[int], share: float, rounds: int = 5) -> int:
     return limit
 
 
-def cap_values(df: DataFrame, value: str, share: float, key: str, values: int = 100_000) -> DataFrame:
+def cap_values(df: DataFrame, value: str, share: float, key: str) -> DataFrame:
     """df without the last rows, in hash order, of values that hold more than a share of the rows that are left.
 
-    Counts by count come to the driver, as many as different counts; there may be values of them.
+    How many values have how many rows comes to the driver: k different counts take k * k / 2 rows at least, so of n rows sqrt(2 n) at most.
     """
-    counts = df.groupBy(value).count().groupBy("count").agg(F.count(F.lit(1)).alias("n")).limit(values + 1).collect()
-    if len(counts) > values:
-        raise ValueError("too many different counts")
-    limit = value_limit([r["count"] for r in counts for _ in range(r.n)], share)
-    return per_group(df, [value], key, limit)
+    counts = df.groupBy(value).count().groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
+    return per_group(df, [value], key, value_limit({r["count"]: r.n for r in counts}, share))
 
 
 def largest_n_per_group(df: DataFrame, group: str, inside: Column, target: float) -> DataFrame:
@@ -183,7 +190,8 @@ def filled_to_floor(rows: DataFrame, pool: DataFrame, values: str, key: str, flo
     counts = written(rows.select(F.explode(F.array_distinct(values)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     while True:
         each = left.select(F.col(key).alias("k"), F.explode(F.array_distinct(values)).alias("v")).join(counts, "v", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < floor)
-        asked = each.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy(stable("k"), "k"))).where(F.col("nth") <= floor - F.col("n"))
+        # A task sends on floor rows of a value at most.
+        asked = each.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy(stable("k"), "k"))).where(F.col("nth") <= floor).where(F.col("nth") <= floor - F.col("n"))
         took = written(left.join(asked.select(F.col("k").alias("__took")).distinct(), F.col(key) == F.col("__took"), "left_semi"))
         if took.isEmpty():
             return out

@@ -26,9 +26,10 @@ def query(sql: str | None = None) -> Callable:
 
 
 def grams(tokens: str, n: int):
-    """The distinct n-grams of an array column of tokens, space-joined."""
+    """Hashes of the distinct n-grams of an array column of tokens."""
     at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(F.col(tokens), i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    hashed = F.transform(at, lambda i: F.xxhash64(F.slice(F.col(tokens), i, n)))
+    return F.when(F.size(tokens) >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 from fractions import Fraction
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +312,95 @@ def test_files(spark, tmp_path):
 def test_seen_log(spark):
     lines = spark.createDataFrame([('{"start": 0, "manifest": "m"}',), ('{"step": 1, "h": ["a", "b"], "d": [10, 20]}',)], "value string")
     assert sorted(tuple(r) for r in events.seen(lines).collect()) == [(1, "a", 10), (1, "b", 20)]
+
+
+def test_bounds_are_carried_over_buckets(spark):
+    r = random.Random(4)
+    spans = [(k, n, 100.0 * n + r.randrange(40), 100.0 * n + 50 + r.randrange(40)) for k in (1, 2) for n in range(40)]
+    points = [(i, r.choice([1, 2, 3, None]), r.choice([None, *(r.uniform(-50, 4500) for _ in range(20))])) for i in range(300)]
+    df = spark.createDataFrame(points, "id long, k long, at double")
+    own = spark.createDataFrame(spans, "k long, n long, s double, e double")
+    got = {x.id: x.n for x in sequences.assigned(df, own, "k", "at", width=37.0).collect()}
+    for i, k, at in points:
+        mine = sorted((s, e, n) for kk, n, s, e in spans if kk == k)
+        bounds = [-float("inf"), *((a[1] + b[0]) / 2 for a, b in itertools.pairwise(mine))] if mine else []
+        want = None if at is None or not mine else mine[sum(b <= at for b in bounds) - 1][2]
+        assert got[i] == want
+    marks = [(r.choice([1, 2]), r.uniform(0, 4000)) for _ in range(60)]
+    near = {x.id: x.nearest for x in sequences.nearest(df.where("at is not null"), spark.createDataFrame(marks, "k long, m double"), "k", "at", "m", width=11.0).collect()}
+    for i, k, at in points:
+        if at is not None:
+            mine = sorted((abs(m - at), m) for kk, m in marks if kk == k)
+            assert near[i] == (mine[0][1] if mine else None)
+
+
+def test_anchors_over_batches(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), float(r.randrange(4000))) for _ in range(3000)] + [("a", None)]
+    df = spark.createDataFrame(rows, "u string, t double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {(x.u, x.t): x.anchor for x in sequences.anchored(df, ["u"], "t", 9.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in ("a", "b", None):
+        anchor = None
+        for t in sorted({t for k, t in rows if k == u and t is not None}):
+            anchor = t if anchor is None or t - anchor > 9.0 else anchor
+            assert got[u, t] == anchor
+    assert len(got) == len({x for x in rows if x[1] is not None})
+
+
+def test_exposure_of_a_hot_key(spark):
+    r = random.Random(6)
+    draws = [(i, r.choice([1, 1, 1, 2, 9]), r.randrange(30)) for i in range(400)]
+    index = [(i, r.choice([1, 1, 2, 3]), r.randrange(30), r.choice("xy")) for i in range(60)]
+    d, i = spark.createDataFrame(draws, "draw long, h long, d long"), spark.createDataFrame(index, "i long, h long, d long, part string")
+    times = dict.fromkeys(range(60), 0.0)
+    for _, h, at in draws:
+        own = [x for x in index if x[1] == h]
+        own = [x for x in own if abs(x[2] - at) <= 2] or own
+        for x in own:
+            times[x[0]] += 1 / len(own)
+    got = {x.part: (x.listed, x.draws, x.distinct) for x in ledger.exposure(d, i, 2).collect()}
+    for part in "xy":
+        groups = {}
+        for k, h, at, p in index:
+            if p == part:
+                groups.setdefault((h, at), []).append(times[k])
+        assert got[part] == pytest.approx((sum(map(len, groups.values())), sum(map(sum, groups.values())), sum(min(sum(v), 1.0) for v in groups.values())))
+
+
+def test_caps_beside_a_hot_group(spark):
+    rows = [(i, "" if i % 3 else f"t{i % 7}", i % 5, i % 11 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string, g long, rare boolean")
+    got = {x.id for x in select.capped(df, F.col("rare"), "id", [("t", 4, F.col("t") != ""), ("g", 30, F.lit(True))]).collect()}
+    h = lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), i)
+    left = rows
+    for group, most, applies in ((1, 4, lambda x: x[1] != ""), (2, 30, lambda x: True)):
+        seen, kept = {}, []
+        for x in sorted(left, key=lambda x: (not x[3], h(x[0]))):
+            if not applies(x):
+                kept.append(x)
+                continue
+            seen[x[group]] = seen.get(x[group], 0) + 1
+            if x[3] or seen[x[group]] <= most:
+                kept.append(x)
+        left = kept
+    assert got == {x[0] for x in left}
+    assert select.value_limit([5, 5, 90], 0.5) == select.value_limit({5: 2, 90: 1}, 0.5)
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((90, 5))
+    x[7] = x[3]
+    u = vectors.unit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = y @ y.T
+    np.fill_diagonal(cosine, -2)
+    got = {r.id: (r.other, r.cosine) for r in vectors.best_matches(u, u).collect()}
+    assert len(got) == 90
+    for i, (other, value) in got.items():
+        assert other == cosine[i].argmax() and abs(value - cosine[i].max()) < 1e-9
