@@ -1,54 +1,71 @@
-"""What a row's id and path tell: its group, session, recording, source and variant. The four kinds of unit are different on purpose."""
+"""What a row's id and path tell, by tables of rules."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of ids. Each rule: a tag, and a pattern whose first group is what the tag names.
+UNITS = [("yt", r"^[a-z]{2}[0-9]{3}_[0-9]+_(.{11})_"), ("ep", r"^([^_]*PLENARY[^_]*|[0-9]{8}-[^_]*)"), ("ep", r"^([^_]*)_.*PLENARY"), ("fl", r"^fleurs\w*?_([0-9]+)_")]
+RECORDINGS = [("vox", r"_([0-9]{8}-[0-9]{2}:[0-9]{2}:[0-9]{2}_[0-9]+)$"), ("yt", r"[a-z]{2}[0-9]+_[0-9]+_([A-Za-z0-9_-]{11})_[0-9]+_[0-9]+_[0-9]+_[0-9]+$"), ("gv", r"^([0-9]{8}-[0-9]{4}-[A-Z]+(?:-[A-Z0-9]+)*?)[-_][a-z]{2}(?:_|$)")]
+PIECE = r"_p([0-9]+)$"
+#: Start and length in a video, in seconds and hundredths, at the end of an id.
+TIMES = r"_([0-9]+)_([0-9]+)_([0-9]+)_([0-9]+)$"
+PLAIN, READ_BY_MANY, AUGMENTED, SPEED, FOLDER = "id", "cv22_", "__aug", "spd_", "/aug/"
+
+
+def ruled(id_: Column, rules: list[tuple[str, str]]) -> Column:
+    """(tag, key) of the first rule that an id fits; null if it fits none."""
+    found = [(tag, F.regexp_extract(id_, pattern, 1)) for tag, pattern in rules]
+    return F.coalesce(*[F.when(key != "", F.struct(F.lit(tag).alias("tag"), key.alias("key"))) for tag, key in found])
+
+
+def tagged(rule: Column) -> Column:
+    return F.concat_ws(":", rule["tag"], rule["key"])
+
 
-def part(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of a pattern; null where it doesn't match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def spoken_words(caption: Column) -> Column:
+    """Runs of letters and digits of a lower-case caption, space-joined."""
+    return F.array_join(F.regexp_extract_all(F.lower(caption), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
 
 
-def group_unit(id_: Column, words: Column | None = None) -> Column:
+def group_unit(id_: Column, caption: Column | None = None) -> Column:
     """The unit of variety: a video, a session, a sentence that several people read, else the row alone (`id:`), which no cap counts."""
-    video = part(id_, r"^[a-z]{2}[0-9]{3}_[0-9]+_(.{11})_")
-    session = F.when(id_.contains("PLENARY") | id_.rlike("^[0-9]{8}-"), F.split_part(id_, F.lit("_"), F.lit(1)))
-    sentence = part(id_, r"^fleurs\w*?_([0-9]+)_")
-    said = F.when(id_.startswith("cv22_"), words if words is not None else F.lit(None).cast("string"))
-    return F.coalesce(F.concat(F.lit("yt:"), video), F.concat(F.lit("ep:"), session), F.concat(F.lit("fl:"), sentence), F.concat(F.lit("cv:"), said), F.concat(F.lit("id:"), id_))
+    said = F.when(id_.startswith(READ_BY_MANY), F.concat(F.lit("cv:"), spoken_words(F.coalesce(caption, F.lit("")) if caption is not None else F.lit(""))))
+    rule = ruled(id_, UNITS)
+    return F.when(rule.isNotNull(), tagged(rule)).otherwise(F.coalesce(said, F.concat(F.lit(f"{PLAIN}:"), id_)))
 
 
 def session(id_: Column) -> Column:
     """A session's event without the language; null for other ids."""
-    return part(id_, r"^([0-9]{8}-[0-9]{4}-[A-Z]+(?:-[A-Z0-9]+)*?)[-_][a-z]{2}(?:_|$)")
+    return ruled(id_, RECORDINGS[-1:])["key"]
 
 
 def recording(id_: Column) -> Column:
-    """(kind, key, s, e): the recording that a row comes from, and its time in it where the id tells."""
-    base = F.regexp_replace(id_, "_p[0-9]+$", "")
-    pattern = r"[a-z]{2}[0-9]+_[0-9]+_([A-Za-z0-9_-]{11})_([0-9]+)_([0-9]+)_([0-9]+)_([0-9]+)$"
-    number = lambda k: part(base, pattern, k).cast("double")
-    video, event = part(base, pattern), session(base)
-    start = number(2) + number(3) / 100
-    kind = F.when(video.isNotNull(), "yt").when(event.isNotNull(), "gv").otherwise("id")
-    return F.struct(kind.alias("kind"), F.coalesce(video, event, base).alias("key"), F.round(start, 2).alias("s"), F.round(start + number(4) + number(5) / 100, 2).alias("e"))
+    """(kind, key, s, e): the recording that a row comes from, and its time in it where the id tells. A piece is of the recording it is cut from."""
+    base = F.regexp_replace(id_, PIECE, "")
+    rule = ruled(base, RECORDINGS)
+    whole, part, seconds, rest = (F.regexp_extract(base, TIMES, k).try_cast("double") for k in range(1, 5))
+    start = F.when(rule["tag"] == "yt", whole + part / 100)
+    return F.struct(F.coalesce(rule["tag"], F.lit(PLAIN)).alias("kind"), F.coalesce(rule["key"], base).alias("key"), F.round(start, 2).alias("s"), F.round(start + seconds + rest / 100, 2).alias("e"))
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    """The name of a file without its last ending."""
+    return reduce(lambda c, p: F.regexp_replace(c, p, ""), ("^.*/", r"\.[^.]*$"), path)
 
 
-def variant(path: Column, suffix: str = "__aug", prefix: str = "spd_") -> Column:
-    """clean, aug or spd."""
-    name = stem(path)
-    return F.when(name.startswith(prefix), "spd").when(name.endswith(suffix), "aug").otherwise("clean")
+def variant(path: Column, suffix: str = AUGMENTED, prefix: str = SPEED) -> Column:
+    """clean, aug or spd, by the name's beginning and end and by the folder."""
+    return F.when(stem(path).startswith(prefix), "spd").when(stem(path).endswith(suffix) | path.contains(FOLDER), "aug").otherwise("clean")
 
 
-def stable_key(path: Column, words: Column, video: Column, suffix: str = "__aug", prefix: str = "spd_") -> Column:
-    """What stays the same among the copies of a row: its name without the suffix; for speed copies, whose names tell nothing, video and words."""
-    name = stem(path)
+def stable_key(path: Column, words: Column, video: Column, suffix: str = AUGMENTED, prefix: str = SPEED) -> Column:
+    """What copies of a row share: its name without the suffix (`a:`). The names of speed copies tell nothing: their words (`tx:`), with the
+    video if there is one (`vt:`)."""
     said = F.substring(F.sha1(words), 1, 16)
-    copy = F.coalesce(F.concat(F.lit("sp:"), video, F.lit("|"), said), F.concat(F.lit("tx:"), said))
-    return F.when(name.startswith(prefix), copy).otherwise(F.regexp_replace(name, f"{suffix}$", ""))
+    of_video = F.when(F.coalesce(video, F.lit("")) != "", F.concat(F.lit("vt:"), video, F.lit("|"), said))
+    named = F.concat(F.lit("a:"), F.regexp_replace(stem(path), f"{suffix}$", ""))
+    return F.when(stem(path).startswith(prefix), F.coalesce(of_video, F.concat(F.lit("tx:"), said))).otherwise(named)

@@ -51,7 +51,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH p AS (SELECT o_orderkey, 'a/b/' || CASE WHEN o_orderkey % 3 = 0 THEN 'spd_' ELSE '' END || 'row' || o_orderkey // 2 || CASE WHEN o_orderkey % 3 = 1 THEN '__aug' ELSE '' END || '.wav' AS path, o_orderpriority AS said, CASE WHEN o_custkey % 2 = 0 THEN 'v' || o_custkey % 7 END AS video FROM orders),
-    k AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'spd' WHEN o_orderkey % 3 = 1 THEN 'aug' ELSE 'clean' END AS variant, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN video IS NULL THEN 'tx:' || substr(sha1(said), 1, 16) ELSE 'sp:' || video || '|' || substr(sha1(said), 1, 16) END ELSE 'row' || o_orderkey // 2 END AS key FROM p)
+    k AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'spd' WHEN o_orderkey % 3 = 1 THEN 'aug' ELSE 'clean' END AS variant, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN video IS NULL THEN 'tx:' || substr(sha1(said), 1, 16) ELSE 'vt:' || video || '|' || substr(sha1(said), 1, 16) END ELSE 'a:row' || o_orderkey // 2 END AS key FROM p)
     SELECT key, count(*) AS n, count(DISTINCT variant) AS variants FROM k GROUP BY key
     """
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, labels
@@ -13,6 +15,7 @@ from .test_operators import one
 def test_units(spark):
     u = lambda i: one(spark, ids.group_unit(F.col("i"), F.lit("a b")), i=i)
     assert [u(x) for x in ("en001_22_abcdefghijk_1", "20180618-0900-PLENARY-3_x", "fleurs_17_2", "cv22_9", "x1")] == ["yt:abcdefghijk", "ep:20180618-0900-PLENARY-3", "fl:17", "cv:a b", "id:x1"]
+    assert [u(x) for x in ("20180618-1500-COMMITTEE-2_en_9", "x_PLENARY_2", "fleursdev_8_1")] == ["ep:20180618-1500-COMMITTEE-2", "ep:x", "fl:8"]
 
 
 def test_recordings(spark):
@@ -20,13 +23,16 @@ def test_recordings(spark):
     assert r("en001_22_abcdefghijk_7_25_3_50_p2") == ("yt", "abcdefghijk", 7.25, 10.75)
     assert r("20090113-0900-PLENARY-12-de_5") == ("gv", "20090113-0900-PLENARY-12", None, None)
     assert r("plain_p3") == ("id", "plain", None, None)
+    assert r("20090113-0900-PLENARY-12-de_20090113-09:12:04_3") == ("vox", "20090113-09:12:04_3", None, None)
 
 
 def test_copies_share_a_key(spark):
     k = lambda p, v: one(spark, ids.stable_key(F.col("p"), F.lit("said"), F.col("v")), p=p, v=v)
-    assert k("a/b/row1.wav", "v") == k("c/row1__aug.wav", "w") == "row1"
+    assert k("a/b/row1.wav", "v") == k("c/row1__aug.wav", "w") == "a:row1"
     assert k("spd_1.wav", "v") == k("spd_2.wav", "v") != k("spd_2.wav", "w") and k("spd_1.wav", None).startswith("tx:")
-    assert one(spark, ids.variant(F.col("p")), p="x/spd_1.wav") == "spd"
+    said = hashlib.sha1(b"said").hexdigest()[:16]
+    assert k("spd_1.wav", "v") == f"vt:v|{said}" and k("spd_1.wav", "") == f"tx:{said}"
+    assert [one(spark, ids.variant(F.col("p")), p=p) for p in ("x/spd_1.wav", "x/aug/1.wav", "x/1__aug.wav", "x/1.wav")] == ["spd", "aug", "aug", "clean"]
 
 
 def test_rules(spark):
