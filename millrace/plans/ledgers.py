@@ -93,3 +93,59 @@ def resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is not done yet."""
     done = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
     return ledger.resumed(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+# Events as decisions, a quarter of them on a span.
+STATE = """SELECT c_custkey AS row_id, c_name AS label, coalesce(action, 'keep') AS action, reason, decided_by, new_label, CASE WHEN action = 'relabel' AND new_label IS NOT NULL THEN new_label ELSE c_name END AS final_label
+    FROM customer LEFT JOIN (SELECT * FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'drop' WHEN 'click' THEN 'relabel' WHEN 'view' THEN 'unconfirmed' ELSE 'keep' END AS action, 'event ' || event_type AS reason, ['rule', 'referee', 'human'][event_id % 3 + 1] AS decided_by,
+    CASE WHEN event_type = 'click' THEN 'new ' || event_id END AS new_label, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 4 <> 0) WHERE n = 1) ON user_id = c_custkey"""
+
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, e = F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "error", "drop").when(kind == "click", "relabel").when(kind == "view", "unconfirmed").otherwise("keep")
+    by = F.get(F.array(*[F.lit(x) for x in ledger.DECIDERS]), (e % 3).cast("int"))
+    made = table(spark, sf_dir, "events").select(e.alias("id"), F.col("user_id").alias("row_id"), F.when(e % 4 == 0, e % 3).alias("span_ord"), action.alias("action"), F.concat(F.lit("event "), kind).alias("reason"), by.alias("decided_by"), F.when(kind == "click", F.concat(F.lit("new "), e.cast("string"))).alias("new_label"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_name").alias("label"))
+    return ledger.row_state(rows, ledger.checked(made)).select("row_id", "label", "action", "reason", "decided_by", "new_label", "final_label")
+
+
+@query(STATE)
+def row_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with what was last decided on them as a whole."""
+    return state(spark, sf_dir)
+
+
+@query(f"SELECT row_id, label, reason, decided_by FROM ({STATE}) WHERE action = 'unconfirmed'")
+def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that wait for a look."""
+    return ledger.review_page(state(spark, sf_dir)).select("row_id", "label", "reason", "decided_by")
+
+
+@query("SELECT DISTINCT l_orderkey AS row_id, l_returnflag AS label, l_linestatus AS origin FROM lineitem WHERE l_linenumber > 2 EXCEPT SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_linenumber <= 2")
+def added_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that a second pass adds to those of the first."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("origin"), "l_linenumber")
+    return ledger.new_candidates(items.where("l_linenumber <= 2"), items.where("l_linenumber > 2"))
+
+
+@query(
+    """
+    WITH a AS (SELECT event_id AS id, user_id AS item, CASE event_type WHEN 'error' THEN 'WRONG' WHEN 'click' THEN 'WRONG' WHEN 'view' THEN 'CORRECT' WHEN 'purchase' THEN 'UNSURE' ELSE 'UNDO' END AS verdict, CASE WHEN event_type = 'error' THEN ' the name , said' END AS heard FROM events),
+    i AS (SELECT c_mktsegment AS queue, c_custkey AS item, c_name AS label, CASE c_mktsegment WHEN 'BUILDING' THEN 'span' WHEN 'MACHINERY' THEN 'gold_only' ELSE 'label' END AS scope, c_mktsegment = 'FURNITURE' AS bed, c_custkey % 9 = 0 AS changed FROM customer),
+    j AS (SELECT *, verdict = 'WRONG' AND heard IS NOT NULL AND NOT changed AS relabel FROM a JOIN i USING (item) WHERE verdict <> 'UNDO' AND NOT bed AND scope <> 'gold_only')
+    SELECT id, item AS row_id, CASE WHEN verdict = 'CORRECT' THEN 'keep' WHEN relabel THEN 'relabel' ELSE 'unconfirmed' END AS action, 'human listened (' || queue || '): ' || CASE WHEN verdict = 'CORRECT' THEN 'label is correct' WHEN verdict = 'UNSURE' THEN 'unsure'
+        WHEN heard IS NULL THEN 'label is wrong, heard reading not typed' WHEN changed THEN 'label wrong (heard: the name said) but the row label changed since the queue was built' ELSE 'heard ' || chr(39) || 'the name said' || chr(39) END AS reason,
+        CASE WHEN relabel AND scope = 'span' THEN left(label, 3) || 'the name said' || substr(label, 8) WHEN relabel THEN 'the name said' END AS new_label FROM j
+    """
+)
+def recorded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by the answers of listeners."""
+    kind = F.col("event_type")
+    verdict = F.when(kind.isin("error", "click"), "WRONG").when(kind == "view", "CORRECT").when(kind == "purchase", "UNSURE").otherwise("UNDO")
+    people = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("queue"), F.col("c_custkey").alias("item"), F.col("c_name").alias("label"))
+    scope = F.when(F.col("queue") == "BUILDING", "span").when(F.col("queue") == "MACHINERY", "gold_only").otherwise("label")
+    items = people.select("queue", "item", F.col("item").alias("row_id"), "label", F.struct(F.lit(3).alias("a"), F.lit(7).alias("b")).alias("span"), scope.alias("scope"), (F.col("queue") == "FURNITURE").alias("test_bed"))
+    answers = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("item"), verdict.alias("verdict"), F.when(kind == "error", " the name , said").alias("heard")).join(people.select("queue", "item"), "item")
+    rows = people.select(F.col("item").alias("row_id"), F.when(F.col("item") % 9 == 0, "changed").otherwise(F.col("label")).alias("label"))
+    return ledger.recorded(answers, items, rows)

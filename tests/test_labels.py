@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import ids, labels
-from millrace.operators import generate, select
+from millrace.operators import generate, ledger, select
 
 from .test_operators import one
 
@@ -64,3 +65,25 @@ def test_bins_and_pairs(spark):
     df = spark.createDataFrame([(i, 10) for i in range(30)], "id long, n long")
     assert generate.binned(df, F.col("n"), "id", [], 100).groupBy("bin").count().collect() and {r["count"] for r in generate.binned(df, F.col("n"), "id", [], 100).groupBy("bin").count().collect()} == {10}
     assert {tuple(r) for r in generate.pairs(spark.createDataFrame([("g", 1), ("g", 5), ("g", 3), ("h", 1)], "g string, v int"), "g", "v").collect()} == {("g", 1, 3), ("g", 3, 5)}
+
+
+def test_a_ledger_only_grows(spark, tmp_path):
+    path = str(tmp_path / "decisions")
+    made = lambda *rows: spark.createDataFrame(rows, "id long, row_id long, span_ord int, action string, reason string, decided_by string, new_label string")
+    ledger.append(ledger.checked(made((1, 7, None, "drop", "r", "rule", None), (2, 7, 0, "keep", "r", "human", None))), path)
+    before = ledger.files(spark, path).collect()
+    ledger.append(ledger.checked(made((3, 8, None, "relabel", "r", "human", "x"))), path)
+    known = spark.createDataFrame(before)
+    assert ledger.tampered(known, ledger.files(spark, path)).isEmpty()
+    rows = spark.createDataFrame([(7, "a"), (8, "b"), (9, "c")], "row_id long, label string")
+    got = {r.row_id: (r.action, r.final_label) for r in ledger.row_state(rows, spark.read.parquet(path)).collect()}
+    assert got == {7: ("drop", "a"), 8: ("relabel", "x"), 9: ("keep", "c")}
+    for bad in ((4, 7, None, "relabel", "r", "human", ""), (4, 7, None, "lose", "r", "human", None), (4, 7, None, "keep", "r", "nobody", None)):
+        with pytest.raises(Exception, match="not a decision"):
+            ledger.append(ledger.checked(made(bad)), path)
+    assert spark.read.parquet(path).count() == 3
+    next(f for f in (tmp_path / "decisions").iterdir() if f.name == before[0].file).unlink()
+    assert [r.file for r in ledger.tampered(known, ledger.files(spark, path)).collect()] == [before[0].file]
+    have = spark.createDataFrame([(1, "a", "x")], "row_id long, label string, origin string")
+    more = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (1, "b", "x")], "row_id long, label string, origin string")
+    assert [tuple(r) for r in ledger.new_candidates(have, more).collect()] == [(1, "b", "x")]
