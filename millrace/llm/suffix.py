@@ -26,8 +26,10 @@ REACH = SPAN - PIECE + 1
 WINDOWS = 64
 LONGEST = SPAN + WINDOWS - 1
 WIDTH = -(-LONGEST // 8) * 8
-#: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one bucket, about.
+#: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one partition, about.
 CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 12 << 20
+#: Buckets, and places of texts, for each partition: a partition gets several by a hash, so that none gets many times what others get.
+FINE = 8
 #: Pieces in a share of FREQUENT of the documents in a sample rank last: HOT_PIECES at most. The sample has about SAMPLE documents or
 #: SAMPLE_BYTES, whichever is less, and is counted in SAMPLE_PARTS tasks.
 SAMPLE, SAMPLE_BYTES, SAMPLE_PARTS, FREQUENT, HOT_PIECES = 2_000, 8 << 20, 4, 0.02, 200_000
@@ -334,14 +336,21 @@ def settled(s: Segments, forward: bool, hot: Hot = NONE) -> tuple[tuple[np.ndarr
     return ranges, Segments(*(np.concatenate(x) for x in zip([x[alone] for x in s.parts()], *rest, strict=True)), s.pool)
 
 
+def grouped(group: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its members) in an order in which groups are whole."""
+    if len(order):
+        heads = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+        for a, b in zip(heads, np.append(heads[1:], len(order)), strict=True):
+            yield int(group[order[a]]), order[a:b]
+
+
 def packed(s: Segments, version: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, block): the segments of each bucket, their columns end to end, compressed. version: of each text, tells texts of one doc_id apart."""
     codec = pa.Codec(CODEC[0], compression_level=CODEC[1])
     bucket = (s.key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((s.at, s.row, bucket))
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(ends)):
-        own = s[order[ends[b] : ends[b + 1]]]
+    for b, at in grouped(bucket, order):
+        own = s[at]
         rows, number = np.unique(own.row, return_inverse=True)
         docs = np.zeros(len(rows), np.int64)
         docs[number] = own.doc
@@ -349,7 +358,7 @@ def packed(s: Segments, version: np.ndarray, buckets: int) -> Iterator[tuple[int
         head = np.array([len(own), len(rows)], np.int64)
         columns = [head, np.diff(docs, prepend=0), version[rows], np.diff(number, prepend=0).astype(np.int32), np.diff(own.at, prepend=0), own.n, own.bytes()[inside]]
         raw = b"".join(x.tobytes() for x in columns)
-        yield int(b), codec.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
+        yield b, codec.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def unpacked(block: bytes, hot: Hot) -> tuple[Segments, np.ndarray, np.ndarray]:
@@ -380,11 +389,9 @@ def by_place(row: np.ndarray, a: np.ndarray, b: np.ndarray, docs: np.ndarray, ve
     """(place, block): ranges of texts for each place that puts texts together again, compressed."""
     place = version[row] % places
     order = np.lexsort((a, row, place))
-    ends = np.searchsorted(place[order], np.arange(places + 1))
-    for p in np.flatnonzero(np.diff(ends)):
-        own = order[ends[p] : ends[p + 1]]
+    for p, own in grouped(place, order):
         raw = b"".join(x.tobytes() for x in (docs[row[own]], a[own].astype(np.int64), b[own].astype(np.int64), version[row[own]]))
-        yield int(p), pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+        yield p, pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def placed_ranges(blocks_: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
@@ -437,8 +444,10 @@ def hot_pieces(docs: DataFrame, n: int, total: int) -> np.ndarray:
     return rows["piece"].to_numpy(np.int64).view(np.uint64)
 
 
-def ranges(docs: DataFrame, buckets: int, n: int, total: int) -> DataFrame:
-    """(place, block): the bytes to remove from n texts (doc_id, version, text), in blocks for the place of each text's version modulo buckets."""
+def ranges(docs: DataFrame, parts: int, n: int, total: int) -> DataFrame:
+    """(place, block): the bytes to remove from n texts (doc_id, version, text), in blocks for the place of each text: its version modulo
+    FINE * parts."""
+    buckets = FINE * parts
     frequent = docs.sparkSession.sparkContext.broadcast(hot_pieces(docs, n, total))
     sent_names, block_names = ["bucket", "place", "block"], ["place", "block"]
 
@@ -500,7 +509,7 @@ def ranges(docs: DataFrame, buckets: int, n: int, total: int) -> DataFrame:
                 yield batch.select(block_names)
 
     sent = batched(docs).mapInArrow(send, "bucket int, place int, block binary")
-    return sent.repartition(buckets, F.coalesce("bucket", "place")).mapInArrow(meet, "place int, block binary")
+    return sent.repartition(parts, F.coalesce("bucket", "place")).mapInArrow(meet, "place int, block binary")
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -514,8 +523,8 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     # The version tells texts of one doc_id apart.
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.hash("text", "doc_id").alias("version"), "text")
     total = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("text").alias("n")).first()
-    places = max(1, -(-(total.bytes or 0) // BUCKET_BYTES))
-    gone = written(ranges(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)), places, total.n, total.bytes or 0))
+    parts = max(1, -(-(total.bytes or 0) // BUCKET_BYTES))
+    gone = written(ranges(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)), parts, total.n, total.bytes or 0))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[bytes] = []
@@ -545,7 +554,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     kept.append(rest if with_text else None)
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    texts = own.select(F.pmod("version", F.lit(places)).cast("int").alias("place"), F.lit(None).cast("binary").alias("block"), "doc_id", "version", "text")
+    texts = own.select(F.pmod("version", F.lit(FINE * parts)).cast("int").alias("place"), F.lit(None).cast("binary").alias("block"), "doc_id", "version", "text")
     both = gone.select("place", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("text")).unionByName(texts)
-    together = both.repartition(places, "place").sortWithinPartitions(F.col("block").isNull())
+    together = both.repartition(parts, "place").sortWithinPartitions(F.col("block").isNull())
     return together.select("block", "doc_id", "version", "text").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
