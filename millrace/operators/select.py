@@ -96,13 +96,29 @@ def value_limit(counts: list[int] | dict[int, int], share: float, rounds: int =
     return limit
 
 
+def top_limit(counts: dict[int, int], share: float, rounds: int = 5) -> float:
+    """The most rows of each value that has over a share of all, so that these then have that share of what is left. counts: how many values
+    have so many rows. Values under the share don't come into it."""
+    total = sum(c * n for c, n in counts.items())
+    over = {c: n for c, n in counts.items() if c > share * total}
+    limit = share * total
+    for _ in range(rounds):
+        limit = share * (total - sum(n * max(0.0, c - limit) for c, n in over.items()))
+    return limit
+
+
 def cap_values(df: DataFrame, value: str, share: float, key: str) -> DataFrame:
-    """df without the last rows, in hash order, of values that hold more than a share of the rows that are left.
+    """df without the last rows, in hash order, of values that hold more than a share of all rows, so many that they hold it of those left.
 
     How many values have how many rows comes to the driver: k different counts take k * k / 2 rows at least, so of n rows sqrt(2 n) at most.
+    Rows of other values, and those without a value, stay.
     """
-    counts = df.groupBy(value).count().groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
-    return per_group(df, [value], key, value_limit({r["count"]: r.n for r in counts}, share))
+    by_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = {r["__c"]: r.n for r in by_value.groupBy("__c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(c * n for c, n in counts.items())
+    over = by_value.where(F.col("__c") > share * total).select(value)
+    capped_ = per_group(df.join(over, value, "left_semi"), [value], key, int(top_limit(counts, share)))
+    return df.join(over, value, "left_anti").unionByName(capped_.select(*df.columns))
 
 
 def largest_n_per_group(df: DataFrame, group: str, inside: Column, target: float) -> DataFrame:

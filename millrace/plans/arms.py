@@ -50,10 +50,15 @@ def paired_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.moves(base, orders.select("o_orderkey", (F.col("o_totalprice") > 150_000).alias("ok")), ["o_orderkey"], ["cluster"])
 
 
-@query()
+@query(
+    ARMS
+    + """, m AS (SELECT cluster, count(*) AS n, sum(base_ok::INT) AS base_ok, sum(arm_ok::INT) AS arm_ok, sum((NOT base_ok AND arm_ok)::INT) AS fixed, sum((base_ok AND NOT arm_ok)::INT) AS broken FROM a GROUP BY cluster),
+    p AS (SELECT cluster, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) - k * ln(2))) AS tail FROM (SELECT cluster, (fixed + broken)::DOUBLE AS k, unnest(range(0, least(fixed, broken)::BIGINT + 1))::DOUBLE AS i FROM m) GROUP BY cluster)
+    SELECT m.*, round(least(1, 2 * tail), 6) AS p FROM m JOIN p USING (cluster)"""
+)
 def paired_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact tests of the moves of each cluster."""
-    return paired_moves(spark, sf_dir).withColumn("p", F.round(stats.sign_p("fixed", "broken"), 9))
+    return paired_moves(spark, sf_dir).withColumn("p", F.round(stats.sign_p("fixed", "broken"), 6))
 
 
 @query()

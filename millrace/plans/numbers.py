@@ -11,21 +11,34 @@ from .registry import query, table
 from .texts import MD5
 
 
-@query("SELECT o_orderkey, o_orderkey::DOUBLE AS value, round(o_totalprice)::BIGINT::DOUBLE AS price FROM orders")
+ONES = "['" + "', '".join(numbers.UNITS) + "']"
+TENS = "['" + "', '".join(numbers.TENS) + "']"
+
+
+def spelled(n: str, between: str = " ") -> str:
+    """SQL that spells a whole number under 1,000,000,000."""
+    small = "CASE WHEN {0} % 100 < 20 THEN " + ONES + "[{0} % 100 + 1] WHEN {0} % 10 = 0 THEN " + TENS + "[{0} % 100 // 10 - 1] ELSE " + TENS + "[{0} % 100 // 10 - 1] || ' ' || " + ONES + "[{0} % 10 + 1] END"
+    under = "CASE WHEN {0} < 100 THEN " + small + " WHEN {0} % 100 = 0 THEN " + ONES + "[{0} // 100 + 1] || ' hundred' ELSE " + ONES + "[{0} // 100 + 1] || ' hundred" + between + "' || " + small + " END"
+    parts = [f"CASE WHEN {part} > 0 THEN {under.format(part)} || '{name}' END" for part, name in ((f"({n} // 1000000)", " million"), (f"({n} // 1000 % 1000)", " thousand"), (f"({n} % 1000)", ""))]
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE concat_ws(' ', {', '.join(parts)}) END"
+
+
+@query(f"SELECT o_orderkey, 'order ' || {spelled('o_orderkey')} || ' costs ' || {spelled('round(o_totalprice)::BIGINT', ' and ')} AS said, o_orderkey::DOUBLE AS value, round(o_totalprice)::BIGINT::DOUBLE AS price FROM orders")
 def spelled_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole numbers, put into words and read again."""
-    said = F.split(F.concat_ws(" ", F.lit("order"), numbers.cardinal(F.col("o_orderkey")), F.lit("costs"), numbers.cardinal(F.round("o_totalprice").cast("long"), True)), " ")
-    got = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("w")).select("o_orderkey", numbers.read(F.col("w")).alias("n"))
-    return got.select("o_orderkey", F.get("n", F.lit(0))["value"].cast("double").alias("value"), F.get("n", F.lit(1))["value"].cast("double").alias("price"))
+    said = F.concat_ws(" ", F.lit("order"), numbers.cardinal(F.col("o_orderkey")), F.lit("costs"), numbers.cardinal(F.round("o_totalprice").cast("long"), True))
+    got = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).withColumn("n", numbers.read(F.split("said", " ")))
+    return got.select("o_orderkey", "said", F.get("n", F.lit(0))["value"].cast("double").alias("value"), F.get("n", F.lit(1))["value"].cast("double").alias("price"))
 
 
-@query("SELECT n_nationkey + 1990 AS year, [n_nationkey + 1990] = [n_nationkey + 1990] AS same FROM nation")
+@query(f"SELECT y AS year, CASE WHEN y BETWEEN 2000 AND 2009 THEN {spelled('y')} WHEN y % 100 = 0 THEN {spelled('(y // 100)')} || ' hundred' WHEN y % 100 < 10 THEN {spelled('(y // 100)')} || ' oh ' || {spelled('(y % 100)')} ELSE {spelled('(y // 100)')} || ' ' || {spelled('(y % 100)')} END AS said, CASE WHEN y BETWEEN 2000 AND 2009 OR y % 100 >= 10 OR y % 100 = 0 THEN y END::DOUBLE AS value FROM (SELECT unnest(range(1910, 2100))::BIGINT AS y)")
 def spoken_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years said in two parts are read as years, but for those of the first ten years of a century, which have an `oh`."""
-    year = (F.col("n_nationkey") + 1990).alias("year")
-    said = F.when(F.col("year") % 100 >= 10, F.element_at(numbers.candidates(F.col("year").cast("string")), 3)).otherwise(numbers.cardinal(F.col("year")))
-    got = table(spark, sf_dir, "nation").select(year).withColumn("n", numbers.read(F.split(said, " ")))
-    return got.select("year", ((F.size("n") == 1) & (F.get("n", F.lit(0))["value"] == F.col("year"))).alias("same"))
+    """Years as they are said, and what is read of that; one said with an `oh` has no reading."""
+    year, plain = F.col("year"), F.col("year").between(2000, 2009)
+    words = numbers.candidates(year.cast("string"))
+    said = F.when(plain, numbers.cardinal(year)).otherwise(F.element_at(words, 3))
+    got = spark.range(1910, 2100).select(F.col("id").alias("year")).withColumn("said", said).withColumn("n", numbers.read(F.split("said", " ")))
+    return got.select("year", "said", F.when(F.size("n") == 1, F.get("n", F.lit(0))["value"].cast("double")).alias("value"))
 
 
 @query()
@@ -36,11 +49,20 @@ def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("lang", F.col("n.form").alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*')) AS v FROM documents) SELECT v, CASE WHEN regexp_full_match(v, '[0-9]{{1,3}}([.,][0-9]{{3}})+') OR regexp_full_match(v, '[0-9]+') THEN 1 ELSE 0 END + CASE WHEN regexp_full_match(v, '[0-9]+[.,][0-9]+') THEN 1 ELSE 0 END AS n FROM s WHERE len(v) <= 20")
+@query(
+    """
+    WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*')) AS v FROM documents),
+    g AS (SELECT v, CASE WHEN regexp_full_match(v, '[0-9]{1,3}([.,][0-9]{3})+|[0-9]+') THEN TRY_CAST(regexp_replace(v, '[.,]', '', 'g') AS DECIMAL(38, 9)) END AS whole, CASE WHEN regexp_full_match(v, '[0-9]+[.,][0-9]+') THEN TRY_CAST(replace(v, ',', '.') AS DECIMAL(38, 9)) END AS point FROM s)
+    SELECT v, (whole IS NOT NULL)::INT + (point IS NOT NULL)::INT AS n, whole::DOUBLE AS whole, point::DOUBLE AS point FROM g
+    """
+)
 def token_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many values the tokens of digits in texts have."""
-    tokens = table(spark, sf_dir, "documents").select(F.explode(classes.spans("text")).alias("v")).distinct().where(F.length("v") <= 20)
-    return tokens.select("v", F.size(numbers.digit_values(F.col("v"))).alias("n"))
+    """The values that the tokens of digits in texts have; those that decimal(38, 9) doesn't hold have none."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(classes.spans("text")).alias("v")).distinct()
+    values = tokens.withColumn("x", numbers.digit_values(F.col("v")))
+    pointed = F.col("v").rlike("^[0-9]+[.,][0-9]+$")
+    whole, point = F.when(~pointed | (F.size("x") == 2), F.get("x", F.lit(0))), F.when(pointed, F.element_at("x", F.greatest(F.size("x"), F.lit(1))))
+    return values.select("v", F.size("x").alias("n"), whole.cast("double").alias("whole"), point.cast("double").alias("point"))
 
 
 @query()
@@ -64,15 +86,15 @@ def turn_number_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(*(F.sum(f"o.{k}").alias(k) for k in ("kept", "changed", "lost", "invented")))
 
 
-@query("SELECT p_size, p_size AS value FROM (SELECT DISTINCT p_size FROM part)")
+@query("SELECT p_size, ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][p_size // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][p_size % 10 + 1] AS roman, p_size AS value FROM (SELECT DISTINCT p_size FROM part)")
 def roman_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, put into Roman numbers and read again."""
+    """Sizes as Roman numbers, and what is read of these."""
     n = F.col("p_size")
     parts = []
     for scale, one, five, ten in ((10, "X", "L", "C"), (1, "I", "V", "X")):
         d = (F.floor(n / scale) % 10).cast("int")
         parts.append(F.when(d == 9, one + ten).when(d >= 5, F.concat(F.lit(five), F.repeat(F.lit(one), d - 5))).when(d == 4, one + five).otherwise(F.repeat(F.lit(one), d)))
-    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", numbers.roman_value(F.concat(*parts)).alias("value"))
+    return table(spark, sf_dir, "part").select("p_size").distinct().withColumn("roman", F.concat(*parts)).withColumn("value", numbers.roman_value(F.col("roman")))
 
 
 CARRIERS = "SELECT 'item ' || item_id || ' {}' AS carrier FROM benchmark"
@@ -98,20 +120,33 @@ def binned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.binned(docs, F.col("n_chars"), "doc_id", ["lang"], 20_000).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT h, m, 1 + (m IN (15, 30, 45))::INT AS ways FROM (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events)")
+@query(
+    f"""
+    WITH t AS (SELECT DISTINCT hour(ts) AS h, minute(ts) AS m FROM events), w AS (SELECT h, m, {spelled('h')} AS hh, {spelled('m')} AS mm, {spelled('((h + 11) % 12 + 1)')} AS here, {spelled('(h % 12 + 1)')} AS next FROM t)
+    SELECT h, m, concat_ws(' / ', CASE WHEN m = 0 THEN hh || ' o' || chr(39) || 'clock' WHEN m < 10 THEN hh || ' oh ' || mm ELSE hh || ' ' || mm END, CASE m WHEN 15 THEN 'quarter past ' || here WHEN 30 THEN 'half past ' || here WHEN 45 THEN 'quarter to ' || next END) AS ways FROM w
+    """
+)
 def clock_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many ways there are to say the times of events."""
+    """The ways to say the times of events."""
     times = table(spark, sf_dir, "events").select(F.hour("ts").alias("h"), F.minute("ts").alias("m")).distinct()
-    return times.select("h", "m", F.size(numbers.clock_readings(F.format_string("%d:%02d", "h", "m"))).alias("ways"))
+    return times.select("h", "m", F.array_join(numbers.clock_readings(F.format_string("%d:%02d", "h", "m")), " / ").alias("ways"))
+
+
+CENTS = "round(o_totalprice * 100)::BIGINT"
 
 
-@query("SELECT o_orderkey, floor(o_totalprice)::BIGINT::DOUBLE AS whole FROM orders")
+@query(
+    f"""
+    WITH c AS (SELECT o_orderkey, {CENTS} // 100 AS d, {CENTS} % 100 AS c FROM orders)
+    SELECT o_orderkey, {spelled('d')} || ' dollar' || CASE WHEN d = 1 THEN '' ELSE 's' END || CASE WHEN c = 0 THEN '' ELSE ' and ' || {spelled('c')} || CASE WHEN c = 1 THEN ' cent' ELSE ' cents' END END AS said, d::DOUBLE AS whole FROM c
+    """
+)
 def spoken_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts, put into words and read again: the whole part."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    """Amounts in words, and the whole part as it is read of these."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     said = numbers.money_reading(F.format_string("$%d.%02d", F.floor(cents / 100), cents % 100))
-    return orders.select("o_orderkey", F.get(numbers.read(F.split(said, " ")), F.lit(0))["value"].cast("double").alias("whole"))
+    got = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return got.withColumn("whole", F.get(numbers.read(F.split("said", " ")), F.lit(0))["value"].cast("double"))
 
 
 @query()

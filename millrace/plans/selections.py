@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, text
 from ..operators import census, dedupe, select
 from .registry import query, table
-from .texts import MD5, TEMPLATE
+from .texts import MD5, SPANS, TEMPLATE
 
 
 @query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY {MD5.format('doc_id')}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 50000")
@@ -63,9 +63,13 @@ def pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.round_robin(orders, ["o_orderpriority", "o_orderstatus"], "o_orderkey", 40)
 
 
-@query()
+TOTAL = f"WITH c AS (SELECT v, count(*) AS n FROM ({SPANS}) GROUP BY v), t AS (SELECT sum(n)::DOUBLE AS total FROM c), l0 AS (SELECT 0.03::DOUBLE * total AS l, total FROM t)"
+LIMITS = ", ".join(f"l{k + 1} AS (SELECT 0.03::DOUBLE * (any_value(total) - coalesce(sum(CASE WHEN n > 0.03::DOUBLE * total THEN greatest(0, n - l) END), 0)) AS l, any_value(total) AS total FROM c, l{k})" for k in range(5))
+
+
+@query(f"{TOTAL}, {LIMITS} SELECT v, CASE WHEN n > 0.03::DOUBLE * total THEN least(n, floor(l)::BIGINT) ELSE n END AS n FROM c, l5")
 def capped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of texts, no value more than 3 % of those that are left."""
+    """Numbers of texts; a value with over 3 % of them has 3 % of those that are left."""
     spans = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(classes.spans("text")).alias("ord", "v"))
     keyed = spans.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ord").cast("string")))
     return select.cap_values(keyed, "v", 0.03, "key").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
@@ -83,7 +87,17 @@ def rows_per_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.largest_n_per_group(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag"), "l_suppkey", F.col("l_returnflag") == "R", 0.15)
 
 
-@query()
+SHAPED = "SELECT doc_id, " + MD5.format("doc_id") + " AS h, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{k}' END" for k, p in classes.SHAPES.items()) + "], lambda x: x IS NOT NULL) AS shapes FROM documents"
+
+
+@query(
+    f"""
+    WITH RECURSIVE d AS ({SHAPED}), o AS (SELECT name, row_number() OVER (ORDER BY n, name) AS k FROM (SELECT unnest(shapes) AS name, count(*) AS n FROM d GROUP BY name)),
+    g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS chosen UNION ALL SELECT i + 1, list_concat(chosen, (SELECT coalesce(list(doc_id ORDER BY h, doc_id), []) FROM d WHERE list_contains(shapes, name) AND NOT list_contains(chosen, doc_id))[1:greatest(0, 30 - (SELECT count(*) FROM d WHERE list_contains(shapes, name) AND list_contains(chosen, doc_id)))])
+        FROM g JOIN o ON k = i + 1)
+    SELECT doc_id, array_to_string(shapes, ',') AS shapes FROM d WHERE doc_id IN (SELECT unnest(chosen) FROM g WHERE i = (SELECT max(i) FROM g))
+    """
+)
 def quota_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents until each shape of number has thirty, the rarest shape first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", *classes.shape_counts("text"))

@@ -201,7 +201,16 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.similar_pairs(dedupe.shingle_sets(firsts, "id", F.col("shingles")), (4, 5)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE m AS (SELECT doc_id, {FRAME} AS w FROM documents), f AS (SELECT doc_id, list_filter(w, lambda x, i: x <> '#' OR i = 1 OR w[i - 1] <> '#') AS f FROM m),
+    t AS (SELECT DISTINCT doc_id, unnest(list_append(CASE WHEN len(f) < 3 THEN [array_to_string(f, ' ')] WHEN len(f) <= 7 THEN list_transform(range(1, len(f) - 1), lambda i: array_to_string(f[i:i+2], ' ')) ELSE list_transform(range(1, len(f) - 2), lambda i: array_to_string(f[i:i+3], ' ')) END, '= ' || array_to_string(f, ' '))) AS t FROM f), s AS (SELECT doc_id, hash(t) AS sh FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+    p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 3 * (x.n + y.n - c)), o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM n), q AS (SELECT rn, list(a) FILTER (a IS NOT NULL) AS before FROM o LEFT JOIN p ON b = doc_id GROUP BY rn),
+    g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT i + 1, CASE WHEN before IS NOT NULL AND list_has_any(kept, before) THEN kept ELSE list_append(kept, doc_id) END FROM g JOIN q ON q.rn = i + 1 JOIN o ON o.rn = i + 1)
+    SELECT unnest(kept) AS doc_id FROM g WHERE i = (SELECT max(i) FROM g)
+    """
+)
 def greedy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that stay when each drops later ones that are 0.6 like it by the shingles of their number-masked frames.
 
