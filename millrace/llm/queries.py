@@ -25,16 +25,19 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @query
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """langid.identified() of all documents: of two languages as likely the first by name; null or letterless texts are `und`."""
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
 @query
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sharding.sharded() of all documents into 24 shards by the law `bytes`; repeated rows and null texts have slots of their own."""
     return sharding.sharded(stored(spark, sf_dir, "documents"))
 
 
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontam.found() of all documents and items: null and short texts match nothing; of windows as alike the greatest similarity counts."""
     return decontam.found(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "benchmark"))
 
 
@@ -43,11 +46,13 @@ ORACLES["op3_benchmark_decontamination"] = decontam.ORACLE
 
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality.judged() of all documents: null and blank texts have no words and fail the base; an empty table gives no rows."""
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """urlfilter.judged() of all pages: null urls have an empty host and path; of rules that fit the longest counts."""
     return urlfilter.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
@@ -56,11 +61,13 @@ ORACLES["op5_url_filters"] = urlfilter.ORACLE
 
 @query
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secrets.digest() of all documents' spans: null texts have none; spans that start together stand in the order of their kinds."""
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
 
 
 @query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chat.collapsed() of all conversations: turns with one number go by role and text; repeated turns are one."""
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
@@ -69,6 +76,7 @@ ORACLES["op7_chat_formatting"] = chat.ORACLE
 
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pieces.encode() of all documents: of divisions as good the one with the longer last piece; null texts have no ids."""
     docs = table(spark, sf_dir, "documents")
     got = pieces.encode(docs, PIECE_MODEL)
     return got.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,9 +84,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash.groups() of all documents: null texts and those without a word have the fingerprint 0, linked like any other."""
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suffix.deduplicated() of all documents: of equal doc_ids none costs the other anything; null texts are empty."""
     return suffix.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")

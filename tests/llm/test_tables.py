@@ -161,3 +161,26 @@ def test_pipeline_stages(spark, small):
     joined = after.join(before.select("doc_id", "text"), "doc_id")
     assert joined.count() == before.count() == joined.where("decoded = text").count()
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == ids(after)
+
+
+def test_pipeline_takes_odd_tables(spark, small):
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    long = prose(5, 120_000)
+    odd = spark.createDataFrame([(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, "12 34", None, None, 5), (9004, long, None, None, len(long)), (None, prose(6, 40), None, None, 0), (9005, "short one", "en", "s", 9), (9005, "short one", "en", "s", 9)], plain.schema)
+    named = with_extra(plain.unionByName(odd), CLASHES)
+    for docs_ in (named, named.limit(0)):
+        empty, now = docs_ is not named, docs_
+        for name, stage in corpus_pipeline.STAGES:
+            before = now.count()
+            now = corpus_pipeline.written(stage(spark, now, small))
+            if name != "pieces":
+                assert now.columns == docs_.columns
+            if name in ("secrets", "pieces"):
+                assert now.count() == before
+        ids = [r.doc_id for r in now.select("doc_id").collect()]
+        assert empty == (not ids)
+        if not empty:
+            assert not {9001, 9002, 9003} & set(ids) and ids.count(9005) == 1 and None in ids and 9004 in ids
+            assert now.where("doc_id = 9004").first().decoded == long
