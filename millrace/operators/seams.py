@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How near a merge point is, in seconds; how far a run may pass the base; languages by wave.
-NEAR, FACTOR = 1.5, 1.1
-FIRST_WAVE = ("en", "de", "es", "fr", "it", "nl", "pt")
+NEAR, FACTOR = 1.5, 0.5
+FIRST_WAVE = ("de", "es", "fr", "it", "nl", "pt")
 
 
 def near_points(times: DataFrame, points: DataFrame, key: list[str], within: float = NEAR) -> DataFrame:
@@ -35,7 +35,7 @@ def near_interior(reads: DataFrame, times: DataFrame, points: DataFrame, within:
 
 def seam_gate(counts: DataFrame, base: str) -> DataFrame:
     """(run, check, got, base, ok) of every run but the base, of counts (run, lang, merge_wrong, wrong, dropped): what merging made wrong in the
-    first wave is no more than FACTOR times the base's, in English no more than the base's; nor is what single readings got wrong or dropped,
+    first wave, which English is not of, is no more than FACTOR times the base's, in English no more than the base's; nor is what single readings got wrong or dropped,
     in either. A run without English pairs, or a base without the first wave, fails."""
     wave = F.col("lang").isin(*FIRST_WAVE)
     known = counts.where((F.col("run") == base) & wave).select("lang")
