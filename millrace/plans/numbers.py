@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classes, numbers, text
+from ..functions import classes, languages, numbers, text
 from ..operators import generate
 from .registry import query, table
 from .texts import MD5
@@ -156,3 +156,22 @@ def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = turn_pairs(spark, sf_dir, text.words("text")).withColumn("p", align.align("a", "b"))
     return both.select("conv_id", "turn", align.edits(F.col("p"), F.col("a"), F.col("b")).alias("edits"), F.size(align.lost_words(F.col("p"), F.col("a"))).alias("lost"), F.size(align.added_words(F.col("p"), F.col("b"))).alias("added"))
+
+
+PATTERNS = " ".join(f"WHEN '{lang}' THEN '[0-9]+|[0-9]{{1,3}}([{group}][0-9]{{3}})+([{point}][0-9]+)?|[0-9]+[{point}][0-9]+'" for lang, (group, point) in languages.MARKS.items())
+POINTS = " ".join(f"WHEN '{lang}' THEN '{point}'" for lang, (_, point) in languages.MARKS.items())
+
+
+@query(
+    f"""
+    WITH d AS (SELECT lang, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\.([0-9])', chr(1) || '\\1', 'g'), ',([0-9])', chr(2) || '\\1', 'g') AS t FROM documents),
+    w AS (SELECT lang, unnest(regexp_extract_all(translate(regexp_replace(translate(translate(t, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '.,', '  '), '[^a-z0-9' || chr(1) || chr(2) || ']+', ' ', 'g'), chr(1) || chr(2), '.,'), '[^ ]+')) AS w FROM d),
+    n AS (SELECT lang, TRY_CAST(replace(replace(w, CASE WHEN CASE lang {POINTS} END = ',' THEN '.' ELSE ',' END, ''), ',', '.') AS DECIMAL(38, 9)) AS v FROM w WHERE regexp_full_match(w, CASE lang {PATTERNS} END))
+    SELECT lang, count(*) AS n, round(log10(sum(v::DOUBLE)), 6) AS size FROM n WHERE v IS NOT NULL GROUP BY lang
+    """
+)
+def language_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in digits with the marks of a text's own language: how many, and how large together."""
+    tokens = F.split(F.trim(F.regexp_replace(text.unaccented("text"), r"[^a-z0-9.,]+|[.,](?![0-9])", " ")), " +")
+    got = table(spark, sf_dir, "documents").select("lang", F.explode(languages.read_in(tokens, "lang")).alias("n")).where("n.form = 'digits'")
+    return got.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.log10(F.sum(F.col("n.value").cast("double"))), 6).alias("size"))
