@@ -46,3 +46,30 @@ def inside_share(t0: Column, t1: Column, a: Column, b: Column, lead: float = 0.0
 def number_free(words: Column, text: Column, lexicon: list[str]) -> Column:
     """No digit, no symbol of number, no number word."""
     return ~text.rlike("[0-9%$€£]") & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in lexicon]))
+
+
+#: The word error rate from which a second transcript speaks against a label.
+MOST_ERRORS = 0.25
+
+
+def judge_reason(bad_reading: Column, status: Column, text: Column, mismatch: Column, agree: Column, negation: Column, wer: Column, edits: Column, lost_extra: Column, most: float = MOST_ERRORS) -> Column:
+    """Why a second transcript rejects a label, the first reason that holds; null keeps it. One edit in a very short row rejects nothing."""
+    heard = (status == "completed") & (F.coalesce(text, F.lit("")) != "")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    reason = F.when(yes(bad_reading), "bad_reading").when(~yes(heard), "no_judge").when(yes(mismatch), "span_mismatch").when(~F.coalesce(agree, F.lit(True)), "span_disagree")
+    return reason.when(yes(negation), "negation").when(yes((wer > most) & (edits >= 2)), "wer").when(lost_extra.isNotNull(), lost_extra)
+
+
+def edge_bucket(before: Column, after: Column) -> Column:
+    """Where a long reading sits in its window, by the seconds before and after it."""
+    start, end = before <= 2.0, after <= 3.0
+    return F.when(start & end, "both").when(start, "start").when(end, "end").otherwise("middle")
+
+
+def value_class(text: Column) -> Column:
+    """`class:value` of the digits of a written number: year for four digits from 1900 to 2099, int_big from 1,000 on, else int_small; null
+    without digits, and for more than long holds."""
+    bare = F.regexp_replace(text, "[^0-9]", "")
+    n = bare.try_cast("bigint")
+    name = F.when((F.length(bare) == 4) & n.between(1900, 2099), "year").when(n >= 1000, "int_big").otherwise("int_small")
+    return F.when(n.isNotNull(), F.concat_ws(":", name, n.cast("string")))

@@ -136,3 +136,9 @@ def nearest(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, w
     seen = last_before(last_before(both, key, "__mark", width, "__b"), key, "__mark", width, "__a", back=True)
     closer = F.when(F.col("__b").isNull() | (F.col("__a") - F.col("__at") < F.col("__at") - F.col("__b")), F.col("__a")).otherwise(F.col("__b"))
     return seen.where("__point = 1").withColumn("nearest", closer).drop("__at", "__point", "__mark", "__a", "__b")
+
+
+def long_targets(words: DataFrame, key: list[str], reading: str, start: str, end: str, least: int = 3) -> DataFrame:
+    """(key, reading, start, end) of the readings with least words or more; words without a reading are none's."""
+    own = words.where(F.col(reading).isNotNull()).groupBy(*key, reading).agg(F.count(F.lit(1)).alias("n"), F.min(start).alias("start"), F.max(end).alias("end"))
+    return own.where(F.col("n") >= least).drop("n")

@@ -170,3 +170,47 @@ def margin_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles that margins are set by."""
     items = table(spark, sf_dir, "lineitem")
     return items.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.05).alias("margin"), F.percentile("l_extendedprice", 0.5).alias("middle"))
+
+
+@query(
+    """
+    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_discount > 0.09 THEN 'bad_reading' WHEN l_linestatus <> 'F' OR l_returnflag = 'X' OR l_quantity = 7 THEN 'no_judge' WHEN l_quantity = 9 THEN 'span_mismatch' WHEN l_linenumber = 5 THEN 'span_disagree' WHEN l_tax > 0.07 THEN 'negation'
+        WHEN l_quantity / 50 > 0.25 AND l_linenumber >= 2 THEN 'wer' WHEN l_suppkey % 5 = 0 THEN 'lost_word' WHEN l_suppkey % 5 = 1 THEN 'extra_word' ELSE 'kept' END AS reason FROM lineitem) GROUP BY reason
+    """
+)
+def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the reason for which a second transcript rejects them."""
+    items = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_linestatus") == "F", "completed").otherwise("failed")
+    lost = F.when(F.col("l_suppkey") % 5 == 0, "lost_word").when(F.col("l_suppkey") % 5 == 1, "extra_word")
+    reason = labels.judge_reason(F.col("l_discount") > 0.09, status, F.when(F.col("l_quantity") != 7, "x"), F.col("l_quantity") == 9, F.col("l_linenumber") != 5, F.col("l_tax") > 0.07, F.col("l_quantity") / 50, F.col("l_linenumber"), lost)
+    return items.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+    WITH w AS (SELECT l_orderkey // 8 AS s, l_suppkey % 3 AS k, l_quantity * 2 AS t0, l_quantity * 2 + 1 AS t1 FROM lineitem), r AS (SELECT s, k, min(t0) AS a, max(t1) AS b FROM w GROUP BY ALL HAVING count(*) >= 3), x AS (SELECT s, min(t0) AS a, max(t1) AS b FROM w GROUP BY s)
+    SELECT CASE WHEN r.a - x.a <= 2 AND x.b - r.b <= 3 THEN 'both' WHEN r.a - x.a <= 2 THEN 'start' WHEN x.b - r.b <= 3 THEN 'end' ELSE 'middle' END AS place, count(*) AS n FROM r JOIN x USING (s) GROUP BY place
+    """
+)
+def long_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of three words or more by where they sit in their stream."""
+    w = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("s"), (F.col("l_suppkey") % 3).alias("k"), (F.col("l_quantity") * 2).alias("t0"), (F.col("l_quantity") * 2 + 1).alias("t1"))
+    long = sequences.long_targets(w, ["s"], "k", "t0", "t1")
+    ends = w.groupBy("s").agg(F.min("t0").alias("a"), F.max("t1").alias("b"))
+    return long.join(ends, "s").groupBy(labels.edge_bucket(F.col("start") - F.col("a"), F.col("b") - F.col("end")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*')) AS v FROM documents WHERE doc_id % 3 = 0), p AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(url, ''), '[0-9]+')) AS v FROM pages),
+    c AS (SELECT doc_id, TRY_CAST(regexp_replace(v, '[^0-9]', '', 'g') AS BIGINT) AS n, len(regexp_replace(v, '[^0-9]', '', 'g')) AS k FROM d), h AS (SELECT DISTINCT CASE WHEN len(v) = 4 AND v::BIGINT BETWEEN 1900 AND 2099 THEN 'year:' WHEN v::BIGINT >= 1000 THEN 'int_big:' ELSE 'int_small:' END || v::BIGINT AS h FROM p),
+    x AS (SELECT doc_id, CASE WHEN k = 4 AND n BETWEEN 1900 AND 2099 THEN 'year:' WHEN n >= 1000 THEN 'int_big:' ELSE 'int_small:' END || n AS h FROM c WHERE n IS NOT NULL)
+    SELECT doc_id, h AS value, count(*) AS n FROM x WHERE h IN (SELECT h FROM h) GROUP BY ALL
+    """
+)
+def held_back_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made rows that hold a value which was to be held back."""
+    held = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all(F.coalesce("url", F.lit("")), F.lit("[0-9]+"), F.lit(0))).alias("v")).select(labels.value_class(F.col("v")).alias("value")).distinct()
+    spans = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.explode(classes.spans("text")).alias("v")).select("doc_id", labels.value_class(F.col("v")).alias("value"))
+    return spans.join(held, "value", "left_semi").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
