@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Negation words, without accents.
-NEGATIONS = {"en": "not no never none nobody nothing nor".split(), "de": "nicht kein keine keinen keiner nie nichts niemand".split(), "fr": "ne pas jamais rien aucun aucune personne".split(), "es": "no nunca nada nadie ningun ninguna jamas".split()}
+# Negation words, without accents, and what counts as another one.
+NEGATIONS = {
+    "de": "nicht kein keine keinen keinem keiner keines nie niemals nichts niemand weder nirgends nix".split(),
+    "es": "no ni nunca nada nadie ningun ninguno ninguna tampoco jamas".split(),
+    "fr": "ne n pas non jamais rien aucun aucune ni guere".split(),
+    "it": "non mai nessuno nessuna nessun niente nulla neanche nemmeno neppure".split(),
+    "nl": "niet geen nooit niets niks niemand nergens noch".split(),
+    "pt": "nao nem nunca nada ninguem nenhum nenhuma jamais".split(),
+}
+SAME = {"n": "ne", "niks": "niets", "nix": "nichts"}
+#: Our own, for English.
+NEGATIONS["en"] = "not no never none nobody nothing nor".split()
 
 
 def tier(source: Column, status: Column, margin: Column, tie: Column, agrees: Column, risky: Column, threshold: float) -> Column:
@@ -21,9 +31,25 @@ def classified(text: Column, rules: list[tuple[str, str]], default: str) -> Colu
 
 
 def negations(words: Column, lang: Column) -> Column:
-    """The negation words of an array of words, sorted: two texts agree if these are equal."""
+    """The negation words of an array of words, sorted: two texts agree if these are equal. A French `n` after `on` isn't heard and doesn't count."""
     known = F.create_map(*[x for k, v in NEGATIONS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    return F.array_sort(F.filter(words, lambda w: F.coalesce(F.array_contains(F.element_at(known, lang), w), F.lit(False))))
+    same = F.create_map(*[F.lit(x) for pair in SAME.items() for x in pair])
+    silent = lambda w, i: (lang == "fr") & (w == "n") & (i > 0) & (F.get(words, i - 1) == "on")
+    counted = F.filter(words, lambda w, i: F.coalesce(F.array_contains(F.element_at(known, lang), w) & ~F.coalesce(silent(w, i), F.lit(False)), F.lit(False)))
+    return F.array_sort(F.transform(counted, lambda w: F.coalesce(F.element_at(same, w), w)))
+
+
+def more_of(a: Column, b: Column) -> Column:
+    """The words that array a has more often than b, each as often as that."""
+    often = lambda x, w: F.size(F.filter(x, lambda y: y == w))
+    extra = F.transform(F.array_sort(F.array_distinct(a)), lambda w: F.array_repeat(w, F.greatest(often(a, w) - often(b, w), F.lit(0))))
+    return F.flatten(extra)
+
+
+def negation_mismatch(label: Column, heard: Column) -> Column:
+    """What negations were heard that the label lacks, else what it has too many, of arrays of negations(); null if they agree."""
+    lost, extra = more_of(heard, label), more_of(label, heard)
+    return F.when(F.size(lost) > 0, F.concat(F.lit("lost "), F.array_join(lost, " "))).when(F.size(extra) > 0, F.concat(F.lit("extra "), F.array_join(extra, " ")))
 
 
 def fits(reading: Column, heard: Column) -> Column:

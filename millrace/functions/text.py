@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a frame masks like numbers.
-CARDINALS = "zero oh one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split()
+CARDINALS = "zero oh o one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion point double triple".split()
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth thirtieth fortieth fiftieth sixtieth seventieth eightieth ninetieth hundredth thousandth millionth".split()
+DECADES = "twenties thirties forties fifties sixties seventies eighties nineties tens noughties hundreds thousands millions billions dozens".split()
+FRACTIONS = "half halves quarter quarters thirds fourths fifths sixths sevenths eighths ninths tenths".split()
 MONTHS = "january february march april may june july august september october november december".split()
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
-UNITS = "am pm oclock noon midnight dollar dollars cent cents percent euro euros pound pounds".split()
+UNITS = "am pm oclock noon midnight dollar dollars cent cents buck bucks percent grand k euro euros pound pounds".split()
+MASKED = CARDINALS + ORDINALS + DECADES + FRACTIONS + MONTHS + DAYS + UNITS
 
 
 def stable(key: Column | str) -> Column:
@@ -23,8 +27,8 @@ def words(text: str) -> Column:
 
 
 def frame(tokens: str) -> Column:
-    """An array column of words with number words, digits, months, days and units as `#`, runs of `#` as one."""
-    mask = [F.lit(x) for x in CARDINALS + MONTHS + DAYS + UNITS]
+    """An array column of words with number words, digits, ordinals, decades, fractions, months, days and units as `#`, runs of `#` as one."""
+    mask = [F.lit(x) for x in MASKED]
     shown = F.transform(tokens, lambda w: F.when(w.rlike("^[0-9]+$") | w.isin(*mask), F.lit("#")).otherwise(w))
     return F.filter(shown, lambda w, i: (w != "#") | (i == 0) | (F.get(shown, i - 1) != "#"))
 

@@ -85,17 +85,26 @@ def filled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.filled_to_floor(docs.where(chosen), docs.where(~chosen), "v", "doc_id", 3).select("doc_id")
 
 
+NEGATED = " ".join(f"WHEN '{lang}' THEN ['" + "', '".join(words) + "']" for lang, words in labels.NEGATIONS.items())
+OFTEN = "flatten(list_transform(list_sort(list_distinct({0})), lambda w: list_transform(range(greatest(0, len(list_filter({0}, lambda z: z = w)) - len(list_filter({1}, lambda z: z = w)))), lambda i: w)))"
+
+
 @query(
     f"""
-    WITH t AS (SELECT conv_id, turn, list_sort(list_filter({WORDS}, lambda w: w IN ('{"', '".join(labels.NEGATIONS['en'])}'))) AS n FROM conversations)
-    SELECT a.conv_id, a.n = b.n AS agrees FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1
+    WITH t AS (SELECT conv_id, turn, text, ['de', 'es', 'fr', 'it', 'nl', 'pt', 'en'][conv_id % 7 + 1] AS lang, {WORDS} AS w FROM conversations),
+    n AS (SELECT conv_id, turn, text, list_transform(list_filter(w, lambda x, i: list_contains(CASE lang {NEGATED} END, x) AND NOT (lang = 'fr' AND x = 'n' AND i > 1 AND w[i - 1] = 'on')), lambda x: CASE x WHEN 'n' THEN 'ne' WHEN 'niks' THEN 'niets' WHEN 'nix' THEN 'nichts' ELSE x END) AS a FROM t),
+    p AS (SELECT conv_id, turn, a, lead(a) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM n), d AS (SELECT conv_id, turn, {OFTEN.format('b', 'a')} AS lost, {OFTEN.format('a', 'b')} AS extra FROM p WHERE b IS NOT NULL)
+    SELECT conv_id, turn, CASE WHEN len(lost) > 0 THEN 'lost ' || array_to_string(lost, ' ') WHEN len(extra) > 0 THEN 'extra ' || array_to_string(extra, ' ') END AS mismatch FROM d
     """
 )
 def negation_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first two turns of a conversation have the same negation words."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", labels.negations(text.words("text"), F.lit("en")).alias("n"))
-    a, b = t.where("turn = 0").select("conv_id", F.col("n").alias("a")), t.where("turn = 1").select("conv_id", F.col("n").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", (F.col("a") == F.col("b")).alias("agrees"))
+    """Negations of each turn that the next lacks or has beside them, by seven languages in turn."""
+    from pyspark.sql import Window
+
+    lang = F.get(F.array(*[F.lit(x) for x in ("de", "es", "fr", "it", "nl", "pt", "en")]), (F.col("conv_id") % 7).cast("int"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", lang.alias("lang"), text.words("text").alias("w")).withColumn("a", labels.negations(F.col("w"), F.col("lang")))
+    pairs = t.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).where("b is not null")
+    return pairs.select("conv_id", "turn", labels.negation_mismatch(F.col("a"), F.col("b")).alias("mismatch"))
 
 
 @query(

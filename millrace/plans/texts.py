@@ -11,7 +11,7 @@ from .registry import query, table
 
 MD5 = "('0x' || substr(md5({}::VARCHAR), 1, 8))::BIGINT"
 WORDS = "CASE WHEN trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) = '' THEN []::VARCHAR[] ELSE string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') END"
-MASKED = "'" + "', '".join(text.CARDINALS + text.MONTHS + text.DAYS + text.UNITS) + "'"
+MASKED = "'" + "', '".join(text.MASKED) + "'"
 
 
 @query(

@@ -43,6 +43,8 @@ def test_rules(spark):
     share = lambda t0, t1: one(spark, labels.inside_share(F.col("x"), F.col("y"), F.lit(0.0), F.lit(10.0)), x=t0, y=t1)
     assert share(-1.0, 1.0) == 0.5 and share(2.0, 3.0) == 1 and share(11.0, 12.0) == 0 and share(3.0, 3.0) == 0
     assert one(spark, labels.negations(F.col("w"), F.lit("en")), w="it is not no not".split()) == ["no", "not", "not"]
+    mismatch = lambda lang, a, b: one(spark, labels.negation_mismatch(labels.negations(F.col("a"), F.lit(lang)), labels.negations(F.col("b"), F.lit(lang))), a=a.split(), b=b.split())
+    assert mismatch("fr", "on a dit ne pas", "on n a dit pas pas") == "lost pas" and mismatch("nl", "niks niet", "niets") == "extra niet" and mismatch("de", "nicht", "nicht") is None
     assert one(spark, labels.classified(F.col("t"), [("b", "x"), ("a", "y")], "z"), t="ab") == "x"
 
 
