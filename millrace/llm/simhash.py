@@ -173,14 +173,14 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def near(docs: DataFrame) -> DataFrame:
     """(id, version, label) of each row: rows have one label whose sets of shingles of WORDS words are as alike as LEAST, directly or through
-    others. Rows with equal sets are one node.
+    others. Rows with equal sets are one node. A set that only rows without an id have is like no other.
 
     Candidates come from the tables of fingerprints, and from tables of least hashes, as fingerprints of sets that are 0.8 alike differ in
     about 10 of 64 bits, which no small ball reaches; whole sets decide. A node is held against AHEAD others of each list that it is in, then
     lists of which two parts are still apart are compared in full, part against part, so that a large group of near copies makes few pairs.
     """
     rows = written(sketches(docs))
-    nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("id", "version")).alias("at")))
+    nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "version"))).alias("at")))
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     linked = links(prints.select("fp"))
     for side in ("a", "b"):

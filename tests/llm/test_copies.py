@@ -105,6 +105,9 @@ def test_dedup_loses_no_text_of_a_repeated_id(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, more string")
     assert sorted((r.doc_id, r.text, r.more) for r in simhash.dedup(d).collect() if r.doc_id) == sorted([(7, a, "x"), (7, b, "x")])
     assert simhash.dedup(d).where("doc_id is null").count() == 1
+    near = a.replace(a.split()[30], "other", 1)
+    d = spark.createDataFrame([(None, a), (1, a), (2, near), (3, b), (None, b)], "doc_id long, text string")
+    assert plain_set(a) != plain_set(near) and sorted(str(r.doc_id) for r in simhash.dedup(d).collect()) == ["1", "3", "None", "None"]
 
 
 def test_near_copies_at_every_similarity(spark):
