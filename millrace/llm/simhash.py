@@ -88,6 +88,8 @@ WORDS, LEAST = 5, (4, 5)
 TABLES, MINIMA = 16, 4
 #: Nodes of a list that each node is held against at once, those that come next in an order of the list's own; lists are cut into parts.
 AHEAD, PART = 10, 1000
+#: Nodes of a block, and shingles that blocks are compared by at a time.
+BLOCK_NODES, COLUMNS = 256, 4096
 BLOCK_BYTES = 1 << 20
 UPPER = np.zeros(256, bool)
 UPPER[[*range(ord("A"), ord("Z") + 1)]] = True
@@ -171,13 +173,64 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return sized.where((LEAST[0] + LEAST[1]) * F.col("common") >= LEAST[0] * F.col("n")).select("a", "b")
 
 
+def links_of_parts(listed: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes that are as alike as LEAST, of lists (key, node, n, label), whose labels differ. held: their sets (node, sh).
+
+    Only lists with several labels are looked at, and of these only nodes that have four fifths of their shingles in common with nodes of
+    other labels, all together; others can be like none of them. What is left of a list is dealt into blocks in order of label. Blocks meet
+    in tasks of their own, which count common shingles and give out links alone; two blocks of one and the same label don't meet.
+    """
+    several = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    open_ = written(listed.join(several, "key"))
+    own = open_.select("node", "n", "label").distinct().join(held, "node")
+    each = written(own.select("node", "n", "label", F.explode("sh").alias("s")))
+    crossing = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("s")
+    able = each.join(crossing, "s").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(LEAST[1] * F.col("c") >= LEAST[0] * F.col("n")).select("node")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("label", "node"))
+    left = written(open_.join(able, "node").withColumn("block", F.floor((nth - 1) / BLOCK_NODES)).join(held, "node").select("key", "block", "node", "label", "sh"))
+    spans = left.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    other = spans.select(F.col("key").alias("k"), F.col("block").alias("j"), F.col("least").alias("low"), F.col("most").alias("high"))
+    met = (F.col("key") == F.col("k")) & (F.col("block") <= F.col("j")) & ~((F.col("least") == F.col("most")) & (F.col("low") == F.col("high")) & (F.col("least") == F.col("low")))
+    cells = written(spans.join(other, met).select("key", F.col("block").alias("i"), "j"))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (side.column(f"{n}_sh").combine_chunks() for side, n in ((a, "a"), (b, "b")))
+        sizes = [np.diff(v.offsets.to_numpy()) for v in (x, y)]
+        values = [v.flatten().to_numpy() for v in (x, y)]
+        owner = [np.repeat(np.arange(len(k)), k) for k in sizes]
+        columns = np.intersect1d(*values)
+        common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        for start in range(0, len(columns), COLUMNS):
+            part = columns[start : start + COLUMNS]
+            both = []
+            for v, own_, k in zip(values, owner, sizes, strict=True):
+                at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+                there = part[at] == v
+                matrix = np.zeros((len(k), len(part)), np.float32)
+                matrix[own_[there], at[there]] = 1
+                both.append(matrix)
+            common += both[0] @ both[1].T
+        like = (LEAST[0] + LEAST[1]) * common >= LEAST[0] * (sizes[0][:, None] + sizes[1][None, :])
+        like &= a.column("a_label").to_numpy()[:, None] != b.column("b_label").to_numpy()[None, :]
+        i, j = np.nonzero(like)
+        first, second = a.column("a_node").to_numpy()[i], b.column("b_node").to_numpy()[j]
+        return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second)})
+
+    def side(name: str, at: str) -> DataFrame:
+        mine = left.join(cells, (left["key"] == cells["key"]) & (left["block"] == cells[at]))
+        return mine.select(cells["key"].alias(f"{name}_key"), cells["i"].alias(f"{name}_i"), cells["j"].alias(f"{name}_j"), *(left[c].alias(f"{name}_{c}") for c in ("node", "label", "sh")))
+
+    grid = lambda name: side(name, "i" if name == "a" else "j").groupBy(*(f"{name}_{c}" for c in ("key", "i", "j")))
+    return grid("a").cogroup(grid("b")).applyInArrow(cell, "a long, b long").distinct()
+
+
 def near(docs: DataFrame) -> DataFrame:
     """(id, version, label) of each row: rows have one label whose sets of shingles of WORDS words are as alike as LEAST, directly or through
     others. Rows with equal sets are one node. A set that only rows without an id have is like no other.
 
     Candidates come from the tables of fingerprints, and from tables of least hashes, as fingerprints of sets that are 0.8 alike differ in
     about 10 of 64 bits, which no small ball reaches; whole sets decide. A node is held against AHEAD others of each list that it is in, then
-    lists of which two parts are still apart are compared in full, part against part, so that a large group of near copies makes few pairs.
+    what is still apart in a list is compared in full (links_of_parts()), so that a large group of near copies makes few pairs.
     """
     rows = written(sketches(docs))
     nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "version"))).alias("at")))
@@ -208,15 +261,9 @@ def near(docs: DataFrame) -> DataFrame:
     edges = written(alike(pairs, held))
     labels = written(components(nodes.select("node"), edges))
 
-    open_ = large.join(labels, "node").select("key", "node", "n", "label")
-    apart = open_.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    open_ = written(open_.join(apart, "key"))
-    if not open_.isEmpty():
-        other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
-        rest = open_.join(other, "key").where((F.col("label") < F.col("to")) & sized(F.col("n"), F.col("m"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        more = written(alike(written(rest.join(pairs, ["a", "b"], "left_anti")), held))
-        if not more.isEmpty():
-            labels = written(components(nodes.select("node"), edges.union(more)))
+    more = written(links_of_parts(large.join(labels, "node").select("key", "node", "n", "label"), held))
+    if not more.isEmpty():
+        labels = written(components(nodes.select("node"), edges.union(more)))
     return rows.select("id", "version", "node").join(labels, "node").select("id", "version", "label")
 
 

@@ -126,6 +126,8 @@ def test_near_copies_at_every_similarity(spark):
 def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 16)
     monkeypatch.setattr(simhash, "AHEAD", 2)
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 7)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
     base = prose(77, 120)
     texts = [base, *(varied(base, i, 0.012) for i in range(150)), *(prose(3000 + i, 80) for i in range(20))]
     pairs = []
