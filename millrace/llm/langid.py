@@ -129,14 +129,13 @@ def learned(docs: DataFrame) -> Network | None:
     these would be more than WINDOWS windows, and of each document PER_DOCUMENT windows spread over it. There may be any number of languages.
     """
     eligible = docs.where((fold() != 0) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"))
-    sizes = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    n = sizes.count()
-    if not n:
+    sizes = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    if not sizes:
         return None
-    each = min(PER_LANGUAGE, max(LEAST_DOCUMENTS, WINDOWS // (PER_DOCUMENT * n)))
-    # Twice as many are drawn as are taken, that no task has all of a language.
-    share = F.least(F.lit(1.0), 2.0 * each / F.col("rows"))
-    drawn = eligible.join(sizes, "lang").withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("id", "lang", "h")
+    each = min(PER_LANGUAGE, max(LEAST_DOCUMENTS, WINDOWS // (PER_DOCUMENT * len(sizes))))
+    # Twice as many are drawn as are taken, that no task has all of a language. The network too has something for each language on the driver.
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, 2.0 * each / n))])
+    drawn = eligible.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
     best = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, id)")
     chosen = drawn.distinct().withColumn("n", best).where(F.col("n") <= each).select("id", F.col("lang").alias("is_lang"))
     own = docs.select("doc_id", "lang", "text")
