@@ -353,6 +353,7 @@ def learned(docs: DataFrame) -> Field:
     made-up secrets of further shapes and names put into other pieces. Of an empty table nothing is learned, and the chain finds nothing."""
     n = docs.count()
     share = min(1.0, DOCUMENTS / max(n, 1))
+    thinned = 1000 * min(1.0, 2 * OTHERS / max(1, min(n, DOCUMENTS)))
     h = F.xxhash64(F.col("doc_id").cast("string"))
     drawn = docs.where(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).select(h, F.col("text").cast("string"))
 
@@ -367,7 +368,9 @@ def learned(docs: DataFrame) -> Field:
                 ids = batch.column(0).slice(first, rows).to_numpy()
                 there, begin = np.unique(tok.text, return_index=True)
                 sizes = np.diff(np.append(begin, len(tok)))
-                centres = np.concatenate([np.flatnonzero(tags == BEGIN), begin + ids[there] % sizes])
+                # Of other pieces one for so many documents, by a hash, as give twice those that are taken.
+                chosen = (ids[there] >> 32) % 1000 < thinned
+                centres = np.concatenate([np.flatnonzero(tags == BEGIN), (begin + ids[there] % sizes)[chosen]])
                 a = np.maximum(centres - REACH, np.repeat(begin, sizes)[centres])
                 b = np.minimum(centres + REACH, np.repeat(begin + sizes - 1, sizes)[centres])
                 secret = [bool(tags[i : j + 1].any()) for i, j in zip(a, b, strict=True)]
