@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 from itertools import product
 
 import numpy as np
@@ -11,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import numbers
+from .numbers import ARABIC, UNITS, written_value
+from .numbers import TENS as ENGLISH_TENS
 
 # Number words without accents, from 0 on, tens from 20 on, hundreds where they have words of their own, scales, and the marks
 # between groups of three digits and before decimals. Words that are articles too (ein, un, uno, um, een) are no numbers alone.
 ONES = {
-    "en": numbers.UNITS,
+    "en": UNITS,
     "de": "null eins zwei drei vier funf sechs sieben acht neun zehn elf zwolf dreizehn vierzehn funfzehn sechzehn siebzehn achtzehn neunzehn".split(),
     "fr": "zero un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize".split(),
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete dieciocho diecinueve".split(),
@@ -25,7 +25,7 @@ ONES = {
     "pt": "zero um dois tres quatro cinco seis sete oito nove dez onze doze treze quatorze quinze dezesseis dezessete dezoito dezenove".split(),
 }
 TENS = {
-    "en": list(numbers.TENS),
+    "en": list(ENGLISH_TENS),
     "de": "zwanzig dreissig vierzig funfzig sechzig siebzig achtzig neunzig".split(),
     "fr": "vingt trente quarante cinquante soixante".split(),
     "es": "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split(),
@@ -101,9 +101,17 @@ def under_thousand(lang: str, n: int) -> list[str]:
     return [f"{ONES[lang][h]} hundred {mid}{b}".strip() for b in tails for mid in (("", "and ") if rest else ("",))]
 
 
-@cache
+_FORMS: dict[str, tuple[dict[tuple[str, ...], int], int, re.Pattern | None]] = {}
+
+
 def forms(lang: str) -> tuple[dict[tuple[str, ...], int], int, re.Pattern | None]:
-    """The spoken forms of a language's small numbers, the most words of one, and what parts a compound of thousands."""
+    """The spoken forms of a language's small numbers, the most words of one, and what parts a compound of thousands; made once."""
+    if lang not in _FORMS:
+        _FORMS[lang] = made_forms(lang)
+    return _FORMS[lang]
+
+
+def made_forms(lang: str) -> tuple[dict[tuple[str, ...], int], int, re.Pattern | None]:
     known = {tuple(form.split()): n for n in range(2000 if lang in ("de", "nl") else 1000) for form in under_thousand(lang, n)}
     known |= {(form,): n for form, n in OTHER_FORMS.get(lang, {}).items()}
     parts = {"de": "tausend", "nl": "duizend", "it": "mila|mille"}.get(lang)
@@ -152,7 +160,7 @@ def written(token: str, lang: str) -> str | None:
     group, point = MARKS[lang]
     if not re.fullmatch(rf"[0-9]+|[0-9]{{1,3}}(?:[{group}][0-9]{{3}})+(?:[{point}][0-9]+)?|[0-9]+[{point}][0-9]+", token):
         return None
-    return numbers.written_value(token.replace(group, "").replace(point, "."))
+    return written_value(token.replace(group, "").replace(point, "."))
 
 
 def said(tokens: list[str], lang: str) -> list[tuple[int | str, str]]:
@@ -176,6 +184,6 @@ def read_in(tokens: pa.Array, lang: pa.Array) -> pa.Array:
     """The numbers of an array of lower-case words without accents, in order, by a row's language: array of (value, form), form words or digits.
     None for a language that isn't known."""
     found = [said(x, name) if x and name in ONES else [] for x, name in zip(tokens.to_pylist(), lang.to_pylist(), strict=True)]
-    values = pa.array([str(value) for row in found for value, _ in row], pa.string()).cast(numbers.ARABIC)
+    values = pa.array([str(value) for row in found for value, _ in row], pa.string()).cast(ARABIC)
     marks = pa.array([form for row in found for _, form in row], pa.string())
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.StructArray.from_arrays([values, marks], ["value", "form"]))

@@ -67,7 +67,7 @@ TOTAL = f"WITH c AS (SELECT v, count(*) AS n FROM ({SPANS}) GROUP BY v), t AS (S
 LIMITS = ", ".join(f"l{k + 1} AS (SELECT 0.03::DOUBLE * (any_value(total) - coalesce(sum(CASE WHEN n > 0.03::DOUBLE * total THEN greatest(0, n - l) END), 0)) AS l, any_value(total) AS total FROM c, l{k})" for k in range(5))
 
 
-@query(f"{TOTAL}, {LIMITS} SELECT v, CASE WHEN n > 0.03::DOUBLE * total THEN least(n, floor(l)::BIGINT) ELSE n END AS n FROM c, l5")
+@query(f"{TOTAL}, {LIMITS} SELECT * FROM (SELECT v, CASE WHEN n > 0.03::DOUBLE * total THEN least(n, floor(l)::BIGINT) ELSE n END AS n FROM c, l5) WHERE n > 0")
 def capped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of texts; a value with over 3 % of them has 3 % of those that are left."""
     spans = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(classes.spans("text")).alias("ord", "v"))
