@@ -29,7 +29,7 @@ WIDTH = -(-LONGEST // 8) * 8
 #: Bytes of text that are cut into segments at a time; whose repeats a task settles by itself before it sends segments on; of one partition, about.
 CUT_BYTES, COMBINED_BYTES, BUCKET_BYTES = 1 << 20, 12 << 20, 12 << 20
 #: Buckets, and places of texts, for each partition: a partition gets several by a hash, so that none gets many times what others get.
-FINE = 8
+FINE = 3
 #: Pieces in a share of FREQUENT of the documents in a sample rank last: HOT_PIECES at most. The sample has about SAMPLE documents or
 #: SAMPLE_BYTES, whichever is less, and is counted in SAMPLE_PARTS tasks.
 SAMPLE, SAMPLE_BYTES, SAMPLE_PARTS, FREQUENT, HOT_PIECES = 2_000, 8 << 20, 4, 0.02, 200_000
