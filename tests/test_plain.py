@@ -9,6 +9,7 @@ import re
 import duckdb
 import pytest
 
+import __spark_entry__  # noqa: F401  (registers the queries)
 from millrace.functions import classes
 from millrace.plans import registry
 
