@@ -87,7 +87,7 @@ WORDS, LEAST = 5, (4, 5)
 #: Tables of least hashes, and least hashes that a key of a table is made of. Two sets as alike as LEAST share a key but for 2 in 10,000.
 TABLES, MINIMA = 16, 4
 #: Nodes of a list that each node is held against at once, those that come next in an order of the list's own; lists are cut into parts.
-AHEAD, PART = 10, 1000
+AHEAD, PART = 2, 1000
 #: Nodes of a block, and shingles that blocks are compared by at a time.
 BLOCK_NODES, COLUMNS = 256, 4096
 BLOCK_BYTES = 1 << 20
