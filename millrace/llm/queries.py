@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, pieces, quality, secrets, sharding, simhash, suffix, urlfilter
+from . import bytepairs, chat, decontam, langid, merkle, packing, pieces, quality, secrets, sharding, simhash, suffix, urlfilter, whitening
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,36 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """suffix.deduplicated() of all documents: of equal doc_ids none costs the other anything; null texts are empty."""
     return suffix.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+#: Where 7 divides the unsigned crc32 of a row's decimal doc_id, the check of the manifest claims one more character than there is.
+FORGED = 7
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """merkle.manifest() of all documents, and what their proofs make of rows of which every seventh or so is forged; nulls stay as they are."""
+    docs = stored(spark, sf_dir, "documents")
+    forged = F.when(F.crc32(F.col("doc_id").cast("string")) % FORGED == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    columns = [forged if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    return merkle.tampered(merkle.manifest(docs, {"claimed": merkle.leaf(columns)}), "claimed")
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whitening.components() of all embeddings: broken vectors are left out; a component without variance is 0."""
+    return whitening.components(stored(spark, sf_dir, "embeddings"))
+
+
+def byte_model() -> str:
+    """A parameter: the place of the tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packing.packed() of the pieces of all documents: null texts are one token; repeated rows are packed like others."""
+    pieces_ = bytepairs.pieces(table(spark, sf_dir, "documents"), byte_model())
+    return packing.packed(pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
