@@ -86,10 +86,8 @@ def hexed(fp: str = "fp"):
 WORDS, LEAST = 5, (4, 5)
 #: Tables of least hashes, and least hashes that a key of a table is made of. Two sets as alike as LEAST share a key but for 2 in 10,000.
 TABLES, MINIMA = 16, 4
-#: Nodes of a list that each node is held against at once, those that come next in an order of the list's own; lists are cut into parts.
-AHEAD, PART = 2, 1000
-#: Nodes of a block, and shingles that blocks are compared by at a time.
-BLOCK_NODES, COLUMNS = 256, 4096
+#: Nodes of a list that are put into order in one task, about.
+PART = 1000
 BLOCK_BYTES = 1 << 20
 UPPER = np.zeros(256, bool)
 UPPER[[*range(ord("A"), ord("Z") + 1)]] = True
@@ -177,51 +175,26 @@ def links_of_parts(listed: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b): all pairs of nodes that are as alike as LEAST, of lists (key, node, n, label), whose labels differ. held: their sets (node, sh).
 
     Only lists with several labels are looked at, and of these only nodes that have four fifths of their shingles in common with nodes of
-    other labels, all together; others can be like none of them. What is left of a list is dealt into blocks in order of label. Blocks meet
-    in tasks of their own, which count common shingles and give out links alone; two blocks of one and the same label don't meet.
+    other labels, all together; others can be like none of them. Two of these meet if one of the rarest shingles of the larger set is one of
+    the rarest of the smaller: of n shingles all but 4/5 n and one more, or all but 8/9 n and one more. That loses no pair, as sets of n and m <= n
+    shingles have 4/9 (n + m) in common or more, which is 4/5 n and 8/9 m at least; and it spares what many texts share, such as a
+    licence, as that is rare for none of them. Whole sets decide.
     """
     several = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    open_ = written(listed.join(several, "key"))
-    own = open_.select("node", "n", "label").distinct().join(held, "node")
+    own = listed.join(several, "key").select("node", "n", "label").distinct().join(held, "node")
     each = written(own.select("node", "n", "label", F.explode("sh").alias("s")))
-    crossing = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("s")
-    able = each.join(crossing, "s").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(LEAST[1] * F.col("c") >= LEAST[0] * F.col("n")).select("node")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("label", "node"))
-    left = written(open_.join(able, "node").withColumn("block", F.floor((nth - 1) / BLOCK_NODES)).join(held, "node").select("key", "block", "node", "label", "sh"))
-    spans = left.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    other = spans.select(F.col("key").alias("k"), F.col("block").alias("j"), F.col("least").alias("low"), F.col("most").alias("high"))
-    met = (F.col("key") == F.col("k")) & (F.col("block") <= F.col("j")) & ~((F.col("least") == F.col("most")) & (F.col("low") == F.col("high")) & (F.col("least") == F.col("low")))
-    cells = written(spans.join(other, met).select("key", F.col("block").alias("i"), "j"))
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (side.column(f"{n}_sh").combine_chunks() for side, n in ((a, "a"), (b, "b")))
-        sizes = [np.diff(v.offsets.to_numpy()) for v in (x, y)]
-        values = [v.flatten().to_numpy() for v in (x, y)]
-        owner = [np.repeat(np.arange(len(k)), k) for k in sizes]
-        columns = np.intersect1d(*values)
-        common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-        for start in range(0, len(columns), COLUMNS):
-            part = columns[start : start + COLUMNS]
-            both = []
-            for v, own_, k in zip(values, owner, sizes, strict=True):
-                at = np.minimum(np.searchsorted(part, v), len(part) - 1)
-                there = part[at] == v
-                matrix = np.zeros((len(k), len(part)), np.float32)
-                matrix[own_[there], at[there]] = 1
-                both.append(matrix)
-            common += both[0] @ both[1].T
-        like = (LEAST[0] + LEAST[1]) * common >= LEAST[0] * (sizes[0][:, None] + sizes[1][None, :])
-        like &= a.column("a_label").to_numpy()[:, None] != b.column("b_label").to_numpy()[None, :]
-        i, j = np.nonzero(like)
-        first, second = a.column("a_node").to_numpy()[i], b.column("b_node").to_numpy()[j]
-        return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second)})
-
-    def side(name: str, at: str) -> DataFrame:
-        mine = left.join(cells, (left["key"] == cells["key"]) & (left["block"] == cells[at]))
-        return mine.select(cells["key"].alias(f"{name}_key"), cells["i"].alias(f"{name}_i"), cells["j"].alias(f"{name}_j"), *(left[c].alias(f"{name}_{c}") for c in ("node", "label", "sh")))
-
-    grid = lambda name: side(name, "i" if name == "a" else "j").groupBy(*(f"{name}_{c}" for c in ("key", "i", "j")))
-    return grid("a").cogroup(grid("b")).applyInArrow(cell, "a long, b long").distinct()
+    spread = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("often"))
+    counted = written(each.join(spread, "s").select("node", "n", "label", "s", "often", (F.col("least") < F.col("most")).alias("crossing")))
+    able = counted.groupBy("node", "n").agg(F.count_if("crossing").alias("c")).where(LEAST[1] * F.col("c") >= LEAST[0] * F.col("n")).select("node")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+    top, bottom = LEAST
+    rare = written(counted.join(able, "node").withColumn("nth", nth).where(f"crossing and nth <= n - ceil({top} * n / {bottom}) + 1").select("node", "n", "label", "s", "nth"))
+    first = rare.where(f"nth <= n - ceil({2 * top} * n / {top + bottom}) + 1")
+    a = rare.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label")))
+    b = first.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label")))
+    smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
+    met = a.join(b, "s").where((F.col("a_label") != F.col("b_label")) & smaller & (bottom * F.col("b_n") >= top * F.col("a_n")))
+    return alike(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), held)
 
 
 def near(docs: DataFrame) -> DataFrame:
@@ -229,8 +202,9 @@ def near(docs: DataFrame) -> DataFrame:
     others. Rows with equal sets are one node. A set that only rows without an id have is like no other.
 
     Candidates come from the tables of fingerprints, and from tables of least hashes, as fingerprints of sets that are 0.8 alike differ in
-    about 10 of 64 bits, which no small ball reaches; whole sets decide. A node is held against AHEAD others of each list that it is in, then
-    what is still apart in a list is compared in full (links_of_parts()), so that a large group of near copies makes few pairs.
+    about 10 of 64 bits, which no small ball reaches; whole sets decide. A node is held against the next of each list that it is in, by one
+    order for all lists, so that lists with the same nodes give the same pairs; then what is still apart in a list is compared in full
+    (links_of_parts()). So a large group of near copies makes few pairs.
     """
     rows = written(sketches(docs))
     nodes = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "version"))).alias("at")))
@@ -244,14 +218,15 @@ def near(docs: DataFrame) -> DataFrame:
     listed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     listed = written(listed.join(shared, "key"))
-    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / PART))
-    ahead = Window.partitionBy("key", part).orderBy(F.xxhash64("key", "node"), "node").rowsBetween(1, AHEAD)
+    # Ranges of one order for all lists: lists with the same nodes make the same pairs.
+    part = F.expr(f"if(c <= {PART}, 0, shiftrightunsigned(xxhash64(node), 64 - cast(ceil(log2(c / {PART})) as int)))")
     sized = lambda x, y: LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
-    met = listed.select("node", "n", F.collect_list(F.struct("node", "n")).over(ahead).alias("others")).select("node", "n", F.explode("others").alias("other")).where(sized(F.col("n"), F.col("other.n")))
+    following = F.lead(F.struct("node", "n")).over(Window.partitionBy("key", part).orderBy(F.xxhash64("node"), "node"))
+    met = listed.select("node", "n", following.alias("other")).where(sized(F.col("n"), F.col("other.n")))
     pairs = written(pairs.union(met.select("node", "other.node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    large = listed.where(F.col("c") > AHEAD + 1)
+    large = listed.where("c > 2")
     wanted = wanted.union(large.select("node")).distinct().join(nodes, "node").select("node", "at.*")
     # Texts are read again: their sets would take more room than they do.
     own = sets(docs).join(wanted.hint("shuffle_hash"), ["id", "version"]) if not wanted.isEmpty() else None

@@ -125,9 +125,6 @@ def test_near_copies_at_every_similarity(spark):
 
 def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 16)
-    monkeypatch.setattr(simhash, "AHEAD", 2)
-    monkeypatch.setattr(simhash, "BLOCK_NODES", 7)
-    monkeypatch.setattr(simhash, "COLUMNS", 50)
     base = prose(77, 120)
     texts = [base, *(varied(base, i, 0.012) for i in range(150)), *(prose(3000 + i, 80) for i in range(20))]
     pairs = []
@@ -139,6 +136,23 @@ def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 151 * 150 / 2 * 0.6
 
 
+def test_texts_with_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """Texts of which two thirds are one passage, and some near copies among them: candidates follow the number of texts, not its square."""
+    passage = prose(5, 40)
+    pairs = []
+    alike = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda p, held: (pairs.append(p.count()), alike(p, held))[1])
+    for n in (400, 5000):
+        texts = [passage + " " + prose(100_000 + i, 16) for i in range(n)]
+        texts += [t + " end" for t in texts[:: n // 20]]
+        pairs.clear()
+        got = {r.id: r.label for r in simhash.near(docs(spark, texts)).collect()}
+        assert all(got[n + k] == got[k * (n // 20)] for k in range(20)) and len(set(got.values())) == n
+        assert sum(pairs) < 20 * n
+    sets = [plain_set(t) for t in texts[:50]]
+    assert min(len(a & b) / len(a | b) for a in sets for b in sets) > 0.5
+
+
 def plain_removed(rows):
     owner = {}
     for i, t in rows:
