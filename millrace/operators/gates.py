@@ -1,154 +1,172 @@
-"""The data gate: what a language's rows must hold before they are trained on, one row a check."""
+"""The data gate: what a language's rows must hold before they are trained on, one row a check.
+
+Demands are a table, and what there is another one, of (lang, class, statistic, got); a check is a row of the first joined to the second.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What each tier demands. f: share of the counts of BARS; hours; values seen; rows a value has at least; spans; groups.
-TIERS = {
-    "full": {"f": 1.0, "year_hours": 3, "seen": 110, "often": 60, "each": 40, "floor": 10, "forward": 10, "key": 40, "int_small": 2500, "to_100": 10, "hundreds": 5, "int_small_hours": 3, "int_big": 400, "int_big_distinct": 200, "scale": 50, "real_hours": 10, "window_hours": 2, "groups": 500, "held_year": 150, "held_class": 30},
-    "next": {"f": 0.55, "year_hours": 1.65, "seen": 110, "often": 60, "each": 20, "floor": 10, "forward": 5, "key": 20, "int_small": 1375, "to_100": 6, "hundreds": 3, "int_small_hours": 1.65, "int_big": 220, "int_big_distinct": 110, "scale": 28, "real_hours": 5.5, "window_hours": 1.1, "groups": 275, "held_year": 80, "held_class": 16},
-    "moderate": {"f": 0.25, "year": 375, "int_small": 625, "int_big": 100, "dec": 75, "pct": 75, "clock": 75, "cur": 75, "each": 8, "key": 5, "forward_seen": 10, "top": 0.05, "real_hours": 2.5, "window_hours": 0.5, "groups": 125, "held_year": 40, "held_class": 10},
-    "light": {"f": 0.0, "spans": 20, "distinct": 10, "top": 0.10},
-}
-BARS = {"dec": 300, "pct": 300, "cur": 300, "clock": 300, "phone": 300, "ord": 200, "date": 150, "range": 150, "decade": 150, "unit": 150}
-YEARS, YEARS_OF = 1500, {"de": 2000, "it": 2000, "nl": 2000}
-FORWARD_KEY = (2030, 2035, 2040, 2050)
+TIERS = ("full", "next", "moderate", "light")
+
+# What each tier demands. Columns: check | class | statistic | values | rows of each value, by tier | comparison | wanted, by tier |
+# only where | or where. `-`: not in this tier. Class `*`: each class that is looked at; `+`: each but year_early and int_other.
+# Statistic values: of the values given, those with so many rows. bar: the spans that the tier demands of the class. limit: synthetic share.
+DEMANDS = """
+year spans                                      | year      | spans         |                     |             | >= | 1500 825 375 -    |             |
+year hours                                      | year      | hours         |                     |             | >= | 3 1.65 - -        |             |
+years 1900-2030 seen                            | year      | values        | 1900-2030           | 1 1 - -     | >= | 110 110 - -       |             |
+year values seen >=10x                          | year      | values        |                     | 10 10 - -   | >= | 60 60 - -         |             |
+every 1990-2030 >= {rows}                       | year      | values        | 1990-2030           | 40 20 8 -   | >= | 41 41 41 -        |             |
+every 1990-2030 >= {rows} (hard floor)          | year      | values        | 1990-2030           | 10 10 - -   | >= | 41 41 - -         |             |
+every 2031-2060 >= {rows}                       | year      | values        | 2031-2060           | 10 5 - -    | >= | 30 30 - -         |             |
+forward years present ({want:g}+ of 2031-2060)  | year      | values        | 2031-2060           | - - 1 -     | >= | - - 10 -          |             |
+2030/2035/2040/2050 >= {rows}                   | year      | values        | 2030 2035 2040 2050 | 40 20 5 -   | >= | 4 4 4 -           |             |
+year singleton share <= 20%                     | year      | single_share  |                     |             | <= | 0.2 0.2 - -       |             |
+top year value <= 3%                            | year      | top_share     |                     |             | <= | 0.03 0.03 - -     |             |
+top year value <= 5%                            | year      | top_share     |                     |             | <= | - - 0.05 -        |             |
+int_small spans                                 | int_small | spans         |                     |             | >= | 2500 1375 625 -   |             |
+each 0-100 >= {rows}x                           | int_small | values        | 0-100               | 10 6 - -    | >= | 101 101 - -       |             |
+each hundred >= {rows}x                         | int_small | values        | 100 200 300 400 500 600 700 800 900 | 5 3 - - | >= | 9 9 - -   |             |
+int_small top-5 <= 30%                          | int_small | top_5_share   |                     |             | <= | 0.3 0.3 - -       |             |
+top int_small value <= 5%                       | int_small | top_share     |                     |             | <= | - - 0.05 -        |             |
+int_small hours                                 | int_small | hours         |                     |             | >= | 3 1.65 - -        |             |
+int_big spans                                   | int_big   | spans         |                     |             | >= | 400 220 100 -     |             |
+int_big distinct                                | int_big   | distinct      |                     |             | >= | 200 110 - -       |             |
+int_big each scale >= {want:g}                  | int_big   | least_scale   |                     |             | >= | 50 28 - -         |             |
+top int_big value <= 5%                         | int_big   | top_share     |                     |             | <= | - - 0.05 -        |             |
+dec spans                                       | dec       | spans         |                     |             | >= | 300 165 75 -      |             |
+pct spans                                       | pct       | spans         |                     |             | >= | 300 165 75 -      |             |
+cur spans                                       | cur       | spans         |                     |             | >= | 300 165 75 -      |             |
+clock spans                                     | clock     | spans         |                     |             | >= | 300 165 75 -      |             |
+phone spans                                     | phone     | spans         |                     |             | >= | 300 165 - -       |             |
+ord spans                                       | ord       | spans         |                     |             | >= | 200 110 - -       |             |
+date spans                                      | date      | spans         |                     |             | >= | 150 82 - -        |             |
+range spans                                     | range     | spans         |                     |             | >= | 150 82 - -        |             |
+decade spans                                    | decade    | spans         |                     |             | >= | 150 82 - -        |             |
+unit spans                                      | unit      | spans         |                     |             | >= | 150 82 - -        |             |
+decision-set year spans                         | year      | held          |                     |             | >= | 150 80 40 -       |             |
+decision-set dec spans                          | dec       | held          |                     |             | >= | 30 16 10 -        | spans >= bar |
+decision-set pct spans                          | pct       | held          |                     |             | >= | 30 16 10 -        | spans >= bar |
+decision-set cur spans                          | cur       | held          |                     |             | >= | 30 16 10 -        | spans >= bar |
+decision-set clock spans                        | clock     | held          |                     |             | >= | 30 16 10 -        | spans >= bar |
+decision-set phone spans                        | phone     | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+decision-set ord spans                          | ord       | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+decision-set date spans                         | date      | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+decision-set range spans                        | range     | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+decision-set decade spans                       | decade    | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+decision-set unit spans                         | unit      | held          |                     |             | >= | 30 16 - -         | spans >= bar |
+real number-row hours                           | rows      | real_hours    |                     |             | >= | 10 5.5 2.5 -      |             |
+real window hours                               | rows      | window_hours  |                     |             | >= | 2 1.1 0.5 -       |             |
+distinct videos/sessions                        | rows      | groups        |                     |             | >= | 500 275 125 -     |             |
+rows with a known video/session id              | rows      | known         |                     |             | >= | 0.95 0.95 0.95 0.95 |           |
+groups with > 13 rows                           | rows      | large_groups  |                     |             | <= | 0 0 0 0           |             |
+rows over the 3-per-template cap                | rows      | over_template |                     |             | <= | 0 0 0 0           |             |
+{cls} spans >= {want:g}                         | +         | spans         |                     |             | >= | - - - 20          | spans >= 1  |
+{cls} distinct >= {want:g}                      | +         | distinct      |                     |             | >= | - - - 10          | spans >= 1  |
+top {cls} value <= 10%                          | +         | top_share     |                     |             | <= | - - - 0.1         | spans >= 1  |
+{cls} ext share <= 25%                          | *         | ext_share     |                     |             | <= | 0.25 0.25 0.25 -  | spans >= 20 |
+{cls} synthetic share <= {want:.0%} or filled to bar | *    | syn_share     |                     |             | <= | limit limit limit limit | syn >= 1 | spans <= bar
+"""
+# The year spans of languages that have more years than others, as a multiple; synthetic shares; rows of a group; rows of a template.
+YEARS_OF = {"de": 4 / 3, "it": 4 / 3, "nl": 4 / 3}
 SYNTHETIC, SYNTHETIC_OF_CLASS, SYNTHETIC_OF_LANG = 0.30, {"clock": 0.5, "cur": 0.5, "phone": 0.5, "date": 0.5}, {"en": 0.5, "es": 0.5, "fr": 0.5}
-EXTERNAL, EXTERNAL_SPANS, KNOWN_UNITS, GROUP_CAP, TEMPLATE_CAP = 0.25, 20, 0.95, 13, 3
+GROUP_CAP, TEMPLATE_CAP = 13, 3
 LEFT_OUT = ("year_early", "int_other")
 
+COLUMNS = "lang string, check string, class string, stat string, low long, high long, listed array<long>, least double, how string, want double, given string, given_least double, spare string, spare_most double"
+
+
+def demands(tiers: dict[str, str], classes: list[str]) -> list[tuple]:
+    """The demands on each language of tiers, as rows of COLUMNS. classes: what `*` and `+` stand for."""
+    table = [[x.strip() for x in line.split("|")] for line in DEMANDS.strip().splitlines()]
+    out = []
+    for lang, tier in tiers.items():
+        at = TIERS.index(tier)
+
+        def scaled(cls: str, stat: str, want: str, lang: str = lang) -> float:
+            return float(round(float(want) * YEARS_OF.get(lang, 1))) if (cls, stat) == ("year", "spans") else float(want)
+
+        bars = {cls: scaled(cls, stat, want) for _, cls, stat, _, _, _, wants, *_ in table if stat == "spans" and (want := wants.split()[at]) != "-"}
+        for check, of, stat, values, rows, how, wants, given, *more in table:
+            want = wants.split()[at]
+            if want == "-":
+                continue
+            for cls in classes if of == "*" else [c for c in classes if c not in LEFT_OUT] if of == "+" else [of]:
+                bar = lambda word, cls=cls: float(bars.get(cls, 0)) if word == "bar" else float(word)
+                wanted = max(SYNTHETIC_OF_CLASS.get(cls, SYNTHETIC), SYNTHETIC_OF_LANG.get(lang, 0.0)) if want == "limit" else scaled(cls, stat, want)
+                least = rows.split()[at] if rows else None
+                low, high = map(int, values.split("-")) if "-" in values else (None, None)
+                listed = [int(v) for v in values.split()] if values and "-" not in values else None
+                only, spare = given.split(), (more[0] if more else "").split()
+                name = check.format(cls=cls, rows=least, want=wanted)
+                out.append((lang, name, cls, f"values of {name}" if stat == "values" else stat, low, high, listed, float(least) if least else None, how, wanted, only[0] if only else None, bar(only[2]) if only else None, spare[0] if spare else None, bar(spare[2]) if spare else None))
+    return out
+
 
 def scale(value: Column) -> Column:
     return F.when(value >= 10**9, "billion").when(value >= 10**6, "million").otherwise("thousand")
 
 
-def class_bar(lang: str, tier: str) -> dict[str, int]:
-    """The spans that each class must have in a language; classes without a bar are not in it."""
-    t = TIERS[tier]
-    if tier in ("full", "next"):
-        return {"year": round(YEARS_OF.get(lang, YEARS) * t["f"]), "int_small": t["int_small"], "int_big": t["int_big"]} | {k: round(n * t["f"]) for k, n in BARS.items()}
-    return {k: t[k] for k in ("year", "int_small", "int_big", "dec", "pct", "clock", "cur")} if tier == "moderate" else {}
-
-
-def counted(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of spans (lang, class, value, hours, synthetic, external) what the gate counts: (lang, class, spans, hours, distinct, top_1, top_5, single,
-    synthetic, external), and (lang, class, value, n)."""
-    values = spans.groupBy("lang", "class", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours"), F.sum(F.col("synthetic").cast("int")).alias("synthetic"), F.sum(F.col("external").cast("int")).alias("external"))
-    ranked = values.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "class").orderBy(F.desc("n"), "value")))
-    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    classes = ranked.groupBy("lang", "class").agg(F.sum("n").alias("spans"), F.sum("hours").alias("hours"), F.count(F.lit(1)).alias("distinct"), of(F.col("nth") <= 1).alias("top_1"), of(F.col("nth") <= 5).alias("top_5"), F.sum((F.col("n") == 1).cast("int")).alias("single"), F.sum("synthetic").alias("synthetic"), F.sum("external").alias("external"))
-    return classes, values.select("lang", "class", "value", "n")
-
-
-def checks_of(lang: str, tier: str, s: dict, values: dict, rows: dict) -> list[tuple[str, Column, str, float]]:
-    """(check, what there is, comparison, what is wanted). s: columns of class statistics by class and name; values: counts of values that meet
-    a floor; rows: sums over rows."""
-    t, out = TIERS[tier], []
-    at_least = lambda name, got, want: out.append((name, got, ">=", want))
-    at_most = lambda name, got, want: out.append((name, got, "<=", want))
-    share = lambda cls, what, of="spans": s[cls, what] / F.greatest(s[cls, of], F.lit(1))
-    if tier in ("full", "next"):
-        at_least("year spans", s["year", "spans"], class_bar(lang, tier)["year"])
-        at_least("year hours", s["year", "hours"], t["year_hours"])
-        at_least("years 1900-2030 seen", values["seen"], t["seen"])
-        at_least("year values seen >=10x", values["often"], t["often"])
-        at_least(f"every 1990-2030 >= {t['each']}", values["each"], 41)
-        at_least(f"every 1990-2030 >= {t['floor']} (hard floor)", values["floor"], 41)
-        at_least(f"every 2031-2060 >= {t['forward']}", values["forward"], 30)
-        at_least(f"2030/2035/2040/2050 >= {t['key']}", values["key"], 4)
-        at_most("year singleton share <= 20%", share("year", "single", "distinct"), 0.2)
-        at_most("top year value <= 3%", share("year", "top_1"), 0.03)
-        at_least("int_small spans", s["int_small", "spans"], t["int_small"])
-        at_least(f"each 0-100 >= {t['to_100']}x", values["to_100"], 101)
-        at_least(f"each hundred >= {t['hundreds']}x", values["hundreds"], 9)
-        at_most("int_small top-5 <= 30%", share("int_small", "top_5"), 0.3)
-        at_least("int_small hours", s["int_small", "hours"], t["int_small_hours"])
-        at_least("int_big spans", s["int_big", "spans"], t["int_big"])
-        at_least("int_big distinct", s["int_big", "distinct"], t["int_big_distinct"])
-        at_least(f"int_big each scale >= {t['scale']}", F.least(*(values[k] for k in ("thousand", "million", "billion"))), t["scale"])
-        for k, n in BARS.items():
-            at_least(f"{k} spans", s[k, "spans"], round(n * t["f"]))
-    elif tier == "moderate":
-        for k, n in class_bar(lang, tier).items():
-            at_least(f"{k} spans", s[k, "spans"], n)
-        at_least(f"every 1990-2030 >= {t['each']}", values["each"], 41)
-        at_least(f"forward years present ({t['forward_seen']}+ of 2031-2060)", values["forward_seen"], t["forward_seen"])
-        at_least(f"2030/2035/2040/2050 >= {t['key']}", values["key"], 4)
-        for k in ("year", "int_small", "int_big"):
-            at_most(f"top {k} value <= 5%", share(k, "top_1"), t["top"])
-    if tier != "light":
-        at_least("real number-row hours", rows["real_hours"], t["real_hours"])
-        at_least("real window hours", rows["window_hours"], t["window_hours"])
-        at_least("distinct videos/sessions", rows["groups"], t["groups"])
-        at_least("decision-set year spans", values["held_year"], t["held_year"])
-    at_least("rows with a known video/session id", rows["known"], KNOWN_UNITS)
-    at_most("groups with > 13 rows", rows["large_groups"], 0)
-    at_most("rows over the 3-per-template cap", rows["over_template"], 0)
-    return out
+def long(df: DataFrame, cls: str | Column, **stats: Column) -> DataFrame:
+    """(lang, class, stat, got) of df, a row for each of stats."""
+    pairs = [F.struct(F.lit(name).alias("stat"), c.cast("double").alias("got")) for name, c in stats.items()]
+    return df.select("lang", (F.lit(cls) if isinstance(cls, str) else cls).alias("class"), F.explode(F.array(*pairs)).alias("x")).select("lang", "class", "x.*")
+
+
+def statistics(train: DataFrame, spans: DataFrame, windows: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lang, class, stat, got) of gate()'s tables. Rows are summed by value first; of the values only their counts go on, so a class with any
+    number of values meets in no task."""
+    n = F.col("n")
+    said = F.when(F.col("class") == "int_big", F.coalesce("word", scale(F.col("value"))))
+    by_value = spans.groupBy("lang", "class", "value", said.alias("scale")).agg(F.count(F.lit(1)).alias("n"), F.sum("hours").alias("hours"), F.sum(F.col("synthetic").cast("int")).alias("syn"), F.sum(F.col("external").cast("int")).alias("ext"))
+    scales = by_value.groupBy("lang", "class", "value").agg(*(F.sum(x).alias(x) for x in ("n", "hours", "syn", "ext")), *(F.sum(F.when(F.col("scale") == k, n).otherwise(0)).alias(k) for k in ("thousand", "million", "billion")))
+    # Values with as many rows are alike: there are few such counts, however many values there are.
+    alike = scales.groupBy("lang", "class", "n").agg(F.count(F.lit(1)).alias("values"), *(F.sum(x).alias(x) for x in ("hours", "syn", "ext", "thousand", "million", "billion")))
+    larger = F.coalesce(F.sum("values").over(Window.partitionBy("lang", "class").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alike = alike.withColumn("of_5", F.least(F.greatest(5 - larger, F.lit(0)), F.col("values")) * n)
+    classes = alike.groupBy("lang", "class").agg(
+        F.sum(n * F.col("values")).alias("spans"), F.sum("values").alias("distinct"), F.max("n").alias("top"), F.sum("of_5").alias("top_5"), F.sum(F.when(n == 1, F.col("values")).otherwise(0)).alias("single"), *(F.sum(x).alias(x) for x in ("hours", "syn", "ext", "thousand", "million", "billion"))
+    )
+    share = lambda what, of="spans": F.col(what) / F.greatest(F.col(of), F.lit(1))
+    found = long(classes, F.col("class"), spans=F.col("spans"), hours=F.col("hours"), distinct=F.col("distinct"), syn=F.col("syn"), single_share=share("single", "distinct"), top_share=share("top"), top_5_share=share("top_5"), ext_share=share("ext"), syn_share=share("syn"), least_scale=F.least("thousand", "million", "billion"))
+
+    floors = asked.where("stat like 'values of %'").select(F.col("lang").alias("l"), F.col("class").alias("c"), "stat", "low", "high", "listed", "least")
+    meets = (F.col("lang") == F.col("l")) & (F.col("class") == F.col("c")) & (n >= F.col("least"))
+    among = F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(True)) & (F.col("listed").isNull() | F.array_contains("listed", F.col("value")))
+    found = found.unionByName(scales.select("lang", "class", "value", "n").join(F.broadcast(floors), meets & among).groupBy("lang", "class", "stat").agg(F.count(F.lit(1)).cast("double").alias("got")))
+
+    real, lone = train.where("not synthetic"), F.col("unit").startswith("id:")
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    groups = real.groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.sum(F.when(~lone, n).otherwise(0)).alias("known"), one(~lone & (n > GROUP_CAP)).alias("large"))
+    over = real.where("template <> ''").groupBy("lang", "template").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum(F.greatest(n - TEMPLATE_CAP, F.lit(0))).alias("over"))
+    for part in (
+        long(groups, "rows", groups=F.col("groups"), known=share("known", "rows"), large_groups=F.col("large")),
+        long(over, "rows", over_template=F.col("over")),
+        long(real.groupBy("lang").agg(F.sum("hours").alias("h")), "rows", real_hours=F.col("h")),
+        long(windows.where("not synthetic").groupBy("lang").agg(F.sum("hours").alias("h")), "rows", window_hours=F.col("h")),
+        long(held.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n")), F.col("class"), held=n),
+    ):
+        found = found.unionByName(part)
+    return found
 
 
 def gate(train: DataFrame, spans: DataFrame, windows: DataFrame, held: DataFrame, tiers: dict[str, str], classes: list[str]) -> DataFrame:
-    """(lang, check, got, want, ok) for each language of tiers and each check of its tier.
+    """(lang, check, got, want, ok) for each language of tiers and each demand of its tier.
 
-    train (lang, unit, template, hours, synthetic) has the rows with spans; spans (lang, class, value, hours, synthetic, external) these spans,
-    with a row's hours shared among them; windows (lang, hours, synthetic); held (lang, class) the spans of the decision set. classes: those
-    that synthetic and external shares are looked at for. Values without a row fail their floor; a language without rows fails what asks for
-    some. Only sums by language, class and value are kept.
+    train (lang, unit, template, hours, synthetic) has the rows with spans; spans (lang, class, value, word, hours, synthetic, external) these
+    spans, with a row's hours shared among them, and word, the scale that is said beside a number, or null; windows (lang, hours, synthetic);
+    held (lang, class) the spans of the decision set. classes: those that shares of synthetic and external spans are looked at for. What isn't
+    there counts as 0: values without a row fail their floor, and a language without rows fails what asks for some.
     """
-    spark = train.sparkSession
-    by_class, by_value = counted(spans)
-    one = lambda c: F.sum(c.cast("int"))
-    names = sorted({*classes, *BARS, "year", "int_small", "int_big"})
-    stats = ("spans", "hours", "distinct", "top_1", "top_5", "single", "synthetic", "external")
-    wide = by_class.groupBy("lang").agg(*(F.sum(F.when(F.col("class") == k, F.col(x))).alias(f"{k} {x}") for k in names for x in stats))
-    year, small, v, n = F.col("class") == "year", F.col("class") == "int_small", F.col("value"), F.col("n")
-    tier_of = F.create_map(*[F.lit(x) for pair in tiers.items() for x in pair])
-    wants = lambda key: F.create_map(*[F.lit(x) for name, t in TIERS.items() for x in (name, float(t.get(key, 0)))])[F.col("tier")]
-    floors = by_value.withColumn("tier", tier_of[F.col("lang")]).where("tier is not null").groupBy("lang").agg(
-        one(year & v.between(1900, 2030)).alias("seen"), one(year & (n >= 10)).alias("often"),
-        *(one(year & v.between(a, b) & (n >= wants(k))).alias(k) for k, a, b in (("each", 1990, 2030), ("floor", 1990, 2030), ("forward", 2031, 2060))),
-        one(year & v.between(2031, 2060)).alias("forward_seen"), one(year & v.isin(*FORWARD_KEY) & (n >= wants("key"))).alias("key"),
-        one(small & v.between(0, 100) & (n >= wants("to_100"))).alias("to_100"), one(small & v.between(100, 900) & (v % 100 == 0) & (n >= wants("hundreds"))).alias("hundreds"),
-        *(F.sum(F.when((F.col("class") == "int_big") & (scale(v) == k), n)).alias(k) for k in ("thousand", "million", "billion")),
-    )
-    real = train.where("not synthetic")
-    hours = real.groupBy("lang").agg(F.sum("hours").alias("real_hours"))
-    units = real.groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n"))
-    lone = F.col("unit").startswith("id:")
-    groups = units.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"), (F.sum(F.when(~lone, F.col("n")).otherwise(0)) / F.sum("n")).alias("known"), one(~lone & (F.col("n") > GROUP_CAP)).alias("large_groups"))
-    kinds = real.where("template <> ''").groupBy("lang", "template").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum(F.greatest(F.col("n") - TEMPLATE_CAP, F.lit(0))).alias("over_template"))
-    shown = windows.where("not synthetic").groupBy("lang").agg(F.sum("hours").alias("window_hours"))
-    decided = held.groupBy("lang").agg(*(one(F.col("class") == k).alias(f"held_{k}") for k in names))
-    out = spark.createDataFrame([(k,) for k in tiers], "lang string")
-    for part in (wide, floors, hours, groups, kinds, shown, decided):
-        out = out.join(part, "lang", "left")
-    col = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit(0)).cast("double")
-    s = {(k, x): col(f"{k} {x}") for k in names for x in stats}
-    values = {k: col(k) for k in floors.columns[1:]} | {f"held_{k}": col(f"held_{k}") for k in names}
-    rows = {k: col(k) for k in ("real_hours", "window_hours", "groups", "known", "large_groups", "over_template")}
-    told = lambda name, got, ok, want: F.struct(F.lit(name).alias("check"), got.alias("got"), want.alias("want"), ok.alias("ok"))
-    nothing = F.lit(None).cast("struct<check: string, got: double, want: double, ok: boolean>")
-    found = []
-    for lang, tier in tiers.items():
-        each = [told(name, got, got >= want if how == ">=" else got <= want, F.lit(float(want))) for name, got, how, want in checks_of(lang, tier, s, values, rows)]
-        bars, t = class_bar(lang, tier), TIERS[tier]
-        for k in classes:
-            spans_ = s[k, "spans"]
-            if tier in ("full", "next") and k in BARS or tier == "moderate" and k in ("dec", "pct", "clock", "cur"):
-                # A class that meets its bar is claimed, and must be in the decision set too.
-                each.append(F.when(spans_ >= bars[k], told(f"decision-set {k} spans", values[f"held_{k}"], values[f"held_{k}"] >= t["held_class"], F.lit(float(t["held_class"])))).otherwise(nothing))
-            if tier == "light" and k not in LEFT_OUT:
-                top = s[k, "top_1"] / F.greatest(spans_, F.lit(1))
-                each += [F.when(spans_ > 0, x).otherwise(nothing) for x in (told(f"{k} spans >= {t['spans']}", spans_, spans_ >= t["spans"], F.lit(float(t["spans"]))), told(f"{k} distinct >= {t['distinct']}", s[k, "distinct"], s[k, "distinct"] >= t["distinct"], F.lit(float(t["distinct"]))), told(f"top {k} value <= 10%", top, top <= t["top"], F.lit(t["top"])))]
-            if tier != "light":
-                external = s[k, "external"] / F.greatest(spans_, F.lit(1))
-                each.append(F.when(spans_ >= EXTERNAL_SPANS, told(f"{k} ext share <= 25%", external, external <= EXTERNAL, F.lit(EXTERNAL))).otherwise(nothing))
-            limit = max(SYNTHETIC_OF_CLASS.get(k, SYNTHETIC), SYNTHETIC_OF_LANG.get(lang, 0.0))
-            made = s[k, "synthetic"] / F.greatest(spans_, F.lit(1))
-            # A thin class may be filled with synthetic spans up to its bar.
-            filled = s[k, "synthetic"] <= F.lit(float(bars.get(k, 0))) - (spans_ - s[k, "synthetic"])
-            each.append(F.when(s[k, "synthetic"] > 0, told(f"{k} synthetic share <= {limit:.0%} or filled to bar", made, (made <= limit) | filled, F.lit(limit))).otherwise(nothing))
-        found.append(F.when(F.col("lang") == lang, F.array_compact(F.array(*each))))
-    return out.select("lang", F.explode(F.coalesce(*found)).alias("x")).select("lang", "x.*")
+    asked = train.sparkSession.createDataFrame(demands(tiers, classes), COLUMNS)
+    # As many rows as languages times demands, whatever the tables are.
+    found = statistics(train, spans, windows, held, asked).join(F.broadcast(asked.select("lang").distinct()), "lang", "left_semi")
+    of = lambda stat, got: found.select("lang", "class", F.col("stat").alias(stat), F.col("got").alias(got))
+    both = asked.join(of("stat", "found"), ["lang", "class", "stat"], "left").join(of("given", "given_got"), ["lang", "class", "given"], "left").join(of("spare", "spare_got"), ["lang", "class", "spare"], "left")
+    got = F.coalesce("found", F.lit(0.0))
+    meets = F.when(F.col("how") == ">=", got >= F.col("want")).otherwise(got <= F.col("want"))
+    spared = F.coalesce(F.coalesce("spare_got", F.lit(0.0)) <= F.col("spare_most"), F.lit(False))
+    asked_for = F.col("given").isNull() | (F.coalesce("given_got", F.lit(0.0)) >= F.col("given_least"))
+    return both.where(asked_for).select("lang", "check", got.alias("got"), "want", (meets | spared).alias("ok"))

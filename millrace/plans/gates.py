@@ -11,67 +11,57 @@ from .registry import query, table
 from .texts import SPANS, TEMPLATE
 
 TIERS = {"en": "full", "de": "next", "fr": "moderate", "es": "light"}
-CLASSES = ["year", "year_early", "int_small", "int_big", "int_other"]
+#: Classes of the texts' numbers, and of the numbers of tables, which stand for what texts of other kinds hold.
+CLASSES = ["year", "year_early", "int_small", "int_big", "int_other", "pct", "cur", "dec", "unit", "date", "ord", "decade", "clock", "phone"]
+#: A number of a table counts as said in so many hours.
+HOURS = 1 / 3600
+#: Of lineitem, orders, events and customer: the key, and an integer by class, in Spark and in SQL.
+TABLES = {
+    "lineitem": ("l_orderkey", {"pct": "cast(round(l_discount * 100) as bigint)", "cur": "cast(round(l_extendedprice) as bigint)", "dec": "cast(round(l_tax * 100) as bigint)", "unit": "cast(l_quantity as bigint)", "date": "cast(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate) as bigint)", "ord": "cast(l_linenumber as bigint)"}),
+    "orders": ("o_orderkey", {"decade": "cast(year(o_orderdate) - year(o_orderdate) % 10 as bigint)", "int_big": "cast(round(o_totalprice * 100) as bigint)"}),
+    "events": ("event_id", {"clock": "cast(hour(ts) * 100 + minute(ts) as bigint)"}),
+    "customer": ("c_custkey", {"phone": "cast(c_custkey + 5550000 as bigint)"}),
+}
+#: Scales that texts and amounts say by a word: by the value's size.
+WORD = "CASE WHEN class = 'int_big' AND value >= 20000000 THEN 'billion' END"
 
 
 def _sql() -> str:
-    checks = []
+    def literal(x: object) -> str:
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
 
-    def check(lang: str, name: str, got: str, op: str, want: float, when: str = "true", ok: str = "") -> None:
-        checks.append(f"SELECT lang, '{name}' AS check, ({got})::DOUBLE AS got, {want}::DOUBLE AS want, ({got})::DOUBLE {op} {want}::DOUBLE {ok} AS ok FROM m WHERE lang = '{lang}' AND {when}")
-
-    for lang, years, f, each, fwd, ints, to_100, hund, big, distinct, scale, wide in (("en", 1500, 1.0, 40, 10, 2500, 10, 5, 400, 200, 50, (3, 3, 10, 2, 500, 150, 40)), ("de", 1100, 0.55, 20, 5, 1375, 6, 3, 220, 110, 28, (1.65, 1.65, 5.5, 1.1, 275, 80, 20))):
-        yh, ih, rh, wh, grp, held, key = wide
-        for name, got, op, want in (
-            ("year spans", "year_n", ">=", years), ("year hours", "year_h", ">=", yh), ("years 1900-2030 seen", "seen", ">=", 110), ("year values seen >=10x", "often", ">=", 60), (f"every 1990-2030 >= {each}", f"each_{each}", ">=", 41), ("every 1990-2030 >= 10 (hard floor)", "each_10", ">=", 41),
-            (f"every 2031-2060 >= {fwd}", f"fwd_{fwd}", ">=", 30), (f"2030/2035/2040/2050 >= {key}", f"key_{key}", ">=", 4), ("year singleton share <= 20%", "year_1 / greatest(year_d, 1)", "<=", 0.2), ("top year value <= 3%", "year_top / greatest(year_n, 1)", "<=", 0.03), ("int_small spans", "small_n", ">=", ints),
-            (f"each 0-100 >= {to_100}x", f"to_100_{to_100}", ">=", 101), (f"each hundred >= {hund}x", f"hund_{hund}", ">=", 9), ("int_small top-5 <= 30%", "small_top5 / greatest(small_n, 1)", "<=", 0.3), ("int_small hours", "small_h", ">=", ih), ("int_big spans", "big_n", ">=", big), ("int_big distinct", "big_d", ">=", distinct),
-            (f"int_big each scale >= {scale}", "least(thousand, million, billion)", ">=", scale), ("real number-row hours", "real_h", ">=", rh), ("real window hours", "win_h", ">=", wh), ("distinct videos/sessions", "groups", ">=", grp), ("decision-set year spans", "held_year", ">=", held),
-            *((f"{k} spans", "0", ">=", n) for k, n in (("dec", round(300 * f)), ("pct", round(300 * f)), ("cur", round(300 * f)), ("clock", round(300 * f)), ("phone", round(300 * f)), ("ord", round(200 * f)), ("date", round(150 * f)), ("range", round(150 * f)), ("decade", round(150 * f)), ("unit", round(150 * f)))),
-        ):
-            check(lang, name, got, op, want)
-    for name, got, op, want in (
-        ("year spans", "year_n", ">=", 375), ("int_small spans", "small_n", ">=", 625), ("int_big spans", "big_n", ">=", 100), *((f"{k} spans", "0", ">=", 75) for k in ("dec", "pct", "clock", "cur")), ("every 1990-2030 >= 8", "each_8", ">=", 41), ("forward years present (10+ of 2031-2060)", "fwd_seen", ">=", 10),
-        ("2030/2035/2040/2050 >= 5", "key_5", ">=", 4), *((f"top {k} value <= 5%", f"{x}_top / greatest({x}_n, 1)", "<=", 0.05) for k, x in (("year", "year"), ("int_small", "small"), ("int_big", "big"))), ("real number-row hours", "real_h", ">=", 2.5), ("real window hours", "win_h", ">=", 0.5), ("distinct videos/sessions", "groups", ">=", 125),
-        ("decision-set year spans", "held_year", ">=", 40),
-    ):
-        check("fr", name, got, op, want)
-    for lang in TIERS:
-        check(lang, "rows with a known video/session id", "known", ">=", 0.95)
-        check(lang, "groups with > 13 rows", "large_groups", "<=", 0)
-        check(lang, "rows over the 3-per-template cap", "over_template", "<=", 0)
-        limit = 0.3 if lang == "de" else 0.5
-        for k, x in (("year", "year"), ("year_early", "early"), ("int_small", "small"), ("int_big", "big"), ("int_other", "other")):
-            bar = {"en": {"year": 1500, "int_small": 2500, "int_big": 400}, "de": {"year": 1100, "int_small": 1375, "int_big": 220}, "fr": {"year": 375, "int_small": 625, "int_big": 100}}.get(lang, {}).get(k, 0)
-            if lang != "es":
-                check(lang, f"{k} ext share <= 25%", f"{x}_ext / greatest({x}_n, 1)", "<=", 0.25, f"{x}_n >= 20")
-            elif k not in ("year_early", "int_other"):
-                check(lang, f"{k} spans >= 20", f"{x}_n", ">=", 20, f"{x}_n > 0")
-                check(lang, f"{k} distinct >= 10", f"{x}_d", ">=", 10, f"{x}_n > 0")
-                check(lang, f"top {k} value <= 10%", f"{x}_top / greatest({x}_n, 1)", "<=", 0.1, f"{x}_n > 0")
-            check(lang, f"{k} synthetic share <= {limit:.0%} or filled to bar", f"{x}_syn / greatest({x}_n, 1)", "<=", limit, f"{x}_syn > 0", f"OR {x}_syn <= {bar} - ({x}_n - {x}_syn)")
-    named = (("year", "year"), ("year_early", "early"), ("int_small", "small"), ("int_big", "big"), ("int_other", "other"))
-    wide = ", ".join(f"coalesce(sum(CASE WHEN class = '{k}' THEN {c} END), 0) AS {x}_{n}" for k, x in named for c, n in (("n", "n"), ("h", "h"), ("1", "d"), ("syn", "syn"), ("ext", "ext"), ("(n = 1)::INT", "1"), ("CASE WHEN k = 1 THEN n END", "top"), ("CASE WHEN k <= 5 THEN n END", "top5")))
-    floors = ", ".join(f"coalesce(sum((class = '{k}' AND v BETWEEN {a} AND {b} {more} AND n >= {n})::INT), 0) AS {name}_{n}" for name, k, a, b, more, ns in (("each", "year", 1990, 2030, "", (40, 20, 10, 8)), ("fwd", "year", 2031, 2060, "", (10, 5)), ("key", "year", 2030, 2050, "AND v IN (2030, 2035, 2040, 2050)", (40, 20, 5)), ("to_100", "int_small", 0, 100, "", (10, 6)), ("hund", "int_small", 100, 900, "AND v % 100 = 0", (5, 3))) for n in ns)
+    asked = ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in gates.demands(TIERS, CLASSES))
+    langs = "[" + ", ".join(f"'{x}'" for x in TIERS) + "]"
+    numbers = " UNION ALL ".join(f"SELECT {key} AS key, {langs}[{key} % 4 + 1] AS lang, '{cls}' AS class, {value} AS value FROM {name}" for name, (key, values) in TABLES.items() for cls, value in values.items())
+    stats = {"spans": "n", "hours": "h", "distinct": "d", "syn": "syn", "single_share": "single / greatest(d, 1)", "top_share": "top / greatest(n, 1)", "top_5_share": "top5 / greatest(n, 1)", "ext_share": "ext / greatest(n, 1)", "syn_share": "syn / greatest(n, 1)", "least_scale": "least(thousand, million, billion)"}
+    scale = "coalesce(word, CASE WHEN value >= 1000000000 THEN 'billion' WHEN value >= 1000000 THEN 'million' ELSE 'thousand' END)"
     return f"""
-    WITH d AS (SELECT *, n_chars / 54000 AS hours, doc_id % 10 = 0 AS syn, doc_id % 6 = 1 AS ext FROM documents), x AS (SELECT doc_id, lang, class, TRY_CAST(regexp_replace(v, '[^0-9]', '', 'g') AS BIGINT) AS v FROM ({SPANS})),
-    k AS (SELECT doc_id, count(*) AS spans FROM x GROUP BY doc_id), s AS (SELECT x.*, hours / spans AS h, syn, ext FROM x JOIN k USING (doc_id) JOIN d USING (doc_id) WHERE doc_id % 10 <> 2),
-    c AS (SELECT lang, class, v, count(*) AS n, sum(h) AS h, sum(syn::INT) AS syn, sum(ext::INT) AS ext, row_number() OVER (PARTITION BY lang, class ORDER BY count(*) DESC, v NULLS FIRST) AS k FROM s GROUP BY lang, class, v),
-    w AS (SELECT lang, {wide}, {floors}, coalesce(sum((class = 'year' AND v BETWEEN 1900 AND 2030)::INT), 0) AS seen, coalesce(sum((class = 'year' AND n >= 10)::INT), 0) AS often, coalesce(sum((class = 'year' AND v BETWEEN 2031 AND 2060)::INT), 0) AS fwd_seen,
-        coalesce(sum(CASE WHEN class = 'int_big' AND NOT coalesce(v >= 1000000, false) THEN n END), 0) AS thousand, coalesce(sum(CASE WHEN class = 'int_big' AND v >= 1000000 AND v < 1000000000 THEN n END), 0) AS million, coalesce(sum(CASE WHEN class = 'int_big' AND v >= 1000000000 THEN n END), 0) AS billion FROM c GROUP BY lang),
+    WITH q(lang, name, class, stat, low, high, listed, least_n, how, want, given, given_least, spare, spare_most) AS (VALUES {asked}),
+    d AS (SELECT *, n_chars / 54000 AS hours, doc_id % 10 = 0 AS syn, doc_id % 6 = 1 AS ext FROM documents), x AS (SELECT doc_id, lang, class, TRY_CAST(regexp_replace(v, '[^0-9]', '', 'g') AS BIGINT) AS value FROM ({SPANS})),
+    k AS (SELECT doc_id, count(*) AS spans FROM x GROUP BY doc_id),
+    a AS (SELECT lang, class, value, hours / spans AS h, syn, ext, doc_id % 10 AS fold FROM x JOIN k USING (doc_id) JOIN (SELECT doc_id, hours, syn, ext FROM d) USING (doc_id) UNION ALL SELECT lang, class, value, {HOURS}::DOUBLE, key % 10 = 0, key % 6 = 1, key % 10 FROM ({numbers})),
+    s AS (SELECT *, {WORD} AS word FROM a WHERE fold <> 2),
+    v AS (SELECT lang, class, value, count(*) AS n, sum(h) AS h, sum(syn::INT) AS syn, sum(ext::INT) AS ext, row_number() OVER (PARTITION BY lang, class ORDER BY count(*) DESC, value) AS k FROM s GROUP BY lang, class, value),
+    z AS (SELECT lang, class, {", ".join(f"sum((class = 'int_big' AND {scale} = '{k}')::INT) AS {k}" for k in ("thousand", "million", "billion"))} FROM s GROUP BY ALL),
+    c AS (SELECT lang, class, sum(n) AS n, sum(h) AS h, count(*) AS d, sum(syn) AS syn, sum(ext) AS ext, sum((n = 1)::INT) AS single, max(n) AS top, sum(CASE WHEN k <= 5 THEN n ELSE 0 END) AS top5 FROM v GROUP BY ALL),
     r AS (SELECT d.*, CASE WHEN doc_id % 40 = 7 THEN 'id:' || doc_id ELSE 'yt:' || source END AS unit, {TEMPLATE} AS t FROM d JOIN k USING (doc_id) WHERE doc_id % 10 NOT IN (0, 2)),
-    u AS (SELECT lang, count(*) AS groups, sum(CASE WHEN unit NOT LIKE 'id:%' THEN n ELSE 0 END) / sum(n) AS known, sum((unit NOT LIKE 'id:%' AND n > 13)::INT) AS large_groups FROM (SELECT lang, unit, count(*) AS n FROM r GROUP BY ALL) GROUP BY lang),
-    t AS (SELECT lang, sum(greatest(n - 3, 0)) AS over_template FROM (SELECT lang, t, count(*) AS n FROM r WHERE len(regexp_extract_all(t, '\\p{{L}}+')) >= 3 GROUP BY ALL) GROUP BY lang),
-    m AS (SELECT l.lang, w.* EXCLUDE (lang), coalesce(groups, 0) AS groups, coalesce(known, 0) AS known, coalesce(large_groups, 0) AS large_groups, coalesce(over_template, 0) AS over_template, coalesce((SELECT sum(hours) FROM r WHERE r.lang = l.lang), 0) AS real_h,
-        coalesce((SELECT sum(hours) FROM d WHERE d.lang = l.lang AND doc_id % 10 = 1), 0) AS win_h, coalesce((SELECT count(*) FROM x WHERE x.lang = l.lang AND class = 'year' AND doc_id % 10 = 2), 0) AS held_year
-        FROM (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang) l LEFT JOIN w USING (lang) LEFT JOIN u USING (lang) LEFT JOIN t USING (lang))
-    SELECT lang, "check", round(got, 6) AS got, want, coalesce(ok, false) AS ok FROM ({" UNION ALL ".join(checks)})
+    u AS (SELECT lang, count(*) AS groups, sum(CASE WHEN unit NOT LIKE 'id:%' THEN n ELSE 0 END) / sum(n) AS known, sum((unit NOT LIKE 'id:%' AND n > 13)::INT) AS large FROM (SELECT lang, unit, count(*) AS n FROM r GROUP BY ALL) GROUP BY lang),
+    g AS ({" UNION ALL ".join(f"SELECT lang, class, '{stat}' AS stat, ({got})::DOUBLE AS got FROM c JOIN z USING (lang, class)" for stat, got in stats.items())}
+        UNION ALL SELECT q.lang, q.class, stat, count(*) FROM v JOIN q ON v.lang = q.lang AND v.class = q.class AND stat LIKE 'values of %' AND n >= least_n AND (low IS NULL OR value BETWEEN low AND high) AND (listed IS NULL OR list_contains(listed, value)) GROUP BY ALL
+        UNION ALL SELECT lang, 'rows', 'groups', groups FROM u UNION ALL SELECT lang, 'rows', 'known', known FROM u UNION ALL SELECT lang, 'rows', 'large_groups', large FROM u
+        UNION ALL SELECT lang, 'rows', 'over_template', sum(greatest(n - 3, 0)) FROM (SELECT lang, t, count(*) AS n FROM r WHERE len(regexp_extract_all(t, '\\p{{L}}+')) >= 3 GROUP BY ALL) GROUP BY lang
+        UNION ALL SELECT lang, 'rows', 'real_hours', sum(hours) FROM r GROUP BY lang UNION ALL SELECT lang, 'rows', 'window_hours', sum(hours) FROM d WHERE doc_id % 10 = 1 GROUP BY lang
+        UNION ALL SELECT lang, class, 'held', count(*) FROM a WHERE fold = 2 GROUP BY ALL)
+    SELECT lang, "check", round(got, 6) AS got, want, CASE how WHEN '>=' THEN got >= want ELSE got <= want END OR coalesce(spare_got <= spare_most, false) AS ok FROM (
+        SELECT q.lang, name AS "check", coalesce(f.got, 0) AS got, want::DOUBLE AS want, how, given, given_least, coalesce(o.got, 0) AS given_got, spare_most, coalesce(p.got, 0) AS spare_got
+        FROM q LEFT JOIN g f ON (q.lang, q.class, q.stat) = (f.lang, f.class, f.stat) LEFT JOIN g o ON (q.lang, q.class, q.given) = (o.lang, o.class, o.stat) LEFT JOIN g p ON (q.lang, q.class, q.spare) = (p.lang, p.class, p.stat))
+    WHERE given IS NULL OR given_got >= given_least
     """
 
 
 @query(_sql())
 def data_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of four languages against four tiers of demands, one row a check."""
+    """Documents of four languages, and numbers of four tables, against four tiers of demands, one row a check."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", (F.col("n_chars") / 54000).alias("hours"), (F.col("doc_id") % 10 == 0).alias("synthetic"), (F.col("doc_id") % 6 == 1).alias("external"))
     fold = F.col("doc_id") % 10
     own = docs.select("*", classes.spans("text").alias("v")).where(F.size("v") > 0)
@@ -79,5 +69,12 @@ def data_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = own.where(fold != 2).select("lang", unit.alias("unit"), text.template("text").alias("template"), "hours", "synthetic")
     each = own.select("lang", fold.alias("fold"), (F.col("hours") / F.size("v")).alias("hours"), "synthetic", "external", F.explode("v").alias("v"))
     each = each.select("lang", "fold", classes.span_class(F.col("v")).alias("class"), F.regexp_replace("v", "[^0-9]", "").try_cast("bigint").alias("value"), "hours", "synthetic", "external")
+    langs = F.array(*map(F.lit, TIERS))
+    for name, (key, values) in TABLES.items():
+        numbers = F.explode(F.array(*[F.struct(F.lit(cls).alias("class"), F.expr(value).alias("value")) for cls, value in values.items()])).alias("x")
+        k = F.col("key")
+        rows = table(spark, sf_dir, name).select(F.col(key).alias("key"), numbers)
+        each = each.unionByName(rows.select(langs[(k % 4).cast("int")].alias("lang"), (k % 10).alias("fold"), "x.class", "x.value", F.lit(HOURS).alias("hours"), (k % 10 == 0).alias("synthetic"), (k % 6 == 1).alias("external")))
+    each = each.withColumn("word", F.expr(WORD))
     got = gates.gate(train, each.where("fold <> 2"), docs.where(fold == 1), each.where("fold = 2"), TIERS, CLASSES)
     return got.select("lang", "check", F.round("got", 6).alias("got"), "want", "ok")
