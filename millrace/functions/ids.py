@@ -43,13 +43,17 @@ def session(id_: Column) -> Column:
     return ruled(id_, RECORDINGS[-1:])["key"]
 
 
-def recording(id_: Column) -> Column:
-    """(kind, key, s, e): the recording that a row comes from, and its time in it where the id tells. A piece is of the recording it is cut from."""
+def recording(id_: Column, piece: Column | None = None) -> Column:
+    """(kind, key, s, e): the recording that a row comes from, and its time in it where the id tells. A piece is of the recording it is cut from;
+    piece: its seconds from the start of what the id tells, as an array of two, or null."""
     base = F.regexp_replace(id_, PIECE, "")
     rule = ruled(base, RECORDINGS)
     whole, part, seconds, rest = (F.regexp_extract(base, TIMES, k).try_cast("double") for k in range(1, 5))
     start = F.when(rule["tag"] == "yt", whole + part / 100)
-    return F.struct(F.coalesce(rule["tag"], F.lit(PLAIN)).alias("kind"), F.coalesce(rule["key"], base).alias("key"), F.round(start, 2).alias("s"), F.round(start + seconds + rest / 100, 2).alias("e"))
+    first, last = start, start + seconds + rest / 100
+    if piece is not None:
+        first, last = (F.when(F.size(piece) == 2, start + F.get(piece, F.lit(i))).otherwise(x) for i, x in enumerate((first, last)))
+    return F.struct(F.coalesce(rule["tag"], F.lit(PLAIN)).alias("kind"), F.coalesce(rule["key"], base).alias("key"), F.round(first, 2).alias("s"), F.round(last, 2).alias("e"))
 
 
 def stem(path: Column) -> Column:

@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,8 @@ BARE = {"tausend", "mille", "mil", "duizend"}
 OTHER_FORMS = {"pt": {"dezasseis": 16, "dezassete": 17, "dezanove": 19, "catorze": 14, "duas": 2, "cem": 100}, "es": {"cien": 100}, "de": {"zwo": 2, "hundert": 100}, "nl": {"honderd": 100}}
 ARTICLES = {"de": {"ein"}, "fr": {"un"}, "es": {"uno"}, "it": {"uno"}, "nl": {"een"}, "pt": {"um"}, "en": set()}
 JOINTS = {"en": {"and"}, "pt": {"e"}, "fr": set(), "es": set(), "it": set(), "de": {"und"}, "nl": {"en"}}
+#: What stands between ones and tens that are words of their own.
+APART = {"de": "und", "nl": "en"}
 MARKS = {"en": (",", "."), "de": (".", ","), "fr": (" ", ","), "es": (".", ","), "it": (".", ","), "nl": (".", ","), "pt": (".", ",")}
 
 
@@ -114,6 +117,15 @@ def forms(lang: str) -> tuple[dict[tuple[str, ...], int], int, re.Pattern | None
 def made_forms(lang: str) -> tuple[dict[tuple[str, ...], int], int, re.Pattern | None]:
     known = {tuple(form.split()): n for n in range(2000 if lang in ("de", "nl") else 1000) for form in under_thousand(lang, n)}
     known |= {(form,): n for form, n in OTHER_FORMS.get(lang, {}).items()}
+    if lang == "es":  # veintiun mil
+        known |= {(*form[:-1], form[-1].removesuffix("o")): n for form, n in known.items() if form[-1].endswith("uno") and form != ("uno",)}
+    if lang in APART:
+        # Ones and tens, and hundreds before them, may be said as words of their own.
+        ones = {1: "ein"} if lang == "de" else {}
+        apart = {(ones.get(n % 10, ONES[lang][n % 10]), APART[lang], TENS[lang][n // 10 - 2]): n for n in range(21, 100) if n % 10}
+        hundreds = {(form,): 100 * h for h in range(1, 20) for form in under_thousand(lang, 100 * h) if h != 10}
+        tails = apart | {(form,): n for n in range(1, 100) for form in under_hundred(lang, n)}
+        known = apart | {(*a, *b): x + y for a, x in hundreds.items() for b, y in tails.items()} | known
     parts = {"de": "tausend", "nl": "duizend", "it": "mila|mille"}.get(lang)
     return known, max(map(len, known)), re.compile(f"^(.*?)({parts})(.*)$") if parts else None
 
@@ -135,16 +147,22 @@ def whole(tokens: list[str], lang: str) -> list[str]:
 
 
 def spoken(tokens: list[str], i: int, lang: str) -> tuple[int, int]:
-    """The number that is said from place i on, and the place behind it; the same place if none is."""
+    """The number that is said from place i on, and the place behind it; the same place if none is.
+
+    Parts come with falling scales. A scale that is larger than what was said before takes all of it: dos mil quinientos millones.
+    """
     known, longest, _ = forms(lang)
-    scales, total, last, at = SCALES[lang], 0, 10, i
+    scales, total, last, at = SCALES[lang], 0, 99, i
     while True:
         k = at + (total > 0 and at < len(tokens) and tokens[at] in JOINTS[lang])
         n = next((n for n in range(min(longest, len(tokens) - k), 0, -1) if tuple(tokens[k : k + n]) in known), 0)
         value = known[tuple(tokens[k : k + n])] if n else 1
-        if not n and k < len(tokens) and tokens[k] in ("ein", "eine"):
+        if not n and k < len(tokens) and tokens[k] in ("ein", "eine", "un"):
             n = int(k + 1 < len(tokens) and tokens[k + 1] in scales)
         scale = scales.get(tokens[k + n], 0) if k + n < len(tokens) else 0
+        if scale and 0 < total < 10**scale and scale > last and (n == 0 or value < 10**last):
+            total, last, at = (total + (value if n else 0)) * 10**scale, scale, k + n + 1
+            continue
         if scale and scale < last and (n or tokens[k] in BARE) and value:
             total, last, at = total + value * 10**scale, scale, k + n + 1
             continue
@@ -155,6 +173,22 @@ def spoken(tokens: list[str], i: int, lang: str) -> tuple[int, int]:
         return total, at
 
 
+def joined(tokens: list[str], lang: str) -> list[str]:
+    """tokens with groups of three digits in one, where a language parts them by a space."""
+    if MARKS[lang][0] != " ":
+        return tokens
+    out: list[str] = []
+    open_ = False
+    for w in tokens:
+        goes_on = open_ and re.fullmatch(rf"[0-9]{{3}}(?:{MARKS[lang][1]}[0-9]+)?", w)
+        if goes_on:
+            out[-1] += w
+        else:
+            out.append(w)
+        open_ = bool(re.fullmatch("[0-9]{3}" if goes_on else "[0-9]{1,3}", w))
+    return out
+
+
 def written(token: str, lang: str) -> str | None:
     """The value of digits with a language's marks; None for other tokens."""
     group, point = MARKS[lang]
@@ -165,7 +199,7 @@ def written(token: str, lang: str) -> str | None:
 
 def said(tokens: list[str], lang: str) -> list[tuple[int | str, str]]:
     out: list[tuple[int | str, str]] = []
-    tokens, i = whole(tokens, lang), 0
+    tokens, i = joined(whole(tokens, lang), lang), 0
     while i < len(tokens):
         value = written(tokens[i], lang) if tokens[i][:1].isdigit() else None
         if value is not None:
@@ -179,6 +213,28 @@ def said(tokens: list[str], lang: str) -> list[tuple[int | str, str]]:
     return out
 
 
+# What a language says for one and for several thousands and millions, and between parts.
+SPELLED = {
+    "en": ("one thousand", "thousand", "one million", "million", " "),
+    "de": ("tausend", "tausend", "eine million", "millionen", " "),
+    "fr": ("mille", "mille", "un million", "millions", " "),
+    "es": ("mil", "mil", "un millon", "millones", " "),
+    "it": ("mille", "mila", "un milione", "milioni", " "),
+    "nl": ("duizend", "duizend", "een miljoen", "miljoen", " "),
+    "pt": ("mil", "mil", "um milhao", "milhoes", " e "),
+}
+
+
+def cardinal(n: Column, lang: str) -> Column:
+    """A whole number from 0 to 999,999,999 in a language's words, by its forms under 1,000."""
+    thousand, thousands, million, millions, between = SPELLED[lang]
+    names = F.array(*[F.lit(under_thousand(lang, k)[0]) for k in range(1000)])
+    part = lambda k: (F.floor(n / 1000**k) % 1000).cast("int")
+    said = lambda k, one, many: F.when(part(k) == 1, one).when(part(k) > 1, F.concat(F.get(names, part(k)), F.lit(f" {many}")))
+    rest = F.when((part(0) > 0) | (n == 0), F.get(names, part(0)))
+    return F.concat_ws(between, said(2, million, millions), said(1, thousand, thousands), rest)
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("value", T.DecimalType(38, 9)), T.StructField("form", T.StringType())])))
 def read_in(tokens: pa.Array, lang: pa.Array) -> pa.Array:
     """The numbers of an array of lower-case words without accents, in order, by a row's language: array of (value, form), form words or digits.

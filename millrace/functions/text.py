@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,9 +81,45 @@ def word_distance(a: str, b: str) -> Column:
     return F.when(F.size(known) > 1 << 20, too_many.cast("int")).otherwise(F.levenshtein(coded(a), coded(b)))
 
 
+def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters that Unicode decomposes (NFKD) into one other beside accents; into several, ASCII letters, digits or marks; and all accents,
+    as a class of a pattern."""
+    one, several, accents = {}, {}, []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(code)
+        if unicodedata.combining(c):
+            if accents and accents[-1][1] == code - 1:
+                accents[-1][1] = code
+            else:
+                accents.append([code, code])
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare == c:
+            continue
+        if len(bare) == 1:
+            one[c] = bare
+        elif bare and bare.isascii():
+            several[c] = bare
+    return one, several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in accents) + "]"
+
+
+_ONE, _SEVERAL, _ACCENTS = _decompositions()
+
+
+def decomposed(text: Column) -> Column:
+    """A text without accents, and with ligatures, wide letters, signs and such in plain letters: NFKD without combining characters.
+
+    Characters that stand for several others beyond ASCII, such as Hangul syllables, stay as they are.
+    """
+    bare = F.regexp_replace(F.translate(text, "".join(_ONE), "".join(_ONE.values())), _ACCENTS, "")
+    names = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(F.element_at(names, c), c)), "")
+    return F.when(bare.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(bare)
+
+
 def unaccented(text: str) -> Column:
-    """Lower-case letters of the western languages without their accents."""
-    return F.translate(F.replace(F.lower(F.col(text)), F.lit("ß"), F.lit("ss")), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower-case letters without their accents; ß as ss."""
+    return decomposed(F.replace(F.lower(F.col(text)), F.lit("ß"), F.lit("ss")))
 
 
 def primitive_period(text: str) -> Column:

@@ -21,9 +21,10 @@ REASONS = ("audio_vox", "audio_yt", "session_text", "text", "near_text"), ("audi
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """rows (id, caption, rank) with what tells an utterance: kind, key, s and e of its recording, its session, words, text key and numbers.
+    """rows (id, caption, rank, and piece and src if there are such columns) with what tells an utterance: kind, key, s and e of its recording, its session, words, text key and numbers.
 
-    rank is a column in whose order rows are gone through; it is unique. A caption read by many (`fleurs`) has no text key of its own.
+    rank is a column in whose order rows are gone through; it is unique. A caption read by many, of which the id or
+    src says `fleurs`, has no text key of its own. piece: seconds of a video's range that the row is cut from.
     """
     name = F.col("id").cast("string")
     said = F.transform(F.split(F.coalesce("caption", F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9а-яієґ]", ""))
@@ -33,7 +34,9 @@ def described(rows: DataFrame) -> DataFrame:
     key = F.when((F.length(letters) >= KEY_CHARS) & (F.col("n_words") >= KEY_WORDS), F.sha2(letters, 256))
     numbers = F.array_sort(F.regexp_extract_all(F.coalesce("caption", F.lit("")), F.lit("[0-9]+"), F.lit(0)))
     base = F.regexp_replace(name, ids.PIECE, "")
-    out = words.select("id", "rank", ids.recording(name).alias("r"), ids.session(base).alias("session"), "words", key.alias("text_key"), numbers.alias("numbers"), name.startswith("fleurs").alias("many"))
+    piece = F.col("piece") if "piece" in rows.columns else None
+    many = name.startswith("fleurs") | (F.coalesce(F.col("src"), F.lit("")) == "fleurs" if "src" in rows.columns else F.lit(False))
+    out = words.select("id", "rank", ids.recording(name, piece).alias("r"), ids.session(base).alias("session"), "words", key.alias("text_key"), numbers.alias("numbers"), many.alias("many"))
     return out.select("id", "rank", "r.*", "session", "words", "text_key", "numbers", "many")
 
 

@@ -31,14 +31,16 @@ def spelled_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "said", F.get("n", F.lit(0))["value"].cast("double").alias("value"), F.get("n", F.lit(1))["value"].cast("double").alias("price"))
 
 
-@query(f"SELECT y AS year, CASE WHEN y BETWEEN 2000 AND 2009 THEN {spelled('y')} WHEN y % 100 = 0 THEN {spelled('(y // 100)')} || ' hundred' WHEN y % 100 < 10 THEN {spelled('(y // 100)')} || ' oh ' || {spelled('(y % 100)')} ELSE {spelled('(y // 100)')} || ' ' || {spelled('(y % 100)')} END AS said, CASE WHEN y BETWEEN 2000 AND 2009 OR y % 100 >= 10 OR y % 100 = 0 THEN y END::DOUBLE AS value FROM (SELECT unnest(range(1910, 2100))::BIGINT AS y)")
+@query(f"SELECT y AS year, CASE WHEN y BETWEEN 2000 AND 2009 THEN {spelled('y')} WHEN y % 100 = 0 THEN {spelled('(y // 100)')} || ' hundred' WHEN y % 100 < 10 THEN {spelled('(y // 100)')} || ' oh ' || {spelled('(y % 100)')} ELSE {spelled('(y // 100)')} || ' ' || {spelled('(y % 100)')} END AS said, CASE WHEN y BETWEEN 2000 AND 2009 OR y % 100 >= 10 OR y % 100 = 0 THEN y END::DOUBLE AS value, n FROM (SELECT 1910 + (year(o_orderdate) * 7 + o_orderkey) % 190 AS y, count(*) AS n FROM orders GROUP BY y)")
 def spoken_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years as they are said, and what is read of that; one said with an `oh` has no reading."""
+    """Years of orders, moved over two centuries by their keys, as they are said, and what is read of that; one said with an `oh` has no reading."""
     year, plain = F.col("year"), F.col("year").between(2000, 2009)
     words = numbers.candidates(year.cast("string"))
     said = F.when(plain, numbers.cardinal(year)).otherwise(F.element_at(words, 3))
-    got = spark.range(1910, 2100).select(F.col("id").alias("year")).withColumn("said", said).withColumn("n", numbers.read(F.split("said", " ")))
-    return got.select("year", "said", F.when(F.size("n") == 1, F.get("n", F.lit(0))["value"].cast("double")).alias("value"))
+    moved = 1910 + (F.year("o_orderdate") * 7 + F.col("o_orderkey")) % 190
+    years = table(spark, sf_dir, "orders").groupBy(moved.cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    got = years.withColumnRenamed("n", "orders").withColumn("said", said).withColumn("n", numbers.read(F.split("said", " ")))
+    return got.select("year", "said", F.when(F.size("n") == 1, F.get("n", F.lit(0))["value"].cast("double")).alias("value"), F.col("orders").alias("n"))
 
 
 @query()
@@ -158,6 +160,7 @@ def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", align.edits(F.col("p"), F.col("a"), F.col("b")).alias("edits"), F.size(align.lost_words(F.col("p"), F.col("a"))).alias("lost"), F.size(align.added_words(F.col("p"), F.col("b"))).alias("added"))
 
 
+SPACED = "('" + "', '".join(lang for lang, (group, _) in languages.MARKS.items() if group == " ") + "')"
 PATTERNS = " ".join(f"WHEN '{lang}' THEN '[0-9]+|[0-9]{{1,3}}([{group}][0-9]{{3}})+([{point}][0-9]+)?|[0-9]+[{point}][0-9]+'" for lang, (group, point) in languages.MARKS.items())
 POINTS = " ".join(f"WHEN '{lang}' THEN '{point}'" for lang, (_, point) in languages.MARKS.items())
 
@@ -165,7 +168,7 @@ POINTS = " ".join(f"WHEN '{lang}' THEN '{point}'" for lang, (_, point) in langua
 @query(
     f"""
     WITH d AS (SELECT lang, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\.([0-9])', chr(1) || '\\1', 'g'), ',([0-9])', chr(2) || '\\1', 'g') AS t FROM documents),
-    w AS (SELECT lang, unnest(regexp_extract_all(translate(regexp_replace(translate(translate(t, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '.,', '  '), '[^a-z0-9' || chr(1) || chr(2) || ']+', ' ', 'g'), chr(1) || chr(2), '.,'), '[^ ]+')) AS w FROM d),
+    w AS (SELECT lang, replace(unnest(regexp_extract_all(CASE WHEN lang IN {SPACED} THEN replace(s, ' ', '  ') || '  ' ELSE s END, CASE WHEN lang IN {SPACED} THEN '[0-9]{{1,3}}(?:  [0-9]{{3}})+(?:,[0-9]+)? |[^ ]+' ELSE '[^ ]+' END)), ' ', '') AS w FROM (SELECT lang, trim(translate(regexp_replace(translate(strip_accents(replace(t, 'ß', 'ss')), '.,', '  '), '[^a-z0-9' || chr(1) || chr(2) || ']+', ' ', 'g'), chr(1) || chr(2), '.,')) AS s FROM d)),
     n AS (SELECT lang, TRY_CAST(replace(replace(w, CASE WHEN CASE lang {POINTS} END = ',' THEN '.' ELSE ',' END, ''), ',', '.') AS DECIMAL(38, 9)) AS v FROM w WHERE regexp_full_match(w, CASE lang {PATTERNS} END))
     SELECT lang, count(*) AS n, round(log10(sum(v::DOUBLE)), 6) AS size FROM n WHERE v IS NOT NULL GROUP BY lang
     """
@@ -175,3 +178,26 @@ def language_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.split(F.trim(F.regexp_replace(text.unaccented("text"), r"[^a-z0-9.,]+|[.,](?![0-9])", " ")), " +")
     got = table(spark, sf_dir, "documents").select("lang", F.explode(languages.read_in(tokens, "lang")).alias("n")).where("n.form = 'digits'")
     return got.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.log10(F.sum(F.col("n.value").cast("double"))), 6).alias("size"))
+
+
+def spelled_in(lang: str, n: str) -> str:
+    """SQL that spells a whole number under 1,000,000,000 in a language."""
+    names = "['" + "', '".join(languages.under_thousand(lang, k)[0] for k in range(1000)) + "']"
+    one, many, million, millions, between = languages.SPELLED[lang]
+    part = lambda k: f"({n} // {1000**k} % 1000)"
+    words = lambda k, a, b: f"CASE WHEN {part(k)} = 1 THEN '{a}' WHEN {part(k)} > 1 THEN {names}[{part(k)} + 1] || ' {b}' END"
+    return f"concat_ws('{between}', {words(2, million, millions)}, {words(1, one, many)}, CASE WHEN {n} = 0 OR {part(0)} > 0 THEN {names}[{part(0)} + 1] END)"
+
+
+LANGS = list(languages.SPELLED)
+
+
+@query(f"WITH o AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT + o_orderkey % 5 * 100000000 AS n, {LANGS}[o_orderkey % {len(LANGS)} + 1] AS lang FROM orders) SELECT o_orderkey, lang, CASE lang {' '.join(f"WHEN '{x}' THEN {spelled_in(x, 'n')}" for x in LANGS)} END AS said, CASE WHEN n <> 1 THEN n END::DOUBLE AS value FROM o")
+def spelled_in_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of orders in the words of seven languages, and what is read of these."""
+    n = (F.round(F.col("o_totalprice") * 100).cast("long") + F.col("o_orderkey") % 5 * 100_000_000).alias("n")
+    lang = F.get(F.array(*map(F.lit, LANGS)), (F.col("o_orderkey") % len(LANGS)).cast("int")).alias("lang")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", n, lang)
+    said = F.coalesce(*[F.when(F.col("lang") == x, languages.cardinal(F.col("n"), x)) for x in LANGS])
+    got = orders.withColumn("said", said).withColumn("read", languages.read_in(F.split("said", " "), F.col("lang")))
+    return got.select("o_orderkey", "lang", "said", F.when(F.size("read") == 1, F.get("read", F.lit(0))["value"].cast("double")).alias("value"))

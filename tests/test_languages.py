@@ -18,6 +18,30 @@ KNOWN = {
 }
 
 
+LARGE = {
+    "en": {"two million three hundred thousand": 2_300_000, "one billion two million": 1_002_000_000, "three hundred million and five": 300_000_005},
+    "de": {"drei millionen vierhunderttausend": 3_400_000, "zwei milliarden drei millionen": 2_003_000_000, "ein und zwanzig": 21, "hundert funf und dreissig": 135, "zweihundert zwolf": 212},
+    "fr": {"deux milliards trois millions": 2_003_000_000, "mille milliards": 10**12, "cinq millions deux mille trois": 5_002_003},
+    "es": {"mil millones": 10**9, "dos mil quinientos millones": 2_500_000_000, "tres mil millones cuatro mil": 3_000_004_000, "un millon mil": 1_001_000},
+    "it": {"due miliardi tre milioni": 2_003_000_000, "mille miliardi": 10**12, "quattro milioni duemila": 4_002_000},
+    "nl": {"een en twintig": 21, "vijf en negentig": 95, "honderd een en twintig": 121, "twee miljard drie miljoen": 2_003_000_000},
+    "pt": {"dois mil milhoes": 2_000_000_000, "tres bilhoes e dois milhoes": 3_002_000_000, "um milhao e mil": 1_001_000},
+}
+DIGITS = {"fr": {"1 234 567": 1234567, "12 345,5 x": 12345.5, "1 2345": [1, 2345], "1234 567": [1234, 567], "1 234,5 678": [1234.5, 678], "7 12 345": [7, 12345]}, "es": {"1.234 567": [1234, 567]}}
+
+
+@pytest.mark.parametrize("lang", LARGE)
+def test_large_and_spaced_numbers(lang):
+    for form, value in LARGE[lang].items():
+        assert languages.said(["x", *form.split(), "x"], lang) == [(value, "words")], form
+
+
+def test_groups_of_digits():
+    for lang, texts in DIGITS.items():
+        for form, want in texts.items():
+            assert [float(v) for v, _ in languages.said(form.split(), lang)] == (want if isinstance(want, list) else [want]), form
+
+
 @pytest.mark.parametrize("lang", KNOWN)
 def test_known_spellings(lang):
     for form, value in KNOWN[lang].items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import unicodedata
 from fractions import Fraction
 from math import comb
 
@@ -237,6 +238,11 @@ def test_words_are_compared(spark):
     assert one(spark, text.collapse_repeats("t"), t="go go to the the shop to the shop") == "go to the shop"
     assert one(spark, text.primitive_period("t"), t="ababab") == 2 and one(spark, text.primitive_period("t"), t="abc") == 3
     assert one(spark, text.unaccented("t"), t="Straße été") == "strasse ete"
+    for odd in ("Zażółć gęślą jaźń", "Příliš žluťoučký kůň", "Árvíztűrő tükörfúrógép", "Ĳssel ﬁn ½ ™ Ⅷ ｗｉｄｅ", "й ї е\u0301", "日本 한글", "", "𝐀𝐛"):
+        folded = "".join(c for c in unicodedata.normalize("NFKD", odd.lower()) if not unicodedata.combining(c))
+        want = folded if "한" not in odd else "日本 한글"
+        assert one(spark, text.unaccented("t"), t=odd).replace("⁄", "/") == want.replace("⁄", "/"), odd
+    assert one(spark, text.unaccented("t"), t=None) is None
 
 
 def test_span_classes(spark):
