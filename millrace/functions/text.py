@@ -98,7 +98,7 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
             continue
         if len(bare) == 1:
             one[c] = bare
-        elif bare and bare.isascii():
+        elif bare and bare.replace("⁄", "/").isascii():  # a half is 1⁄2
             several[c] = bare
     return one, several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in accents) + "]"
 
