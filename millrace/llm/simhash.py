@@ -86,8 +86,8 @@ def hexed(fp: str = "fp"):
 WORDS, LEAST = 5, (4, 5)
 #: Tables of least hashes, and least hashes that a key of a table is made of. Two sets as alike as LEAST share a key but for 2 in 10,000.
 TABLES, MINIMA = 16, 4
-#: Nodes of a list that are put into order in one task, about.
-PART = 1000
+#: Nodes of a list that are put into order in one task, about; orders in which lists are gone through.
+PART, ORDERS = 1000, 2
 BLOCK_BYTES = 1 << 20
 UPPER = np.zeros(256, bool)
 UPPER[[*range(ord("A"), ord("Z") + 1)]] = True
@@ -171,29 +171,54 @@ def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return sized.where((LEAST[0] + LEAST[1]) * F.col("common") >= LEAST[0] * F.col("n")).select("a", "b")
 
 
+def several(listed: DataFrame) -> DataFrame:
+    """The rows of those lists (key, label, ...) that have several labels."""
+    both = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    return written(listed.join(both, "key"))
+
+
+def neighbours(listed: DataFrame, order: int) -> DataFrame:
+    """(a, b): each node of a list (key, node, n, c) with the next in it that is of a size that can be alike, if their labels, where there are
+    any, differ. One order, a hash with a number, holds for all lists, so that lists with the same nodes make the same pairs; c, a list's
+    nodes, tells into how many ranges of it the list is cut."""
+    h = f"xxhash64(node, {order})"
+    part = F.expr(f"if(c <= {PART}, 0, shiftrightunsigned({h}, 64 - cast(ceil(log2(c / {PART})) as int)))")
+    label = F.col("label") if "label" in listed.columns else F.lit(None).cast("long")
+    own = listed.select("key", "node", "n", "c", label.alias("label"))
+    following = F.lead(F.struct("node", "n", "label")).over(Window.partitionBy("key", part).orderBy(F.expr(h), "node"))
+    sized = LEAST[1] * F.least(F.col("n"), F.col("other.n")) >= LEAST[0] * F.greatest(F.col("n"), F.col("other.n"))
+    apart = F.coalesce(F.col("label") != F.col("other.label"), F.lit(True))
+    return own.withColumn("other", following).where(sized & apart).select(F.col("node").alias("a"), F.col("other.node").alias("b"))
+
+
 def links_of_parts(listed: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b): all pairs of nodes that are as alike as LEAST, of lists (key, node, n, label), whose labels differ. held: their sets (node, sh).
 
-    Only lists with several labels are looked at, and of these only nodes that have four fifths of their shingles in common with nodes of
-    other labels, all together; others can be like none of them. Two of these meet if one of the rarest shingles of the larger set is one of
-    the rarest of the smaller: of n shingles all but 4/5 n and one more, or all but 8/9 n and one more. That loses no pair, as sets of n and m <= n
-    shingles have 4/9 (n + m) in common or more, which is 4/5 n and 8/9 m at least; and it spares what many texts share, such as a
-    licence, as that is rare for none of them. Whole sets decide.
+    Only lists with several labels are looked at. Sets of n and m shingles that are so alike have 4/9 (n + m) in common or more. So of their
+    nodes only those go on that have so many shingles in common with nodes of other labels, all together, with m of the smallest node of
+    their lists, or 4/5 n if that is more. Two of these meet if one of the rarest of the larger set's shared shingles is one of the rarest of the
+    smaller's: all shared ones but as many as must be in common, and one more; for the smaller set these are 8/9 of its shingles. That loses no
+    pair, and spares what many texts share, such as a licence, as that is rare for none of them. What is left of both sets behind a
+    common shingle bounds what can be in common. Whole sets decide.
     """
-    several = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    own = listed.join(several, "key").select("node", "n", "label").distinct().join(held, "node")
-    each = written(own.select("node", "n", "label", F.explode("sh").alias("s")))
-    spread = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("often"))
-    counted = written(each.join(spread, "s").select("node", "n", "label", "s", "often", (F.col("least") < F.col("most")).alias("crossing")))
-    able = counted.groupBy("node", "n").agg(F.count_if("crossing").alias("c")).where(LEAST[1] * F.col("c") >= LEAST[0] * F.col("n")).select("node")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
     top, bottom = LEAST
-    rare = written(counted.join(able, "node").withColumn("nth", nth).where(f"crossing and nth <= n - ceil({top} * n / {bottom}) + 1").select("node", "n", "label", "s", "nth"))
-    first = rare.where(f"nth <= n - ceil({2 * top} * n / {top + bottom}) + 1")
-    a = rare.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label")))
-    b = first.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label")))
+    several = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n").alias("low")).where("least < most").select("key", "low")
+    open_ = listed.join(several, "key").groupBy("node", "n", "label").agg(F.min("low").alias("low"))
+    need = F.ceil(F.lit(top) * (F.col("n") + F.greatest("low", F.ceil(F.lit(top) * F.col("n") / bottom))) / (top + bottom))
+    each = written(open_.withColumn("need", need).join(held, "node").select("node", "n", "label", "need", F.explode("sh").alias("s")))
+    spread = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("often")).where("least < most")
+    shared = written(each.join(spread, "s").select("node", "n", "label", "need", "s", "often"))
+    able = shared.groupBy("node", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("node", "c")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
+    rare = written(shared.join(able, "node").withColumn("nth", nth).where("nth <= c - need + 1").select("node", "n", "label", "c", "s", "nth"))
+    # As the smaller set it may need more of its shingles than as the larger, so these are among them.
+    first = rare.where(f"nth <= c - ceil({2 * top} * n / {top + bottom}) + 1")
+    a = rare.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "c", "nth")))
+    b = first.select("s", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label", "c", "nth")))
     smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
-    met = a.join(b, "s").where((F.col("a_label") != F.col("b_label")) & smaller & (bottom * F.col("b_n") >= top * F.col("a_n")))
+    behind = 1 + F.least(F.col("a_c") - F.col("a_nth"), F.col("b_c") - F.col("b_nth"))
+    fits = (bottom * F.col("b_n") >= top * F.col("a_n")) & ((top + bottom) * behind >= top * (F.col("a_n") + F.col("b_n")))
+    met = a.join(b, "s").where((F.col("a_label") != F.col("b_label")) & smaller & fits)
     return alike(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), held)
 
 
@@ -218,12 +243,8 @@ def near(docs: DataFrame) -> DataFrame:
     listed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     listed = written(listed.join(shared, "key"))
-    # Ranges of one order for all lists: lists with the same nodes make the same pairs.
-    part = F.expr(f"if(c <= {PART}, 0, shiftrightunsigned(xxhash64(node), 64 - cast(ceil(log2(c / {PART})) as int)))")
-    sized = lambda x, y: LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
-    following = F.lead(F.struct("node", "n")).over(Window.partitionBy("key", part).orderBy(F.xxhash64("node"), "node"))
-    met = listed.select("node", "n", following.alias("other")).where(sized(F.col("n"), F.col("other.n")))
-    pairs = written(pairs.union(met.select("node", "other.node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = neighbours(listed, 0)
+    pairs = written(pairs.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     large = listed.where("c > 2")
@@ -236,6 +257,14 @@ def near(docs: DataFrame) -> DataFrame:
     edges = written(alike(pairs, held))
     labels = written(components(nodes.select("node"), edges))
 
+    # Lists with several labels are gone through in other orders, which leaves less to compare in full.
+    for order in range(1, ORDERS):
+        apart = several(large.join(labels, "node").select("key", "node", "n", "c", "label"))
+        found = written(alike(neighbours(apart, order).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held))
+        if found.isEmpty():
+            break
+        edges = written(edges.union(found))
+        labels = written(components(nodes.select("node"), edges))
     more = written(links_of_parts(large.join(labels, "node").select("key", "node", "n", "label"), held))
     if not more.isEmpty():
         labels = written(components(nodes.select("node"), edges.union(more)))
