@@ -42,7 +42,9 @@ KIND = (LOWER + 2 * UPPER + 3 * DIGIT).astype(np.uint8)
 SHAPES, MIXES, CONTEXTS, FILES = 8 * 8 * 2 * 4, 8 * 7, 2 * 2 * 2 * 2 * 2, 3 * 2
 #: Words of letters are told apart by a hash; beside these numbers, one for other tokens and one for none.
 WORDS, WORD_BYTES = 1 << 11, 14
-SIZES = (SHAPES, MIXES, CONTEXTS, FILES, SHAPES + 1, SHAPES + 1, WORDS + 2, WORDS + 2, WORDS + 2, WORDS + 2)
+#: What a token is part of: @ before or behind, a colon before, // in front, four numbers with dots, dots or slashes inside.
+BESIDE = 2**5 * 3
+SIZES = (SHAPES, MIXES, CONTEXTS, FILES, SHAPES + 1, SHAPES + 1, WORDS + 2, WORDS + 2, WORDS + 2, WORDS + 2, BESIDE)
 
 
 @dataclass
@@ -50,7 +52,7 @@ class Tokens:
     """Tokens of many texts: bytes from start to end, text number, and the numbers of their features.
 
     Features, in order: the token's shape and mix of kinds, its neighbourhood, its file's; the shapes before and after; the token as a word,
-    the two words before and the one after.
+    the two words before and the one after; what it is part of, such as an address.
     """
 
     start: np.ndarray
@@ -107,11 +109,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     quote[has] = np.isin(data[start[has] - 1], [0x22, 0x27])
     context = (((named_before * 2 + named_near) * 2 + mark) * 2 + quote) * 2 + broken
 
+    before, behind = np.zeros(len(start), np.uint8), np.zeros(len(start), np.uint8)
+    before[has] = data[start[has] - 1]
+    goes_on = end < offsets[text + 1]
+    behind[goes_on] = data[end[goes_on]]
+    dots, slashes = count(data == 0x2E), count(data == 0x2F)
+    rooted = (size > 1) & (data[start] == 0x2F) & (data[np.minimum(start + 1, max(0, n - 1))] == 0x2F)
+    beside = np.zeros(len(start), np.int64)
+    for flag in (behind == 0x40, before == 0x40, before == 0x3A, rooted, (dots == 3) & (digit + dots == size)):
+        beside = beside * 2 + flag
+    beside = beside * 3 + np.where(slashes > 0, 2, np.minimum(dots, 1))
+
     n_named = per_text(named, np.searchsorted(start, offsets))
     n_digits, sizes = per_text(DIGIT[data], offsets), np.diff(offsets)
     file = np.minimum(2, n_named) * 2 + (100 * n_digits > 5 * np.maximum(sizes, 1))
     none = WORDS + 1
-    return Tokens(start, end, text, [shape, mix, context, file[text] if len(text) else text, shifted(shape, 1, SHAPES), shifted(shape, -1, SHAPES), word, shifted(word, 1, none), shifted(word, 2, none), shifted(word, -1, none)])
+    return Tokens(start, end, text, [shape, mix, context, file[text] if len(text) else text, shifted(shape, 1, SHAPES), shifted(shape, -1, SHAPES), word, shifted(word, 1, none), shifted(word, 2, none), shifted(word, -1, none), beside])
 
 
 def name_spans() -> tuple[np.ndarray, np.ndarray]:
@@ -295,9 +308,15 @@ def made_other(r: random.Random) -> str:
     """What looks a little like a secret, or like what stands beside one, and is none."""
     any_ = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     name, low, dig = r.choice(NAMED), ascii_lowercase, digits
-    kind = r.randrange(14)
-    if kind == 12:
-        return f"{any_(low, r.randrange(3, 9))}{r.choice(('', '.', '_'))}{r.randrange(1000)}@{any_(low, 5)}{r.choice(('', r.choice(dig)))}.{any_(low, 7)}.com"
+    kind = r.randrange(19)
+    if kind == 14:
+        return f"{r.choice(('http', 'https', 'ftp'))}://{any_(low, 6)}.{any_(low, 3)}/{any_(low + dig, r.randrange(6, 16))}/{any_(low, 4)}{any_(dig, 2)}"
+    if kind == 15:
+        return "-".join(any_("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+    if kind == 16:
+        return f"{r.choice(('postgres', 'redis', 'http', 'ssh'))}://{any_(low, 5)}@{any_(low, 6)}{r.randrange(10)}.{any_(low, 4)}:{any_(dig, 4)}/{any_(low, 5)}"
+    if kind in (12, 17, 18):
+        return f"{r.choice(('', '', 'is ', 'be, ', 'mail '))}{any_(low, r.randrange(3, 9))}{r.choice(('', '.', '_'))}{r.randrange(1000)}@{any_(low, 5)}{r.choice(('', r.choice(dig)))}.{any_(low, 7)}.com"
     if kind == 13:
         return ".".join(str(r.randrange(256)) for _ in range(4))
     if kind < 3:
@@ -342,6 +361,9 @@ def examples(matches: list[tuple[str, int]], others: list[tuple[str, int]]) -> I
                 name = r.choice((name, name.upper(), name.capitalize()))
                 prefix = f"{left} {r.choice(('', 'my ', 'the ', 'your '))}{name}{between}" if name else f"{left} "
                 end = between.strip()[-1:] if between.strip()[-1:] in ("'", '"') else ""
+                if r.random() < 0.08:  # the password of an address
+                    prefix = f"{left} {r.choice(('postgres', 'mysql', 'redis', 'https', 'amqp'))}://{''.join(r.choice(ascii_lowercase) for _ in range(r.randrange(3, 9)))}:"
+                    end = f"@{''.join(r.choice(ascii_lowercase + digits) for _ in range(7))}.{r.choice(('com', 'local', 'net'))}{r.choice(('', ':5432', '/data', ':6379/0'))}"
                 whole = prefix + value + end + r.choice((" ", ". ", ", ", "\n", "; ")) + " ".join(words[at:])
                 yield whole.encode(), [(len(prefix.encode()), len((prefix + value).encode()))], file
             else:
@@ -399,7 +421,7 @@ def learned(docs: DataFrame) -> Field:
     there = np.arange(n.max()) < n[:, None]
     rows = []
     for x in [*tok.features, gold(tok, spans)]:
-        rows.append(np.zeros(there.shape, np.int64))
+        rows.append(np.zeros(there.shape, np.int32))
         rows[-1][there] = x
     filled = n > 0
     field.train([x[filled] for x in rows[:-1]], rows[-1][filled], there[filled])

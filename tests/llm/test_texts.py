@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -240,6 +241,37 @@ def test_the_chain_finds_what_patterns_miss(spark, small):
     assert all(s.kind == "crf" for spans in got.values() for s in spans)
 
 
+def test_secrets_in_texts_of_the_corpus(spark):
+    """The chain learns from one half of the corpus; in the whole texts of the other half it finds what is put there, and little else."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    field = secrets.learned(d.where(half))
+    r = random.Random(21)
+    any_ = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    shapes = [
+        lambda: f"passphrase: {any_(string.ascii_lowercase, 6)}{any_(string.digits, 4)}{any_(string.ascii_uppercase, 2)}",
+        lambda: f"amqp://guest:{any_(string.ascii_letters + string.digits, 12)}@queue.local:5672",
+        lambda: f"Bearer {any_(string.ascii_letters + string.digits, 36)}",
+        lambda: f"key sk-{any_(string.ascii_letters + string.digits, 28)}",
+    ]
+    texts, places = [], []
+    for i, row in enumerate(d.where(~half).orderBy("doc_id").collect()):
+        words = (row.text or "").split(" ")
+        if i % 4 == 0:
+            at, secret = r.randrange(len(words) + 1), shapes[i // 4 % 4]()
+            value = re.split("[ :]", secret.split("@")[0])[-1]
+            words[at:at] = [secret]
+            start = len(" ".join(words[:at])) + (at > 0) + secret.index(value)
+            places.append((start, start + len(value)))
+        else:
+            places.append(None)
+        texts.append(" ".join(words))
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "crf"] for x in secrets.scanned(docs(spark, texts), field).collect()}
+    hits = sum(any(a < p[1] and p[0] < b for a, b in got[i]) for i, p in enumerate(places) if p)
+    wrong = sum(not (p and a < p[1] and p[0] < b) for i, p in enumerate(places) for a, b in got[i])
+    assert hits >= 0.9 * sum(p is not None for p in places) and wrong <= 0.1 * (hits + wrong), (hits, wrong)
+
+
 def test_secrets_are_redacted(spark):
     texts = secret_texts()
     d = docs(spark, texts, **CLASHES)
