@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Steps of an entry, and what is added so that whole numbers are positive; components that are given out.
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 32
 #: Eigenvalues up to this share of the largest count as zero: nothing can be scaled by them.
@@ -39,6 +39,11 @@ def fit_list(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
 def gramian(rows: DataFrame, column: Column, d: int) -> np.ndarray:
     """The sum over rows of the outer product of a vector column with itself, by MLlib in the JVM: tasks add up d * d numbers each."""
+    # Imported here: other queries of this subpackage have no need of what these take of the driver's memory.
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
     vectors = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(column).alias("v")), "v")
     got = RowMatrix(vectors, 0, d).computeGramianMatrix().toArray()
     return (got + got.T) / 2
@@ -75,6 +80,8 @@ def whitened(rows: DataFrame, components: int = COMPONENTS, vec_id: str = "vec_i
     sent = spark.sparkContext.broadcast(vectors * scale)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             far = np.stack(batch["far"].to_list()).astype(np.float64) / n if len(batch) else np.zeros((0, d))
             yield pd.DataFrame({"vec_id": batch["vec_id"], "n": n, "deviation": batch["deviation"], "whitened": list(far @ sent.value)})
