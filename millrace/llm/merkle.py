@@ -264,3 +264,36 @@ def tampered(proofs: DataFrame, claimed: str) -> DataFrame:
     checked = refolded(proofs, claimed)
     proof = F.sha2(F.lower(F.hex(F.concat("path", "top_path"))), 256)
     return checked.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql() -> str:
+    """The same manifest and check in SQL, level after level of all trees."""
+    sized = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf_of = lambda n_chars: "sha256(" + " || ".join(sized(n_chars if c == "n_chars" else c) for c in COLUMNS) + ")"
+
+    def levels(name: str, start: str, tree: str) -> str:
+        return f"{name} AS ({start} UNION ALL SELECT {tree}k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY {tree}k, pos // 2)"
+
+    def folds(name: str, start: str, nodes: str, tree: str) -> str:
+        same = f"s.k = f.k AND s.pos = xor(f.pos, 1){' AND s.tree = f.tree' if tree else ''}"
+        node = "CASE WHEN s.h IS NULL THEN sha256(node) WHEN f.pos % 2 = 0 THEN sha256(node || s.h) ELSE sha256(s.h || node) END"
+        return f"{name} AS ({start} UNION ALL SELECT id, f.tree, f.k + 1, f.pos // 2, (f.n + 1) // 2, {node}, proof || coalesce(s.h, '') FROM {name} f LEFT JOIN {nodes} s ON {same} WHERE f.n > 1)"
+
+    return f"""
+    WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+    crcs AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    d AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 7 = 0 AS forged FROM documents, crcs),
+    e AS (SELECT *, CASE WHEN forged THEN n_chars + 1 ELSE n_chars END AS claimed_chars FROM d),
+    l AS (SELECT doc_id, lang, {leaf_of('n_chars')} AS leaf, {leaf_of('claimed_chars')} AS claimed FROM e),
+    p AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM l),
+    {levels('own', 'SELECT tree, 0 AS k, pos, leaf AS h, n FROM p', 'tree, ')},
+    sub AS (SELECT tree, h FROM own WHERE n = 1),
+    {levels('top', 'SELECT 0 AS k, tree AS pos, h, (SELECT count(*) FROM sub) AS n FROM sub', '')},
+    {folds('f1', "SELECT id, tree, 0 AS k, pos, n, claimed AS node, '' AS proof FROM p", 'own', 'tree')},
+    {folds('f2', 'SELECT id, tree, 0 AS k, tree AS pos, (SELECT count(*) FROM sub) AS n, node, proof FROM f1 WHERE n = 1', 'top', '')}
+    SELECT doc_id, leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+    FROM p JOIN sub USING (tree) JOIN f2 USING (id), (SELECT h FROM top WHERE n = 1) r WHERE f2.n = 1
+    """
+
+
+ORACLE = _sql()

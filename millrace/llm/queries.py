@@ -107,6 +107,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered(merkle.manifest(docs, {"claimed": merkle.leaf(columns)}), "claimed")
 
 
+ORACLES["op11_merkle_manifest"] = merkle.ORACLE
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whitening.components() of all embeddings: broken vectors are left out; a component without variance is 0."""
