@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: For the SQL alone, which is written out to this depth and takes what follows as one more wildcard.
-DEPTH = 6
-#: For the SQL alone, which takes a segment among more than FANOUT siblings as a wildcard if it has under SHARE of their pages, whatever its labels.
-FANOUT, SHARE = 12, 0.05
 #: A branch stays apart if its labelled share differs from its siblings' with this chi-square or more (one degree of freedom, 5 %).
 APART = 3.84
 #: Pages of the parent's share that are added to a template's labels, and the smoothed share of bad pages from which it is rejected.
@@ -107,31 +103,25 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 def _oracle() -> str:
     digits = "regexp_replace(path, '[0-9]+', '#', 'g')"
     split = f"list_filter(string_split({digits}, '/'), lambda s: s <> '')"
-    levels = []
-    for i in range(DEPTH + 1):
-        levels.append(f"""
-    c{i} AS (SELECT host, template, tokens[{i + 1}] AS token, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM t{i} WHERE len(tokens) > {i} GROUP BY ALL),
-    o{i} AS (SELECT host, template, count(*) AS k, sum(n) AS all_n, sum(lab)::DOUBLE AS all_lab, sum(bad)::DOUBLE AS all_bad FROM c{i} GROUP BY ALL),
-    g{i} AS (SELECT *, (all_lab - lab) * bad::DOUBLE - lab::DOUBLE * (all_bad - bad) AS gap FROM c{i} JOIN o{i} USING (host, template)),
-    d{i} AS (SELECT host, template, token, CASE WHEN k = 1 OR (NOT (k > {FANOUT} AND n < {SHARE}::DOUBLE * all_n) AND lab > 0 AND all_lab - lab > 0 AND gap <> 0
-        AND gap * gap * all_lab >= {APART}::DOUBLE * lab * (all_lab - lab) * all_bad * (all_lab - all_bad)) THEN token ELSE '*' END AS name FROM g{i}),
-    t{i + 1} AS (SELECT t{i}.* REPLACE (CASE WHEN name IS NULL THEN template ELSE template || '/' || name END AS template) FROM t{i}
-        LEFT JOIN (SELECT host, template AS under, token, name FROM d{i}) x ON x.host = t{i}.host AND under = template AND token = tokens[{i + 1}])""")
     chain = "NULL"
     chain_verdict = "NULL"
     for action, at, start in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{start}')"
         chain, chain_verdict = f"CASE WHEN {fits} THEN '{at + start}' ELSE {chain} END", f"CASE WHEN {fits} THEN '{action}' ELSE {chain_verdict} END"
     return f"""
-    WITH s AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
+    WITH RECURSIVE s AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
     l AS (SELECT host, path, count(*) AS lab, sum(bad) AS bad FROM s JOIN b ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})[^0-9/]*/?$', 1) AS BIGINT) GROUP BY ALL),
     a AS (SELECT host, path, count(*) AS n FROM s GROUP BY ALL),
-    t0 AS (SELECT host, path, n, coalesce(lab, 0) AS lab, coalesce(bad, 0) AS bad, '' AS template,
-        CASE WHEN len({split}) > {DEPTH} THEN list_append(list_slice({split}, 1, {DEPTH}), '**') ELSE {split} END AS tokens FROM a LEFT JOIN l USING (host, path)),
-    {','.join(levels)},
-    z AS (SELECT * FROM t{DEPTH + 1}),
+    t AS (SELECT 0 AS level, host, path, coalesce(lab, 0) AS lab, coalesce(bad, 0) AS bad, '' AS template, {split} AS tokens FROM a LEFT JOIN l USING (host, path)
+        UNION ALL SELECT level + 1, host, path, lab, bad, template || '/' || CASE WHEN k = 1 OR (own_lab > 0 AND all_lab - own_lab > 0 AND gap <> 0
+            AND gap * gap * all_lab >= {APART}::DOUBLE * own_lab * (all_lab - own_lab) * all_bad * (all_lab - all_bad)) THEN token ELSE '*' END, tokens
+        FROM (SELECT *, (all_lab - own_lab) * own_bad - own_lab * (all_bad - own_bad) AS gap FROM (
+            SELECT *, count(DISTINCT token) OVER (PARTITION BY host, template) AS k, sum(lab) OVER (PARTITION BY host, template, token)::DOUBLE AS own_lab, sum(bad) OVER (PARTITION BY host, template, token)::DOUBLE AS own_bad,
+                sum(lab) OVER (PARTITION BY host, template)::DOUBLE AS all_lab, sum(bad) OVER (PARTITION BY host, template)::DOUBLE AS all_bad
+            FROM (SELECT *, tokens[level + 1] AS token FROM t WHERE len(tokens) > level)))),
+    z AS (SELECT * FROM t WHERE level = len(tokens)),
     f AS (SELECT sum(bad)::DOUBLE / sum(lab)::DOUBLE AS share FROM z),
     h AS (SELECT host, (sum(bad) + {SMOOTHING}::DOUBLE * any_value(share)) / (sum(lab) + {SMOOTHING}::DOUBLE) AS host_share FROM z, f GROUP BY host),
     m AS (SELECT host, template, (sum(bad) + {SMOOTHING}::DOUBLE * any_value(host_share)) / (sum(lab) + {SMOOTHING}::DOUBLE) AS bad_share FROM z JOIN h USING (host) GROUP BY ALL)

@@ -73,6 +73,28 @@ def test_urls_and_rules(spark):
     assert urlfilter.judged(p, labels.limit(0)).count() == len(rows)
 
 
+def test_sql_of_url_templates_at_any_depth_and_width(spark):
+    import duckdb
+
+    r = random.Random(6)
+    rows, marks = [], []
+    for i in range(500):
+        bad = r.random() < 0.5
+        deep = "/".join(["a", "b", "c", "d", "e", "f", "g"][: r.randrange(8)])
+        section = r.choice(("spam", "ads")) if bad else r.choice(("docs", "wiki"))
+        wide = f"sec{chr(97 + r.randrange(26))}{'x' * r.randrange(3)}"
+        rows.append((i, f"http://h{r.randrange(3)}.com/{deep}/{wide if r.random() < 0.4 else section}/{chr(97 + r.randrange(20))}/{i if r.random() < 0.8 else 'x'}", ""))
+        if r.random() < 0.7:
+            marks.append((i, int(not bad), 0))
+    p, labels = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    c = duckdb.connect()
+    c.register("pages", p.toPandas())
+    c.register("labels", labels.toPandas())
+    want = sorted(map(tuple, c.sql(urlfilter.ORACLE).fetchall()), key=str)
+    assert sorted(map(tuple, urlfilter.judged(p, labels).collect()), key=str) == want
+    assert max(x[5].count("/") for x in want) > 8 and {x[4] for x in want} == {"block", "allow"}
+
+
 def test_url_templates_learn_from_labels(spark):
     rows, marks = [], []
     for i in range(200):
