@@ -12,7 +12,8 @@ def walked(metrics: DataFrame, order: list[tuple[str, int, float]], vetoed: Data
     metrics: (group, run, metric, value), and all metrics of order for each run; a missing value is worse than any. order: the metrics by rank, each
     with 1 (more is better) or -1 and the band of noise: in its round a run stays if it is within the band of the best that is still there. A
     group with one run left is done. Runs of vetoed (group, run) go in round 0, by `veto`, and are no one's best. Of a group whose runs all
-    have a veto none is left. Each round is a maximum by group that tasks take in part first.
+    have a veto none is left. A group's runs, of which each is
+    one row by then, come together in one task.
     """
     wide = metrics.groupBy(group, "run").agg(*(F.max(F.when(F.col("metric") == m, F.col("value") * sign)).alias(f"m{k}") for k, (m, sign, _) in enumerate(order)))
     out = F.lit(None).cast("int")
