@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import unicodedata
 from fractions import Fraction
@@ -147,6 +148,17 @@ def test_order_statistics(spark):
     assert (got["g"].p10, got["g"].p99, got["g"].p100) == (v[3], v[int(0.99 * 37)], v[-1]) and got["h"].p10 == 4
 
 
+def test_exact_tests_of_many_moves():
+    import pandas as pd
+
+    a, b = pd.Series([2_000_000, 20_000_000, 700, 1450]), pd.Series([2_003_000, 20_001_000, 5, 1551])
+    got = list(stats.sign_p.func(a, b))
+    # With a correction for steps the normal approximation holds to six digits here.
+    near = [math.erfc((y - x - 1) / math.sqrt(2 * (x + y))) for x, y in ((2_000_000, 2_003_000), (20_000_000, 20_001_000))]
+    whole = [float(Fraction(2 * sum(comb(x + y, i) for i in range(min(x, y) + 1)), 2 ** (x + y))) for x, y in ((700, 5), (1450, 1551))]
+    assert got[:2] == pytest.approx(near, abs=1e-6) and got[2:] == pytest.approx(whole, rel=1e-9)
+
+
 def test_exact_tests_and_intervals(spark):
     df = spark.createDataFrame([(0, 0), (1, 5), (10, 10), (300, 200)], "a long, b long")
     for x in df.select("a", "b", stats.sign_p("a", "b").alias("p")).collect():
