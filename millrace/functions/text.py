@@ -82,16 +82,12 @@ def word_distance(a: str, b: str) -> Column:
 
 
 def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
-    """Characters that Unicode decomposes (NFKD) into one other beside accents; into several, ASCII letters, digits or marks; and all accents,
-    as a class of a pattern."""
+    """Characters that Unicode decomposes (NFKD) into one other beside accents; into several, ASCII letters, digits or marks; and all accents."""
     one, several, accents = {}, {}, []
     for code in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
         c = chr(code)
         if unicodedata.combining(c):
-            if accents and accents[-1][1] == code - 1:
-                accents[-1][1] = code
-            else:
-                accents.append([code, code])
+            accents.append(c)
             continue
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if bare == c:
@@ -100,7 +96,7 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
             one[c] = bare
         elif bare and bare.replace("⁄", "/").isascii():  # a half is 1⁄2
             several[c] = bare
-    return one, several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in accents) + "]"
+    return one, several, "".join(accents)
 
 
 _ONE, _SEVERAL, _ACCENTS = _decompositions()
@@ -111,10 +107,12 @@ def decomposed(text: Column) -> Column:
 
     Characters that stand for several others beyond ASCII, such as Hangul syllables, stay as they are.
     """
-    bare = F.regexp_replace(F.translate(text, "".join(_ONE), "".join(_ONE.values())), _ACCENTS, "")
+    # Characters that translate has no other for go: the accents.
+    bare = F.translate(text, "".join(_ONE) + _ACCENTS, "".join(_ONE.values()))
     names = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
-    apart = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(F.element_at(names, c), c)), "")
-    return F.when(bare.rlike("[" + "".join(_SEVERAL) + "]"), apart).otherwise(bare)
+    # Few distinct characters are left beyond ASCII; a class of all that stand for several would be tried at every place of the text.
+    odd = F.array_distinct(F.split(F.regexp_replace(bare, "[\\x00-\\x7f]+", ""), ""))
+    return F.aggregate(odd, bare, lambda t, c: F.replace(t, c, F.coalesce(F.element_at(names, c), c)))
 
 
 def unaccented(text: str) -> Column:

@@ -60,3 +60,17 @@ def test_words_that_are_none_and_digits(spark):
     rows = [("de", "ein haus und eine frau"), ("fr", "un chien 1,5"), ("es", "uno 1.234,5"), ("de", "1.234 2,5 1.2"), ("en", "1,234.5 and"), ("xx", "5"), ("it", "un"), (None, "5"), ("fr", "deux trois"), ("pt", "dois e tres")]
     df = spark.createDataFrame(rows, "lang string, t string").select(languages.read_in(F.split("t", " "), "lang").alias("n"))
     assert [[float(x.value) for x in r.n] for r in df.collect()] == [[], [1.5], [1234.5], [1234, 2.5], [1234.5], [], [], [], [2, 3], [2, 3]]
+
+
+def test_folding_tries_no_class_of_characters_at_every_place():
+    """A class of hundreds of ranges took most of the time of long texts; translate looks each character up."""
+    from millrace.functions import text
+
+    assert len(text._ACCENTS) > 500 and "[" not in text._ACCENTS
+
+
+def test_words_that_begin_no_number_are_passed_over(monkeypatch):
+    tried = []
+    plain = languages.spoken
+    monkeypatch.setattr(languages, "spoken", lambda tokens, i, lang: tried.append(i) or plain(tokens, i, lang))
+    assert languages.said("wir sahen zwei hunde und 3.000 katzen".split(), "de") == [(2, "words"), ("3000", "digits")] and tried == [2]
