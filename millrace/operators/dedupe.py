@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import written
 
@@ -34,24 +38,76 @@ def set_classes(df: DataFrame, id_: str, shingles: Column) -> tuple[DataFrame, D
     own = written(df.select(F.col(id_).alias("id"), hashed.alias("shingles"))).where(F.size("shingles") > 0)
     own = own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256))
     firsts = own.groupBy("key").agg(F.min("id").alias("first"))
-    return own.select("id", "key").join(firsts, "key").select("id", "first"), own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    first = written(own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
+    return own.select("id", "key").join(firsts, "key").select("id", "first"), first
 
 
-def similar_pairs(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b, common, similarity): all pairs a < b whose shingle sets have a Jaccard similarity of least, a fraction, or more.
+#: Buckets of hashes whose counts order the shingles of a set, a fixed number of whatever table.
+COUNTED = 1 << 20
+
+
+def rarest_first(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(id, n, sh, nth) of the shingles of each set (id, shingles) that are in front, the rarest first: all but share * n and one more.
 
-    Two such sets have one of their rarest shingles in common: of n shingles, all but share * n and one more. Only these are joined, which
-    loses no pair and spares the frequent ones; then sizes are compared and the whole sets are intersected.
+    One order for the whole table: how often the bucket of a shingle's hash is met, then the hash. It parts rare from frequent shingles like
+    counts of each would, and needs no shuffle of all shingles; the counts of buckets are as many whatever the table.
     """
-    top, bottom = least
-    prefix = sets.where(f"nth <= n - ceil({top} * n / {bottom}) + 1")
-    a, b = prefix.select(F.col("id").alias("a"), "sh", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "sh", F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.lit(bottom) * F.col("na") >= F.lit(top) * F.col("nb")) & (F.lit(bottom) * F.col("nb") >= F.lit(top) * F.col("na"))
-    candidates = written(a.join(b, "sh").where(fits).select("a", "b", "na", "nb").distinct())
-    left = candidates.join(sets.select(F.col("id").alias("a"), "sh"), "a")
-    common = left.join(sets.select(F.col("id").alias("b"), "sh"), ["b", "sh"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    each = sets.select(F.explode("shingles").alias("sh")).groupBy(F.col("sh").bitwiseAND(COUNTED - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("often"))
+    rows = each.toPandas()
+    often = np.zeros(COUNTED, np.int64)
+    often[rows["bucket"].to_numpy(np.int64)] = rows["often"].to_numpy(np.int64)
+    known, (top, bottom) = sets.sparkSession.sparkContext.broadcast(often), share
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def front(shingles: pa.Array) -> pa.Array:
+        sh = shingles.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(shingles).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((sh, known.value[sh & (COUNTED - 1)], row))
+        starts = np.cumsum(sizes) - sizes
+        taken = np.where(sizes > 0, sizes - -(-top * sizes // bottom) + 1, 0)
+        at = np.repeat(starts - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), pa.array(sh[order[at]]))
+
+    ahead = sets.select("id", F.size("shingles").alias("n"), front("shingles").alias("front"))
+    return ahead.select("id", "n", F.posexplode("front").alias("nth", "sh"))
+
+
+def similar_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b, common, similarity): all pairs a < b of sets (id, shingles) whose Jaccard similarity is share, a fraction, or more.
+
+    Two such sets have one of their rarest shingles in common (rarest_first). Of the first that they share, so much must lie behind in both
+    that they can still be alike enough, which leaves the smaller set fewer shingles that count; neither loses a pair. Shuffled are these
+    shingles, and the sets as arrays, against each other. Ids are distinct; sets are written, as they are read more than once.
+    """
+    top, bottom = share
+    ahead = written(rarest_first(sets, share))
+    # The least part of both sizes that two sets of this similarity have in common: top / (top + bottom).
+    small = ahead.where(f"(n - nth) * {top + bottom} >= 2 * {top} * n").select(F.col("id").alias("x"), "sh", F.col("n").alias("nx"), F.col("nth").alias("px"))
+    large = ahead.select(F.col("id").alias("y"), "sh", F.col("n").alias("ny"), F.col("nth").alias("py"))
+    falls = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    fits = falls & (bottom * F.col("nx") >= top * F.col("ny")) & ((top + bottom) * left >= top * (F.col("nx") + F.col("ny")))
+    pairs = written(small.join(large, "sh").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    own = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common_values("sa", "sb").alias("common"))
     either = F.col("na") + F.col("nb") - F.col("common")
-    return common.where(bottom * F.col("common") >= top * either).select("a", "b", "common", (F.col("common") / either).alias("similarity"))
+    return counted.where(bottom * F.col("common") >= top * either).select("a", "b", "common", (F.col("common") / either).alias("similarity"))
+
+
+@F.arrow_udf(LongType())
+def common_values(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many values two arrays of distinct numbers have in common, row by row."""
+    ends = lambda x: np.cumsum(np.append(0, pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)))
+    x, y, i, j = a.flatten().to_numpy(zero_copy_only=False), b.flatten().to_numpy(zero_copy_only=False), ends(a), ends(b)
+    own = lambda k: len(np.intersect1d(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], assume_unique=True))
+    return pa.array([own(k) for k in range(len(a))], pa.int64())
+
+
+def similar_pairs(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """similar_sets of sets (id, sh) with a row for each shingle."""
+    return similar_sets(written(sets.groupBy("id").agg(F.collect_set("sh").alias("shingles"))), least)
 
 
 def greatest_similarity(queries: DataFrame, index: DataFrame) -> DataFrame:

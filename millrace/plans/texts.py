@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, text
 from ..operators import census, dedupe
+from ..operators.common import written
 from .registry import query, table
 
 MD5 = "('0x' || substr(md5({}::VARCHAR), 1, 8))::BIGINT"
@@ -198,7 +199,7 @@ def copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose sets of three-word shingles are 0.8 alike or more, among the first of each class of equal sets (copy_classes)."""
     _, firsts = shingled_classes(spark, sf_dir)
-    return dedupe.similar_pairs(dedupe.shingle_sets(firsts, "id", F.col("shingles")), (4, 5)).withColumn("similarity", F.round("similarity", 9))
+    return dedupe.similar_sets(firsts, (4, 5)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -218,7 +219,7 @@ def greedy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     tokens = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w")).select("doc_id", text.frame("w").alias("f"))
     _, firsts = dedupe.set_classes(tokens, "doc_id", text.frame_shingles("f"))
-    pairs = dedupe.similar_pairs(dedupe.shingle_sets(firsts, "id", F.col("shingles")), (3, 5))
+    pairs = written(dedupe.similar_sets(firsts, (3, 5)))
     return dedupe.greedy_kept(firsts.select("id"), pairs).select(F.col("id").alias("doc_id"))
 
 

@@ -126,6 +126,22 @@ def test_similar_pairs_equal_plain(spark):
         assert got == want
 
 
+def test_similar_sets_send_few_shingles_on_and_lose_no_pair(spark):
+    r = random.Random(8)
+    sets = []
+    for _ in range(60):
+        own = [*range(3), *(r.randrange(10**6) - 10**5 for _ in range(r.randrange(30)))]
+        sets += [sorted({*own}), sorted({*own, *(r.randrange(10**6) for _ in range(r.randrange(1, 6)))})]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<bigint>")
+    ahead = dedupe.rarest_first(df, (4, 5)).collect()
+    assert len(ahead) == sum(len(s) - -(-4 * len(s) // 5) + 1 for s in sets)
+    assert not any(x.sh in range(3) and x.nth == 0 and x.n > 8 for x in ahead)
+    for least in ((3, 5), (4, 5)):
+        got = {(x.a, x.b): x.common for x in dedupe.similar_sets(df, least).collect()}
+        both = {(i, j): len({*a} & {*b}) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j}
+        assert got == {p: c for p, c in both.items() if Fraction(c, len({*sets[p[0]]} | {*sets[p[1]]})) >= Fraction(*least)}
+
+
 def test_overlaps_equal_plain(spark):
     r = random.Random(6)
     rows = [(i, "k" if r.random() < 0.7 else "l", s := r.uniform(0, 50), s + r.uniform(0.1, 12)) for i in range(60)]
