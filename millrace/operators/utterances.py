@@ -62,8 +62,8 @@ def relations(train: DataFrame, protected: DataFrame) -> tuple[dict[str, DataFra
     """For each reason pairs (a, b): a protected and a training row; two training rows, either way. Equal keys are left to their users."""
     own = train.where("not many")
     # Near copies among all rows with a text key, found once.
-    both = train.where("text_key is not null").select("id", "words").union(protected.where("text_key is not null").select("id", "words"))
-    near = written(dedupe.similar_pairs(dedupe.shingle_sets(both, "id", shingles("words")), NEAR).select("a", "b"))
+    sets = lambda df: df.where("text_key is not null").select("id", shingles("words").alias("shingles"))
+    near = written(dedupe.similar_sets(written(sets(train).union(sets(protected))), NEAR).select("a", "b"))
     near = near.union(near.select("b", "a"))
     side = lambda df, n: df.where("text_key is not null").select(F.col("id").alias(n))
     held = near.join(side(protected, "a"), "a", "left_semi").join(side(train, "b"), "b", "left_semi").select("a", "b")
