@@ -50,3 +50,36 @@ def test_clocks_and_money(spark):
     assert c("7:30") == ["seven thirty", "half past seven"] and c("12:45") == ["twelve forty five", "quarter to one"] and c("9:05") == ["nine oh five"] and c("8:00") == ["eight o'clock"] and c("25:00") == [] and c("x") == []
     m = lambda t: one(spark, numbers.money_reading(F.col("t")), t=t)
     assert m("$1.01") == "one dollar and one cent" and m("£20") == "twenty pounds" and m("€3.50") == "three euros and fifty cents" and m("12") is None
+
+
+def test_long_arrays_take_little_memory_and_time():
+    import random
+    import time
+    import tracemalloc
+
+    r = random.Random(2)
+    a = [r.choice("abcdefgh") for _ in range(3000)]
+    b = [w for w in a if r.random() < 0.95]
+    tracemalloc.start()
+    pairs = align.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    start = time.time()
+    assert align.edit_distance(a, b) == sum(i is None or j is None or a[i] != b[j] for i, j in pairs)
+    # The table of all costs has 34 MB; a loop over it takes seconds.
+    assert peak < 8 << 20 and time.time() - start < 1
+
+
+def test_edit_distance_equals_plain():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(9))] for _ in range(2))
+        assert align.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_alignment_of_missing_arrays(spark):
+    df = spark.createDataFrame([(1, None, ["x"]), (2, ["x"], ["x", "y"]), (3, ["y"], None), (4, [], []), (5, ["p", "q"], ["q"])], "k long, a array<string>, b array<string>").coalesce(1)
+    got = {r.k: None if r.p is None else [(x.i, x.j) for x in r.p] for r in df.select("k", align.align("a", "b").alias("p")).collect()}
+    assert got == {1: None, 2: [(0, 0), (None, 1)], 3: None, 4: [], 5: [(0, None), (1, 0)]}
