@@ -68,17 +68,10 @@ def character_error_rate(label: str, heard: str) -> Column:
 
 
 def word_distance(a: str, b: str) -> Column:
-    """Edit distance of two array columns in words: each distinct word becomes one character from U+10000 on.
+    """Edit distance of two array columns in words."""
+    from .align import distance
 
-    There are 2^20 of these; a pair with more distinct words is an error, as its words would share characters.
-    """
-    known = F.array_union(F.col(a), F.col(b))
-
-    def coded(x: str) -> Column:
-        return F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xFFFF) + F.array_position(known, w)), 8, "0")), "UTF-32")), "")
-
-    too_many = F.raise_error(F.lit("word_distance: over 2^20 distinct words in a pair"))
-    return F.when(F.size(known) > 1 << 20, too_many.cast("int")).otherwise(F.levenshtein(coded(a), coded(b)))
+    return distance(a, b)
 
 
 def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
