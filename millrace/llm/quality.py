@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, blocks, text_buffers
+from ..operators import ordering
+from .common import batched, blocks, text_buffers, written
 from .spans import K1, K2, K3, Hasher, mixed, per_text, repeated, words
 
 BITS = 16
-#: Labelled documents that the trusted counts and the threshold are taken from, at most, chosen by a hash of the id.
-TRUSTED, REJECTED = 20_000, 20_000
+#: Trusted ids that are broadcast, at most; more meet the texts in a shuffle.
+BROADCAST_IDS = 400_000
 #: The share of the trusted documents that the threshold may cost.
 LOSS = 0.005
 SYMBOLS = np.zeros(256, bool)
@@ -66,18 +67,20 @@ def buckets(hasher: Hasher, found: tuple) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h, both]) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([text, text[1:][pair]])
 
 
-def labelled(labels: DataFrame, quality: int, most: int) -> DataFrame:
-    """At most so many distinct ids of documents with this label and no other, the first by a hash. One toxic label makes it 0."""
+def labelled(labels: DataFrame, quality: int, most: int | None = None) -> DataFrame:
+    """The distinct ids of all documents with this label and no other, or of so many, the first by a hash. One toxic label makes it 0."""
     toxic = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)))
     ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("a"), F.max("quality").alias("b"), toxic.alias("toxic"))
     same = (F.col("a") == quality) & (F.col("b") == quality)
     chosen = (same | F.col("toxic")) if quality == 0 else (same & ~F.col("toxic"))
-    return ids.where(chosen).select("label_id").orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    own = ids.where(chosen).select("label_id")
+    return own if most is None else own.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each bucket: trusted documents against all documents, each count raised by one."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(trusted), F.col("id") == F.col("label_id"), "left").select(F.col("label_id").isNotNull(), "text")
+    met = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted.hint("shuffle_merge")
+    marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(met, F.col("id") == F.col("label_id"), "left").select(F.col("label_id").isNotNull(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -118,39 +121,41 @@ def measured(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, f"doc_id long, {', '.join(f'{k} long' for k in names)}, score double")
 
 
-def threshold(trusted: np.ndarray, rejected: np.ndarray, loss: float = LOSS) -> float:
-    """The score that parts trusted from rejected documents best, of those under which a share of loss of the trusted ones fall at most."""
-    trusted = np.sort(trusted)
-    if not len(trusted):
+def threshold(scores: DataFrame, loss: float = LOSS) -> float:
+    """The score that parts trusted from rejected documents (good, score) best, of those under which a share of loss of the trusted ones fall
+    at most. Ranks come from ranges of the scores' order; the driver gets one row."""
+    n = scores.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    if not n.good:
         return -np.inf
-    highest = trusted[int(loss * len(trusted))]
-    if not len(rejected):
+    marks = scores.groupBy("score").agg(F.count_if("good").alias("t"), F.count_if(~F.col("good")).alias("r"))
+    line = ordering.placed(marks, [F.col("score")])
+    line = written(ordering.before(written(line), [], F.col("t"), "lost"))
+    line = written(line.join(ordering.before(line, [], F.col("r"), "caught").select("turn", "caught"), "turn"))
+    highest = line.where(F.col("lost") + F.col("t") > int(loss * n.good)).agg(F.min("score")).first()[0]
+    if not n.bad:
         return float(highest)
-    marks = np.unique(np.concatenate([trusted, rejected]))
-    lost = np.searchsorted(trusted, marks) / len(trusted)
-    caught = np.searchsorted(np.sort(rejected), marks) / len(rejected)
-    best = int(np.argmax(np.where(marks <= highest, caught - lost, -np.inf)))
+    gain = F.col("caught") * n.good - F.col("lost") * n.bad
+    best = line.where(F.col("score") <= highest).agg(F.max(F.struct(gain, -F.col("turn"), "score"))["score"]).first()[0]
     # As far below the best mark as above the next lower score.
-    return float((marks[best] + marks[max(best - 1, 0)]) / 2)
+    below = line.where(F.col("score") < best).agg(F.max("score")).first()[0]
+    return float((best + (best if below is None else below)) / 2)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the five counts, base_failed, score, kept) of every document.
 
     base_failed: under 50 words, or more than half the words repeat. kept: not base_failed, and a score of the threshold or more. Corpus
-    counts are taken over all documents, trusted counts and the threshold over TRUSTED and REJECTED labelled ones at most. A document with a
+    counts are taken over all documents, trusted counts over half of all trusted ones, the threshold over the other half and all rejected ones. A document with a
     toxic label is rejected, whatever its quality; others whose labels contradict each other count as unlabelled. A null or blank text has no words and fails the base. Without trusted labels the base
     alone decides. Repeated rows come back repeated.
     """
-    good, bad = labelled(labels, 1, TRUSTED), labelled(labels, 0, REJECTED)
+    good, bad = labelled(labels, 1), labelled(labels, 0)
     # The threshold comes from other trusted documents than the counts: those that were counted score higher than any new one.
     counted = F.pmod(F.xxhash64("label_id", F.lit("counted")), F.lit(2)) == 0
-    ratio = ratios(docs, good.where(counted))
-    known = F.broadcast(good.select("label_id", F.lit(True).alias("good"), counted.alias("counted")).union(bad.select("label_id", F.lit(False), F.lit(False))))
-    sample = measured(docs.select("doc_id", "text").join(known.select("label_id"), F.col("doc_id") == F.col("label_id"), "left_semi"), ratio)
-    scores = sample.where("n_words > 0").join(known, F.col("doc_id") == F.col("label_id")).select("good", "counted", "score").toPandas()
-    score, is_good, again = scores["score"].to_numpy(), scores["good"].to_numpy(bool), scores["counted"].to_numpy(bool)
-    fresh = score[is_good & ~again]
-    least = threshold(fresh if len(fresh) else score[is_good], score[~is_good])
+    rows = written(measured(docs, ratios(docs, written(good.where(counted)))))
+    known = good.select("label_id", F.lit(True).alias("good"), counted.alias("counted")).union(bad.select("label_id", F.lit(False), F.lit(False)))
+    scores = written(rows.where("n_words > 0").select("doc_id", "score").join(known, F.col("doc_id") == F.col("label_id")).select("good", "counted", "score"))
+    fresh = scores.where("not good or not counted")
+    least = threshold(scores if fresh.where("good").isEmpty() else fresh)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured(docs, ratio).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))

@@ -338,3 +338,24 @@ def test_pieces_stream_equals_whole(spark):
         ids += stream.finish()
         assert ids == at_once
         assert widest < len(text)
+
+
+def test_quality_threshold_of_all_labels_equals_plain(spark):
+    r = np.random.default_rng(4)
+    for good, bad in ((r.normal(1, 1, 900).round(2), r.normal(0, 1, 700).round(2)), (r.normal(0, 1, 3), r.normal(0, 1, 0)), (r.normal(5, 1, 40), r.normal(0, 1, 5))):
+        df = spark.createDataFrame([(True, float(x)) for x in good] + [(False, float(x)) for x in bad], "good boolean, score double")
+        highest = np.sort(good)[int(quality.LOSS * len(good))]
+        marks = np.unique([*good, *bad])
+        gain = [int((bad < m).sum()) * len(good) - int((good < m).sum()) * len(bad) if m <= highest else -(10**9) for m in marks]
+        k = int(np.argmax(gain))
+        assert quality.threshold(df) == (highest if not len(bad) else (marks[k] + marks[max(k - 1, 0)]) / 2)
+
+
+def test_quality_takes_every_label(spark, monkeypatch):
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.labelled(labels, 1).count() == 50_000
+    rows = docs(spark, ["good words here"] * 4 + ["bad words there"] * 4)
+    trusted = spark.createDataFrame([(0,), (1,), (3,)], "label_id long")
+    few = quality.ratios(rows, trusted)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert np.array_equal(few, quality.ratios(rows, trusted)) and few.any()
