@@ -110,9 +110,14 @@ def similar_pairs(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     return similar_sets(written(sets.groupBy("id").agg(F.collect_set("sh").alias("shingles"))), least)
 
 
+#: Shingles of an index that are broadcast, at most; more meet the queries' in a shuffle.
+BROADCAST_INDEX = 500_000
+
+
 def greatest_similarity(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(id, similarity): for each set of shingles (id, sh, n) the greatest Jaccard similarity to one of the index; 0 without a common one."""
-    own = index.select(F.col("id").alias("other"), "sh", F.col("n").alias("m"))
+    own = written(index.select(F.col("id").alias("other"), "sh", F.col("n").alias("m")))
+    own = F.broadcast(own) if own.count() <= BROADCAST_INDEX else own
     common = queries.join(own, "sh").groupBy("id", "n", "other", "m").agg(F.count(F.lit(1)).alias("common"))
     best = common.groupBy("id").agg(F.max(F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("best"))
     return queries.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("similarity"))

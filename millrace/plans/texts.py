@@ -168,8 +168,10 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingled(spark: SparkSession, sf_dir: str, name: str, id_: str) -> DataFrame:
-    tokens = table(spark, sf_dir, name).select(id_, text.words("text").alias("w"))
-    return dedupe.shingle_sets(tokens, id_, text.grams("w", 3))
+    """(id, n, sh): the hashed three-word shingles of each row that has any, and their number."""
+    tokens = table(spark, sf_dir, name).select(F.col(id_).alias("id"), text.words("text").alias("w"))
+    sets = written(tokens.select("id", F.array_distinct(F.transform(text.grams("w", 3), lambda s: F.xxhash64(s))).alias("shingles")))
+    return sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
 
 
 SETS = "SELECT DISTINCT {0} AS id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS sh FROM (SELECT {0}, " + WORDS + " AS w FROM {1}) WHERE len(w) >= 3"
@@ -234,7 +236,7 @@ def greedy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How near documents come to the benchmark's items, by tenths."""
     docs, bench = shingled(spark, sf_dir, "documents", "doc_id"), shingled(spark, sf_dir, "benchmark", "item_id")
-    best = dedupe.greatest_similarity(docs.select("id", "n", "sh"), bench.select("id", "n", "sh"))
+    best = dedupe.greatest_similarity(docs, bench)
     return best.groupBy(F.floor(F.col("similarity") * 10).cast("int").alias("tenth")).agg(F.count(F.lit(1)).alias("docs"))
 
 

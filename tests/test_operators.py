@@ -126,6 +126,18 @@ def test_similar_pairs_equal_plain(spark):
         assert got == want
 
 
+def test_greatest_similarity_shuffles_no_shingles_for_a_small_index(spark, monkeypatch):
+    rows = lambda sets: spark.createDataFrame([(i, len(s), x) for i, s in sets.items() for x in s], "id long, n int, sh long")
+    got = []
+    for most in (dedupe.BROADCAST_INDEX, 0):
+        monkeypatch.setattr(dedupe, "BROADCAST_INDEX", most)
+        best = dedupe.greatest_similarity(rows({1: [1, 2, 3], 2: [4, 5], 3: [9]}), rows({7: [1, 2, 6], 8: [3], 9: [4, 5]}))
+        got.append({x.id: x.similarity for x in best.collect()})
+        if most:
+            assert "BroadcastHashJoin [sh" in best._jdf.queryExecution().sparkPlan().toString()
+    assert got == [{1: 0.5, 2: 1.0, 3: 0.0}] * 2
+
+
 def test_similar_sets_send_few_shingles_on_and_lose_no_pair(spark):
     r = random.Random(8)
     sets = []
