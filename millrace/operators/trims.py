@@ -89,17 +89,19 @@ def trimmed_beside(made: DataFrame, real: DataFrame, share: Fraction = EXTERNAL,
     under `least`. Classes come in order of name; what leaves for one counts for the next. There are few classes, and a step for each.
     """
     bottom, top = share.denominator, share.numerator
-    left = written(made.groupBy("id", "turn", "class").agg(F.count(F.lit(1)).alias("n")))
+    few = real.where(F.col("n") < least).orderBy("class").collect()
+    # Spans of other classes decide nothing.
+    left = written(made.where(F.col("class").isin([r["class"] for r in few])).groupBy("id", "turn", "class").agg(F.count(F.lit(1)).alias("n"))) if few else made
     gone = None
-    for r in real.where(F.col("n") < least).orderBy("class").collect():
+    for r in few:
         own = left.where(F.col("class") == r["class"])
         total = own.agg(F.sum("n").alias("n")).first().n or 0
         if r.n + total < least or bottom * r.e <= top * (r.n + total):
             continue
         # At most least - 1 spans stay, in as many rows at most.
-        few = own.orderBy("turn", "id").limit(least)
+        first = own.orderBy("turn", "id").limit(least)
         upto = F.sum("n").over(Window.orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, 0))
-        stays = few.withColumn("upto", upto).where(F.col("upto") <= least - 1 - r.n).select("id")
+        stays = first.withColumn("upto", upto).where(F.col("upto") <= least - 1 - r.n).select("id")
         out = written(own.select("id").join(stays, "id", "left_anti"))
         gone = out if gone is None else gone.unionByName(out)
         left = written(left.join(out, "id", "left_anti"))

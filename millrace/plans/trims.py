@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trims
+from ..operators.common import dealt
 from .registry import query, table
 from .texts import MD5
 
@@ -32,8 +33,11 @@ BESIDE = "SELECT class, sum(n)::BIGINT AS x FROM s JOIN orders ON id = o_orderke
 
 
 def items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr(CLASS).alias("class"), F.expr(OUTSIDE).alias("external"))
-    return spans, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") == "1-URGENT").alias("last"), "o_orderstatus")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    spans = lines.select(F.col("l_orderkey").alias("id"), F.expr(CLASS).alias("class"), F.expr(OUTSIDE).alias("external"))
+    rows = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") == "1-URGENT").alias("last"), "o_orderstatus")
+    n = lines.count()
+    return dealt(spans, "id", n), dealt(rows, "id", n)
 
 
 @query(f"WITH {_rounds('true', NONE)} " + " UNION ALL ".join(f"SELECT id, {k} AS round FROM g{k}" for k in range(trims.ROUNDS)))
@@ -54,9 +58,11 @@ def capped_mix_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items of one order in two hundred as real spans, of all others as synthetic ones, chosen in order of date."""
-    own = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    real = F.col("o_orderkey") % 200 == 1
-    spans = own.select(F.col("o_orderkey").alias("id"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("turn"), F.expr(CLASS).alias("class"), F.expr(OUTSIDE).alias("external"), F.year("l_shipdate").cast("long").alias("value"), real.alias("real"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = lines.count()
+    spans = lines.select(F.col("l_orderkey").alias("id"), F.expr(CLASS).alias("class"), F.expr(OUTSIDE).alias("external"), F.year("l_shipdate").cast("long").alias("value"), (F.col("l_orderkey") % 200 == 1).alias("real"))
+    turns = orders.select(F.col("o_orderkey").alias("id"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("turn"))
+    spans = dealt(spans, "id", n).join(dealt(turns, "id", n), "id").select("id", "turn", "class", "external", "value", "real")
     return spans.where("not real"), spans.where("real")
 
 

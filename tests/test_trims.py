@@ -113,3 +113,16 @@ def test_without_top(spark):
     got, over = trims.without_top(spans, counts, share)
     assert {x.id: x.round for x in got.collect()} == gone and len(set(gone.values())) > 1
     assert [x.value for x in over.collect()] == [2002]
+
+
+def test_partitions_follow_rows(spark, small, monkeypatch):
+    """Tables of trims are dealt out by rows, so that a task has as much whatever their size."""
+    from millrace.operators import common
+    from millrace.plans import trims as plans
+
+    monkeypatch.setattr(common, "ROWS", 500)
+    n = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    want = -(-n // 500)
+    assert want > 4
+    assert {x.rdd.getNumPartitions() for x in plans.items(spark, small)} == {want}
+    assert {x.rdd.getNumPartitions() for x in plans.mixed(spark, small)} == {want}
