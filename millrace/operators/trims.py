@@ -32,6 +32,24 @@ def sums_before(rows: DataFrame, by: str, sizes: list[str], order: list[Column],
     return met.select(*rows.columns, *((F.col(f"__{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sizes))
 
 
+def cut_ends(able: DataFrame, by: str) -> DataFrame:
+    """(by, end): the least place of a group before which the steps of its rows add up to its excess; groups where none is are left out.
+
+    able: (by, excess, step, part, place), a part for a stretch of the order of places. Steps may be below 0. Sums of parts tell in which parts that
+    place can be, mostly one or two of a group, and only their rows are put in order.
+    """
+    sums = able.groupBy(by, "part").agg(F.first("excess").alias("excess"), F.sum("step").alias("sum"), F.sum(F.greatest("step", F.lit(0))).alias("most"))
+    ahead = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    told = sums.withColumn("skip", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
+    told = told.withColumn("sure", F.min(F.when(F.col("skip") >= F.col("excess"), F.col("part"))).over(Window.partitionBy(by)))
+    near = told.where((F.col("skip") + F.col("most") >= F.col("excess")) & (F.col("part") <= F.coalesce("sure", "part")))
+    near = written(near.select(F.col(by).alias("__by"), F.col("part").alias("__part"), "skip"))
+    met = able.join(F.broadcast(near), (F.col(by) == F.col("__by")) & (F.col("part") == F.col("__part")))
+    inside = Window.partitionBy(by, "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    reached = met.select(by, "excess", "place", (F.col("skip") + F.coalesce(F.sum("step").over(inside), F.lit(0))).alias("before"))
+    return reached.where("excess <= before").groupBy(by).agg(F.min("place").alias("end"))
+
+
 def counted(spans: DataFrame, flag: str) -> DataFrame:
     """(id, class, n, e, ...) of spans (id, class, value, flag): a row's spans of a class, and those for which flag holds."""
     return spans.groupBy("id", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag).cast("int")).alias("e"))
@@ -116,30 +134,38 @@ def without_top(made: DataFrame, real: DataFrame, share: Fraction = TOP, rounds:
     put over the share stays over and isn't looked at again. No more than `rounds` values are looked at.
     """
     bottom, top = share.denominator, share.numerator
-    left = written(made.groupBy("id", "turn", "value").agg(F.count(F.lit(1)).alias("n")))
+    each = made.groupBy("id", "turn", "value").agg(F.count(F.lit(1)).alias("n"))
+    # One row for all spans of an id, which leaves or stays whole; rounds shuffle none of them.
+    left = written(each.groupBy("id", "turn").agg(F.collect_list(F.struct("value", "n")).alias("spans"), F.sum("n").alias("all")))
+    latest = left.agg(F.max("turn")).first()[0] or 0
+    real = written(real.select("value", "n"))
+    of_values = lambda df: df.select(F.explode("spans").alias("s")).select("s.*").unionByName(real).groupBy("value").agg(F.sum("n").alias("n"))
     spared: list = []
     gone = None
     for k in range(rounds):
-        counts = written(left.select("value", "n").unionByName(real.select("value", "n")).groupBy("value").agg(F.sum("n").alias("n")))
+        counts = written(of_values(left))
         total = counts.agg(F.sum("n").alias("n")).first().n or 0
         worst = counts.where(bottom * F.col("n") > top * total).where(~F.col("value").isin(spared) if spared else F.lit(True)).orderBy(F.desc("n"), "value").first()
         if worst is None:
             break
-        own = F.sum(F.when(F.col("value") == worst.value, F.col("n")).otherwise(0))
-        able = left.groupBy("id", "turn").agg(F.sum("n").alias("all"), own.alias("own"), (F.count(F.lit(1)) > 1).cast("int").alias("mixed")).where("own > 0")
-        able = able.withColumn("step", bottom * F.col("own") - top * F.col("all")).withColumn("one", F.lit(1))
+        own = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + F.when(s["value"] == worst.value, s["n"]).otherwise(0))
+        mixed = (F.size("spans") > 1).cast("int")
         # Parts of the order: by whether there are other values, then by turn from the last on.
-        latest = left.agg(F.max("turn")).first()[0] or 0
-        part = F.col("mixed") * 2 * PARTS - F.floor(F.col("turn") * PARTS / (latest + 1)).cast("int")
-        able = written(sums_before(able, "one", ["step"], [F.desc("turn"), F.col("id")], part).withColumn("place", F.struct("mixed", (-F.col("turn")).alias("turn"), "id")))
-        end = able.where(F.col("before_step") >= bottom * worst.n - top * total).agg(F.min("place").alias("end"))
-        out = written(able.join(F.broadcast(end)).where(F.col("end").isNull() | (F.col("place") < F.col("end"))).select("id"))
+        part = mixed * 2 * PARTS - F.floor(F.col("turn") * PARTS / (latest + 1)).cast("int")
+        place = F.struct(mixed.alias("mixed"), (-F.col("turn")).alias("turn"), "id")
+        told = left.withColumn("own", own).withColumn("place", place)
+        step = bottom * F.col("own") - top * F.col("all")
+        able = told.where("own > 0").select(F.lit(1).alias("one"), F.lit(bottom * worst.n - top * total).cast("long").alias("excess"), step.alias("step"), part.alias("part"), "place")
+        end = written(cut_ends(able, "one").agg(F.min("end").alias("end")))
+        leaves = (F.col("own") > 0) & F.coalesce(F.col("place") < F.col("end"), F.lit(True))
+        both = written(told.crossJoin(F.broadcast(end)).select("id", "turn", "spans", "all", leaves.alias("out")))
+        out = both.where("out").select("id", F.lit(k).alias("round"))
         if out.isEmpty():
             spared.append(worst.value)
             continue
-        gone = out.withColumn("round", F.lit(k)) if gone is None else gone.unionByName(out.withColumn("round", F.lit(k)))
-        left = written(left.join(out, "id", "left_anti"))
-        spared += [worst.value] if left.where(F.col("value") == worst.value).isEmpty() else []
-    counts = left.select("value", "n").unionByName(real.select("value", "n")).groupBy("value").agg(F.sum("n").alias("n"))
+        gone = out if gone is None else gone.unionByName(out)
+        left = both.where("not out").drop("out")
+        spared += [worst.value] if left.where(F.exists("spans", lambda s: s["value"] == worst.value)).isEmpty() else []
+    counts = of_values(left)
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     return gone if gone is not None else made.select("id", F.lit(0).alias("round")).limit(0), counts.where(bottom * F.col("n") > top * total)

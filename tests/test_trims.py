@@ -115,6 +115,26 @@ def test_without_top(spark):
     assert [x.value for x in over.collect()] == [2002]
 
 
+def test_cut_ends(spark):
+    """The first place before which the steps add up to the excess, steps below 0 too, from few rows."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    rows = [(g, place, r.choice((3, 2, 1, -1, -2) if g < 6 else (1, -3))) for g in range(8) for place in r.sample(range(5000), 700)]
+    excess = {g: r.randrange(1, 500) for g in range(8)}
+    able = spark.createDataFrame([(g, excess[g], s, p // 100, p) for g, p, s in rows], "g int, excess long, step long, part int, place int")
+    want = {}
+    for g in range(8):
+        total = 0
+        for _, p, s in sorted(x for x in rows if x[0] == g):
+            if total >= excess[g]:
+                want[g] = p
+                break
+            total += s
+    assert {x.g: x.end for x in trims.cut_ends(able, "g").collect()} == want and 0 < len(want) < 8
+    assert trims.cut_ends(able.where(F.lit(False)), "g").count() == 0
+
+
 def test_partitions_follow_rows(spark, small, monkeypatch):
     """Tables of trims are dealt out by rows, so that a task has as much whatever their size."""
     from millrace.operators import common
