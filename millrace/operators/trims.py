@@ -21,17 +21,6 @@ def in_order(key: str) -> Column:
     return stable(key)
 
 
-def sums_before(rows: DataFrame, by: str, sizes: list[str], order: list[Column], part: Column) -> DataFrame:
-    """rows with before_<size>: sums over all earlier rows of the same `by`. order begins with what part is made of; parts are added up first."""
-    own = rows.withColumn("__part", part)
-    parts = own.groupBy(by, "__part").agg(*(F.sum(s).alias(f"__{s}") for s in sizes))
-    ahead = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    skip = parts.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"__{s}").over(ahead), F.lit(0)).alias(f"__{s}") for s in sizes))
-    inside = Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    met = own.join(skip, (F.col(by) == F.col("__by")) & (F.col("__part") == F.col("__p")))
-    return met.select(*rows.columns, *((F.col(f"__{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sizes))
-
-
 def cut_ends(able: DataFrame, by: str) -> DataFrame:
     """(by, end): the least place of a group before which the steps of its rows add up to its excess; groups where none is are left out.
 
@@ -65,13 +54,17 @@ def capped_classes(spans: DataFrame, rows: DataFrame, share: Fraction = EXTERNAL
     told. Rows without spans stay. What leaves is a cut of an order, found from sums of its parts, so a class may have any share of the rows.
     """
     top, bottom = share.numerator, share.denominator
-    each = written(counted(spans, "external").join(rows.select("id", F.col("last").cast("int").alias("last")), "id"))
-    beside = extra.select(F.col("class").alias("c"), F.col("n").alias("x")) if extra is not None else None
+    each = counted(spans, "external").join(rows.select("id", F.col("last").cast("int").alias("last")), "id")
+    # One row for all spans of an id: it leaves or stays whole, and rounds shuffle none of them.
+    left = written(each.groupBy("id", "last").agg(F.collect_list(F.struct("class", "n", "e")).alias("spans")).withColumn("h", in_order("id")))
+    beside = written(extra.select(F.col("class").alias("c"), F.col("n").alias("x"))) if extra is not None else None
     gone: DataFrame | None = None
-    left = each
+
+    def of_classes(df: DataFrame) -> DataFrame:
+        return df.select("id", "last", "h", F.explode("spans").alias("s")).select("id", "last", "h", "s.*")
 
     def classes_of(df: DataFrame) -> DataFrame:
-        sums = df.groupBy("class").agg(F.sum("n").alias("own"), F.sum("e").alias("e"))
+        sums = of_classes(df).groupBy("class").agg(F.sum("n").alias("own"), F.sum("e").alias("e"))
         if beside is None:
             return sums.withColumn("n", F.col("own"))
         both = sums.join(beside, F.col("class") == F.col("c"), "full")
@@ -80,19 +73,26 @@ def capped_classes(spans: DataFrame, rows: DataFrame, share: Fraction = EXTERNAL
     asked = F.col("n") >= least
     over = lambda df: df.where(asked & (bottom * F.col("e") > top * F.col("n")) & ((F.col("own") >= least) if real_floor else F.lit(True)))
     for k in range(rounds):
-        now = written(over(classes_of(left)).select(F.col("class").alias("c"), (bottom * F.col("e") - top * F.col("n")).alias("excess")))
+        now = written(over(classes_of(left)).where("class is not null").select(F.col("class").alias("c"), (bottom * F.col("e") - top * F.col("n")).alias("excess")))
         if now.isEmpty():
             break
         # The excess falls by what each row takes with it; the first row before which it is gone ends the cut.
-        able = left.join(now, F.col("class") == F.col("c")).where("e > 0").withColumn("step", bottom * F.col("e") - top * F.col("n"))
-        h = in_order("id")
-        part = F.col("last") * PARTS + F.floor(h / ((1 << 32) // PARTS)).cast("int")
-        able = written(sums_before(able, "class", ["step"], [h, F.col("id")], part).withColumn("place", F.struct("last", h.alias("h"), "id")))
-        ends = able.where("excess <= before_step").groupBy("class").agg(F.min("place").alias("end")).select(F.col("class").alias("c"), "end")
-        out = able.drop("c").join(ends, F.col("class") == F.col("c"), "left").where(F.col("end").isNull() | (F.col("place") < F.col("end")))
-        out = written(out.select("id").distinct())
-        gone = out.select("id", F.lit(k).alias("round")) if gone is None else gone.unionByName(out.select("id", F.lit(k).alias("round")))
-        left = written(left.join(out, "id", "left_anti"))
+        able = of_classes(left).where("e > 0").join(F.broadcast(now), F.col("class") == F.col("c"))
+        part = F.col("last") * PARTS + F.floor(F.col("h") / ((1 << 32) // PARTS)).cast("int")
+        able = able.select("class", "excess", (bottom * F.col("e") - top * F.col("n")).alias("step"), part.alias("part"), F.struct("last", "h", "id").alias("place"))
+        ends = now.join(cut_ends(able, "class"), F.col("c") == F.col("class"), "left")
+        cuts = written(ends.agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("end")))).alias("cuts")))
+
+        def leaves(s: Column) -> Column:
+            """Whether a span's class lets go of its row: there is a cut of that class, without an end or with one behind the row."""
+            at = F.try_element_at("cuts", s["class"])
+            return (s["e"] > 0) & at.isNotNull() & F.coalesce(F.struct("last", "h", "id") < at["end"], F.lit(True))
+
+        told = left.crossJoin(F.broadcast(cuts)).withColumn("out", F.exists("spans", leaves))
+        left = written(told.drop("cuts"))
+        out = left.where("out").select("id", F.lit(k).alias("round"))
+        gone = out if gone is None else gone.unionByName(out)
+        left = left.where("not out").drop("out")
     if gone is None:
         gone = rows.select("id", F.lit(0).alias("round")).limit(0)
     kept = classes_of(left)
