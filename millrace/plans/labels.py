@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classes, ids, labels, text
-from ..operators import select, sequences
+from ..operators import ordering, select, sequences
 from .registry import query, table
 from .texts import MD5, WORDS
 
@@ -177,8 +177,7 @@ def both_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS margin, quantile_cont(l_extendedprice, 0.5) AS middle FROM lineitem GROUP BY l_returnflag")
 def margin_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles that margins are set by."""
-    items = table(spark, sf_dir, "lineitem")
-    return items.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.05).alias("margin"), F.percentile("l_extendedprice", 0.5).alias("middle"))
+    return ordering.percentiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"margin": 0.05, "middle": 0.5})
 
 
 @query(
