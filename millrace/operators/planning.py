@@ -60,13 +60,18 @@ def allocated_in_turn(values: DataFrame, budget: int, shares: dict[str, float],
     return have.where("new > 0").select("class", "value", "new")
 
 
+#: Rows of an order that are first decided by themselves; what comes later is looked at four times as far each time.
+HEAD = 1 << 14
+
+
 def fitting(rows: DataFrame, order: list[Column], capacities: dict[str, tuple[Column, int]]) -> DataFrame:
     """(id, turn) of rows that are taken when rows are gone through in an order and each is taken for which all its groups have room.
 
     rows: id and any columns. capacities: a name, an array of the groups of that name that a row is in, as strings (null and empty: none), and the
     rows that each may have. In a round every row is taken that comes within the room that is left in all its groups, counting rows before it
     that aren't decided as if they were taken; rows of full groups go. So a row is only taken or dropped when the rule would do so, and the
-    first of the undecided is always taken. A group may have any share of the rows.
+    first of the undecided is always taken. A group may have any share of the rows. Rounds are gone through for the first HEAD rows, then for
+    the next, of which rows of groups that are full by then have gone: what is decided never hangs on later rows.
     """
 
     def named(name: str, groups: Column) -> Column:
@@ -74,21 +79,30 @@ def fitting(rows: DataFrame, order: list[Column], capacities: dict[str, tuple[Co
         return F.transform(own, lambda x: F.concat(F.lit(f"{name}:"), x))
 
     keyed = rows.select("id", F.array_compact(F.flatten(F.array(*[named(k, g) for k, (g, _) in capacities.items()]))).alias("groups"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
-    open_ = written(ordering.placed(keyed, [F.col(f"o{i}") for i in range(len(order))]).select("id", "turn", "groups"))
+    later = written(ordering.placed(keyed, [F.col(f"o{i}") for i in range(len(order))]).select("id", "turn", "groups"))
     most = F.coalesce(*[F.when(F.col("g").startswith(f"{k}:"), F.lit(n)) for k, (_, n) in capacities.items()])
-    taken = open_.select("id", "turn").limit(0)
-    used = written(open_.select(F.explode("groups").alias("u"), F.lit(0).cast("long").alias("n")).limit(0))
-    while not open_.isEmpty():
-        each = open_.select("id", "turn", F.explode("groups").alias("g"))
-        ranked = ordering.before(each, ["g"], F.lit(1), "rank").join(used, F.col("g") == F.col("u"), "left")
-        waits = written(ranked.where(F.col("rank") >= most - F.coalesce("n", F.lit(0))).select("id").distinct())
-        now = written(open_.join(waits, "id", "left_anti"))
-        taken = taken.unionByName(now.select("id", "turn"))
-        used = written(used.unionByName(now.select(F.explode("groups").alias("u"), F.lit(1).cast("long").alias("n"))).groupBy("u").agg(F.sum("n").alias("n")))
+    taken = later.select("id", "turn").limit(0)
+    used = written(later.select(F.explode("groups").alias("u"), F.lit(0).cast("long").alias("n")).limit(0))
+
+    def without_full(rows: DataFrame) -> DataFrame:
         full = used.withColumn("g", F.col("u")).where(F.col("n") >= most).select("g")
-        rest = open_.join(waits, "id", "left_semi")
-        dropped = rest.select("id", F.explode("groups").alias("g")).join(full, "g", "left_semi").select("id").distinct()
-        open_ = written(rest.join(dropped, "id", "left_anti"))
+        dropped = rows.select("id", F.explode("groups").alias("g")).join(full, "g", "left_semi").select("id").distinct()
+        return written(rows.join(dropped, "id", "left_anti"))
+
+    head = HEAD
+    while (first := later.agg(F.min("turn")).first()[0]) is not None:
+        upto = first + head
+        open_ = written(later.where(F.col("turn") < upto))
+        while not open_.isEmpty():
+            each = open_.select("id", "turn", F.explode("groups").alias("g"))
+            ranked = ordering.before(each, ["g"], F.lit(1), "rank").join(used, F.col("g") == F.col("u"), "left")
+            waits = written(ranked.where(F.col("rank") >= most - F.coalesce("n", F.lit(0))).select("id").distinct())
+            now = written(open_.join(waits, "id", "left_anti"))
+            taken = taken.unionByName(now.select("id", "turn"))
+            used = written(used.unionByName(now.select(F.explode("groups").alias("u"), F.lit(1).cast("long").alias("n"))).groupBy("u").agg(F.sum("n").alias("n")))
+            open_ = without_full(open_.join(waits, "id", "left_semi"))
+        later = without_full(later.where(F.col("turn") >= upto))
+        head *= 4
     return taken
 
 
@@ -101,6 +115,9 @@ def varied(rows: DataFrame, n: int, shares: dict[str, float], per_video: int = 8
     """
     h = stable("id")
     none = [c for c, s in shares.items() if int(s * n) < 1]
+    # Of a text only a digest goes on: texts go through no shuffle and are written nowhere.
+    key = F.sha2(F.lower(F.trim(F.coalesce("text", F.lit("")))), 256)
+    rows = rows.select("id", "class", "video", "template", "years", "values", key.alias("text"))
     own = written(rows.where(~F.col("class").isin(none) if none else F.lit(True)).withColumn("h", h).withColumn("dated", F.col("class") == "year"))
     years = own.where("dated").withColumn("y", F.array_min("years"))
     ahead = F.array_max("years") >= forward
@@ -118,5 +135,5 @@ def varied(rows: DataFrame, n: int, shares: dict[str, float], per_video: int = 8
     ordered = own.join(dated.unionByName(others), "id")
     of_class = {f"class {c}": (F.when(F.col("class") == c, F.array(F.lit("all"))), int(s * n)) for c, s in shares.items()}
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string")))
-    capacities = {"video": (one("video"), per_video), "template": (one("template"), per_template), "text": (F.array(F.lower(F.trim(F.coalesce("text", F.lit(""))))), 1), "year": (F.transform("years", lambda y: y.cast("string")), per_year), **{k: v for k, v in of_class.items() if v[1] > 0}, "any": (F.array(F.lit("all")), n)}
+    capacities = {"video": (one("video"), per_video), "template": (one("template"), per_template), "text": (F.array("text"), 1), "year": (F.transform("years", lambda y: y.cast("string")), per_year), **{k: v for k, v in of_class.items() if v[1] > 0}, "any": (F.array(F.lit("all")), n)}
     return fitting(ordered, [F.col(c) for c in ("phase", "a", "b", "c", "h", "id")], capacities)

@@ -88,3 +88,21 @@ def test_places_and_sums(spark):
     for x in order:
         assert x.before == sums[x.g]
         sums[x.g] += x.n
+
+
+def test_fitting_from_the_head(spark, monkeypatch):
+    """Rows are decided from the front on; those behind, of full groups, are never put through rounds. The same rows are taken."""
+    r = random.Random(8)
+    rows = [(i, r.choice("aaaab"), r.randrange(40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v string, t int")
+    groups = {"v": (F.array("v"), 25), "t": (F.array(F.col("t").cast("string")), 3)}
+    monkeypatch.setattr(planning, "HEAD", 30)
+    want, v, t = [], {}, {}
+    for i, a, b in sorted(rows):
+        if v.get(a, 0) < 25 and t.get(b, 0) < 3:
+            v[a], t[b] = v.get(a, 0) + 1, t.get(b, 0) + 1
+            want.append(i)
+    sizes, ranked = [], planning.ordering.before
+    monkeypatch.setattr(planning.ordering, "before", lambda each, *a, **k: sizes.append(each.select("id").distinct().count()) or ranked(each, *a, **k))
+    assert sorted(x.id for x in planning.fitting(df, [F.col("id")], groups).collect()) == want
+    assert sizes[0] == 30 and max(sizes) < 200
