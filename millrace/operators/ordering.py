@@ -43,13 +43,14 @@ def before(rows: DataFrame, by: list[str], size: Column, name: str = "before", t
 def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(by, a column for each name of shares): exact percentiles of a group's values, between two of them by their distance; null without any.
 
-    Values are counted, and counts added up in their order, so that no task has a group whole.
+    Values are counted, and counts added up in their order, so that no task has a group whole. Groups may be of any size, but are broadcast with theirs.
     """
     counts = written(rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c")))
     known = counts.where(F.col(value).isNotNull())
     line = before(placed(known, [F.col(value)]), [by], F.col("c"))
     sizes = counts.groupBy(by).agg(F.sum(F.when(F.col(value).isNotNull(), F.col("c"))).alias("all")).select(F.col(by).alias("__by"), "all")
-    met = line.join(sizes, F.col(by).eqNullSafe(F.col("__by")), "right")
+    sizes = written(sizes)
+    met = line.join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("__by")))
     out = []
     for name, share in shares.items():
         place = (F.col("all") - 1) * F.lit(share)
@@ -58,4 +59,5 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float])
         # One value, or what lies between two.
         first, rest = F.ceil(F.max(place)) - F.max(place), F.max(place) - F.floor(F.max(place))
         out.append(F.when(low == high, low).otherwise(first * low + rest * high).alias(name))
-    return met.groupBy(F.col("__by").alias(by)).agg(*out)
+    told = met.groupBy("__by").agg(*out).withColumnRenamed("__by", "__of")
+    return sizes.join(told, F.col("__by").eqNullSafe(F.col("__of")), "left").select(F.col("__by").alias(by), *shares)
