@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,35 +31,60 @@ def shingle_sets(df: DataFrame, id_: str, shingles: Column) -> DataFrame:
     return written(each.join(often, "sh").select("id", "sh", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("often", "sh")).alias("nth")))
 
 
-def set_classes(df: DataFrame, id_: str, shingles: Column) -> tuple[DataFrame, DataFrame]:
+def set_classes(df: DataFrame, id_: str, shingles: Column, in_waves: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, first) of each row with shingles, where first is the least id with the same set; and (id, shingles), hashed, of these first rows.
 
     Pairs are then looked for among the first rows only, so that a group of copies costs no pairs; a row is like all that its first is like.
+    in_waves: first rows have their wave, too (waves), and lie in a folder for each.
     """
     hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
     # Written before anything filters it: a filter would be pushed down to the tokens and have them computed again for each shingle.
-    own = written(df.select(F.col(id_).alias("id"), hashed.alias("shingles"))).where(F.size("shingles") > 0)
+    every = written(df.select(F.col(id_).alias("id"), hashed.alias("shingles")))
+    own = every.where(F.size("shingles") > 0)
     own = own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256))
     firsts = own.groupBy("key").agg(F.min("id").alias("first"))
-    first = written(own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
+    first = own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    first = written(first.withColumn("wave", waves(every)), "wave") if in_waves else written(first)
     return own.select("id", "key").join(firsts, "key").select("id", "first"), first
 
 
 #: Buckets of hashes whose counts order the shingles of a set, a fixed number of whatever table.
 COUNTED = 1 << 20
+#: Counts that are added up at a time.
+RUN = 1 << 12
+
+
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How often each bucket of hashes is met in sets (id, shingles). A task counts its own; counts of tasks are added up by runs of buckets."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            often += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTED - 1), minlength=COUNTED)
+        ends = pa.array(np.arange(0, COUNTED + 1, RUN), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTED // RUN)), pa.ListArray.from_arrays(ends, pa.array(often))], ["run", "often"])
+
+    def added(key: tuple[pa.Scalar, ...], counts: pa.Table) -> pa.Table:
+        total = counts["often"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, RUN).sum(axis=0)
+        return pa.table({"run": pa.array([key[0].as_py()]), "often": pa.array([total], pa.list_(pa.int64()))})
 
+    runs = sets.select("shingles").mapInArrow(counted, "run long, often array<long>").groupBy("run").applyInArrow(added, "run long, often array<long>")
+    return runs.orderBy("run").toArrow()["often"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-def rarest_first(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(id, n, sh, nth) of the shingles of each set (id, shingles) that are in front, the rarest first: all but share * n and one more.
 
-    One order for the whole table: how often the bucket of a shingle's hash is met, then the hash. It parts rare from frequent shingles like
-    counts of each would, and needs no shuffle of all shingles; the counts of buckets are as many whatever the table.
+#: Two sets that are alike have one more of the shingles in front in common for each so many that the smaller one has.
+EVERY = 16
+NEVER = 1 << 30
+
+
+def fronts(sets: DataFrame, share: tuple[int, int], every: int = NEVER) -> DataFrame:
+    """sets (id, shingles, and other columns) with their number n in place of shingles, and front: the rarest of them, the rarest first.
+
+    All but share * n are in front, and one more; with every also those that meetings takes beyond these. One order for the whole table: how often the
+    bucket of a shingle's hash is met, then the hash. It parts rare from frequent shingles like counts of each would, and needs no shuffle of all
+    shingles; the counts of buckets are as many whatever the table.
     """
-    each = sets.select(F.explode("shingles").alias("sh")).groupBy(F.col("sh").bitwiseAND(COUNTED - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("often"))
-    rows = each.toPandas()
-    often = np.zeros(COUNTED, np.int64)
-    often[rows["bucket"].to_numpy(np.int64)] = rows["often"].to_numpy(np.int64)
-    known, (top, bottom) = sets.sparkSession.sparkContext.broadcast(often), share
+    known, (top, bottom) = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets)), share
 
     @F.arrow_udf(ArrayType(LongType()))
     def front(shingles: pa.Array) -> pa.Array:
@@ -65,37 +93,86 @@ def rarest_first(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
         row = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((sh, known.value[sh & (COUNTED - 1)], row))
         starts = np.cumsum(sizes) - sizes
-        taken = np.where(sizes > 0, sizes - -(-top * sizes // bottom) + 1, 0)
+        taken = np.where(sizes > 0, sizes - -(-top * (every - 1) * sizes // (bottom * every)) + 1, 0)
         at = np.repeat(starts - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), pa.array(sh[order[at]]))
 
-    ahead = sets.select("id", F.size("shingles").alias("n"), front("shingles").alias("front"))
-    return ahead.select("id", "n", F.posexplode("front").alias("nth", "sh"))
+    return sets.select(*(c for c in sets.columns if c != "shingles"), F.size("shingles").alias("n"), front("shingles").alias("front"))
 
 
-def similar_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b, common, similarity): all pairs a < b of sets (id, shingles) whose Jaccard similarity is share, a fraction, or more.
+def rarest_first(sets: DataFrame, share: tuple[int, int], every: int = NEVER) -> DataFrame:
+    """fronts with a row for each shingle (id, n, sh, nth, and other columns)."""
+    ahead = fronts(sets, share, every)
+    return ahead.select(*(c for c in ahead.columns if c != "front"), F.posexplode("front").alias("nth", "sh"))
 
-    Two such sets have one of their rarest shingles in common (rarest_first). Of the first that they share, so much must lie behind in both
-    that they can still be alike enough, which leaves the smaller set fewer shingles that count; neither loses a pair. Shuffled are these
-    shingles, and the sets as arrays, against each other. Ids are distinct; sets are written, as they are read more than once.
+
+def met_again(share: tuple[int, int]) -> int:
+    """EVERY, if sets of this similarity have that many shingles in common."""
+    return EVERY if (EVERY - 1) * share[0] >= share[1] else NEVER
+
+
+def shared_fronts(sets: DataFrame, share: tuple[int, int], *by: str) -> DataFrame:
+    """rarest_first, written, without the shingles that one set alone has in front, which are most."""
+    ahead = rarest_first(sets, share, met_again(share))
+    often = F.count(F.lit(1)).over(Window.partitionBy("sh"))
+    return written(ahead.withColumn("often", often).where("often > 1").drop("often"), *by)
+
+
+def meetings(a: DataFrame, b: DataFrame, share: tuple[int, int], apart: Column) -> DataFrame:
+    """(a, b), written: pairs of sets that can be alike by their shingles in front (id, n, sh, nth), without those that apart leaves out.
+
+    Where two sets are alike, so much lies behind the first shingle that they share in both that they can still have enough in common, behind the
+    second one less, and so on. So they meet in 1 + n / EVERY shingles with that many less behind them, where n is of the smaller set; sets
+    that share a few shingles of many don't. No pair that is alike is lost.
     """
-    top, bottom = share
-    ahead = written(rarest_first(sets, share))
+    (top, bottom), every = share, met_again(share)
+    own = lambda df, x: df.select(F.col("id").alias(x), "sh", F.col("n").alias(f"n{x}"), (F.col("n") - F.col("nth")).alias(f"left{x}"))
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    more = F.floor(small / every)
+    fits = (bottom * small >= top * large) & ((top + bottom) * (F.least("lefta", "leftb") + more) >= top * (small + large))
+    met = own(a, "a").join(own(b, "b"), "sh").where(apart & fits).groupBy("a", "b", more.alias("more")).agg(F.count(F.lit(1)).alias("met"))
+    return written(met.where("met > more").select("a", "b"))
+
+
+def meetings_within(ahead: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """meetings of sets of one table with each other, a < b."""
+    (top, bottom), every = share, met_again(share)
     # The least part of both sizes that two sets of this similarity have in common: top / (top + bottom).
-    small = ahead.where(f"(n - nth) * {top + bottom} >= 2 * {top} * n").select(F.col("id").alias("x"), "sh", F.col("n").alias("nx"), F.col("nth").alias("px"))
-    large = ahead.select(F.col("id").alias("y"), "sh", F.col("n").alias("ny"), F.col("nth").alias("py"))
-    falls = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    fits = falls & (bottom * F.col("nx") >= top * F.col("ny")) & ((top + bottom) * left >= top * (F.col("nx") + F.col("ny")))
-    pairs = written(small.join(large, "sh").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    own = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
+    small = ahead.where((F.col("n") - F.col("nth") + F.floor(F.col("n") / every)) * (top + bottom) >= 2 * top * F.col("n"))
+    falls = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return meetings(small, ahead, share, falls).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+#: Ids that are broadcast to pick rows, at most; more meet these in a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def picked(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df (id, ...) joined with ids (id), written ones, of which each is once."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b, common, similarity) of the pairs (a, b) whose sets (id, shingles) are alike; the sets meet as arrays."""
+    top, bottom = share
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    met = picked(sets, ids)
+    own = lambda n: met.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common_values("sa", "sb").alias("common"))
     either = F.col("na") + F.col("nb") - F.col("common")
     return counted.where(bottom * F.col("common") >= top * either).select("a", "b", "common", (F.col("common") / either).alias("similarity"))
 
 
+def similar_sets(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b, common, similarity): all pairs a < b of sets (id, shingles) whose Jaccard similarity is share, a fraction, or more.
+
+    Two such sets have some of their rarest shingles in common (meetings), which loses no pair. Shuffled are these shingles, and the sets as
+    arrays, against each other. Ids are distinct; sets are written, as they are read more than once.
+    """
+    return alike(meetings_within(shared_fronts(sets, share), share), sets, share)
+
+
 @F.arrow_udf(LongType())
 def common_values(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many values two arrays of distinct numbers have in common, row by row."""
@@ -141,6 +218,42 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids if dropped is None else ids.join(dropped, "id", "left_anti")
 
 
+#: Rows of the first wave, and how many times what came before the waves up to the next have.
+FIRST_WAVE, GROWTH = 4096, 4
+
+
+def waves(ids: DataFrame) -> Column:
+    """The wave of an id, a number, by ranges of ids (id): about FIRST_WAVE rows first, then each GROWTH times as many as up to the last one."""
+    n, sizes = ids.count(), []
+    while FIRST_WAVE * GROWTH ** len(sizes) < n:
+        sizes.append(FIRST_WAVE * GROWTH ** len(sizes) / n)
+    ends = ids.select(F.percentile_approx("id", sizes)).first()[0] if sizes else []
+    return sum(((F.col("id") > end).cast("int") for end in sorted({*ends})), F.lit(0))
+
+
+def greedy_similar(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(id) of the sets (id, shingles, wave) that stay when each drops later ones whose similarity is share or more: a dropped one drops no other.
+
+    Waves of ids are gone through in order. What stays of those before drops what it can of a wave, and only what is left there is looked
+    through for pairs. So of a group of near copies the pairs with those that stay are looked at, not all pairs.
+    """
+    ahead = shared_fronts(sets, share, "wave")
+    kept: list[DataFrame] = []
+    before: list[DataFrame] = []
+    numbers = sorted(r.wave for r in sets.select("wave").distinct().collect())
+    for wave in numbers:
+        ids, front = sets.where(F.col("wave") == wave).select("id"), ahead.where(F.col("wave") == wave)
+        if before:
+            met = meetings(reduce(DataFrame.union, before), front, share, F.lit(True))
+            gone = written(alike(met, sets.where(F.col("wave") <= wave), share).select(F.col("b").alias("id")).distinct())
+            ids, front = picked(ids, gone, "left_anti"), picked(front, gone, "left_anti")
+        pairs = alike(meetings_within(front, share), sets.where(F.col("wave") == wave), share)
+        kept.append(written(greedy_kept(ids, pairs)))
+        if wave != numbers[-1]:
+            before.append(written(picked(front, kept[-1])))
+    return reduce(DataFrame.union, kept) if kept else sets.select("id")
+
+
 def without_protected(rows: DataFrame, protected: dict[str, DataFrame], id_: str) -> DataFrame:
     """rows with reason: the first name of protected tables (one column, named like a column of rows) that holds the row's value; null if none."""
     out = rows.withColumn("reason", F.lit(None).cast("string"))

@@ -220,9 +220,8 @@ def greedy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     Of equal sets the first alone can stay: what drops it drops the others, and if it stays it drops them.
     """
     tokens = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w")).select("doc_id", text.frame("w").alias("f"))
-    _, firsts = dedupe.set_classes(tokens, "doc_id", text.frame_shingles("f"))
-    pairs = written(dedupe.similar_sets(firsts, (3, 5)))
-    return dedupe.greedy_kept(firsts.select("id"), pairs).select(F.col("id").alias("doc_id"))
+    _, firsts = dedupe.set_classes(tokens, "doc_id", text.frame_shingles("f"), in_waves=True)
+    return dedupe.greedy_similar(firsts, (3, 5)).select(F.col("id").alias("doc_id"))
 
 
 @query(

@@ -154,6 +154,57 @@ def test_similar_sets_send_few_shingles_on_and_lose_no_pair(spark):
         assert got == {p: c for p, c in both.items() if Fraction(c, len({*sets[p[0]]} | {*sets[p[1]]})) >= Fraction(*least)}
 
 
+def are_alike(a, b, least):
+    return Fraction(len({*a} & {*b}), len({*a} | {*b})) >= Fraction(*least)
+
+
+def looked_at(monkeypatch):
+    """The numbers of pairs whose sets are compared from now on."""
+    seen, alike = [], dedupe.alike
+    monkeypatch.setattr(dedupe, "alike", lambda pairs, *more: seen.append(pairs.count()) or alike(pairs, *more))
+    return seen
+
+
+@pytest.mark.parametrize("every", [3, 16])
+def test_similar_sets_that_must_meet_again_lose_no_pair(spark, monkeypatch, every):
+    monkeypatch.setattr(dedupe, "EVERY", every)
+    r = random.Random(10)
+    sets = []
+    for _ in range(25):
+        own = [*range(r.randrange(40)), *(r.randrange(200) for _ in range(r.randrange(1, 90)))]
+        sets += [[x for x in {*own} if r.random() < share] + [r.randrange(10**6)] for share in (1, 0.95, 0.8, 0.7)]
+    df = spark.createDataFrame([(i, sorted({*s})) for i, s in enumerate(sets)], "id long, shingles array<bigint>")
+    for least in ((3, 5), (4, 5), (1, 30)):
+        got = {(x.a, x.b) for x in dedupe.similar_sets(df, least).collect()}
+        assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and are_alike(a, b, least)}
+
+
+def test_similar_sets_compare_no_sets_that_share_one_rare_shingle_of_many(spark, monkeypatch):
+    seen = looked_at(monkeypatch)
+    df = spark.createDataFrame([(i, [0, *range(1000 * i + 1, 1000 * i + 100)]) for i in range(20)], "id long, shingles array<bigint>")
+    monkeypatch.setattr(dedupe, "COUNTED", 1)  # the shared shingle, the least, then comes first
+    monkeypatch.setattr(dedupe, "RUN", 1)
+    assert dedupe.similar_sets(df, (3, 5)).isEmpty() and seen == [0]
+
+
+def test_greedy_similar_equals_plain_and_looks_at_few_pairs_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "FIRST_WAVE", 8)
+    r, seen = random.Random(9), looked_at(monkeypatch)
+    group = [[*range(40), 1000 + i] for i in range(200)]
+    chain = [[*range(100 + 3 * i, 120 + 3 * i)] for i in range(40)]
+    sets = group + chain + [r.sample(range(3000, 3030), r.randrange(1, 12)) for _ in range(40)]
+    r.shuffle(sets)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, shingles array<bigint>")
+    df = df.withColumn("wave", dedupe.waves(df))
+    assert [x["count"] for x in df.groupBy("wave").count().orderBy("wave").collect()] == [8, 24, 96, 152]
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(are_alike(s, sets[k], (3, 5)) for k in kept):
+            kept.append(i)
+    assert sorted(x.id for x in dedupe.greedy_similar(df, (3, 5)).collect()) == kept
+    assert sum(seen) < 5 * len(sets)
+
+
 def test_overlaps_equal_plain(spark):
     r = random.Random(6)
     rows = [(i, "k" if r.random() < 0.7 else "l", s := r.uniform(0, 50), s + r.uniform(0.1, 12)) for i in range(60)]
