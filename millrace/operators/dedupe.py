@@ -38,14 +38,17 @@ def set_classes(df: DataFrame, id_: str, shingles: Column, in_waves: bool = Fals
     in_waves: first rows have their wave, too (waves), and lie in a folder for each.
     """
     hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
+    own = df.select(F.col(id_).alias("id"), hashed.alias("shingles"))
     # Written before anything filters it: a filter would be pushed down to the tokens and have them computed again for each shingle.
-    every = written(df.select(F.col(id_).alias("id"), hashed.alias("shingles")))
-    own = every.where(F.size("shingles") > 0)
-    own = own.withColumn("key", F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256))
-    firsts = own.groupBy("key").agg(F.min("id").alias("first"))
-    first = own.select("id", "shingles").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
-    first = written(first.withColumn("wave", waves(every)), "wave") if in_waves else written(first)
-    return own.select("id", "key").join(firsts, "key").select("id", "first"), first
+    own, by = (own.withColumn("wave", waves(own.select("id"))), ["wave"]) if in_waves else (own, [])
+    own = written(own, *by)
+    key = F.sha2(F.array_join(F.transform("shingles", lambda h: h.cast("string")), ","), 256)
+    keyed = written(own.select("id", F.when(F.size("shingles") > 0, key).alias("key")))
+    firsts = written(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("first")))
+    # Most rows are first ones, so that the others are picked out: the sets are neither shuffled nor written again where these are few.
+    others = written(keyed.join(firsts.select(F.col("first").alias("id")), "id", "left_anti").select("id"))
+    first = picked(own, others, "left_anti")
+    return keyed.join(firsts, "key").select("id", "first"), first if others.count() <= BROADCAST_IDS else written(first, *by)
 
 
 #: Buckets of hashes whose counts order the shingles of a set, a fixed number of whatever table.
