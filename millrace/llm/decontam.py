@@ -40,11 +40,10 @@ def fingerprint(hashes: DataFrame, *ids: str) -> DataFrame:
     """(ids, n, fp): a bit of fp is 1 if over half of a group's hashes have it; repeats count. Bits are counted two to a long."""
     sums = [F.sum(F.shiftrightunsigned("sh", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(32)]
     counted = hashes.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *sums)
-    fp = F.lit(0).cast("long")
-    for b in range(32):
-        low, high = F.col(f"s{b}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{b}", 32)
-        for count, at in ((low, b), (high, b + 32)):
-            fp = fp.bitwiseOR(F.shiftleft((2 * count > F.col("n")).cast("long"), at))
+    # Over an array: as one chain of 64 terms the driver would write code of a size that grows with the square of these.
+    over = lambda count, at: f"shiftleft(cast(2 * ({count}) > n as bigint), {at})"
+    each = f"{over('s & 4294967295', 'b')} | {over('shiftrightunsigned(s, 32)', 'b + 32')}"
+    fp = F.expr(f"aggregate(transform(array({', '.join(f's{b}' for b in range(32))}), (s, b) -> {each}), 0L, (x, y) -> x | y)")
     return counted.select(*ids, "n", fp.alias("fp"))
 
 
@@ -84,8 +83,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     window = ["doc", "doc_id", "item", "m", "start"]
     filled = written(places.join(shingles, ["doc", "pos"]).select(*window, "sh"))
 
-    prints = fingerprint(filled, *window).select(*window, F.col("n").alias("window_n"), F.col("fp").alias("window_fp"), F.explode(blocks("fp")).alias("block"))
-    tables = fingerprint(item_shingles, "item", "item_id").select("item", "item_id", F.col("n").alias("item_n"), "fp", F.explode(blocks("fp")).alias("block"))
+    # Written, as Spark would else put the whole expression of a fingerprint into the conditions of what follows.
+    prints = written(fingerprint(filled, *window)).select(*window, F.col("n").alias("window_n"), F.col("fp").alias("window_fp"), F.explode(blocks("fp")).alias("block"))
+    tables = written(fingerprint(item_shingles, "item", "item_id")).select("item", "item_id", F.col("n").alias("item_n"), "fp", F.explode(blocks("fp")).alias("block"))
     near = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp"))) <= RADIUS
     pairs = prints.join(tables, ["item", "block"]).where(near).drop("block").distinct()
 

@@ -252,6 +252,21 @@ def test_decontamination_equals_plain(spark):
     assert decontam.decontaminated(d, b.limit(0)).count() == len(texts)
 
 
+def test_fingerprints_are_bitwise_majorities(spark):
+    r = random.Random(6)
+    groups = [[r.choice((-1, 0, r.getrandbits(64) - (1 << 63))) for _ in range(n)] for n in (1, 2, 3, 7, 40)]
+    rows = spark.createDataFrame([(i, h) for i, g in enumerate(groups) for h in g], "id long, sh long")
+    got = {x.id: (x.n, x.fp % (1 << 64)) for x in decontam.fingerprint(rows, "id").collect()}
+    assert got == {i: (len(g), sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in g) > len(g))) for i, g in enumerate(groups)}
+
+
+def test_no_later_condition_holds_a_fingerprint_expression(spark):
+    """The driver would write the code of the whole expression again for each."""
+    b = spark.createDataFrame([(0, prose(0, 20))], "item_id long, text string")
+    plan = decontam.matches(docs(spark, [prose(0, 20)]), b)._jdf.queryExecution().toString()
+    assert "bit_count" in plan and "shiftleft" not in plan
+
+
 def test_blocks_guarantee_the_radius(spark):
     from pyspark.sql import functions as F
 
