@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, written
+from .common import boxed, shuffled, sized, written
 
 #: Words of a shingle, and the least similarity of a window to an item, as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
 #: Fingerprints with so many differing bits or fewer are candidates. At a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3.
 RADIUS = 24
-#: Item shingles that are broadcast at most; beyond them the join is a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a table of item shingles or of blocks of items that is broadcast, at most; beyond them the join is a shuffle.
+BROADCAST_ROWS = 500_000
 #: Words that are hashed at a time, so that a long text is several rows.
 PART = 4096
 #: A counter of a fingerprint's bit has 32 bits of a long.
@@ -60,18 +60,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_shingles = written(shingled(item, "item", "item_id"))
     items = written(item_shingles.groupBy("item", "sh").agg(F.count(F.lit(1)).alias("weight"), F.first("len").alias("m")))
     bounded = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if bounded else (lambda df: df)
+    met = F.broadcast if bounded else shuffled
 
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    hits = written(shingled(doc, "doc", "doc_id").join(sized(items.select("sh").distinct()), "sh", "left_semi").distinct())
+    hits = written(shingled(doc, "doc", "doc_id").join(met(items.select("sh").distinct()), "sh", "left_semi").distinct())
 
     # Windows that begin at one of the item's shingles and have enough of them; the need-th from there on tells. The last full window may begin elsewhere.
     both = F.least("len", "m") + F.col("m") - 2 * (SHINGLE - 1)
     need = F.ceil(both * LEAST[0] / (LEAST[0] + LEAST[1]) - 1e-9).cast("int").alias("need")
-    placed = hits.join(sized(items.select("item", "sh", "m")), "sh").select("doc", "doc_id", "item", "m", "pos", F.greatest(F.col("len") - F.col("m"), F.lit(0)).alias("last"), need, F.expr("row_number() OVER (PARTITION BY doc, item ORDER BY pos)").alias("nth"))
+    placed = hits.join(met(items.select("item", "sh", "m")), "sh").select("doc", "doc_id", "item", "m", "pos", F.greatest(F.col("len") - F.col("m"), F.lit(0)).alias("last"), need, F.expr("row_number() OVER (PARTITION BY doc, item ORDER BY pos)").alias("nth"))
     placed = written(placed)
     other = placed.select(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("nth").alias("k"), F.col("pos").alias("end"))
-    begun = placed.join(other, (F.col("doc") == F.col("d")) & (F.col("item") == F.col("i")) & (F.col("nth") + F.col("need") - 1 == F.col("k")))
+    begun = placed.join(shuffled(other), (F.col("doc") == F.col("d")) & (F.col("item") == F.col("i")) & (F.col("nth") + F.col("need") - 1 == F.col("k")))
     begun = begun.where((F.col("pos") <= F.col("last")) & (F.col("end") <= F.col("pos") + F.col("m") - SHINGLE)).select("doc", "doc_id", "item", "m", F.col("pos").alias("start"))
     final = placed.where("pos >= last").groupBy("doc", "doc_id", "item", "m", F.col("last").alias("start")).agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
     windows = written(begun.union(final.where("hits >= need").select("doc", "doc_id", "item", "m", "start")).distinct())
@@ -81,17 +81,17 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shingles = shingled(mine, "doc").select("doc", "pos", "sh")
     places = windows.select("doc", "doc_id", "item", "m", "start", F.explode(F.sequence("start", F.col("start") + F.col("m") - SHINGLE)).alias("pos"))
     window = ["doc", "doc_id", "item", "m", "start"]
-    filled = written(places.join(shingles, ["doc", "pos"]).select(*window, "sh"))
+    filled = written(places.join(shuffled(shingles), ["doc", "pos"]).select(*window, "sh"))
 
     # Written, as Spark would else put the whole expression of a fingerprint into the conditions of what follows.
     prints = written(fingerprint(filled, *window)).select(*window, F.col("n").alias("window_n"), F.col("fp").alias("window_fp"), F.explode(blocks("fp")).alias("block"))
-    tables = written(fingerprint(item_shingles, "item", "item_id")).select("item", "item_id", F.col("n").alias("item_n"), "fp", F.explode(blocks("fp")).alias("block"))
+    tables = written(written(fingerprint(item_shingles, "item", "item_id")).select("item", "item_id", F.col("n").alias("item_n"), "fp", F.explode(blocks("fp")).alias("block")))
     near = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp"))) <= RADIUS
-    pairs = prints.join(tables, ["item", "block"]).where(near).drop("block").distinct()
+    pairs = prints.join(sized(tables, BROADCAST_ROWS), ["item", "block"]).where(near).drop("block").distinct()
 
     weights = filled.groupBy(*window, "sh").agg(F.count(F.lit(1)).alias("here"))
-    common = weights.join(items.select("item", "sh", "weight"), ["item", "sh"]).groupBy("doc", "item", "start").agg(F.sum(F.least("here", "weight")).alias("common"))
-    told = pairs.join(common, ["doc", "item", "start"])
+    common = weights.join(met(items.select("item", "sh", "weight")), ["item", "sh"]).groupBy("doc", "item", "start").agg(F.sum(F.least("here", "weight")).alias("common"))
+    told = pairs.join(shuffled(common), ["doc", "item", "start"])
     either = F.col("window_n") + F.col("item_n")
     alike = told.where((LEAST[0] + LEAST[1]) * F.col("common") >= LEAST[0] * either)
     return alike.select("doc", "doc_id", "item_id", (F.col("common") / (either - F.col("common"))).alias("similarity"))

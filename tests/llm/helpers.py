@@ -28,3 +28,23 @@ WORDS = "amber basin cedar delta ember fable grove haven inlet jetty kiosk lemon
 def prose(seed: int, n: int) -> str:
     r = random.Random(seed)
     return " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n))
+
+
+def broadcast_rows(spark, run) -> list[int]:
+    """Rows of each table that Spark broadcast in the queries of run(), the most first."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before, rows = executions(), []
+    run()
+    for id_ in executions() - before:
+        values, nodes = store.executionMetrics(id_), store.planGraph(id_).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                ids = [node.metrics().apply(i).accumulatorId() for i in range(node.metrics().size()) if node.metrics().apply(i).name() == "number of output rows"]
+                rows += [int(values.get(i).get().replace(",", "")) for i in ids if values.get(i).isDefined()]
+    return sorted(rows, reverse=True)

@@ -12,7 +12,7 @@ import xxhash
 
 from millrace.llm import decontam, simhash, suffix
 
-from .helpers import CLASHES, docs, prose
+from .helpers import CLASHES, broadcast_rows, docs, prose
 
 
 def plain_fingerprint(text):
@@ -252,6 +252,20 @@ def test_decontamination_equals_plain(spark):
     assert decontam.decontaminated(d, b.limit(0)).count() == len(texts)
 
 
+def test_decontamination_broadcasts_items_only(spark, monkeypatch):
+    """What is broadcast grows with the benchmark alone; where that is large, nothing is."""
+    items = spark.createDataFrame([(i, prose(i, 20)) for i in range(3)], "item_id long, text string")
+    d = docs(spark, [f"{prose(100 + i, 20)} {prose(i % 3, 20)}" for i in range(60)])
+    shingles, blocks = 3 * 16, 3 * (decontam.RADIUS + 1)
+    found = lambda: sorted(map(tuple, decontam.found(d, items).collect()))
+    assert broadcast_rows(spark, lambda: decontam.found(d, items).collect()) == [blocks, shingles, shingles, shingles]
+    want = found()
+    assert len(want) == 60
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert broadcast_rows(spark, lambda: decontam.found(d, items).collect()) == []
+    assert found() == want
+
+
 def test_fingerprints_are_bitwise_majorities(spark):
     r = random.Random(6)
     groups = [[r.choice((-1, 0, r.getrandbits(64) - (1 << 63))) for _ in range(n)] for n in (1, 2, 3, 7, 40)]
