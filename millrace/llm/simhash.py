@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, blocks, boxed, components, text_buffers, written
+from .common import batched, blocks, boxed, components, shuffled, text_buffers, written
 from .spans import BASE, K1, K2, K3, MIX, Hasher, mixed, words
 
 SHINGLE = 3
@@ -61,7 +61,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     held = fps.select(F.col("fp").alias("b"), F.explode(sides).alias("key"))
     asked = fps.select(F.col("fp").alias("a"), F.explode(sides).alias("side")).select("a", F.explode(ball).alias("flip"), "side").select("a", F.col("side").bitwiseXOR(F.col("flip")).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return asked.join(held, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return asked.join(shuffled(held), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def groups(docs: DataFrame) -> DataFrame:
     fps = written(fingerprints(docs))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     label = written(components(nodes.select(F.col("fp").alias("node")), written(links(nodes.select("fp")))))
-    named = label.join(nodes, F.col("node") == F.col("fp")).groupBy("label").agg(F.min("first").alias("component_id"))
-    member = label.join(named, "label").select(F.col("node").alias("fp"), "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+    named = label.join(shuffled(nodes), F.col("node") == F.col("fp")).groupBy("label").agg(F.min("first").alias("component_id"))
+    member = label.join(shuffled(named), "label").select(F.col("node").alias("fp"), "component_id")
+    return fps.join(shuffled(member), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str = "fp"):

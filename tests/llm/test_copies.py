@@ -66,6 +66,12 @@ def test_simhash_links_within_radius(spark):
     assert got | {(b, a) for a, b in got} == want
 
 
+def test_simhash_broadcasts_no_fingerprints(spark):
+    """Spark would size the values within one bit of each half as if there were one a fingerprint."""
+    d = docs(spark, [prose(i, 20) for i in range(50)])
+    assert broadcast_rows(spark, lambda: simhash.groups(d).collect()) == []
+
+
 def plain_set(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
