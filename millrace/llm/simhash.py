@@ -166,7 +166,8 @@ def sets(docs: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets, held as (node, sh), are as alike as LEAST."""
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+    own = lambda node, sh: shuffled(held.select(F.col("node").alias(node), F.col("sh").alias(sh)))
+    both = pairs.join(own("a", "x"), "a").join(own("b", "y"), "b")
     sized = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
     return sized.where((LEAST[0] + LEAST[1]) * F.col("common") >= LEAST[0] * F.col("n")).select("a", "b")
 
@@ -201,15 +202,15 @@ def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) where further edges (a, b) between nodes make labels one."""
     ends = edges
     for side in ("a", "b"):
-        ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
+        ends = ends.join(shuffled(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))), side)
     into = contracted(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("into"))
-    return written(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")))
+    return written(labels.join(shuffled(into), "label", "left").select("node", F.coalesce("into", "label").alias("label")))
 
 
 def several(listed: DataFrame) -> DataFrame:
     """The rows of those lists (key, label, ...) that have several labels."""
     both = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    return written(listed.join(both, "key"))
+    return written(listed.join(shuffled(both), "key"))
 
 
 def neighbours(listed: DataFrame, order: int) -> DataFrame:
@@ -238,14 +239,14 @@ def links_of_parts(listed: DataFrame, held: DataFrame) -> DataFrame:
     """
     top, bottom = LEAST
     several = listed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n").alias("low")).where("least < most").select("key", "low")
-    open_ = listed.join(several, "key").groupBy("node", "n", "label").agg(F.min("low").alias("low"))
+    open_ = listed.join(shuffled(several), "key").groupBy("node", "n", "label").agg(F.min("low").alias("low"))
     need = F.ceil(F.lit(top) * (F.col("n") + F.greatest("low", F.ceil(F.lit(top) * F.col("n") / bottom))) / (top + bottom))
-    each = written(open_.withColumn("need", need).join(held, "node").select("node", "n", "label", "need", F.explode("sh").alias("s")))
+    each = written(open_.withColumn("need", need).join(shuffled(held), "node").select("node", "n", "label", "need", F.explode("sh").alias("s")))
     spread = each.groupBy("s").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("often")).where("least < most")
-    shared = written(each.join(spread, "s").select("node", "n", "label", "need", "s", "often"))
+    shared = written(each.join(shuffled(spread), "s").select("node", "n", "label", "need", "s", "often"))
     able = shared.groupBy("node", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("node", "c")
     nth = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
-    rare = written(shared.join(able, "node").withColumn("nth", nth).where("nth <= c - need + 1").select("node", "n", "label", "c", "s", "nth"))
+    rare = written(shared.join(shuffled(able), "node").withColumn("nth", nth).where("nth <= c - need + 1").select("node", "n", "label", "c", "s", "nth"))
     # As the smaller set it may need more of its shingles than as the larger, so these are among them.
     first = rare.where(f"nth <= c - ceil({2 * top} * n / {top + bottom}) + 1")
     a = rare.select("s", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "c", "nth")))
@@ -253,7 +254,7 @@ def links_of_parts(listed: DataFrame, held: DataFrame) -> DataFrame:
     smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
     behind = 1 + F.least(F.col("a_c") - F.col("a_nth"), F.col("b_c") - F.col("b_nth"))
     fits = (bottom * F.col("b_n") >= top * F.col("a_n")) & ((top + bottom) * behind >= top * (F.col("a_n") + F.col("b_n")))
-    met = a.join(b, "s").where((F.col("a_label") != F.col("b_label")) & smaller & fits)
+    met = a.join(shuffled(b), "s").where((F.col("a_label") != F.col("b_label")) & smaller & fits)
     return alike(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), held)
 
 
@@ -271,33 +272,33 @@ def near(docs: DataFrame) -> DataFrame:
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     linked = links(prints.select("fp"))
     for side in ("a", "b"):
-        linked = linked.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+        linked = linked.join(shuffled(prints.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node"))), side)
     pairs = linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    pairs = pairs.union(nodes.join(prints, "fp").where("node <> first").select("first", "node"))
+    pairs = pairs.union(nodes.join(shuffled(prints), "fp").where("node <> first").select("first", "node"))
 
     listed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    listed = written(listed.join(shared, "key"))
+    listed = written(listed.join(shuffled(shared), "key"))
     met = neighbours(listed, 0)
     pairs = written(pairs.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     large = listed.where("c > 2")
-    wanted = wanted.union(large.select("node")).distinct().join(nodes, "node").select("node", "at.*")
+    wanted = wanted.union(large.select("node")).distinct().join(shuffled(nodes), "node").select("node", "at.*")
     # Texts are read again: their sets would take more room than they do.
     own = sets(docs).join(wanted.hint("shuffle_hash"), ["id", "version"]) if not wanted.isEmpty() else None
     if own is None:
         return rows.select("id", "version", F.col("node").alias("label"))
     held = written(own.groupBy("node").agg(F.first("sh").alias("sh")))
     first = contracted(alike(pairs, held)).select("node", "label")
-    labels = written(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labels = written(nodes.select("node").join(shuffled(first), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
     # Lists with several labels are gone through in other orders, which leaves less to compare in full.
     for order in range(1, ORDERS):
-        apart = several(large.join(labels, "node").select("key", "node", "n", "c", "label"))
+        apart = several(large.join(shuffled(labels), "node").select("key", "node", "n", "c", "label"))
         labels = relabelled(labels, alike(neighbours(apart, order).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), held))
-    labels = relabelled(labels, links_of_parts(large.join(labels, "node").select("key", "node", "n", "label"), held))
-    return rows.select("id", "version", "node").join(labels, "node").select("id", "version", "label")
+    labels = relabelled(labels, links_of_parts(large.join(shuffled(labels), "node").select("key", "node", "n", "label"), held))
+    return rows.select("id", "version", "node").join(shuffled(labels), "node").select("id", "version", "label")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = written(near(docs).where("id is not null"))
     first = rows.groupBy("label").agg(F.min(F.struct("id", "version")).alias("at")).select("at.*")
     again = rows.groupBy("id", "version").agg(F.count(F.lit(1)).alias("n"))
-    first = written(again.join(first, ["id", "version"]))
+    first = written(again.join(shuffled(first), ["id", "version"]))
     row = boxed(docs, id=F.col("doc_id").cast("long"), version=F.xxhash64(F.col("text").cast("string")))
 
     def having(n: str) -> DataFrame:

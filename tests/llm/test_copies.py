@@ -72,6 +72,12 @@ def test_simhash_broadcasts_no_fingerprints(spark):
     assert broadcast_rows(spark, lambda: simhash.groups(d).collect()) == []
 
 
+def test_near_copies_broadcast_no_lists(spark):
+    """Rounds of contracted() may broadcast what edges there are; no table of rows, keys or shingles is broadcast."""
+    texts = [prose(i, 60) for i in range(30)] + [prose(i, 60) + " end" for i in range(10)]
+    assert max(broadcast_rows(spark, lambda: simhash.dedup(docs(spark, texts)).collect()), default=0) <= 20
+
+
 def plain_set(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
