@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import written
+from .common import shuffled, sized, written
 
 
 def best_copy(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -133,7 +133,7 @@ def meetings(a: DataFrame, b: DataFrame, share: tuple[int, int], apart: Column)
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     more = F.floor(small / every)
     fits = (bottom * small >= top * large) & ((top + bottom) * (F.least("lefta", "leftb") + more) >= top * (small + large))
-    met = own(a, "a").join(own(b, "b"), "sh").where(apart & fits).groupBy("a", "b", more.alias("more")).agg(F.count(F.lit(1)).alias("met"))
+    met = own(a, "a").join(shuffled(own(b, "b")), "sh").where(apart & fits).groupBy("a", "b", more.alias("more")).agg(F.count(F.lit(1)).alias("met"))
     return written(met.where("met > more").select("a", "b"))
 
 
@@ -148,6 +148,8 @@ def meetings_within(ahead: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 #: Ids that are broadcast to pick rows, at most; more meet these in a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs of ids that are broadcast, at most.
+BROADCAST_PAIRS = 100_000
 
 
 def picked(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -161,7 +163,7 @@ def alike(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFram
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     met = picked(sets, ids)
     own = lambda n: met.select(F.col("id").alias(n), F.col("shingles").alias(f"s{n}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    both = sized(pairs, BROADCAST_PAIRS).join(own("a"), "a").join(own("b"), "b")
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common_values("sa", "sb").alias("common"))
     either = F.col("na") + F.col("nb") - F.col("common")
     return counted.where(bottom * F.col("common") >= top * either).select("a", "b", "common", (F.col("common") / either).alias("similarity"))
@@ -234,6 +236,21 @@ def waves(ids: DataFrame) -> Column:
     return sum(((F.col("id") > end).cast("int") for end in sorted({*ends})), F.lit(0))
 
 
+def similar_to_any(ids: DataFrame, others: DataFrame, ahead: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(id) of ids whose set is, by share or more, like one of others (id), which are other ones. sets: (id, shingles) of all, ahead: their shared_fronts.
+
+    Others come in waves, by a hash, and what one is found for meets no later one. So of a group of near copies few pairs are looked at.
+    """
+    hashed = others.select(F.col("id").alias("own"), F.xxhash64("id").alias("id"))
+    dealt = written(hashed.select(F.col("own").alias("id"), waves(hashed.select("id")).alias("wave")))
+    found: list[DataFrame] = []
+    for wave in sorted(r.wave for r in dealt.select("wave").distinct().collect()):
+        met = meetings(picked(ahead, dealt.where(F.col("wave") == wave).select("id")), picked(ahead, ids), share, F.lit(True))
+        found.append(written(alike(met, sets, share).select(F.col("b").alias("id")).distinct()))
+        ids = written(picked(ids, found[-1], "left_anti"))
+    return reduce(DataFrame.union, found) if found else ids.limit(0)
+
+
 def greedy_similar(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(id) of the sets (id, shingles, wave) that stay when each drops later ones whose similarity is share or more: a dropped one drops no other.
 

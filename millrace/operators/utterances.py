@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from . import dedupe
-from .common import written
+from .common import shuffled, written
 
 # The least text that tells an utterance, the least similarity of near copies, the share of two ranges or of two texts of one
 # session, and the shingles a text of a session has at least.
@@ -21,7 +21,7 @@ REASONS = ("audio_vox", "audio_yt", "session_text", "text", "near_text"), ("audi
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """rows (id, caption, rank, and piece and src if there are such columns) with what tells an utterance: kind, key, s and e of its recording, its session, words, text key and numbers.
+    """rows (id, caption, rank, and piece and src if there are such columns) with what tells an utterance: kind, key, s and e of its recording, its session, shingles, and keys of its text and numbers.
 
     rank is a column in whose order rows are gone through; it is unique. A caption read by many, of which the id or
     src says `fleurs`, has no text key of its own. piece: seconds of a video's range that the row is cut from.
@@ -32,12 +32,12 @@ def described(rows: DataFrame) -> DataFrame:
     words = folded.withColumn("words", F.filter(said, lambda w: w != "")).withColumn("n_words", F.size(F.filter(F.split(F.coalesce("caption", F.lit("")), r"\s+"), lambda w: w != "")))
     letters = F.array_join("words", "")
     key = F.when((F.length(letters) >= KEY_CHARS) & (F.col("n_words") >= KEY_WORDS), F.sha2(letters, 256))
-    numbers = F.array_sort(F.regexp_extract_all(F.coalesce("caption", F.lit("")), F.lit("[0-9]+"), F.lit(0)))
+    numbers = F.sha2(F.array_join(F.array_sort(F.regexp_extract_all(F.coalesce("caption", F.lit("")), F.lit("[0-9]+"), F.lit(0))), " "), 256)
     base = F.regexp_replace(name, ids.PIECE, "")
     piece = F.col("piece") if "piece" in rows.columns else None
     many = name.startswith("fleurs") | (F.coalesce(F.col("src"), F.lit("")) == "fleurs" if "src" in rows.columns else F.lit(False))
-    out = words.select("id", "rank", ids.recording(name, piece).alias("r"), ids.session(base).alias("session"), "words", key.alias("text_key"), numbers.alias("numbers"), many.alias("many"))
-    return out.select("id", "rank", "r.*", "session", "words", "text_key", "numbers", "many")
+    out = words.select("id", "rank", ids.recording(name, piece).alias("r"), ids.session(base).alias("session"), shingles("words").alias("shingles"), key.alias("text_key"), numbers.alias("numbers"), many.alias("many"))
+    return out.select("id", "rank", "r.*", "session", "shingles", "text_key", "numbers", "many")
 
 
 def shingles(words: str) -> Column:
@@ -47,9 +47,13 @@ def shingles(words: str) -> Column:
 
 
 def session_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b) of rows of one session that have half the shingles of the shorter text, three at least, in common."""
-    own = lambda df, n: df.where("session is not null").select("session", F.col("id").alias(n), shingles("words").alias("sh")).where(F.size("sh") >= LEAST).select("session", n, F.size("sh").alias(f"n_{n}"), F.explode("sh").alias("sh"))
-    common = own(a, "a").join(own(b, "b"), ["session", "sh"]).where("a <> b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
+    """(a, b) of rows (id, session, shingles) of one session that have half the shingles of the shorter text, three at least, in common."""
+
+    def own(df: DataFrame, n: str) -> DataFrame:
+        each = df.where("session is not null").where(F.size("shingles") >= LEAST).select("session", F.col("id").alias(n), F.size("shingles").alias(f"n_{n}"), F.explode("shingles").alias("sh"))
+        return each.select(F.xxhash64("session", "sh").alias("sh"), n, f"n_{n}")
+
+    common = own(a, "a").join(shuffled(own(b, "b")), "sh").where("a <> b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
     return common.where(F.col("common") >= SHARE * F.least("n_a", "n_b")).select("a", "b")
 
 
@@ -58,19 +62,13 @@ def range_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return dedupe.overlaps(videos(a), videos(b), "key", SHARE, WIDTH).where("a <> b").select("a", "b")
 
 
-def relations(train: DataFrame, protected: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """For each reason pairs (a, b): a protected and a training row; two training rows, either way. Equal keys are left to their users."""
-    own = train.where("not many")
-    # Near copies among all rows with a text key, found once.
-    sets = lambda df: df.where("text_key is not null").select("id", shingles("words").alias("shingles"))
-    near = written(dedupe.similar_sets(written(sets(train).union(sets(protected))), NEAR).select("a", "b"))
-    near = near.union(near.select("b", "a"))
-    side = lambda df, n: df.where("text_key is not null").select(F.col("id").alias(n))
-    held = near.join(side(protected, "a"), "a", "left_semi").join(side(train, "b"), "b", "left_semi").select("a", "b")
-    numbers = lambda n: own.where("text_key is not null").select(F.col("id").alias(n), F.col("numbers").alias(f"{n}_numbers"))
-    copies = near.join(numbers("a"), "a").join(numbers("b"), "b").where("a_numbers = b_numbers").select("a", "b")
-    first = {"audio_yt": range_pairs(protected, train), "session_text": session_pairs(protected, train), "near_text": held}
-    return first, {"audio_yt": range_pairs(train, train), "session_text": session_pairs(train, train), "near_text": copies}
+def near_pairs(rows: DataFrame, ahead: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), either way, of near copies among rows (id, text_key, numbers) that have equal numbers. Rows with one text key are left to it."""
+    met = dedupe.meetings_within(dedupe.picked(ahead, rows.select("id")), NEAR)
+    for n in ("a", "b"):
+        met = met.join(shuffled(rows.select(F.col("id").alias(n), F.col("text_key").alias(f"{n}_key"), F.col("numbers").alias(f"{n}_numbers"))), n)
+    near = written(dedupe.alike(written(met.where("a_numbers = b_numbers and a_key <> b_key").select("a", "b")), sets, NEAR).select("a", "b"))
+    return near.union(near.select("b", "a"))
 
 
 def first_of_each(rows: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -110,19 +108,27 @@ def deduped(train: DataFrame, protected: DataFrame) -> DataFrame:
     Protected rows always stay. ids are unique over both tables. A caption that several people read costs only protected copies.
     """
     train, protected = written(described(train)), written(described(protected))
-    first, second = relations(train, protected)
     vox = lambda df: df.where("kind = 'vox'").select("id", "key")
     texts = lambda df: df.where("text_key is not null").select("id", F.col("text_key").alias("key"))
     cost = {"audio_vox": vox(train).join(vox(protected).select("key").distinct(), "key", "left_semi"), "text": texts(train).join(texts(protected).select("key").distinct(), "key", "left_semi")}
-    cost |= {name: pairs.select(F.col("b").alias("id")) for name, pairs in first.items()}
-    hit = reduce(DataFrame.union, (cost[name].select("id", F.lit(i).alias("nth")) for i, name in enumerate(REASONS[0])))
+    cost |= {name: pairs(protected, train).select(F.col("b").alias("id")) for name, pairs in (("audio_yt", range_pairs), ("session_text", session_pairs))}
+    *others, last = REASONS[0]
+    hit = reduce(DataFrame.union, (cost[name].select("id", F.lit(i).alias("nth")) for i, name in enumerate(others)))
     hit = written(hit.groupBy("id").agg(F.min("nth").alias("nth")))
-    left = written(train.join(hit, "id", "left_anti"))
+
+    # Near copies of protected rows are looked for among what no other reason takes, and near copies among each other among what is left then:
+    # so of a large group of near copies few pairs are looked at.
+    sets = train.union(protected).where("text_key is not null").select("id", "shingles")
+    ahead = dedupe.shared_fronts(sets, NEAR)
+    open_ = written(texts(train).select("id").join(hit, "id", "left_anti"))
+    hit = written(hit.union(dedupe.similar_to_any(open_, texts(protected).select("id"), ahead, sets, NEAR).select("id", F.lit(REASONS[0].index(last)).alias("nth"))))
+    left = written(train.drop("shingles").join(hit, "id", "left_anti"))
 
     named = {"audio_vox": vox(left), "text": texts(left.where("not many"))}
     keys = reduce(DataFrame.union, (df.select("id", F.concat(F.lit(f"{name} "), "key").alias("key")) for name, df in named.items()))
-    inside = lambda df: df.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    second = {name: written(inside(pairs)) for name, pairs in second.items()}
+    said = dedupe.picked(train.where("session is not null").select("id", "session", "shingles"), left.select("id"))
+    own = written(left.where("text_key is not null and not many").select("id", "text_key", "numbers"))
+    second = {"audio_yt": written(range_pairs(left, left)), "session_text": written(session_pairs(said, said)), last: near_pairs(own, ahead, sets)}
     kept = written(first_of_each(left.select("id", "rank"), keys, reduce(DataFrame.union, second.values())).join(left.select("id", "rank"), "id"))
     gone = written(left.select("id", "rank").join(kept, "id", "left_anti"))
     causes = []

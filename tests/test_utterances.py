@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from millrace.operators import utterances
+from millrace.operators import dedupe, utterances
 
 VOX, YT, GV = re.compile(r"_(\d{8}-\d{2}:\d{2}:\d{2}_\d+)$"), re.compile(r"[a-z]{2}\d+_\d+_([\w-]{11})_(\d+)_(\d+)_(\d+)_(\d+)$"), re.compile(r"^(\d{8}-\d{4}-[A-Z]+(?:-[A-Z0-9]+)*?)[-_][a-z]{2}(?:_|$)")
 
@@ -82,3 +82,17 @@ def test_one_row_for_each_utterance(spark):
     assert len(set(want.values())) >= 8
     assert utterances.deduped(frame(train).limit(0), frame(protected)).count() == 0
     assert utterances.deduped(frame(train), frame(protected).limit(0)).where(F.col("reason").startswith("heldout")).count() == 0
+
+
+def test_a_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    """What a protected row takes meets no further one, and is not held against the rest of its group."""
+    r, compared, alike = random.Random(4), [], dedupe.alike
+    base = [f"w{r.randrange(500)}" for _ in range(100)]
+    texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(60)]
+    rows = [(f"row{i}", t, float(i)) for i, t in enumerate(texts)] + [(f"row{i}", " ".join(f"v{r.randrange(500)}" for _ in range(100)), float(i)) for i in range(60, 64)]
+    monkeypatch.setattr(dedupe, "alike", lambda pairs, *xs: compared.append(pairs.count()) or alike(pairs, *xs))
+    monkeypatch.setattr(dedupe, "FIRST_WAVE", 1, raising=False)
+    frame = lambda x: spark.createDataFrame(x, "id string, caption string, rank double")
+    got = {x.id: x.reason for x in utterances.deduped(frame(rows[10:]), frame(rows[:10])).collect()}
+    assert got == {id_: "heldout_near_text" if i < 60 else None for i, (id_, _, _) in enumerate(rows) if i >= 10}
+    assert 50 <= sum(compared) <= 300
